@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from framesift.llm.bpe import op10_bpe_encoding
+from framesift.llm.chat import OP2_SQL, op2_chat_perspectives
+from framesift.llm.langid import op6_language_id
 from framesift.llm.toxicity import op1_toxicity_crf
+from framesift.llm.urls import op5_url_filter
 
-QUERIES = {f.__name__: f for f in (op1_toxicity_crf,)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_toxicity_crf, op2_chat_perspectives, op5_url_filter, op6_language_id, op10_bpe_encoding)}
+ORACLE_SQL: dict[str, str] = {"op2_chat_perspectives": OP2_SQL}
