@@ -24,8 +24,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Chunks that a task remembers.
-REMEMBERED = 200_000
+#: Chunks, and words, that a Python worker remembers; up to so many pieces the least pair is looked for in a list.
+REMEMBERED, FEW = 300_000, 40
 #: Bytes in the order in which the byte alphabet takes the next free character from 256 on: those that are not printable.
 _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 
@@ -74,6 +74,22 @@ class Vocabulary:
 
     def merge(self, parts: list[str]) -> list[str]:
         """The pieces after all merges, lowest rank first and leftmost first among equals."""
+        return self._merge_few(parts) if len(parts) <= FEW else self._merge_many(parts)
+
+    def _merge_few(self, parts: list[str]) -> list[str]:
+        get, none = self.ranks.get, len(self.ranks)
+        order = [get(p, none) for p in zip(parts, parts[1:])]
+        while order and (least := min(order)) < none:
+            i = order.index(least)
+            parts[i] += parts.pop(i + 1)
+            del order[i]
+            if i:
+                order[i - 1] = get((parts[i - 1], parts[i]), none)
+            if i < len(order):
+                order[i] = get((parts[i], parts[i + 1]), none)
+        return parts
+
+    def _merge_many(self, parts: list[str]) -> list[str]:
         n = len(parts)
         left, right = list(range(-1, n - 1)), list(range(1, n + 1))
         heap = [(self.ranks[p], i) for i in range(n - 1) if (p := (parts[i], parts[i + 1])) in self.ranks]
@@ -114,13 +130,28 @@ class Encoder(dict):
         self.word = regex.compile(vocabulary.pattern.replace(r"\s", r"\p{White_Space}"))
         self.gap = regex.compile(r"\p{White_Space}+")
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(vocabulary.special, key=len, reverse=True))) + ")") if vocabulary.special else None
-        self.alphabet = byte_alphabet()
+        self.alphabet = {b: c for b, c in enumerate(byte_alphabet())}
+        self.coded = {t: i.to_bytes(4, "little") for t, i in vocabulary.ids.items()}
+        self.words: dict[str, tuple[bytes, str]] = {}
+
+    def _word(self, word: str) -> tuple[bytes, str]:
+        got = self.words.get(word)
+        if got is None:
+            names = self.v.encode_word(word.encode("utf-8", "replace").decode("latin-1").translate(self.alphabet))
+            got = b"".join([self.coded[t] for t in names]), " ".join(names)
+            if len(self.words) >= REMEMBERED:
+                self.words.clear()
+            if len(word) < 100:
+                self.words[word] = got
+        return got
 
     def __missing__(self, chunk: str) -> tuple[bytes, str]:
-        names: list[str] = []
-        for w in self.word.findall(chunk):
-            names += self.v.encode_word("".join(map(self.alphabet.__getitem__, w.encode("utf-8", "replace"))))
-        got = b"".join(self.v.ids[t].to_bytes(4, "little") for t in names), " ".join(names)
+        found = self.word.findall(chunk)
+        if len(found) == 1:
+            got = self._word(found[0])
+        else:
+            each = [self._word(w) for w in found]
+            got = b"".join([g[0] for g in each]), " ".join([g[1] for g in each])
         if len(self) >= REMEMBERED:
             self.clear()
         if len(chunk) < 100:
@@ -147,6 +178,18 @@ class Encoder(dict):
         return b"".join([g[0] for g in got]), " ".join([g[1] for g in got if g[0]])
 
 
+_HELD: dict[int, Encoder] = {}
+
+
+def _encoder(text: str) -> Encoder:
+    """The encoder of this vocabulary file, kept while the Python worker lives."""
+    key = hash(text)
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = Encoder(Vocabulary(text))
+    return _HELD[key]
+
+
 def encode(documents: DataFrame, path: str) -> DataFrame:
     """doc_id, ids (binary: little-endian unsigned 32-bit integers), n_tokens of every row's whole text."""
     return round_trip(documents, path).select("doc_id", "ids", "n_tokens")
@@ -158,7 +201,7 @@ def round_trip(documents: DataFrame, path: str) -> DataFrame:
         shared = documents.sparkSession.sparkContext.broadcast(f.read())
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = Encoder(Vocabulary(shared.value))
+        encoder = _encoder(shared.value)
         for frame in frames:
             for at in range(0, len(frame), 500):
                 part = frame.iloc[at : at + 500]
