@@ -282,10 +282,12 @@ def repeated_ranges(documents: DataFrame, length: int = LENGTH, most: int = MOST
     counted = first_ones.withColumn("kinds", F.count("*").over(Window.partitionBy("key")))
     wanted = counted.groupBy("doc_id").agg(F.collect_list(F.struct("key", "first", "more", "kinds")).alias("wanted"))
     regions_of = packed(documents).join(wanted, "doc_id").select("doc_id", "packed", "wanted").mapInPandas(cut, "key long, doc_id long, first int, bytes binary, kinds long")
-    regions_of = saved(regions_of, "cut") if counted.where(F.col("kinds") > most).limit(1).count() else regions_of
+    large = counted.where(F.col("kinds") > most).limit(1).count() > 0
+    if large:
+        regions_of = saved(regions_of, "cut")
     some = regions_of.where(F.col("kinds") <= most).repartition("key").sortWithinPartitions("key")
     out = whole.unionByName(some.mapInPandas(compare, "doc_id long, first long, last long"))
-    if regions_of.inputFiles():
+    if large:
         each = saved(regions_of.where(F.col("kinds") > most).mapInPandas(hashes, "h0 long, h1 long, doc_id long, place long"), "windows")
         lead = each.groupBy("h0", "h1").agg(F.min(F.struct("doc_id", "place")).alias("lead"), F.count("*").alias("n")).where("n > 1")
         later = each.join(lead, ["h0", "h1"]).where(F.struct("doc_id", "place") != F.col("lead"))
