@@ -318,6 +318,21 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     return packed(documents).join(ranges, "doc_id", "left").select("doc_id", "packed", "ranges").mapInPandas(drop, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
+def without_repeats(documents: DataFrame, length: int = LENGTH) -> DataFrame:
+    """The documents with the repeated bytes gone from text and n_chars counted anew; ids must be unique.
+
+    A character of which a byte is removed goes as a whole. A text that loses everything stays as an empty one."""
+
+    def decode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield pd.DataFrame({"doc_id": frame["doc_id"], "kept_text": [bytes(b).decode("utf-8", "ignore") for b in frame["kept"]]})
+
+    kept = remove_repeats(documents, length).select("doc_id", "kept").mapInPandas(decode, "doc_id long, kept_text string")
+    rest = [c for c in documents.columns if c not in ("text", "n_chars")]
+    new = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
+    return documents.select(rest).join(kept, "doc_id").select([new[c].alias(c) if c in new else F.col(c) for c in documents.columns])
+
+
 def op4_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     got = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return got.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
