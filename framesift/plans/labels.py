@@ -1 +1,208 @@
+"""Queries on boxes and labels."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from framesift.functions import boxes as box
+from framesift.operators import labels as ops
+from framesift.operators import temporal
+from framesift.plans.tables import BOXES, boxes, read
+from framesift.registry import query
+
+_VOCABULARY = ("AF", "NF", "NO", "RF", "XX", "Others")
+_VOC = f"voc(nth, label) as (values {', '.join(f'({i}, {v!r})' for i, v in enumerate(_VOCABULARY))})"
+_SIZES = [(320, 240), (640, 360), (640, 480), (720, 576)]
+
+
+def vocabulary(spark):
+    return spark.range(1).select(F.posexplode(F.array(*map(F.lit, _VOCABULARY))).alias("nth", "label"))
+
+
+@query("instrument_overview", f"""with {BOXES} select count(distinct video) as n_videos, count(distinct (video, frame)) as n_frames, count(*) as n_boxes,
+round(count(*) / count(distinct (video, frame)), 6) as boxes_per_frame from boxes""")
+def instrument_overview(spark, sf_dir):
+    per_frame = boxes(spark, sf_dir).groupBy("video", "frame").agg(F.count("*").alias("n"))
+    return per_frame.agg(F.count_distinct("video").alias("n_videos"), F.count("*").alias("n_frames"), F.sum("n").alias("n_boxes"), F.round(F.avg("n"), 6).alias("boxes_per_frame"))
+
+
+@query("instrument_counts", f"""with {BOXES}, {_VOC}, named as (select case when label in (select label from voc) then label else 'Others' end as label, video, frame from boxes),
+seen as (select label, count(*) as b, count(distinct (video, frame)) as f from named group by label)
+select label, coalesce(b, 0) as n_boxes, coalesce(f, 0) as n_frames, round(coalesce(f, 0) * 100 / (select count(distinct (video, frame)) from boxes), 4) as pct_frames from voc left join seen using (label)""")
+def instrument_counts(spark, sf_dir):
+    return ops.per_label(boxes(spark, sf_dir), vocabulary(spark))
+
+
+@query("cooccurrence_top15", f"""with {BOXES}, d as (select distinct video, frame, label from boxes)
+select a.label as a, b.label as b, count(*) as n from d a join d b on a.video = b.video and a.frame = b.frame and a.label < b.label group by all order by n desc, a, b limit 15""")
+def cooccurrence_top15(spark, sf_dir):
+    """A report of the fifteen most frequent pairs."""
+    return ops.cooccurrence(boxes(spark, sf_dir)).orderBy(F.desc("n"), "a", "b").limit(15)
+
+
+@query("labels_per_frame", f"with {BOXES} select k as n_labels, count(*) as n_frames from (select count(distinct label) as k from boxes group by video, frame) group by k")
+def labels_per_frame(spark, sf_dir):
+    return boxes(spark, sf_dir).groupBy("video", "frame").agg(F.count_distinct("label").alias("n_labels")).groupBy("n_labels").agg(F.count("*").alias("n_frames"))
+
+
+@query("video_summary", f"with {BOXES} select video, count(distinct frame) as n_frames, count(*) as n_boxes, string_agg(distinct label, ',' order by label) as labels from boxes group by video")
+def video_summary(spark, sf_dir):
+    held = boxes(spark, sf_dir).groupBy("video").agg(F.count_distinct("frame").alias("n_frames"), F.count("*").alias("n_boxes"), F.array_sort(F.collect_set("label")).alias("l"))
+    return held.select("video", "n_frames", "n_boxes", F.array_join("l", ",").alias("labels"))
+
+
+@query("instrument_pivot", f"""with {BOXES} select video, {", ".join(f"count(distinct frame) filter (where label = '{v}') as {v}" for v in _VOCABULARY[:4])} from boxes group by video""")
+def instrument_pivot(spark, sf_dir):
+    pivot = boxes(spark, sf_dir).select("video", "frame", "label").distinct().groupBy("video").pivot("label", list(_VOCABULARY[:4])).agg(F.count("frame"))
+    return pivot.na.fill(0)
+
+
+_RANGES = f"""{BOXES}, ranges as (select video, oid, min(frame) + 50 as start, case when oid % 2 = 1 then max(frame) - 50 end as "end" from boxes group by video, oid)"""
+
+
+def _ranges(b):
+    return b.groupBy("video", "oid").agg((F.min("frame") + 50).alias("start"), F.when(F.col("oid") % 2 == 1, F.max("frame") - 50).alias("end"))
+
+
+def _visible_sql(op: str) -> str:
+    return f"""with {_RANGES} select video, count(*) as n_boxes, count(*) filter (where not coalesce(frame >= start and ("end" is null or frame {op} "end"), false)) as n_visible
+from boxes left join ranges using (video, oid) group by video"""
+
+
+def _visible(spark, sf_dir, closed):
+    b = boxes(spark, sf_dir)
+    return ops.hidden(b, _ranges(b), closed).groupBy("video").agg(F.count("*").alias("n_boxes"), F.count_if(~F.col("oof")).alias("n_visible"))
+
+
+@query("oof_visible_boxes", _visible_sql("<="))
+def oof_visible_boxes(spark, sf_dir):
+    return _visible(spark, sf_dir, True)
+
+
+@query("oof_visible_boxes_half_open", _visible_sql("<"))
+def oof_visible_boxes_half_open(spark, sf_dir):
+    return _visible(spark, sf_dir, False)
+
+
+@query("bbox_spans", f"""with {BOXES}, d as (select distinct video, label, frame from boxes), r as (select *, frame - row_number() over (partition by video, label order by frame) as run from d)
+select video, label, min(frame) as start, max(frame) as "end" from r group by video, label, run""")
+def bbox_spans(spark, sf_dir):
+    return temporal.islands(boxes(spark, sf_dir), ["video", "label"], "frame")
+
+
+@query("asof_last_box", f"""with {BOXES}, asked as (select distinct video, oid, frame + 3 as frame from boxes where frame % 5 = 0)
+select a.video, a.oid, a.frame, b.frame as box_frame, b.x1, b.y1, b.x2, b.y2 from asked a asof left join boxes b on a.video = b.video and a.oid = b.oid and b.frame <= a.frame""")
+def asof_last_box(spark, sf_dir):
+    b = boxes(spark, sf_dir)
+    return ops.last_box(b, b.where("frame % 5 = 0").select("video", "oid", (F.col("frame") + 3).alias("frame")).distinct())
+
+
+@query("nearest_allowed", f"""with {BOXES}, f as (select distinct video, frame from boxes), allowed as (select * from f where frame % 4 = 1), asked as (select * from f where frame % 4 <> 1),
+p as (select a.*, b.frame as p from asked a asof left join allowed b on a.video = b.video and b.frame <= a.frame),
+n as (select p.*, b.frame as n from p asof left join allowed b on p.video = b.video and b.frame >= p.frame)
+select video, frame, case when p is null then n when n is null then p when n - frame <= frame - p then n else p end as nearest from n""")
+def nearest_allowed(spark, sf_dir):
+    f = boxes(spark, sf_dir).select("video", "frame").distinct()
+    return ops.nearest_allowed(f.where("frame % 4 <> 1"), f.where("frame % 4 = 1"))
+
+
+@query("interval_step", f"""with {BOXES}, f as (select distinct video, frame from boxes where frame % 3 = 0),
+clips as (select video, i * 1000 as start, i * 1000 + 400 as "end" from (select video, unnest(range(0, max(frame) // 1000 + 1)) as i from f group by video)),
+a as (select f.video, f.frame, min(c.start) filter (where c.start > f.frame) as later, max(c."end") filter (where c."end" < f.frame) as earlier,
+  bool_or(c.start <= f.frame + 1 and f.frame + 1 <= c."end") as up, bool_or(c.start <= f.frame - 1 and f.frame - 1 <= c."end") as down from f join clips c using (video) group by all)
+select video, frame, case when up then frame + 1 else later end as next_frame, case when down then frame - 1 else earlier end as prev_frame from a""")
+def interval_step(spark, sf_dir):
+    f = boxes(spark, sf_dir).where("frame % 3 = 0").select("video", "frame").distinct()
+    clips = f.groupBy("video").agg(F.max("frame").alias("m")).select("video", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("m") / 1000))).alias("i"))
+    return ops.step(f, clips.select("video", (F.col("i") * 1000).alias("start"), (F.col("i") * 1000 + 400).alias("end")))
+
+
+@query("frame_view", f"""with {_RANGES} select video, frame, oid, label, case when oof then null else x1 end as x1, x1 as raw_x1, oof, case when oof then start end as oof_start
+from (select b.*, start, coalesce(frame >= start and ("end" is null or frame <= "end"), false) as oof from boxes b left join ranges using (video, oid)) where video % 10 = 1""")
+def frame_view(spark, sf_dir):
+    """The objects of each frame with box, raw box, and the start of the range in which one is out of frame; videos with a number ending in 1."""
+    b = boxes(spark, sf_dir)
+    held = ops.hidden(b, _ranges(b)).where("video % 10 = 1").join(_ranges(b).select("video", "oid", "start"), ["video", "oid"], "left")
+    return held.select("video", "frame", "oid", "label", F.when(~F.col("oof"), F.col("x1")).alias("x1"), F.col("x1").alias("raw_x1"), "oof", F.when(F.col("oof"), F.col("start")).alias("oof_start"))
+
+
+_YOLO = """cut as (select *, greatest(0, least(x1, 640)) as a, greatest(0, least(y1, 480)) as b, greatest(0, least(x2, 640)) as c, greatest(0, least(y2, 480)) as d from boxes)"""
+
+
+@query("yolo_boxes", f"""with {BOXES}, {_YOLO} select video, frame, oid, floor((a + c) / 2 / 640 * 1e6 + 0.5) / 1e6 as cx, floor((b + d) / 2 / 480 * 1e6 + 0.5) / 1e6 as cy, floor((c - a) / 640 * 1e6 + 0.5) / 1e6 as w, floor((d - b) / 480 * 1e6 + 0.5) / 1e6 as h from cut""")
+def yolo_boxes(spark, sf_dir):
+    parts = box.normalised(*(F.col(c) for c in ("x1", "y1", "x2", "y2")), F.lit(640), F.lit(480))
+    return boxes(spark, sf_dir).select("video", "frame", "oid", *parts).withColumns({c: F.floor(F.col(c) * 1e6 + 0.5) / 1e6 for c in ("cx", "cy", "w", "h")})
+
+
+@query("export_status", f"""with {BOXES}, {_YOLO}, {_VOC} select split, status, count(*) as n from (
+  select case when video % 7 = 0 then null when video % 7 < 5 then 'train' when video % 7 = 5 then 'val' else 'test' end as split,
+         case when video % 7 = 0 then 'no_split' when nth is null or nth >= 3 then 'bad_class' when c - a <= 0 or d - b <= 0 then 'degenerate' else 'ok' end as status
+  from cut left join voc using (label)) group by all""")
+def export_status(spark, sf_dir):
+    b = boxes(spark, sf_dir).join(F.broadcast(vocabulary(spark).withColumnRenamed("nth", "class_id")), "label", "left")
+    v = b.select("video").distinct()
+    m = F.col("video") % 7
+    splits = v.select("video", F.when(m == 0, None).when(m < 5, "train").when(m == 5, "val").otherwise("test").alias("split"))
+    sizes = v.select("video", F.lit(640).alias("width"), F.lit(480).alias("height"))
+    return ops.export_status(b, splits, sizes, F.lit(3)).groupBy("split", "status").agg(F.count("*").alias("n"))
+
+
+@query("box_iou", f"""with {BOXES}, p as (select a.video, a.frame, a.oid, greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1)) as i,
+  (a.x2 - a.x1) * (a.y2 - a.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) as s from boxes a join boxes b on a.video = b.video and a.frame = b.frame and a.oid <> b.oid)
+select video, frame, oid, round(coalesce(m, 0), 6) as max_iou from boxes left join (select video, frame, oid, max(case when s - i > 0 then i / (s - i) else 0 end) as m from p group by all) using (video, frame, oid)""")
+def box_iou(spark, sf_dir):
+    return ops.overlaps(boxes(spark, sf_dir)).withColumn("max_iou", F.round("max_iou", 6))
+
+
+@query("annotation_size", f"""with {BOXES}, m as (select video, max(x2) as x, max(y2) as y from boxes where frame % 50 = 1 group by video)
+select video, case {" ".join(f"when x <= {w} and y <= {h} then {w}" for w, h in _SIZES)} else x end as width, case {" ".join(f"when x <= {w} and y <= {h} then {h}" for w, h in _SIZES)} else y end as height from m""")
+def annotation_size(spark, sf_dir):
+    return ops.annotation_sizes(boxes(spark, sf_dir).where("frame % 50 = 1"), _SIZES)
+
+
+@query("crop_class_counts", f"with {BOXES} select label, count(*) as n from boxes where least(x2 - x1, y2 - y1) >= 24 and greatest(x2 - x1, y2 - y1) <= 512 group by label")
+def crop_class_counts(spark, sf_dir):
+    w, h = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    return boxes(spark, sf_dir).where((F.least(w, h) >= 24) & (F.greatest(w, h) <= 512)).groupBy("label").agg(F.count("*").alias("n"))
+
+
+_MERGE = """i as (select l_suppkey % 20 as video, l_orderkey as frame, count(*) as n_boxes, list_sort(list_distinct(list(l_returnflag))) as labels from lineitem where l_quantity > 40 group by all),
+p as (select o_custkey % 20 as video, o_orderkey as frame, min(o_orderkey % 3) as phase_id from orders where o_orderstatus <> 'P' group by all),
+m as (select video, frame, coalesce(array_to_string(labels, ','), '') as labels, coalesce(n_boxes, 0) as n_boxes, coalesce(phase_id, -1) as phase_id from i full join p using (video, frame))"""
+
+
+def _merged(spark, sf_dir):
+    line, orders = read(spark, sf_dir, "lineitem").where("l_quantity > 40"), read(spark, sf_dir, "orders").where("o_orderstatus <> 'P'")
+    a = line.select((F.col("l_suppkey") % 20).alias("video"), F.col("l_orderkey").alias("frame"), F.col("l_returnflag").alias("label"))
+    b = orders.groupBy((F.col("o_custkey") % 20).alias("video"), F.col("o_orderkey").alias("frame")).agg(F.min(F.col("o_orderkey") % 3).alias("phase_id"))
+    return ops.merged(a, b)
+
+
+@query("merge_labels", f"with {_MERGE} select * from m")
+def merge_labels(spark, sf_dir):
+    return _merged(spark, sf_dir).withColumn("labels", F.array_join("labels", ","))
+
+
+@query("merge_require_all", f"with {_MERGE} select video, frame, labels, n_boxes, phase_id from m where n_boxes > 0 and phase_id >= 0")
+def merge_require_all(spark, sf_dir):
+    return ops.has_both(_merged(spark, sf_dir)).withColumn("labels", F.array_join("labels", ","))
+
+
+@query("merge_min_instruments", f"with {_MERGE} select video, count(*) as n from m where n_boxes >= 2 and video in (1, 3, 5) group by video")
+def merge_min_instruments(spark, sf_dir):
+    return _merged(spark, sf_dir).where(F.col("n_boxes") >= 2).where(F.col("video").isin(1, 3, 5)).groupBy("video").agg(F.count("*").alias("n"))
+
+
+@query("custom_exclusions", f"with {BOXES} select video, count(*) as n_left from boxes where not exists (select 1 from (values (10, 200), (1000, 1500), (3000, 3000)) as r(a, b) where frame between a and b) group by video")
+def custom_exclusions(spark, sf_dir):
+    """Boxes outside excluded frame ranges (both ends included); the ranges become frames of an anti join."""
+    ranges = spark.range(1).select(F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ((10, 200), (1000, 1500), (3000, 3000))))).alias("r"))
+    gone = ranges.where("r.a <= r.b").select(F.explode(F.sequence(F.col("r.a").cast("long"), F.col("r.b").cast("long"))).alias("frame")).distinct()
+    return boxes(spark, sf_dir).join(F.broadcast(gone), "frame", "left_anti").groupBy("video").agg(F.count("*").alias("n_left"))
+
+
+@query("trimmed_objects", f"with {BOXES} select video, oid, count(*) as n, max(frame) as last_frame from boxes where frame < 2000 group by all")
+def trimmed_objects(spark, sf_dir):
+    """Objects after a trim at frame 2000: boxes from it on are gone, ends are computed anew."""
+    return boxes(spark, sf_dir).where("frame < 2000").groupBy("video", "oid").agg(F.count("*").alias("n"), F.max("frame").alias("last_frame"))
