@@ -1 +1,177 @@
+"""Queries on splits: statistics of videos, assignment, quotas, balance, weights, schedules."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from framesift.functions import schedules
+from framesift.operators import splits as ops
+from framesift.operators import temporal
+from framesift.plans.tables import FRAMES, frames, read
+from framesift.plans.temporal import _SCORES, _scores
+from framesift.registry import query
+
+_TYPES = ("click", "error", "purchase", "signup", "view")
+_VIDEOS = f"""videos as (select user_id as video, user_id % 7 as dataset, count(*) as n_frames, {", ".join(f"count(*) filter (where event_type = '{t}') as {t}" for t in _TYPES)}, sum(value) as length from events group by user_id)"""
+_RATIOS = (0.7, 0.15, 0.15)
+_ASSIGN = f"""{_VIDEOS}, g as (select *, count(*) over (partition by dataset) as n, row_number() over (partition by dataset order by n_frames desc, video) as place from videos),
+q as (select *, round_even((n - 3) * 0.7, 0) as a, round_even((n - 3) * 0.15, 0) as b from g),
+t as (select *, case when n >= 3 then 1 + a + (n - 3 - a - 2 * b) else n end as tr, case when n >= 3 then 1 + b else 0 end as va from q),
+assigned as (select video, dataset, n_frames, case when place <= tr then 'train' when place <= tr + va then 'val' else 'test' end as split from t)"""
+_TEST = f"{_VIDEOS}, split as (select *, video % 5 = 0 as is_test from videos)"
+
+
+def videos(spark, sf_dir):
+    e = read(spark, sf_dir, "events").withColumnRenamed("user_id", "video")
+    return e.groupBy("video", (F.col("video") % 7).alias("dataset")).agg(F.count("*").alias("n_frames"), *(F.count_if(F.col("event_type") == t).alias(t) for t in _TYPES), F.sum("value").alias("length"))
+
+
+@query("video_stats", f"with {_VIDEOS} select video, dataset, n_frames, {', '.join(_TYPES)}, round(length, 3) as length from videos")
+def video_stats(spark, sf_dir):
+    return videos(spark, sf_dir).withColumn("length", F.round("length", 3))
+
+
+@query("split_assignment", f"with {_ASSIGN} select * from assigned")
+def split_assignment(spark, sf_dir):
+    return ops.assign(videos(spark, sf_dir).select("video", "dataset", "n_frames"), _RATIOS)
+
+
+@query("split_targets", "select n, case when n >= 3 then 1 + a + (n - 3 - a - 2 * b) else n end::bigint as train, case when n >= 3 then 1 + b else 0 end::bigint as val, case when n >= 3 then 1 + b else 0 end::bigint as test from (select n, round_even((n - 3) * 0.7, 0) as a, round_even((n - 3) * 0.15, 0) as b from range(0, 200) t(n))")
+def split_targets(spark, sf_dir):
+    train, val, test = ops.targets(F.col("n"), _RATIOS)
+    return spark.range(200).withColumnRenamed("id", "n").select("n", train.cast("long").alias("train"), val.cast("long").alias("val"), test.cast("long").alias("test"))
+
+
+@query("split_summary_rollup", f"""with {_ASSIGN} select case when grouping(dataset) = 1 then 'all' else dataset::varchar end as dataset, case when grouping(split) = 1 then 'all' else split end as split,
+count(*) as n_videos, sum(n_frames)::bigint as n_frames from assigned group by cube (dataset, split)""")
+def split_summary_rollup(spark, sf_dir):
+    return ops.summary(ops.assign(videos(spark, sf_dir).select("video", "dataset", "n_frames"), _RATIOS))
+
+
+_BALANCE = f"""{_TEST}, b as ({" union all ".join(f"select '{t}' as label, sum({t}) filter (where not is_test) / sum(n_frames) filter (where not is_test) as train, sum({t}) filter (where is_test) / sum(n_frames) filter (where is_test) as test from split" for t in _TYPES)})"""
+
+
+def _split(spark, sf_dir):
+    return videos(spark, sf_dir).withColumn("is_test", F.col("video") % 5 == 0)
+
+
+@query("split_balance", f"with {_BALANCE} select label, round(train, 6) as train, round(test, 6) as test, round(abs(train - test), 6) as diff from b")
+def split_balance(spark, sf_dir):
+    return ops.balance(_split(spark, sf_dir), list(_TYPES), "n_frames").withColumns({c: F.round(c, 6) for c in ("train", "test", "diff")})
+
+
+@query("split_error", f"with {_BALANCE} select round(avg(abs(train - test)), 6) as mae, round(max(abs(train - test)), 6) as worst from b")
+def split_error(spark, sf_dir):
+    return ops.balance(_split(spark, sf_dir), list(_TYPES), "n_frames").agg(F.round(F.avg("diff"), 6).alias("mae"), F.round(F.max("diff"), 6).alias("worst"))
+
+
+@query("relative_difference", f"""with {_TEST}, m as (select is_test, {", ".join(f"avg({t} / n_frames) as {t}" for t in _TYPES)}, avg(n_frames) as n from split group by is_test),
+p as (select {", ".join(f"max({t}) filter (where is_test) as a_{t}, max({t}) filter (where not is_test) as b_{t}" for t in (*_TYPES, "n"))} from m)
+select round(0.8 * ({" + ".join(f"abs(a_{t} - b_{t}) / greatest(a_{t}, b_{t}) * 100" for t in _TYPES)}) / 5 + 0.2 * (abs(a_n - b_n) / greatest(a_n, b_n) * 100), 5) as difference from p""")
+def relative_difference(spark, sf_dir):
+    """Mean relative difference of the label columns, blended with that of the length at 0.2."""
+    s = _split(spark, sf_dir)
+    parts = {t: F.col(t) / F.col("n_frames") for t in _TYPES} | {"n": F.col("n_frames").cast("double")}
+    of = lambda c, t: F.avg(F.when(F.col("is_test") == t, c))
+    row = s.agg(*(of(c, t).alias(f"{k}_{t}") for k, c in parts.items() for t in (True, False)))
+    gap = {k: ops.relative_difference(F.col(f"{k}_True"), F.col(f"{k}_False")) for k in parts}
+    mean = sum((gap[t] for t in _TYPES), F.lit(0.0)) / len(_TYPES)
+    return row.select(F.round(0.8 * mean + 0.2 * gap["n"], 5).alias("difference"))
+
+
+@query("length_gap", f"""with {_TEST} select round(abs(avg(n_frames) filter (where is_test) - avg(n_frames) filter (where not is_test)) / greatest(avg(n_frames) filter (where is_test), avg(n_frames) filter (where not is_test)) * 100, 5) as gap_pct,
+case when avg(n_frames) filter (where is_test) > avg(n_frames) filter (where not is_test) then 'test' else 'train' end as longer from split""")
+def length_gap(spark, sf_dir):
+    a, b = (F.avg(F.when(F.col("is_test") == t, F.col("n_frames"))) for t in (True, False))
+    return _split(spark, sf_dir).agg(F.round(ops.relative_difference(a, b), 5).alias("gap_pct"), F.when(a > b, "test").otherwise("train").alias("longer"))
+
+
+@query("embedding_balance", f"""with {FRAMES}, dims as (select video, d, avg(x) as m from (select video, unnest(range(len(embedding))) as d, unnest(embedding)::double as x from frames) group by all),
+unit as (select video, d, m / sqrt(sum(m * m) over (partition by video)) as m, substr(video, 1, 4) = 'cat0' as t from dims),
+c as (select d, avg(m) filter (where t) as a, avg(m) filter (where not t) as b from unit group by d),
+n as (select video, count(*) as n, substr(video, 1, 4) = 'cat0' as t from frames group by video)
+select round(0.9 * (select 1 - sum(a * b) / (sqrt(sum(a * a)) * sqrt(sum(b * b))) from c)
+  + 0.1 * (select abs(avg(n) filter (where t) - avg(n) filter (where not t)) / greatest(stddev_pop(n), 1e-6) from n), 5) as balance""")
+def embedding_balance(spark, sf_dir):
+    """0.9 x cosine gap of the parts' mean unit centroids + 0.1 x gap of their lengths in standard deviations."""
+    f = frames(spark, sf_dir)
+    from framesift.functions import vectors
+
+    unit = temporal.mean_vector(f, ["video"]).select("video", vectors.scaled(F.col("mean")).alias("embedding"))
+    part = F.col("video").startswith("cat0").alias("part")
+    mean = temporal.mean_vector(unit.select("embedding", part), ["part"])
+    gap = mean.agg(F.max(F.when(F.col("part"), F.col("mean"))).alias("a"), F.max(F.when(~F.col("part"), F.col("mean"))).alias("b")).select(vectors.distance(F.col("a"), F.col("b")).alias("gap"))
+    n = f.groupBy("video").agg(F.count("*").alias("n")).select("n", part)
+    side = lambda t: F.avg(F.when(F.col("part") == t, F.col("n")))
+    length = n.agg((F.abs(side(True) - side(False)) / F.greatest(F.stddev_pop("n"), F.lit(1e-6))).alias("length"))
+    return gap.join(length).select(F.round(0.9 * F.col("gap") + 0.1 * F.col("length"), 5).alias("balance"))
+
+
+_BINS = f"""{_VIDEOS}, e as (select list_sort(list_distinct(quantile_cont(n_frames, [0, 0.25, 0.5, 0.75, 1.0]))) as e from videos),
+binned as (select video, n_frames, case when len(e) <= 2 then 0 else len(list_filter(e[2:len(e) - 1], lambda x: n_frames > x)) end::int as bin from videos, e)"""
+
+
+def _binned(spark, sf_dir):
+    return ops.quantile_bins(videos(spark, sf_dir).select("video", "n_frames"), "n_frames", 4)
+
+
+@query("quantile_bins", f"with {_BINS} select * from binned")
+def quantile_bins(spark, sf_dir):
+    return _binned(spark, sf_dir)
+
+
+@query("stratified_quota", f"""with {_BINS}, n as (select bin as stratum, count(*) as n from binned group by bin),
+l as (select *, floor(n * 0.3)::bigint as low, round(n * 0.3 - floor(n * 0.3), 9) as rest from n),
+o as (select *, row_number() over (order by rest desc, stratum) as o, round_even(sum(n) over () * 0.3, 0) - sum(low) over () as missing from l)
+select stratum, n, low + case when o <= missing then 1 else 0 end as quota from o""")
+def stratified_quota(spark, sf_dir):
+    return ops.quotas(_binned(spark, sf_dir).select("video", F.col("bin").alias("stratum")), 0.3)
+
+
+@query("stratified_split")
+def stratified_split(spark, sf_dir):
+    return ops.stratified(_binned(spark, sf_dir).select("video", F.col("bin").alias("stratum")), 0.3, 7)
+
+
+@query("random_split")
+def random_split(spark, sf_dir):
+    return ops.random_choice(videos(spark, sf_dir).select("video"), 0.2, 7)
+
+
+@query("best_random_splits")
+def best_random_splits(spark, sf_dir):
+    """A report: the ten most even of 200 random splits."""
+    return ops.trials(videos(spark, sf_dir), list(_TYPES), 0.2, 200).orderBy("score", "trial").limit(10)
+
+
+@query("random_split_baseline")
+def random_split_baseline(spark, sf_dir):
+    t = ops.trials(videos(spark, sf_dir), list(_TYPES), 0.2, 200)
+    return temporal.score_stats(t)
+
+
+@query("label_vectors", f"""with {_VIDEOS} select video, {", ".join(f"(dataset = {i})::int as ds_{i}" for i in range(7))}, {", ".join(f"round({t} / greatest({' + '.join(_TYPES)}, 1), 6) as {t}" for t in _TYPES)} from videos""")
+def label_vectors(spark, sf_dir):
+    total = F.greatest(sum((F.col(t) for t in _TYPES), F.lit(0)), F.lit(1))
+    return videos(spark, sf_dir).select("video", *((F.col("dataset") == i).cast("int").alias(f"ds_{i}") for i in range(7)), *(F.round(F.col(t) / total, 6).alias(t) for t in _TYPES))
+
+
+@query("sampling_weights", f"""with {_SCORES}, top as (select video, max(score) as top from scores group by video), raw as (select vec_id, pow(greatest(coalesce(top, 0), 1e-8), 0.5) as raw from frames left join top using (video))
+select vec_id, round(raw / sum(raw) over () * 1000, 5) as weight from raw""")
+def sampling_weights(spark, sf_dir):
+    w = ops.sampling_weights(frames(spark, sf_dir), _scores(spark, sf_dir), 0.5)
+    return w.select("vec_id", F.round(F.col("weight") * 1000, 5).alias("weight"))
+
+
+@query("weighted_frames")
+def weighted_frames(spark, sf_dir):
+    w = ops.sampling_weights(frames(spark, sf_dir), _scores(spark, sf_dir), 1.0)
+    return ops.weighted_choice(w.select("vec_id", "video", "weight"), "weight", "vec_id", 100, 7)
+
+
+@query("lr_schedule", """select s as step, round(case when s < 50 then 0.002 * s / 49 else 1e-6 + 0.5 * (0.002 - 1e-6) * (1 + cos(pi() * (s - 50) / 450)) end, 9) as rate,
+round(0.9995 + 0.5 * (0.996 - 0.9995) * (1 + cos(pi() * s / 500)), 9) as momentum, round(case when s < 30 then 0.04 + 0.03 * s / 29 else 0.07 end, 9) as heat from range(0, 500) t(s)""")
+def lr_schedule(spark, sf_dir):
+    step = F.col("step")
+    rate = schedules.warm_cosine(step, 50, 500, 0.001, 1e-6, 512)
+    return spark.range(500).withColumnRenamed("id", "step").select("step", F.round(rate, 9).alias("rate"), F.round(schedules.cosine(step, 500, 0.996, 0.9995), 9).alias("momentum"), F.round(schedules.warm_constant(step, 30, 0.04, 0.07), 9).alias("heat"))
