@@ -67,3 +67,36 @@ def match_digits(stems: DataFrame, candidates: DataFrame) -> DataFrame:
 def collisions(resolved: DataFrame) -> DataFrame:
     """dir, n: directories that several names mean."""
     return resolved.where("dir is not null").groupBy("dir").agg(F.count("*").alias("n")).where("n > 1")
+
+
+def match_stems(stems: DataFrame, candidates: DataFrame, pair: tuple[str, str] = ("RS", "TL")) -> DataFrame:
+    """stem, match, rule: the first candidate (in alphabetical order within a rule) by, in turn, equality, beginning with the stem and a
+    dash or underscore, beginning with its prefix key (for names of the pair; a separator must follow), the same trailing number of
+    four digits or more, that number as a whole number anywhere; else the stem itself. Case is ignored."""
+    s = stems.select("stem").distinct().withColumn("low", F.lower("stem"))
+    c = candidates.select("candidate").distinct().withColumn("clow", F.lower("candidate"))
+    marked = F.regexp_like("low", F.lit(rf"^({pair[0].lower()}|{pair[1].lower()})[-_]"))
+    keys = c.select("candidate", F.explode(F.array_distinct(_keys(F.col("clow")))).alias("key"))
+    numbers = c.select("candidate", F.explode(F.array_distinct(F.regexp_extract_all("clow", F.lit(r"(\d+)"), 1))).alias("key"))
+    digits = F.when(F.length(fn.trailing_digits(F.col("low"))) >= 4, fn.trailing_digits(F.col("low")))
+    s = s.withColumns({"digits": digits, "prefix": F.when(marked, fn.prefix_key(F.col("low")))})
+    parts = [
+        s.join(c, F.col("low") == F.col("clow")).select("stem", "candidate", F.lit(1).alias("rule")),
+        s.join(keys, F.col("low") == F.col("key")).select("stem", "candidate", F.lit(2).alias("rule")),
+        s.join(keys, F.col("prefix") == F.col("key")).select("stem", "candidate", F.lit(3).alias("rule")),
+        s.join(c.withColumn("end", fn.trailing_digits(F.col("clow"))), F.col("digits") == F.col("end")).select("stem", "candidate", F.lit(4).alias("rule")),
+        s.join(numbers, F.col("digits") == F.col("key")).select("stem", "candidate", F.lit(5).alias("rule")),
+    ]
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    best = every.groupBy("stem").agg(F.min(F.struct("rule", "candidate")).alias("b"))
+    return s.select("stem").join(best, "stem", "left").select("stem", F.coalesce("b.candidate", "stem").alias("match"), F.coalesce("b.rule", F.lit(0)).alias("rule"))
+
+
+def with_record_number(names: DataFrame, dirs: DataFrame, resolved: DataFrame) -> DataFrame:
+    """name, dir: as resolved; names without a directory take the first one with the same record number."""
+    mine = names.select("name", fn.record_number(F.col("name")).alias("record")).where("record is not null").distinct()
+    theirs = dirs.select("dir", "nth", fn.record_number(F.concat("dir", F.lit("/"))).alias("record")).where("record is not null")
+    by_record = mine.join(theirs, "record").groupBy("name").agg(F.min(F.struct("nth", "dir"))["dir"].alias("d"))
+    return resolved.join(by_record, "name", "left").select("name", F.coalesce("dir", "d").alias("dir"))

@@ -164,3 +164,31 @@ def test_weighted_choice_never_takes_weightless_rows(spark):
     r = spark.createDataFrame([(i, 0.0 if i % 2 else 1.0) for i in range(40)], "k int, w double")
     got = splits.weighted_choice(r, "w", "k", 15, 3).collect()
     assert len(got) == 15 and all(x.k % 2 == 0 for x in got)
+
+
+def test_stems_by_rule(spark):
+    from framesift.operators.names import match_stems, with_record_number
+
+    s = spark.createDataFrame([("ABC",), ("ab",), ("RS-001_long",), ("x_20231",), ("none",)], "stem string")
+    c = spark.createDataFrame([("abc",), ("ab_z",), ("abq",), ("rs-001_a",), ("rs-0019",), ("q20231",), ("z_20231_q",)], "candidate string")
+    got = {r.stem: (r.match, r.rule) for r in match_stems(s, c).collect()}
+    assert got == {"ABC": ("abc", 1), "ab": ("ab_z", 2), "RS-001_long": ("rs-001_a", 3), "x_20231": ("q20231", 4), "none": ("none", 0)}
+    names_ = spark.createDataFrame([("case_1234567_a",), ("other",)], "name string")
+    dirs = spark.createDataFrame([("v_1234567", 0), ("w_1234567_b", 1)], "dir string, nth int")
+    resolved = spark.createDataFrame([("case_1234567_a", None), ("other", "o")], "name string, dir string")
+    assert {r.name: r.dir for r in with_record_number(names_, dirs, resolved).collect()} == {"case_1234567_a": "v_1234567", "other": "o"}
+
+
+def test_pca_is_centred_and_keeps_wide_requests(spark):
+    from framesift.operators.reduce import pca, spherical_clusters
+
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(60, 4)) * [5, 1, 0.1, 0.1] + 9
+    f = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(60)], "vec_id int, embedding array<float>")
+    reduced, share = pca(f, 2)
+    y = np.array([r.reduced for r in reduced.orderBy("vec_id").collect()])
+    assert np.abs(y.mean(0)).max() < 1e-5 and share[0] > 0.9
+    assert pca(f, 4)[1] == []
+    two = spark.createDataFrame([(i, [1.0, 0.01 * i] if i % 2 else [0.01 * i, 1.0]) for i in range(20)] + [(99, [0.0, 0.0])], "vec_id int, embedding array<float>")
+    got = {r.vec_id: r.cluster for r in spherical_clusters(two, 2).collect()}
+    assert got[99] is None and len({got[i] for i in range(0, 20, 2)}) == 1 and got[0] != got[1]
