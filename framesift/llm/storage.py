@@ -1,10 +1,13 @@
-"""Tables written between steps, in the folder that all executors share."""
+"""Tables written between steps, in the folder that all executors share, and texts packed for shuffles."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -23,3 +26,24 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     path = f"{folder(spark)}/framesift/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def packed(documents: DataFrame) -> DataFrame:
+    """doc_id, packed: the text's bytes, compressed for the shuffles; a null text is an empty one."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        c = zstandard.ZstdCompressor(level=3)
+        for frame in frames:
+            yield pd.DataFrame({"doc_id": frame["doc_id"], "packed": [c.compress((t or "").encode("utf-8", "replace")) for t in frame["text"]]})
+
+    return documents.select("doc_id", "text").mapInPandas(run, "doc_id long, packed binary")
+
+
+def unpacked(b: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(b)
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """At most so many rows at a time go to Python workers in this session, as rows hold whole texts."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -23,16 +23,15 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from framesift.llm.storage import saved
+from framesift.llm.storage import packed, saved, small_batches, unpacked
 from framesift.llm.words import mix
 
 LENGTH, GRAM = 100, 24
 #: Regions in one collection; kinds of regions of one key that are still compared as a collection.
-BATCH, MOST = 1500, 60_000
+BATCH, MOST = 1500, 20_000
 _P = 0x9E3779B97F4A7C15
 
 
@@ -62,10 +61,10 @@ def _least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[:n], x[width - k : width - k + n]) if k < width else x[:n]
 
 
-def regions(raw: np.ndarray, bounds: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """key, first and last window start of the regions of some texts in one array; bounds: where texts begin and end."""
+def regions(raw: np.ndarray, bounds: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """key, first and last window start and place of the gram of the regions of some texts in one array; bounds: where texts begin and end."""
     if len(raw) < length:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     h = _grams(raw, gram)
     bits = np.uint64(max(21, int(len(raw)).bit_length()))
     place = np.arange(len(h), dtype=np.uint64)
@@ -75,10 +74,30 @@ def regions(raw: np.ndarray, bounds: np.ndarray, length: int = LENGTH, gram: int
     at = low[whole].astype(np.int64)
     new = np.r_[True, (at[1:] != at[:-1]) | (whole[1:] != whole[:-1] + 1)] if len(at) else np.zeros(0, bool)
     begin = np.flatnonzero(new)
-    return h[at[begin]], whole[begin], whole[np.r_[begin[1:], len(at)] - 1] if len(at) else begin
-
-
-def _blocks(ids: list, texts: list, most: int = 1_000_000) -> Iterator[tuple[np.ndarray, bytes, np.ndarray]]:
+    return h[at[begin]], whole[begin], whole[np.r_[begin[1:], len(at)] - 1] if len(at) else begin, at[begin]
+
+
+def related(keys: np.ndarray, strings: list[bytes], gram_at: np.ndarray, length: int, gram: int = GRAM, parts: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    """For each region the first and last of its windows that can equal one of another region of its key; first > last if none can.
+
+    Windows whose gram stands in the same quarter of its possible places share a core around it. Equal windows have their
+    gram at equal places, so a region has no equal of its windows of a quarter unless their core occurs once more."""
+    low, high, room = np.full(len(strings), length * 9), np.full(len(strings), -1), length - gram + 1
+    last = np.array([len(b) for b in strings]) - length
+    for k in range(parts):
+        a, b = room * k // parts, room * (k + 1) // parts - 1  # places of the gram in the window
+        begin, end = np.maximum(gram_at - b, 0), np.minimum(gram_at - a, last)
+        fits = np.flatnonzero(begin <= end)
+        left, right = gram_at[fits] - a, gram_at[fits] - b + length  # any window of the quarter holds all of it
+        core = np.array([xxhash.xxh3_64_intdigest(strings[i][x:y], seed=k + 1) for i, x, y in zip(fits.tolist(), left.tolist(), right.tolist(), strict=True)], np.uint64)
+        both = mix(keys[fits].view(np.uint64) ^ mix(core, 4), 8)
+        _, back, count = np.unique(both, return_inverse=True, return_counts=True)
+        hit = fits[count[back] > 1]
+        low[hit], high[hit] = np.minimum(low[hit], begin[hit]), np.maximum(high[hit], end[hit])
+    return low, high
+
+
+def _blocks(ids: list, texts: list, most: int = 200_000) -> Iterator[tuple[np.ndarray, bytes, np.ndarray]]:
     held, size = [], 0
     for i, t in zip(ids, texts, strict=True):
         b = (t or "").encode("utf-8", "replace")
@@ -118,11 +137,13 @@ class Collection:
             alive, rank = alive[keep], rank[keep]
             n = len(self.bwt)
             order = np.argsort(self.bwt, kind="stable")
-            turn = np.empty(n, np.int64)
-            turn[order] = np.arange(n)
-            none = int(np.count_nonzero(self.bwt == 0))
-            step = turn[rank]  # in the order of (symbol before, rank)
             symbol = self.bwt[rank]
+            begin = np.r_[0, np.cumsum(np.bincount(self.bwt, minlength=256))]
+            none = int(begin[1])
+            step = np.empty(len(rank), np.int64)  # in the order of (symbol before, rank)
+            for c in np.unique(symbol).tolist():
+                own = np.flatnonzero(symbol == c)
+                step[own] = begin[c] + np.searchsorted(order[begin[c] : begin[c + 1]], rank[own])
             before, after = order[np.maximum(step - 1, 0)], order[np.minimum(step + 1, n - 1)]
             table = self._table()
             least = np.iinfo(self.lcp.dtype).max
@@ -213,37 +234,42 @@ def _ranges(doc: np.ndarray, place: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame({"doc_id": doc[new], "first": place[new], "last": place[np.r_[new[1:], len(place)] - 1]})
 
 
-def packed(documents: DataFrame) -> DataFrame:
-    """doc_id, packed: the text's bytes, compressed for the shuffles."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c = zstandard.ZstdCompressor(level=3)
-        for frame in frames:
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "packed": [c.compress((t or "").encode("utf-8", "replace")) for t in frame["text"]]})
-
-    return documents.select("doc_id", "text").mapInPandas(run, "doc_id long, packed binary")
-
-
-def _unpack(b: bytes) -> bytes:
-    return zstandard.ZstdDecompressor().decompress(b)
-
-
 def repeated_ranges(documents: DataFrame, length: int = LENGTH, most: int = MOST, batch: int = BATCH) -> DataFrame:
     """doc_id, first, last: all starts of windows that also start earlier, as ranges (both ends included; ranges may meet)."""
 
     def find(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for ids, raw, bounds in _blocks(frame["doc_id"].tolist(), frame["text"].tolist()):
-                key, first, last = regions(np.frombuffer(raw, np.uint8), bounds, length)
+                key, first, last, gram = regions(np.frombuffer(raw, np.uint8), bounds, length)
                 text = np.searchsorted(bounds, first, "right") - 1
                 kind = np.array([xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(first.tolist(), (last + length).tolist(), strict=True)], np.uint64)
-                yield pd.DataFrame({"key": key.view(np.int64), "kind": kind.view(np.int64), "doc_id": ids[text] if len(first) else np.zeros(0, np.int64), "first": (first - bounds[text]).astype(np.int32), "more": (last - first).astype(np.int32)})
+                yield pd.DataFrame({"key": key.view(np.int64), "kind": kind.view(np.int64), "doc_id": ids[text] if len(first) else np.zeros(0, np.int64), "first": (first - bounds[text]).astype(np.int32), "more": (last - first).astype(np.int32), "gram_at": (gram - first).astype(np.int16)})
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
+            rows: list[tuple] = []
             for i, b, wanted in zip(frame["doc_id"], frame["packed"], frame["wanted"], strict=True):
-                raw = _unpack(b)
-                yield pd.DataFrame([(w["key"], i, w["first"], raw[w["first"] : w["first"] + w["more"] + length], w["kinds"]) for w in wanted], columns=["key", "doc_id", "first", "bytes", "kinds"])
+                raw = unpacked(b)
+                rows += [(w["key"], i, w["first"], w["gram_at"], raw[w["first"] : w["first"] + w["more"] + length], w["kinds"]) for w in wanted]
+                if len(rows) >= 20_000:
+                    yield pd.DataFrame(rows, columns=["key", "doc_id", "first", "gram_at", "bytes", "kinds"])
+                    rows = []
+            yield pd.DataFrame(rows, columns=["key", "doc_id", "first", "gram_at", "bytes", "kinds"])
+
+    def whole_keys(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The rows, sorted by key, in pieces of about a batch that split no key."""
+        rest: list[pd.DataFrame] = []
+        for frame in frames:
+            for at in range(0, len(frame), batch):
+                rest.append(frame.iloc[at : at + batch])
+                first, last = rest[0]["key"].iloc[0], rest[-1]["key"].iloc[-1]
+                if sum(map(len, rest)) >= batch and first != last:
+                    every = pd.concat(rest, ignore_index=True)
+                    end = int(np.searchsorted(every["key"].to_numpy(), last))
+                    yield every.iloc[:end]
+                    rest = [every.iloc[end:]]
+        if rest:
+            yield pd.concat(rest, ignore_index=True)
 
     def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
@@ -252,18 +278,18 @@ def repeated_ranges(documents: DataFrame, length: int = LENGTH, most: int = MOST
         def emit(part: pd.DataFrame) -> pd.DataFrame:
             return _ranges(*repeats(part["bytes"].tolist(), part["doc_id"].to_numpy(), part["first"].to_numpy(np.int64), length))
 
-        for frame in frames:  # sorted by key: a key's rows stay together
-            held.append(frame)
-            size += len(frame)
-            while size > batch:
-                every = pd.concat(held, ignore_index=True)
-                new = np.flatnonzero(np.r_[True, np.diff(every["key"].to_numpy()) != 0])
-                cuts = new[(new > 0) & (new >= min(batch, int(new[-1])))]
-                if not len(cuts):
-                    held = [every]
-                    break
-                yield emit(every.iloc[: cuts[0]])
-                held, size = [every.iloc[cuts[0] :]], len(every) - int(cuts[0])
+        for frame in whole_keys(frames):
+            strings = frame["bytes"].tolist()
+            low, high = related(frame["key"].to_numpy(), strings, frame["gram_at"].to_numpy(np.int64), length)
+            keep = np.flatnonzero(low <= high)
+            if not len(keep):
+                continue
+            part = frame.iloc[keep]
+            held.append(pd.DataFrame({"doc_id": part["doc_id"], "first": part["first"] + low[keep], "bytes": [strings[i][low[i] : high[i] + length] for i in keep.tolist()]}))
+            size += len(keep)
+            if size >= batch:
+                yield emit(pd.concat(held, ignore_index=True))
+                held, size = [], 0
         if size:
             yield emit(pd.concat(held, ignore_index=True))
 
@@ -272,7 +298,8 @@ def repeated_ranges(documents: DataFrame, length: int = LENGTH, most: int = MOST
             rows = [(*(int(x) for x in np.array(divmod(xxhash.xxh3_128_intdigest(b[k : k + length]), 1 << 64), np.uint64).view(np.int64)), i, f + k) for i, f, b in zip(frame["doc_id"], frame["first"], frame["bytes"], strict=True) for k in range(len(b) - length + 1)]
             yield pd.DataFrame(rows, columns=["h0", "h1", "doc_id", "place"])
 
-    found = documents.select("doc_id", "text").mapInPandas(find, "key long, kind long, doc_id long, first int, more int")
+    small_batches(documents.sparkSession)
+    found = documents.select("doc_id", "text").mapInPandas(find, "key long, kind long, doc_id long, first int, more int, gram_at short")
     same = Window.partitionBy("key", "kind").orderBy("doc_id", "first")
     ranked = found.repartition("key").withColumn("nth", F.rank().over(same))
     ends = Window.partitionBy("key")
@@ -280,8 +307,8 @@ def repeated_ranges(documents: DataFrame, length: int = LENGTH, most: int = MOST
     whole = ranked.where("nth > 1").select("doc_id", F.col("first").cast("long").alias("first"), (F.col("first") + F.col("more")).cast("long").alias("last"))
     first_ones = ranked.where("nth = 1 and several").dropDuplicates(["key", "kind"])
     counted = first_ones.withColumn("kinds", F.count("*").over(Window.partitionBy("key")))
-    wanted = counted.groupBy("doc_id").agg(F.collect_list(F.struct("key", "first", "more", "kinds")).alias("wanted"))
-    regions_of = packed(documents).join(wanted, "doc_id").select("doc_id", "packed", "wanted").mapInPandas(cut, "key long, doc_id long, first int, bytes binary, kinds long")
+    wanted = counted.groupBy("doc_id").agg(F.collect_list(F.struct("key", "first", "more", "gram_at", "kinds")).alias("wanted"))
+    regions_of = packed(documents).join(wanted, "doc_id").select("doc_id", "packed", "wanted").mapInPandas(cut, "key long, doc_id long, first int, gram_at short, bytes binary, kinds long")
     large = counted.where(F.col("kinds") > most).limit(1).count() > 0
     if large:
         regions_of = saved(regions_of, "cut")
@@ -295,39 +322,37 @@ def repeated_ranges(documents: DataFrame, length: int = LENGTH, most: int = MOST
     return out
 
 
-def remove_repeats(documents: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept (binary: the remaining bytes) of every row."""
+def remove_repeats(documents: DataFrame, length: int = LENGTH, as_text: bool = False) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept (the remaining bytes) of every row.
+
+    as_text: kept is a string; a character of which a byte is removed goes as a whole."""
+    give = (lambda b: b.decode("utf-8", "ignore")) if as_text else bytes
 
     def drop(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
             for i, b, ranges in zip(frame["doc_id"], frame["packed"], frame["ranges"], strict=True):
-                raw = _unpack(b)
+                raw = unpacked(b)
                 if ranges is None or not len(ranges):
-                    rows.append((i, len(raw), 0, 0, raw))
+                    rows.append((i, len(raw), 0, 0, give(raw)))
                     continue
                 edge = np.zeros(len(raw) + 1, np.int32)
                 np.add.at(edge, [r["first"] for r in ranges], 1)
                 np.add.at(edge, [min(r["last"] + length, len(raw)) for r in ranges], -1)
                 gone = np.cumsum(edge[:-1]) > 0
                 spans = int(np.count_nonzero(np.diff(np.r_[False, gone].view(np.int8)) == 1))
-                rows.append((i, len(raw), int(gone.sum()), spans, np.frombuffer(raw, np.uint8)[~gone].tobytes()))
+                rows.append((i, len(raw), int(gone.sum()), spans, give(np.frombuffer(raw, np.uint8)[~gone].tobytes())))
             yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
     ranges = repeated_ranges(documents, length).groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
-    return packed(documents).join(ranges, "doc_id", "left").select("doc_id", "packed", "ranges").mapInPandas(drop, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return packed(documents).join(ranges, "doc_id", "left").select("doc_id", "packed", "ranges").mapInPandas(drop, f"doc_id long, n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}")
 
 
 def without_repeats(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     """The documents with the repeated bytes gone from text and n_chars counted anew; ids must be unique.
 
-    A character of which a byte is removed goes as a whole. A text that loses everything stays as an empty one."""
-
-    def decode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "kept_text": [bytes(b).decode("utf-8", "ignore") for b in frame["kept"]]})
-
-    kept = remove_repeats(documents, length).select("doc_id", "kept").mapInPandas(decode, "doc_id long, kept_text string")
+    A text that loses everything stays as an empty one."""
+    kept = remove_repeats(documents, length, as_text=True).select("doc_id", F.col("kept").alias("kept_text"))
     rest = [c for c in documents.columns if c not in ("text", "n_chars")]
     new = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
     return documents.select(rest).join(kept, "doc_id").select([new[c].alias(c) if c in new else F.col(c) for c in documents.columns])
