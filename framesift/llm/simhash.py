@@ -104,7 +104,8 @@ def with_next(documents: DataFrame, pieces: int) -> DataFrame:
     Ids are cut at quantiles into about `pieces` buckets. In a bucket a window finds the next row; the first row of each
     bucket is also put at the end of the bucket before it, marked as a ghost, so no window spans the table."""
     docs = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    cuts = sorted(set(docs.select(F.col("doc_id").cast("double").alias("d")).approxQuantile("d", [i / pieces for i in range(1, pieces)], 0.2 / pieces)))
+    found = docs.agg(F.percentile_approx(F.col("doc_id").cast("double"), [i / pieces for i in range(1, pieces)] or [0.5], 50 * pieces).alias("cuts")).first()
+    cuts = sorted(set(found.cuts or [])) or [0.0]
     dealt = Bucketizer(splits=[-float("inf"), *cuts, float("inf")], inputCol="d", outputCol="bucket", handleInvalid="keep").transform(docs.withColumn("d", F.coalesce(F.col("doc_id").cast("double"), F.lit(-float("inf"))))).drop("d")
     top = dealt.groupBy("bucket").agg(F.max("doc_id").alias("doc_id"))
     ring = Window.orderBy(F.desc("bucket"))  # over one row for each bucket
@@ -144,7 +145,9 @@ def op3_simhash_fingerprints(spark, sf_dir: str) -> DataFrame:
     table = rows.groupBy("fp_a", "fp_b").agg(F.count("*").alias("n"))
     asked = rows.where("doc_id % 100 = 0").select("fp_a", "fp_b").distinct()
     found = within(asked, table).groupBy("q_a", "q_b").agg(F.sum("n").alias("n_within"))
-    out = rows.withColumns({"q_a": F.when(F.col("doc_id") % 100 == 0, F.col("fp_a")), "q_b": F.when(F.col("doc_id") % 100 == 0, F.col("fp_b"))}).join(found, ["q_a", "q_b"], "left")
+    is_asked = F.coalesce(F.col("doc_id") % 100 == 0, F.lit(False))  # the rest doesn't join, as equal nulls would meet in one task
+    met = rows.where(is_asked).join(found.select(F.col("q_a").alias("fp_a"), F.col("q_b").alias("fp_b"), "n_within"), ["fp_a", "fp_b"], "left")
+    out = met.unionByName(rows.where(~is_asked).withColumn("n_within", F.lit(None).cast("long")))
     return out.select(
         "doc_id", "n_chars", "edited_sha256", text_of(F.col("fp_a"), F.col("fp_b")).alias("fingerprint"), text_of(F.col("ed_a"), F.col("ed_b")).alias("edited_fingerprint"),
         likeness(F.col("fp_a"), F.col("fp_b"), F.col("ed_a"), F.col("ed_b")).alias("near_edited"), likeness(F.col("fp_a"), F.col("fp_b"), F.col("next_a"), F.col("next_b")).alias("near_next"), "n_within",
