@@ -116,3 +116,66 @@ def trials(videos: DataFrame, columns: list[str], share: float, n: int) -> DataF
     sums = chosen.groupBy("trial").agg(*(F.sum(c).alias(f"{c}_all") for c in columns), *(F.sum(F.when(F.col("is_test"), F.col(c)).otherwise(0)).alias(f"{c}_test") for c in columns))
     gaps = [F.when(F.col(f"{c}_all") > 0, F.abs(F.col(f"{c}_test") / F.col(f"{c}_all") - F.lit(share))).otherwise(0.0) for c in columns]
     return sums.select("trial", F.greatest(*gaps).alias("score"))
+
+
+def assign_by_labels(videos: DataFrame, labels: list[str], ratios: tuple[float, float, float]) -> DataFrame:
+    """video, dataset, split: as `assign`, but spreading labels (counts; present if over 0) over the parts.
+
+    Again and again the label that fewest videos left have is taken, and its videos go, the longest first, to the part that still
+    lacks it most (then to the emptiest, then train, val, test). Part sizes are exactly the targets. A dataset's videos
+    are one group, as each choice depends on those before."""
+
+    def parts(n: int) -> list[int]:
+        if n < 3:
+            return [n, 0, 0]
+        extra = [round((n - 3) * r) for r in ratios]
+        return [1 + n - 3 - extra[1] - extra[2], 1 + extra[1], 1 + extra[2]]
+
+    def choose(frame):
+        frame = frame.sort_values(["n_frames", "video"], ascending=[False, True]).reset_index(drop=True)
+        has = (frame[labels] > 0).to_numpy()
+        room = parts(len(frame))
+        lack = [[has[:, k].sum() * room[p] / len(frame) for k in range(len(labels))] for p in range(3)]
+        split = [-1] * len(frame)
+
+        def put(i: int, k: int | None) -> None:
+            p = max((p for p in range(3) if room[p] > 0), key=lambda p: (lack[p][k] if k is not None else 0, room[p], -p))
+            split[i] = p
+            room[p] -= 1
+            for j in range(len(labels)):
+                lack[p][j] -= bool(has[i, j])
+
+        while True:
+            left = [(sum(has[i, k] for i in range(len(frame)) if split[i] < 0), k) for k in range(len(labels))]
+            left = [x for x in left if x[0]]
+            if not left:
+                break
+            k = min(left)[1]
+            for i in range(len(frame)):
+                if split[i] < 0 and has[i, k]:
+                    put(i, k)
+        for i in range(len(frame)):
+            if split[i] < 0:
+                put(i, None)
+        out = frame[["video", "dataset"]].copy()
+        out["split"] = [("train", "val", "test")[p] for p in split]
+        return out
+
+    kinds = {f.name: f.dataType.simpleString() for f in videos.schema.fields}
+    rows = videos.select("video", "dataset", "n_frames", *labels)
+    return rows.groupBy("dataset").applyInPandas(choose, f"video {kinds['video']}, dataset {kinds['dataset']}, split string")
+
+
+def joined_records(frames: DataFrame, tools: DataFrame, phases: DataFrame) -> DataFrame:
+    """video, frames and what the two label tables say of it; `missing` names the table without the video (null: complete)."""
+    rows = frames.groupBy("video").agg(F.count("*").alias("n_frames"))
+    t, p = tools.withColumn("has_tools", F.lit(True)), phases.withColumn("has_phases", F.lit(True))
+    both = rows.join(t, "video", "left").join(p, "video", "left")
+    return both.withColumn("missing", F.when(F.col("has_tools").isNull(), "tools").when(F.col("has_phases").isNull(), "phases")).drop("has_tools", "has_phases")
+
+
+def by_position(annotations: DataFrame, frames: DataFrame) -> DataFrame:
+    """annotations (video, sample_idx) with the path of the frame at that position, and status: ok, no_video or out_of_range."""
+    videos = frames.select("video").distinct().withColumn("known", F.lit(True))
+    rows = annotations.join(frames.select("video", "sample_idx", "path"), ["video", "sample_idx"], "left").join(videos, "video", "left")
+    return rows.withColumn("status", F.when(F.col("path").isNotNull(), "ok").when(F.col("known"), "out_of_range").otherwise("no_video")).drop("known")

@@ -175,3 +175,25 @@ def lr_schedule(spark, sf_dir):
     step = F.col("step")
     rate = schedules.warm_cosine(step, 50, 500, 0.001, 1e-6, 512)
     return spark.range(500).withColumnRenamed("id", "step").select("step", F.round(rate, 9).alias("rate"), F.round(schedules.cosine(step, 500, 0.996, 0.9995), 9).alias("momentum"), F.round(schedules.warm_constant(step, 30, 0.04, 0.07), 9).alias("heat"))
+
+
+@query("label_aware_split")
+def label_aware_split(spark, sf_dir):
+    return ops.assign_by_labels(videos(spark, sf_dir), list(_TYPES), _RATIOS)
+
+
+@query("label_aware_split_sizes", f"with {_ASSIGN} select dataset, split, count(*) as n from assigned group by all")
+def label_aware_split_sizes(spark, sf_dir):
+    """Its parts have exactly the sizes of the plain assignment."""
+    return ops.assign_by_labels(videos(spark, sf_dir), list(_TYPES), _RATIOS).groupBy("dataset", "split").agg(F.count("*").alias("n"))
+
+
+@query("positional_join", """with a as (select user_id as video, event_id % 40 as sample_idx from events), f as (select o_custkey % 100 as video, row_number() over (partition by o_custkey % 100 order by o_orderkey) - 1 as sample_idx from orders)
+select case when f.sample_idx is not null then 'ok' when a.video in (select video from f) then 'out_of_range' else 'no_video' end as status, count(*) as n from a left join f using (video, sample_idx) group by 1""")
+def positional_join(spark, sf_dir):
+    from pyspark.sql import Window
+
+    a = read(spark, sf_dir, "events").select(F.col("user_id").alias("video"), (F.col("event_id") % 40).alias("sample_idx"))
+    o = read(spark, sf_dir, "orders").select((F.col("o_custkey") % 100).alias("video"), "o_orderkey")
+    f = o.select("video", (F.row_number().over(Window.partitionBy("video").orderBy("o_orderkey")) - 1).alias("sample_idx"), F.col("o_orderkey").cast("string").alias("path"))
+    return ops.by_position(a, f).groupBy("status").agg(F.count("*").alias("n"))

@@ -192,3 +192,19 @@ def test_pca_is_centred_and_keeps_wide_requests(spark):
     two = spark.createDataFrame([(i, [1.0, 0.01 * i] if i % 2 else [0.01 * i, 1.0]) for i in range(20)] + [(99, [0.0, 0.0])], "vec_id int, embedding array<float>")
     got = {r.vec_id: r.cluster for r in spherical_clusters(two, 2).collect()}
     assert got[99] is None and len({got[i] for i in range(0, 20, 2)}) == 1 and got[0] != got[1]
+
+
+def test_label_aware_split_spreads_a_rare_label(spark):
+    v = spark.createDataFrame([(i, "d", 10 + i, int(i in (1, 5, 9)), 1) for i in range(12)], "video int, dataset string, n_frames int, rare int, common int")
+    got = {r.video: r.split for r in splits.assign_by_labels(v, ["rare", "common"], (0.34, 0.33, 0.33)).collect()}
+    assert {got[i] for i in (1, 5, 9)} == {"train", "val", "test"}
+    assert sorted(got.values()).count("train") == 4
+
+
+def test_positions_and_records(spark):
+    f = spark.createDataFrame([("a", 0, "p0"), ("a", 1, "p1")], "video string, sample_idx int, path string")
+    a = spark.createDataFrame([("a", 1), ("a", 2), ("z", 0)], "video string, sample_idx int")
+    assert {(r.video, r.sample_idx): r.status for r in splits.by_position(a, f).collect()} == {("a", 1): "ok", ("a", 2): "out_of_range", ("z", 0): "no_video"}
+    t = spark.createDataFrame([("a", 5)], "video string, hooks int")
+    p = spark.createDataFrame([], "video string, phases int")
+    assert [(r.video, r.n_frames, r.hooks, r.missing) for r in splits.joined_records(f, t, p).collect()] == [("a", 2, 5, "phases")]
