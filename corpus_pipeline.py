@@ -17,9 +17,7 @@ TOXIC = 0.7
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     learn = ~toxicity.held_out()
-    scored = toxicity.score(docs, toxicity.fit(docs.where(learn), labels.where(learn)))
-    bad = scored.where(scored.score >= TOXIC).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+    return toxicity.clean(docs, toxicity.fit(docs.where(learn), labels.where(learn)), TOXIC)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

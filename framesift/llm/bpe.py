@@ -24,8 +24,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from framesift.llm.storage import small_batches
+
 #: Chunks, and words, that a Python worker remembers; up to so many pieces the least pair is looked for in a list.
-REMEMBERED, FEW = 300_000, 40
+REMEMBERED, FEW = 150_000, 40
 #: Bytes in the order in which the byte alphabet takes the next free character from 256 on: those that are not printable.
 _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 
@@ -197,6 +199,7 @@ def encode(documents: DataFrame, path: str) -> DataFrame:
 
 def round_trip(documents: DataFrame, path: str) -> DataFrame:
     """As encode, and decoded: the text of the ids."""
+    small_batches(documents.sparkSession)
     with open(path, encoding="utf-8") as f:
         shared = documents.sparkSession.sparkContext.broadcast(f.read())
 

@@ -21,6 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from framesift.llm.storage import small_batches
 from framesift.llm.words import blocks, mix
 
 BUCKETS, DIM, SIZES = 1 << 13, 16, (2, 3, 4)
@@ -154,6 +155,7 @@ def fit(documents: DataFrame, each: int = TRAIN_EACH, most: int = TRAIN_ALL) ->
 
 def predict(documents: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score (calibrated), rejected of every row."""
+    small_batches(documents.sparkSession)
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -161,7 +163,7 @@ def predict(documents: DataFrame, model: Model) -> DataFrame:
         for frame in frames:
             texts = frame["text"].tolist()
             lang, score = ["und"] * len(texts), np.zeros(len(texts))
-            for at, block in blocks(texts, 500_000) if m.langs else ():
+            for at, block in blocks(texts) if m.langs else ():
                 p = m.scores(block)
                 for i, t in enumerate(block):
                     if _LETTER.search(t):

@@ -6,7 +6,7 @@ and its beginnings, and four transition weights, and is trained by gradient asce
 forward-backward marginals of each word follow for every document: the document's score is the largest marginal and the
 offending spans are the words whose marginal passes a threshold.
 
-Spark deals out documents; a task works on blocks of about a million characters. Forward-backward over a block is a
+Spark deals out documents; a task works on blocks of at most 200,000 characters (a longer text is one). Forward-backward over a block is a
 scan of 2 x 2 matrices, so that no Python code runs per word.
 
 Defined results: null and empty texts score 0 and have no spans; a repeated row is scored as often as it occurs; without
@@ -23,6 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from framesift.llm.storage import small_batches
 from framesift.llm.words import Words, blocks, mix, prefixes, words
 
 #: Features of a word: itself and its first 3 to 6 bytes, hashed into BUCKETS weights.
@@ -145,15 +146,17 @@ def train(texts: list[str], toxic: np.ndarray, rounds: int = 30) -> Field:
     first[w.bounds[:-1][w.bounds[:-1] < n]] = True
     small = np.full(6, 1e-6)
     weight = np.where(tag, 3.0, 1.0)
-    for _ in range(rounds):
-        miss = (tag - field.tag(w)) * weight
+    for k in range(rounds):
+        # Every second round sees beginnings only, so that they must do without the whole word: new words have new endings.
+        seen_f = f if k % 2 else f[1:3]
+        p = marginals(field.emit(seen_f), w.bounds, np.exp(field.trans), float(np.exp(field.begin)))
+        miss = (tag - p) * weight
         g = np.zeros(BUCKETS)
-        for one in f:
+        for one in seen_f:
             g += np.bincount(one, miss, BUCKETS)
-        g -= 1e-3 * field.weight
+        g -= 1e-2 * field.weight
         grad2 += g * g
         field.weight = (field.weight + 0.5 * g / np.sqrt(grad2)).astype(np.float32)
-        p = tag - miss / weight
         inner = ~first[1:]
         seen, want = np.empty(6), np.empty(6)
         for k, (a, b) in enumerate(((0, 0), (0, 1), (1, 0), (1, 1))):
@@ -200,8 +203,9 @@ def _offsets(text: str, marks: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def score(documents: DataFrame, field: Field, threshold: float = 0.5, batch: int = 1_000_000) -> DataFrame:
+def score(documents: DataFrame, field: Field, threshold: float = 0.5, batch: int = 200_000) -> DataFrame:
     """doc_id, score, n_offending, spans (array of start, end: character offsets, end exclusive) of every row."""
+    small_batches(documents.sparkSession)
     shared = documents.sparkSession.sparkContext.broadcast(field)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -223,6 +227,23 @@ def score(documents: DataFrame, field: Field, threshold: float = 0.5, batch: int
     return documents.select("doc_id", "text").mapInPandas(run, "doc_id long, score double, n_offending long, spans array<struct<start:long,end:long>>")
 
 
+def clean(documents: DataFrame, field: Field, most: float) -> DataFrame:
+    """The documents, all columns, that score less than `most`; they stay where they are, without a shuffle."""
+    small_batches(documents.sparkSession)
+    shared = documents.sparkSession.sparkContext.broadcast(field)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            keep = np.ones(len(frame), bool)
+            for at, block in blocks(frame["text"].tolist()):
+                w = words(block)
+                bad = np.flatnonzero(shared.value.tag(w) >= most)
+                keep[at + np.searchsorted(w.bounds, bad, "right") - 1] = False
+            yield frame[keep]
+
+    return documents.mapInPandas(run, documents.schema)
+
+
 def held_out(name: str = "doc_id"):
     """True for the rows whose label must not be learned."""
     return F.crc32(F.col(name).cast("string")) % 3 == 1

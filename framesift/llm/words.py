@@ -36,8 +36,8 @@ def mix(h: np.ndarray, seed: int = 0) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def blocks(texts: list, most: int = 1_000_000) -> Iterator[tuple[int, list[str]]]:
-    """(index of the first text, texts) with about `most` characters in each block; a longer text is a block alone."""
+def blocks(texts: list, most: int = 200_000) -> Iterator[tuple[int, list[str]]]:
+    """(index of the first text, texts) with at most `most` characters in each block; a longer text is a block alone."""
     at, held, size = 0, [], 0
     for i, t in enumerate(texts):
         t = t or ""
