@@ -224,6 +224,17 @@ def repeats(strings: list[bytes], ids: np.ndarray, firsts: np.ndarray, length: i
     return doc[later], place[later]
 
 
+def _seen_before(value: np.ndarray, doc: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Which values also stand at an earlier place: a smaller doc, or the same doc and a smaller place."""
+    out = np.zeros(len(value), bool)
+    if len(value):
+        order = np.lexsort((place, doc, value))
+        v, d, p = value[order], doc[order], place[order]
+        lead = np.maximum.accumulate(np.where(np.r_[True, v[1:] != v[:-1]], np.arange(len(v)), 0))
+        out[order] = (d != d[lead]) | (p != p[lead])
+    return out
+
+
 def _ranges(doc: np.ndarray, place: np.ndarray) -> pd.DataFrame:
     """Runs of neighbouring places as rows doc_id, first, last."""
     if not len(doc):
@@ -243,7 +254,12 @@ def repeated_ranges(documents: DataFrame, length: int = LENGTH, most: int = MOST
                 key, first, last, gram = regions(np.frombuffer(raw, np.uint8), bounds, length)
                 text = np.searchsorted(bounds, first, "right") - 1
                 kind = np.array([xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(first.tolist(), (last + length).tolist(), strict=True)], np.uint64)
-                yield pd.DataFrame({"key": key.view(np.int64), "kind": kind.view(np.int64), "doc_id": ids[text] if len(first) else np.zeros(0, np.int64), "first": (first - bounds[text]).astype(np.int32), "more": (last - first).astype(np.int32), "gram_at": (gram - first).astype(np.int16)})
+                doc, place = ids[text] if len(first) else np.zeros(0, np.int64), first - bounds[text]
+                again = _seen_before(mix(key ^ mix(kind, 4), 8), doc, place)
+                # What repeats a region of its own block is a repeat in any case: it needs no key to meet others, so a key that
+                # is everywhere brings a few rows of each block to one place, not all of them.
+                key = np.where(again, mix(doc.view(np.uint64) * np.uint64(_P) + place.view(np.uint64), 77), key)
+                yield pd.DataFrame({"key": key.view(np.int64), "kind": kind.view(np.int64), "doc_id": doc, "first": place.astype(np.int32), "more": (last - first).astype(np.int32), "gram_at": (gram - first).astype(np.int16), "again": again})
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -299,13 +315,13 @@ def repeated_ranges(documents: DataFrame, length: int = LENGTH, most: int = MOST
             yield pd.DataFrame(rows, columns=["h0", "h1", "doc_id", "place"])
 
     small_batches(documents.sparkSession)
-    found = documents.select("doc_id", "text").mapInPandas(find, "key long, kind long, doc_id long, first int, more int, gram_at short")
+    found = documents.select("doc_id", "text").mapInPandas(find, "key long, kind long, doc_id long, first int, more int, gram_at short, again boolean")
     same = Window.partitionBy("key", "kind").orderBy("doc_id", "first")
     ranked = found.repartition("key").withColumn("nth", F.rank().over(same))
     ends = Window.partitionBy("key")
-    ranked = saved(ranked.withColumns({"several": F.min("kind").over(ends) != F.max("kind").over(ends)}).where("several or nth > 1"), "regions")
-    whole = ranked.where("nth > 1").select("doc_id", F.col("first").cast("long").alias("first"), (F.col("first") + F.col("more")).cast("long").alias("last"))
-    first_ones = ranked.where("nth = 1 and several").dropDuplicates(["key", "kind"])
+    ranked = saved(ranked.withColumns({"several": F.min("kind").over(ends) != F.max("kind").over(ends)}).where("several or nth > 1 or again"), "regions")
+    whole = ranked.where("nth > 1 or again").select("doc_id", F.col("first").cast("long").alias("first"), (F.col("first") + F.col("more")).cast("long").alias("last"))
+    first_ones = ranked.where("nth = 1 and several and not again").dropDuplicates(["key", "kind"])
     counted = first_ones.withColumn("kinds", F.count("*").over(Window.partitionBy("key")))
     wanted = counted.groupBy("doc_id").agg(F.collect_list(F.struct("key", "first", "more", "gram_at", "kinds")).alias("wanted"))
     regions_of = packed(documents).join(wanted, "doc_id").select("doc_id", "packed", "wanted").mapInPandas(cut, "key long, doc_id long, first int, gram_at short, bytes binary, kinds long")
