@@ -8,9 +8,13 @@ and candidates are verified by banded alignment: with n and m runs and D inserti
 holds every alignment that counts. Verified links are joined to components; a class is named by its least id.
 
 Scale: equal word sequences are merged before anything is compared, so copies cost one row each. In a band's bucket of
-up to SMALL distinct texts all pairs are candidates. In larger ones each text meets its nearest ones in the order of the
-remaining sketches and one pivot; this is repeated in other orders, between different components only, until nothing new
-is found, so that a bucket of near copies gives links in proportion to its texts. Texts are moved once and kept as runs.
+up to SMALL distinct texts all pairs are candidates. In larger ones each text first meets its nearest ones in the order of
+the remaining sketches and one pivot; this is repeated in other orders, between different components only, until nothing
+new is found, so that most of a bucket of near copies becomes one component by links in proportion to its texts. Then all
+pairs of such a bucket that are still in different components are compared, by blocks in tasks: the labelled runs that two
+texts have in common bound their similarity from above, so only pairs that this bound admits are aligned, and only links
+that join components leave a task. So every pair that shares a band is compared or already in one class. Texts are
+moved once and kept as runs.
 
 A pair of similarity 0.8 shares a band with probability 0.9998.
 
@@ -33,8 +37,10 @@ from framesift.llm.storage import packed, saved, small_batches, unpacked
 from framesift.llm.words import blocks, mix, shingles, words
 
 SKETCHES, ROWS, RUN, SIMILAR = 32, 2, 5, 0.8
-#: Largest bucket of which all pairs are compared; neighbours to each text of a larger one; how often; agreeing sketches that a pair needs (a pair of similarity 0.8 has 20 of 32 on average, fewer than 12 about once in 1,000).
+#: Largest bucket of which all pairs are candidates at once; neighbours to each text of a larger one in the rounds before its rest is compared; how often; agreeing sketches that a pair needs in these rounds (a pair of similarity 0.8 has 20 of 32 on average).
 SMALL, NEAR, ROUNDS, AGREE = 24, 4, 4, 12
+#: Texts and runs of one block of a large bucket, about; occurrences up to which a run's pairs are listed and not multiplied.
+BLOCK, BLOCK_RUNS, RARE = 1000, 500_000, 8
 _FACTORS = mix(np.arange(1, SKETCHES + 1, dtype=np.uint64), 101) | np.uint64(1)
 
 
@@ -148,10 +154,11 @@ def _agree(a: Column, b: Column) -> Column:
     return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda x: x))
 
 
-def _small_pairs(buckets: DataFrame) -> DataFrame:
-    left = buckets.select("key", F.col("id").alias("a"), F.col("sketch").alias("sa"))
-    right = buckets.select(F.col("key"), F.col("id").alias("b"), F.col("sketch").alias("sb"))
-    return left.join(right, "key").where("a < b").where(_agree(F.col("sa"), F.col("sb")) >= AGREE).select("a", "b").distinct()
+def _small_pairs(buckets: DataFrame, similar: float) -> DataFrame:
+    """All pairs of these buckets whose lengths allow the similarity."""
+    left = buckets.select("key", F.col("id").alias("a"), F.col("n_runs").alias("na"))
+    right = buckets.select(F.col("key"), F.col("id").alias("b"), F.col("n_runs").alias("nb"))
+    return left.join(right, "key").where("a < b").where(F.least("na", "nb") >= F.greatest("na", "nb") * similar - 1e-9).select("a", "b").distinct()
 
 
 def _large_pairs(buckets: DataFrame, turn: int) -> DataFrame:
@@ -197,18 +204,99 @@ def _verified(pairs: DataFrame, runs: DataFrame, similar: float) -> DataFrame:
     return both.select("a", "b", "ra", "rb").mapInPandas(align, "a long, b long, similarity double")
 
 
+def in_common(texts: list[np.ndarray], some: np.ndarray) -> np.ndarray:
+    """How many labelled runs each of some texts has in common with each text."""
+    n = len(texts)
+    owner = np.repeat(np.arange(n), [len(x) for x in texts])
+    _, value, count = np.unique(np.concatenate(texts), return_inverse=True, return_counts=True)
+    out, row = np.zeros((len(some), n), np.float32), np.full(n, -1)
+    row[some] = np.arange(len(some))
+    rare = (count[value] > 1) & (count[value] <= RARE)
+    order = np.argsort(value[rare], kind="stable")
+    v, o = value[rare][order], owner[rare][order]
+    for k in range(1, RARE):
+        at = np.flatnonzero(v[k:] == v[:-k]) if len(v) > k else np.zeros(0, int)
+        for a, b in ((o[at], o[at + k]), (o[at + k], o[at])):
+            real = row[a] >= 0
+            np.add.at(out, (row[a[real]], b[real]), 1)
+    hot = count[value] > RARE
+    _, v = np.unique(value[hot], return_inverse=True)
+    o = owner[hot]
+    order = np.argsort(v, kind="stable")
+    v, o = v[order], o[order]
+    for first in range(0, int(v[-1]) + 1 if len(v) else 0, 4096):
+        lo, hi = np.searchsorted(v, (first, first + 4096))
+        x = np.zeros((n, 4096), np.float32)
+        x[o[lo:hi], v[lo:hi] - first] = 1
+        out += x[some] @ x.T
+    return out
+
+
+def links_within(ids: np.ndarray, labels: np.ndarray, side: np.ndarray, sketch: np.ndarray, texts: list[np.ndarray], band: int, similar: float) -> list[tuple[int, int]]:
+    """Links that join the labels of texts of one band's bucket, of all pairs of different labels (and of different sides, if there are two) whose first common band this is."""
+    kinds, label, count = np.unique(labels, return_inverse=True, return_counts=True)
+    some = np.flatnonzero(label != count.argmax())  # of two labels one is not the most frequent
+    if not len(some):
+        return []
+    size = np.array([len(x) for x in texts], np.float32)
+    common = in_common([labelled(x.astype(np.uint64)) for x in texts], some)
+    bound = common / np.maximum(size[some][:, None] + size - common, 1)
+    good = (bound >= similar - 1e-5) & (label[some][:, None] != label)
+    if side.min() != side.max():
+        good &= side[some][:, None] != side
+    x, b = np.nonzero(good)
+    a, bound = some[x], bound[x, b]
+    same = (sketch[a] == sketch[b]).reshape(len(a), SKETCHES // ROWS, ROWS).all(2)
+    keep = (same.argmax(1) == band) & ((label[b] == count.argmax()) | (a < b))
+    a, b = a[keep], b[keep]
+    order = np.argsort(-bound[keep], kind="stable")
+    a, b, out = a[order], b[order], []
+    while len(a):
+        got = aligned([(texts[i], texts[j]) for i, j in zip(a[:200].tolist(), b[:200].tolist(), strict=True)], similar)
+        for i, j in zip(a[:200][got > 0].tolist(), b[:200][got > 0].tolist(), strict=True):
+            if label[i] != label[j]:
+                out.append((int(ids[i]), int(ids[j])))
+                label[label == label[i]] = label[j]
+        a, b = a[200:], b[200:]
+        still = label[a] != label[b]
+        a, b = a[still], b[still]
+    return out
+
+
+def _remaining(large: DataFrame, label: DataFrame, runs: DataFrame, similar: float) -> DataFrame:
+    """Links (a, b) between different labels in large buckets, of all pairs that share one; those that follow from others are left out.
+
+    large: key, band, id, n_runs, sketch. A bucket is cut into blocks by a hash of the id, and each two blocks meet in a group of their own."""
+
+    def compare(frame: pd.DataFrame) -> pd.DataFrame:
+        texts = [np.frombuffer(x, np.uint32) for x in frame["runs"]]
+        got = links_within(frame["id"].to_numpy(), frame["label"].to_numpy(), frame["mine"].to_numpy(), np.array(frame["sketch"].tolist()), texts, int(frame["band"].iloc[0]), similar)
+        return pd.DataFrame(got, columns=["a", "b"], dtype="int64")
+
+    held = large.join(label, "id")
+    parts = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n_runs") / BLOCK_RUNS)).cast("int")
+    mixed = held.groupBy("key").agg(parts.alias("parts"), F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("key", "parts")
+    mine = F.pmod(F.xxhash64("id", "key"), F.col("parts")).cast("int").alias("mine")
+    asked = held.join(mixed, "key").select("id", "label", "sketch", F.struct("key", "band", "parts", mine).alias("place"))
+    each = asked.groupBy("id").agg(F.first("label").alias("label"), F.first("sketch").alias("sketch"), F.collect_list("place").alias("places"))
+    spread = each.join(runs, "id").select("id", "label", "sketch", "runs", F.explode("places").alias("p")).select("id", "label", "sketch", "runs", "p.*")
+    spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    met = spread.select("key", "band", "mine", "id", "label", "sketch", "runs", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"))
+    return met.groupBy("key", "lo", "hi").applyInPandas(compare, "a long, b long")
+
+
 def near_duplicates(documents: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """doc_id, class_id of every row: documents of one class are linked by chains of pairs of at least this similarity."""
     small_batches(documents.sparkSession)
     all_rows = saved(sketches(documents), "sketches")
-    entries = all_rows.groupBy("w0", "w1").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    entries = all_rows.groupBy("w0", "w1").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("n_runs").alias("n_runs"))
     entries = saved(entries, "entries")
-    each = entries.select("id", F.explode("bands").alias("key"))
+    each = entries.select("id", F.posexplode("bands").alias("band", "key"))
     shared = each.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    buckets = saved(each.join(shared, "key").join(entries.select("id", "sketch"), "id").select("key", "id", "n", "sketch"), "buckets")
+    buckets = saved(each.join(shared, "key").join(entries.select("id", "sketch", "n_runs"), "id").select("key", "band", "id", "n", "n_runs", "sketch"), "buckets")
     ids = saved(buckets.select("id").distinct(), "ids")
     runs = saved(_sequences(documents, ids), "runs")
-    tried = saved(_small_pairs(buckets.where(F.col("n") <= SMALL)), "pairs")
+    tried = saved(_small_pairs(buckets.where(F.col("n") <= SMALL), similar), "pairs")
     label = joined(ids.withColumn("label", F.col("id")), _verified(tried, runs, similar))
     large = buckets.where(F.col("n") > SMALL)
     if large.limit(1).count():
@@ -218,6 +306,7 @@ def near_duplicates(documents: DataFrame, similar: float = SIMILAR) -> DataFrame
             if turn >= 2 and not new.limit(1).count():
                 break
             tried, label = tried.unionByName(pairs), joined(label, new)
+        label = joined(label, saved(_remaining(large, label, runs, similar), "links"))
     named = entries.select("w0", "w1", "id").join(label, "id", "left").select("w0", "w1", F.coalesce("label", "id").alias("class_id"))
     return all_rows.select("doc_id", "w0", "w1").join(named, ["w0", "w1"]).select("doc_id", "class_id")
 

@@ -154,3 +154,26 @@ def test_near_duplicates_by_brute_force(spark, monkeypatch, small):
     kept = neardup.keep_one(df)
     assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == set(classes(docs).values())
     assert neardup.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_no_link_of_a_large_bucket_is_lost(spark, monkeypatch):
+    random = np.random.default_rng(8)
+    base, docs = [f"word{k}" for k in range(120)], []
+    for i in range(260):  # few pairs reach 0.8: those whose changed words lie close together
+        w = list(base)
+        for k, place in enumerate(random.choice(120, 3, replace=False)):
+            w[place] = f"other{i}x{k}"
+        docs.append((i, " ".join(w)))
+    have = [set(runs(t).tolist()) for _, t in docs]
+    want = {i: i for i, _ in docs}
+    for i in range(260):
+        for j in range(i):
+            same = len(have[i] & have[j])
+            if same / (len(have[i]) + len(have[j]) - same) >= 0.8 and want[i] != want[j]:
+                old, new = max(want[i], want[j]), min(want[i], want[j])
+                want = {k: new if v == old else v for k, v in want.items()}
+    assert 10 < len(set(want.values())) < 260
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    monkeypatch.setattr(neardup, "ROUNDS", 0)  # the rounds may find any part of the links, even none
+    monkeypatch.setattr(neardup, "BLOCK", 100, raising=False)
+    assert {r.doc_id: r.class_id for r in neardup.near_duplicates(df).collect()} == want
