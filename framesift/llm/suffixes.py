@@ -22,9 +22,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
 from framesift.llm.storage import packed, saved, small_batches, unpacked
 from framesift.llm.words import mix
@@ -338,40 +341,61 @@ def repeated_ranges(documents: DataFrame, length: int = LENGTH, most: int = MOST
     return out
 
 
-def remove_repeats(documents: DataFrame, length: int = LENGTH, as_text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept (the remaining bytes) of every row.
+def _cut(raw: bytes, ranges: list[dict] | np.ndarray | None, length: int) -> tuple[int, int, bytes]:
+    """Removed bytes, their maximal runs and what is left of a text, for the ranges of starts of its repeats."""
+    if ranges is None or not len(ranges):
+        return 0, 0, raw
+    edge = np.zeros(len(raw) + 1, np.int32)
+    np.add.at(edge, [min(r["first"], len(raw)) for r in ranges], 1)
+    np.add.at(edge, [min(r["last"] + length, len(raw)) for r in ranges], -1)
+    gone = np.cumsum(edge[:-1]) > 0
+    spans = int(np.count_nonzero(np.diff(np.r_[False, gone].view(np.int8)) == 1))
+    return int(gone.sum()), spans, np.frombuffer(raw, np.uint8)[~gone].tobytes()
 
-    as_text: kept is a string; a character of which a byte is removed goes as a whole."""
-    give = (lambda b: b.decode("utf-8", "ignore")) if as_text else bytes
+
+def _ranges_by_id(documents: DataFrame, length: int) -> DataFrame:
+    return repeated_ranges(documents, length).groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
+
+
+def remove_repeats(documents: DataFrame, length: int = LENGTH) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept (the remaining bytes) of every row."""
 
     def drop(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
             for i, b, ranges in zip(frame["doc_id"], frame["packed"], frame["ranges"], strict=True):
                 raw = unpacked(b)
-                if ranges is None or not len(ranges):
-                    rows.append((i, len(raw), 0, 0, give(raw)))
-                    continue
-                edge = np.zeros(len(raw) + 1, np.int32)
-                np.add.at(edge, [r["first"] for r in ranges], 1)
-                np.add.at(edge, [min(r["last"] + length, len(raw)) for r in ranges], -1)
-                gone = np.cumsum(edge[:-1]) > 0
-                spans = int(np.count_nonzero(np.diff(np.r_[False, gone].view(np.int8)) == 1))
-                rows.append((i, len(raw), int(gone.sum()), spans, give(np.frombuffer(raw, np.uint8)[~gone].tobytes())))
+                rows.append((i, len(raw), *_cut(raw, ranges, length)))
             yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    ranges = repeated_ranges(documents, length).groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
-    return packed(documents).join(ranges, "doc_id", "left").select("doc_id", "packed", "ranges").mapInPandas(drop, f"doc_id long, n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}")
+    return packed(documents).join(_ranges_by_id(documents, length), "doc_id", "left").select("doc_id", "packed", "ranges").mapInPandas(drop, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def without_repeats(documents: DataFrame, length: int = LENGTH) -> DataFrame:
-    """The documents with the repeated bytes gone from text and n_chars counted anew; ids must be unique.
-
-    A text that loses everything stays as an empty one."""
-    kept = remove_repeats(documents, length, as_text=True).select("doc_id", F.col("kept").alias("kept_text"))
-    rest = [c for c in documents.columns if c not in ("text", "n_chars")]
-    new = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
-    return documents.select(rest).join(kept, "doc_id").select([new[c].alias(c) if c in new else F.col(c) for c in documents.columns])
+    """The documents with the repeated bytes gone from text and n_chars counted anew, each row once; a character of which a byte is removed goes as a whole.
+
+    A text that loses everything stays as an empty one. Rows with equal ids lose the same places, as in remove_repeats; rows
+    without an id stand nowhere in the order, so they all stay and keep their text."""
+    named = documents.where("doc_id is not null")
+    rest = F.struct(*(c for c in documents.columns if c not in ("text", "n_chars"))).alias("rest")
+    slim = named.select(rest, "text")
+    row, text = slim.schema["rest"], StructField("text", StringType())
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("rest"), pa.array([c.compress((t or "").encode("utf-8", "replace")) for t in batch.column("text").to_pylist()], pa.binary())], ["rest", "packed"])
+
+    def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [_cut(unpacked(b), ranges, length)[2].decode("utf-8", "ignore") for b, ranges in zip(batch.column("packed").to_pylist(), batch.column("ranges").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("rest"), pa.array(texts, pa.string())], ["rest", "text"])
+
+    moved = slim.mapInArrow(pack, StructType([row, StructField("packed", BinaryType())])).withColumn("doc_id", F.col("rest.doc_id"))
+    kept = moved.join(_ranges_by_id(named, length), "doc_id", "left").select("rest", "packed", "ranges").mapInArrow(drop, StructType([row, text]))
+    every = kept.unionByName(documents.where("doc_id is null").select(rest, F.coalesce("text", F.lit("")).alias("text")))
+    new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return every.select([new[c].alias(c) if c in new else F.col("rest")[c].alias(c) for c in documents.columns])
 
 
 def op4_suffix_dedup(spark, sf_dir: str) -> DataFrame:

@@ -64,3 +64,15 @@ def test_null_columns_everywhere(spark):
         out = stage(spark, docs, DATA)
         assert 1 in {r.doc_id for r in out.collect()}, name
     assert corpus_pipeline.STAGES[-1][1](spark, docs.withColumn("x", F.lit(1)), DATA).count() == 2
+
+
+def test_suffix_dedup_keeps_rows_without_an_id_and_equal_ids_once(spark):
+    long = " ".join(f"word{k}" for k in range(60))
+    docs = [(None, "no id here", None, 2**60 + 1), (None, None, "b", None), (1, long, "c", 2**60 + 3), (2, f"x {long}", "d", None), (3, "some clean words", "e", 5), (3, "some clean words", "f", 6)]
+    df = spark.createDataFrame([(*d, 7) for d in docs], "doc_id long, text string, lang string, more long, n_chars long").repartition(2)
+    out = corpus_pipeline.cut_repeats(spark, df, DATA)
+    assert out.columns == df.columns
+    got = sorted(((r.doc_id, r.text, r.lang, r.more, r.n_chars) for r in out.collect()), key=str)
+    want = [(None, "no id here", None, 2**60 + 1, 10), (None, "", "b", None, 0), (1, long, "c", 2**60 + 3, len(long)), (2, "x", "d", None, 1), *((3, "some clean words", x, m, 16) for x, m in (("e", 5), ("f", 6)))]
+    assert [g for g in got if g[0] != 2] == sorted((w for w in want if w[0] != 2), key=str)
+    assert [(g[0], g[1].strip(), g[2]) for g in got if g[0] == 2] == [(2, "x", "d")]
