@@ -145,3 +145,29 @@ def test_nothing_is_lost_between_parts_of_the_benchmark(spark, seed):
     df = spark.createDataFrame([(k, prose(40) + " " + x) for k, x in enumerate(items)], "doc_id long, text string")
     b = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     assert {(r.doc_id, r.item_id) for r in leaks.contaminated(df, b, most=2).collect()} == {(k, k) for k in range(5)}
+
+
+def test_recall_at_1500_items(spark):
+    random = np.random.default_rng(5)
+    pool = [f"w{k}" for k in range(6000)]
+    draw = lambda n: " ".join(pool[int(k)] for k in random.zipf(1.2, 4 * n) if k < 6000)
+    items = [" ".join(draw(60).split()[: int(n)]) for n in random.integers(20, 60, 1500)]
+    docs = []
+    for k, x in enumerate(items):
+        w = x.split()
+        if k % 2:  # one word in eight replaced
+            w[3:-6:8] = ["changed"] * len(w[3:-6:8])
+        docs.append((k, " ".join([*draw(30).split(), *w, *draw(30).split()])))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    b = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in leaks.contaminated(df, b).collect()}
+    w = {k: words([t]).hash for k, t in docs}
+    want = set()
+    for k, x in enumerate(items):  # the copies that pass the check itself
+        item = words([x]).hash
+        share, end = leaks.common_length(item, w[k]) / len(item), leaks.common_length(item[-5:], w[k]) / 5
+        if share >= leaks.SURE or share >= leaks.SHARE and end >= leaks.ANSWER_SHARE:
+            want.add((k, k))
+    found = len(got & want) / len(want)
+    print("recall", found, len(want))
+    assert len(want) > 1400 and found >= 0.99
