@@ -8,7 +8,7 @@ The vocabulary is a public tokenizer file whose path is a parameter; it is read
 that of a vocabulary, a few MB). Nothing but the file's own normaliser, pattern and merges is used.
 
 Defined results: null and empty texts have no tokens and decode to an empty text; texts of any length are encoded
-whole; repeated rows are encoded as often as they occur; further columns are ignored.
+whole; repeated rows and rows without an id are encoded as often as they occur; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framesift.llm.storage import small_batches
+from framesift.llm.storage import map_frames
 
 #: Chunks, and words, that a Python worker remembers; up to so many pieces the least pair is looked for in a list.
 REMEMBERED, FEW = 150_000, 40
@@ -199,7 +199,6 @@ def encode(documents: DataFrame, path: str) -> DataFrame:
 
 def round_trip(documents: DataFrame, path: str) -> DataFrame:
     """As encode, and decoded: the text of the ids."""
-    small_batches(documents.sparkSession)
     with open(path, encoding="utf-8") as f:
         shared = documents.sparkSession.sparkContext.broadcast(f.read())
 
@@ -209,9 +208,9 @@ def round_trip(documents: DataFrame, path: str) -> DataFrame:
             for at in range(0, len(frame), 500):
                 part = frame.iloc[at : at + 500]
                 got = [encoder.encode(t or "") for t in part["text"]]
-                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "ids": [g[0] for g in got], "n_tokens": [len(g[0]) // 4 for g in got], "decoded": [g[1] for g in got]})
+                yield pd.DataFrame({"doc_id": part["doc_id"].array, "ids": [g[0] for g in got], "n_tokens": [len(g[0]) // 4 for g in got], "decoded": [g[1] for g in got]})
 
-    return documents.select("doc_id", "text").mapInPandas(run, "doc_id long, ids binary, n_tokens long, decoded string")
+    return map_frames(documents.select("doc_id", "text"), run, "doc_id long, ids binary, n_tokens long, decoded string")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -223,9 +222,9 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
         names = Vocabulary(shared.value).names
         for frame in frames:
             texts = [" ".join(names[int.from_bytes(b[i : i + 4], "little")] for i in range(0, len(b or b""), 4)) for b in frame["ids"]]
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "text": texts})
+            yield pd.DataFrame({"doc_id": frame["doc_id"].array, "text": texts})
 
-    return encoded.select("doc_id", "ids").mapInPandas(run, "doc_id long, text string")
+    return map_frames(encoded.select("doc_id", "ids"), run, "doc_id long, text string")
 
 
 def vocabulary_path() -> str:

@@ -2,20 +2,27 @@
 
 For every participant of a conversation each turn is rendered once: the participant's own turns as the assistant's, the
 others' as those of a user with that name, with a mask that is 1 where the model learns, so on the assistant's turns.
-One row for each message keeps the work free of unbounded groups: a conversation of any length is never gathered
-into one value. Participants are counted before they are joined, and the place of a message in the rendered dialogue
-comes from its turn. `dialogues` gathers whole dialogues for callers whose conversations are known to be short.
+A rendered dialogue is its messages in the order of `place`; `begin` is where a message starts in it, so spans of the
+mask can be moved to the dialogue by adding it.
+
+One row for each message keeps the work free of unbounded groups: a conversation of any length, even a third of the table, is
+never gathered into one value or one task. Rows are dealt out by ranges of conversation and order, so a long conversation is
+many buckets; places and offsets are counted inside buckets, and the buckets' totals are added up in a small table of one row
+for each conversation, bucket and participant.
 
 Defined results: a null or empty role is the participant "unknown"; a null text renders as an empty one and trains
-nothing; rows with the same conversation and turn keep the order role, text; rows without conv_id form one conversation;
-equal rows are rendered as often as they occur; further columns are ignored.
+nothing; rows with the same conversation and turn are ordered by participant, then by the MD5 of their text (null turns
+first); rows without conv_id form one conversation; equal rows are rendered as often as they occur; in texts, `<|` becomes
+`< |`, so that no text can hold a mark; further columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from framesift.llm.storage import saved
+
 BEGIN, END = "<|im_start|>", "<|im_end|>\n"
 
 
@@ -25,39 +32,51 @@ def _name(role: Column) -> Column:
     return F.when(clean.isNull() | (clean == ""), "unknown").otherwise(clean)
 
 
+def _head(speaker: Column, own: Column) -> Column:
+    return F.concat(F.lit(BEGIN), F.when(own, "assistant").otherwise(F.concat(F.lit("user name="), speaker)), F.lit("\n"))
+
+
 def perspectives(turns: DataFrame) -> DataFrame:
-    """conv_id, perspective, turn, speaker, role, rendered, mask, n_mask_chars, mask_start: a row for each participant and message.
-
-    mask holds the spans [start, end) of the rendered message on which loss is taken: the assistant's text and its end mark."""
-    key = F.col("conv_id").eqNullSafe
-    said = turns.select("conv_id", "turn", _name(F.col("role")).alias("speaker"), F.coalesce("text", F.lit("")).alias("text"))
-    who = said.groupBy("conv_id", "speaker").count().select(F.col("conv_id").alias("of"), F.col("speaker").alias("perspective"))
-    rows = said.join(who, key(F.col("of")))
-    own = F.col("speaker") == F.col("perspective")
-    head = F.concat(F.lit(BEGIN), F.when(own, "assistant").otherwise(F.concat(F.lit("user name="), F.col("speaker"))), F.lit("\n"))
-    clean = F.replace(F.replace(F.col("text"), F.lit(BEGIN), F.lit("")), F.lit(END.strip()), F.lit(""))
-    rendered = F.concat(head, clean, F.lit(END))
-    learn = own & (clean != "")
+    """conv_id, perspective, turn, place, speaker, role, rendered, begin, mask, n_learned_chars: a row for each participant and message.
+
+    place: number of the message in its conversation, from 1; begin: its first character's place in the dialogue; mask: the
+    spans [start, end) of the rendered message on which loss is taken, so the assistant's text and its end mark."""
+    body = F.replace(F.coalesce("text", F.lit("")), F.lit("<|"), F.lit("< |"))
+    said = turns.select("conv_id", "turn", _name(F.col("role")).alias("speaker"), body.alias("text")).withColumn("digest", F.md5("text"))
+    said = saved(said.repartitionByRange("conv_id", "turn", "speaker", "digest").withColumn("bucket", F.spark_partition_id()), "turns")
+    as_user = F.length(_head(F.col("speaker"), F.lit(False))) + F.length("text") + len(END)
+    here, before = Window.partitionBy("bucket", "conv_id"), Window.unboundedPreceding
+    order = here.orderBy("turn", "speaker", "digest")
+    said = said.withColumns({"nth": F.row_number().over(order), "ahead": F.coalesce(F.sum(as_user).over(order.rowsBetween(before, -1)), F.lit(0))})
+    own = said.groupBy("conv_id", "bucket", "speaker").agg(F.count("*").alias("n"), F.sum(as_user).alias("chars"))
+    past = Window.partitionBy("conv_id").orderBy("bucket").rowsBetween(before, -1)
+    totals = own.groupBy("conv_id", "bucket").agg(F.sum("n").alias("n"), F.sum("chars").alias("chars"))
+    totals = totals.select(F.col("conv_id").alias("conv"), F.col("bucket").alias("b"), F.coalesce(F.sum("n").over(past), F.lit(0)).alias("n_past"), F.coalesce(F.sum("chars").over(past), F.lit(0)).alias("chars_past"))
+    who = own.select(F.col("conv_id").alias("of"), F.col("speaker").alias("perspective")).distinct()
+    seats = totals.join(who, F.col("conv").eqNullSafe(F.col("of"))).drop("of")
+    mine = own.select(F.col("conv_id").alias("of"), F.col("bucket").alias("at"), "speaker", "n")
+    seats = seats.join(mine, F.col("conv").eqNullSafe(F.col("of")) & (F.col("b") == F.col("at")) & (F.col("perspective") == F.col("speaker")), "left").drop("of", "at", "speaker")
+    past = Window.partitionBy("conv", "perspective").orderBy("b").rowsBetween(before, -1)
+    seats = seats.select("conv", "b", "n_past", "chars_past", "perspective", F.coalesce(F.sum("n").over(past), F.lit(0)).alias("own_past"))
+    rows = said.join(seats, F.col("conv_id").eqNullSafe(F.col("conv")) & (F.col("bucket") == F.col("b")))
+    is_own = F.col("speaker") == F.col("perspective")
+    own_here = F.coalesce(F.sum(is_own.cast("int")).over(Window.partitionBy("bucket", "conv_id", "perspective").orderBy("nth").rowsBetween(before, -1)), F.lit(0))
+    # An own message has "assistant" where others see "user name=" and the name: one character and the name less.
+    begin = F.col("chars_past") + F.col("ahead") - (1 + F.length("perspective")) * (F.col("own_past") + own_here)
+    head = _head(F.col("speaker"), is_own)
+    rendered = F.concat(head, F.col("text"), F.lit(END))
+    learn = is_own & (F.col("text") != "")
     mask = F.when(learn, F.array(F.struct(F.length(head).cast("long").alias("start"), (F.length(rendered) - 1).cast("long").alias("end")))).otherwise(F.array().cast("array<struct<start:bigint,end:bigint>>"))
     return rows.select(
-        "conv_id", "perspective", "turn", "speaker", F.when(own, "assistant").otherwise("user").alias("role"),
-        rendered.alias("rendered"), mask.alias("mask"), F.when(learn, F.length(clean) + F.length(F.lit(END)) - 1).otherwise(0).cast("long").alias("n_learned_chars"),
+        "conv_id", "perspective", "turn", (F.col("n_past") + F.col("nth")).alias("place"), "speaker", F.when(is_own, "assistant").otherwise("user").alias("role"),
+        rendered.alias("rendered"), begin.cast("long").alias("begin"), mask.alias("mask"), F.when(learn, F.length("text") + len(END) - 1).otherwise(0).cast("long").alias("n_learned_chars"),
     )
 
 
-def dialogues(turns: DataFrame) -> DataFrame:
-    """conv_id, perspective, n_turns, text, mask of whole dialogues; for conversations that fit one row."""
-    each = perspectives(turns).groupBy("conv_id", "perspective").agg(F.array_sort(F.collect_list(F.struct("turn", "speaker", "rendered", "mask"))).alias("m"))
-    text = F.array_join(F.col("m.rendered"), "")
-    begin = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"))
-    moved = F.aggregate("m", begin, lambda acc, x: F.struct((acc["at"] + F.length(x["rendered"])).alias("at"), F.concat(acc["spans"], F.transform(x["mask"], lambda s: F.struct((s["start"] + acc["at"]).alias("start"), (s["end"] + acc["at"]).alias("end")))).alias("spans")))
-    return each.select("conv_id", "perspective", F.size("m").alias("n_turns"), text.alias("text"), moved["spans"].alias("mask"))
-
-
 def op2_chat_perspectives(spark, sf_dir: str) -> DataFrame:
     """One row for each participant and message of the conversations."""
     return perspectives(spark.read.parquet(f"{sf_dir}/conversations.parquet")).select(
-        "conv_id", "perspective", "turn", "speaker", "role", F.sha2("rendered", 256).alias("rendered_sha256"), F.length("rendered").cast("long").alias("n_chars"),
+        "conv_id", "perspective", "turn", "place", "speaker", "role", F.sha2("rendered", 256).alias("rendered_sha256"), F.length("rendered").cast("long").alias("n_chars"), "begin",
         F.coalesce(F.try_element_at("mask", F.lit(1))["start"], F.lit(-1)).alias("mask_start"), F.coalesce(F.try_element_at("mask", F.lit(1))["end"], F.lit(-1)).alias("mask_end"), "n_learned_chars",
     )
 
@@ -67,16 +86,18 @@ with said as (
   select conv_id, turn,
          case when coalesce(regexp_replace(trim(role), '[\s<|>]+', '_', 'g'), '') = '' then 'unknown'
               else regexp_replace(trim(role), '[\s<|>]+', '_', 'g') end as speaker,
-         replace(replace(coalesce(text, ''), '<|im_start|>', ''), '<|im_end|>', '') as body
+         replace(coalesce(text, ''), '<|', '< |') as body
   from conversations),
+placed as (select *, row_number() over (partition by conv_id order by turn nulls first, speaker, md5(body)) as place from said),
 who as (select distinct conv_id, speaker as perspective from said),
 rows_ as (
   select s.*, w.perspective, s.speaker = w.perspective as own,
          '<|im_start|>' || case when s.speaker = w.perspective then 'assistant' else 'user name=' || s.speaker end || chr(10) as head
-  from said s join who w on s.conv_id is not distinct from w.conv_id),
+  from placed s join who w on s.conv_id is not distinct from w.conv_id),
 out_ as (select *, head || body || '<|im_end|>' || chr(10) as rendered from rows_)
-select conv_id, perspective, turn, speaker, case when own then 'assistant' else 'user' end as role,
+select conv_id, perspective, turn, place, speaker, case when own then 'assistant' else 'user' end as role,
        sha256(rendered) as rendered_sha256, length(rendered)::bigint as n_chars,
+       coalesce(sum(length(rendered)) over (partition by conv_id, perspective order by place rows between unbounded preceding and 1 preceding), 0)::bigint as begin,
        case when own and body <> '' then length(head)::bigint else -1 end as mask_start,
        case when own and body <> '' then length(rendered)::bigint - 1 else -1 end as mask_end,
        case when own and body <> '' then length(body)::bigint + 10 else 0 end as n_learned_chars

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framesift.llm.storage import saved
+from framesift.llm.storage import saved, scratch
 
 
 #: Steps of pointer jumping in a round: a chain of 2 ** JUMPS hooks becomes one.
@@ -17,6 +17,11 @@ def components(links: DataFrame) -> DataFrame:
 
     Each round hooks every id to its least neighbour if that is smaller, shortens the hooks by pointer jumping, and goes on
     with the links between what is left; links inside what has become one are gone. Each round is written."""
+    with scratch(links.sparkSession) as keep:
+        return keep(_components(links), "labels")
+
+
+def _components(links: DataFrame) -> DataFrame:
     edges = saved(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "edges")
     labels = None
     while labels is None or edges.limit(1).count():

@@ -7,8 +7,8 @@ prediction is rejected. As everything after the mean is linear, a task only look
 subword and takes their mean over the whole text.
 
 Defined results: null texts and texts without a letter get `und` with score 0 and are rejected; without labelled rows
-every text gets `und`; equal scores go to the language first in alphabetical order; repeated rows are judged as often as
-they occur; further columns are ignored.
+every text gets `und`; equal scores go to the language first in alphabetical order; repeated rows and rows without an id
+are judged as often as they occur; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,12 +21,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from framesift.llm.storage import small_batches
+from framesift.llm.storage import map_frames
 from framesift.llm.words import blocks, mix
 
 BUCKETS, DIM, SIZES = 1 << 13, 16, (2, 3, 4)
 #: Most training documents for each language and in all, and their longest text in characters.
 TRAIN_EACH, TRAIN_ALL, TRAIN_CHARS = 400, 2400, 60_000
+#: Parts of a language's documents that are ranked apart first, so that a frequent language isn't one task's work.
+SALTS = 32
 #: Among accepted texts of the calibration part, this share at least must be right.
 PRECISION = 0.995
 _LETTER = re.compile(r"[^\W\d_]")
@@ -146,8 +148,10 @@ def train(texts: list[str], langs: list[str], epochs: int = 12, seed: int = 7) -
 def fit(documents: DataFrame, each: int = TRAIN_EACH, most: int = TRAIN_ALL) -> Model:
     """A model from at most `each` documents of each language and `most` in all, chosen by a hash of the text."""
     known = documents.where(F.col("lang").isNotNull() & F.length("text").between(1, TRAIN_CHARS)).select("doc_id", "lang", F.xxhash64("text").alias("h"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
-    some = known.withColumn("rank", rank).where(F.col("rank") <= each).orderBy("rank", "lang").limit(most).select("doc_id", "h", F.col("lang").alias("as_lang"))
+    salt = F.pmod("h", F.lit(SALTS)).alias("salt")
+    first = known.select("*", salt).withColumn("rank", F.row_number().over(Window.partitionBy("lang", "salt").orderBy("h", "doc_id"))).where(F.col("rank") <= each)
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))  # over SALTS * each rows of a language at most
+    some = first.drop("rank", "salt").withColumn("rank", rank).where(F.col("rank") <= each).orderBy("rank", "lang").limit(most).select("doc_id", "h", F.col("lang").alias("as_lang"))
     got = documents.select("doc_id", "text").join(F.broadcast(some), "doc_id").where(F.xxhash64("text") == F.col("h")).select("text", "as_lang").distinct().orderBy("as_lang", "text").collect()
     got = [r for r in got if _LETTER.search(r.text)]
     return train([r.text for r in got], [r.as_lang for r in got])
@@ -155,7 +159,6 @@ def fit(documents: DataFrame, each: int = TRAIN_EACH, most: int = TRAIN_ALL) ->
 
 def predict(documents: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score (calibrated), rejected of every row."""
-    small_batches(documents.sparkSession)
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -169,9 +172,9 @@ def predict(documents: DataFrame, model: Model) -> DataFrame:
                     if _LETTER.search(t):
                         k = int(p[i].argmax())
                         lang[at + i], score[at + i] = m.langs[k], p[i, k]
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "lang_pred": lang, "score": score, "rejected": score < max(m.floor, 1e-12)})
+            yield pd.DataFrame({"doc_id": frame["doc_id"].array, "lang_pred": lang, "score": score, "rejected": score < max(m.floor, 1e-12)})
 
-    return documents.select("doc_id", "text").mapInPandas(run, "doc_id long, lang_pred string, score double, rejected boolean")
+    return map_frames(documents.select("doc_id", "text"), run, "doc_id long, lang_pred string, score double, rejected boolean")
 
 
 def held_out(name: str = "doc_id"):

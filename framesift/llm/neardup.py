@@ -19,8 +19,8 @@ moved once and kept as runs.
 A pair of similarity 0.8 shares a band with probability 0.9998.
 
 Defined results: null texts count as empty, texts without words form one class of their own; a text of fewer than five
-words is one run; rows with equal ids get the id's least class; rows without an id get a class of texts that
-have one, or none (null); further columns are ignored.
+words is one run; rows with equal ids get the id's least class; rows without an id get the class of rows of equal words
+that have one, or none (null); further columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framesift.llm.graph import joined
-from framesift.llm.storage import packed, saved, small_batches, unpacked
+from framesift.llm.storage import map_frames, packed, saved, scratch, unpacked
 from framesift.llm.words import blocks, mix, shingles, words
 
 SKETCHES, ROWS, RUN, SIMILAR = 32, 2, 5, 0.8
@@ -98,10 +98,10 @@ def sketches(documents: DataFrame) -> DataFrame:
                     both = [int(np.add.reduce(mix(own ^ spot, seed))) for seed in (21, 22)]
                     rows.append((*np.array(both, np.uint64).view(np.int64).tolist(), len(runs), mix(keys, 6).view(np.int64), s.view(np.int32)))
                 out = pd.DataFrame(rows, columns=["w0", "w1", "n_runs", "bands", "sketch"])
-                out.insert(0, "doc_id", frame["doc_id"].iloc[at : at + len(block)].to_numpy())
+                out.insert(0, "doc_id", frame["doc_id"].array[at : at + len(block)])
                 yield out
 
-    return documents.select("doc_id", "text").mapInPandas(run, "doc_id long, w0 long, w1 long, n_runs long, bands array<long>, sketch array<int>")
+    return map_frames(documents.select("doc_id", "text"), run, "doc_id long, w0 long, w1 long, n_runs long, bands array<long>, sketch array<int>")
 
 
 def aligned(pairs: list[tuple[np.ndarray, np.ndarray]], similar: float = SIMILAR, cells: int = 400_000) -> np.ndarray:
@@ -189,7 +189,7 @@ def _sequences(documents: DataFrame, ids: DataFrame) -> DataFrame:
                     yield pd.DataFrame({"id": part["id"].iloc[at : at + len(block)].to_numpy(), "runs": runs})
 
     texts = packed(documents).withColumnRenamed("doc_id", "id").join(ids.hint("merge"), "id").dropDuplicates(["id"])
-    return texts.mapInPandas(sequences, "id long, runs binary")
+    return map_frames(texts.select("id", "packed"), sequences, "id long, runs binary")
 
 
 def _verified(pairs: DataFrame, runs: DataFrame, similar: float) -> DataFrame:
@@ -201,7 +201,7 @@ def _verified(pairs: DataFrame, runs: DataFrame, similar: float) -> DataFrame:
             yield pd.DataFrame({"a": frame["a"], "b": frame["b"], "similarity": got})[got > 0]
 
     both = pairs.join(runs.select(F.col("id").alias("a"), F.col("runs").alias("ra")), "a").join(runs.select(F.col("id").alias("b"), F.col("runs").alias("rb")), "b")
-    return both.select("a", "b", "ra", "rb").mapInPandas(align, "a long, b long, similarity double")
+    return map_frames(both.select("a", "b", "ra", "rb"), align, "a long, b long, similarity double")
 
 
 def in_common(texts: list[np.ndarray], some: np.ndarray) -> np.ndarray:
@@ -287,27 +287,27 @@ def _remaining(large: DataFrame, label: DataFrame, runs: DataFrame, similar: flo
 
 def near_duplicates(documents: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """doc_id, class_id of every row: documents of one class are linked by chains of pairs of at least this similarity."""
-    small_batches(documents.sparkSession)
-    all_rows = saved(sketches(documents), "sketches")
-    entries = all_rows.groupBy("w0", "w1").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("n_runs").alias("n_runs"))
-    entries = saved(entries, "entries")
-    each = entries.select("id", F.posexplode("bands").alias("band", "key"))
-    shared = each.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    buckets = saved(each.join(shared, "key").join(entries.select("id", "sketch", "n_runs"), "id").select("key", "band", "id", "n", "n_runs", "sketch"), "buckets")
-    ids = saved(buckets.select("id").distinct(), "ids")
-    runs = saved(_sequences(documents, ids), "runs")
-    tried = saved(_small_pairs(buckets.where(F.col("n") <= SMALL), similar), "pairs")
-    label = joined(ids.withColumn("label", F.col("id")), _verified(tried, runs, similar))
-    large = buckets.where(F.col("n") > SMALL)
-    if large.limit(1).count():
-        for turn in range(ROUNDS):
-            pairs = saved(_large_pairs(large.join(label, "id"), turn).join(tried.hint("merge"), ["a", "b"], "left_anti"), "pairs")
-            new = saved(_verified(pairs, runs, similar), "links")
-            if turn >= 2 and not new.limit(1).count():
-                break
-            tried, label = tried.unionByName(pairs), joined(label, new)
-        label = joined(label, saved(_remaining(large, label, runs, similar), "links"))
-    named = entries.select("w0", "w1", "id").join(label, "id", "left").select("w0", "w1", F.coalesce("label", "id").alias("class_id"))
+    with scratch(documents.sparkSession) as keep:
+        all_rows = keep(sketches(documents), "sketches")
+        entries = all_rows.groupBy("w0", "w1").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("n_runs").alias("n_runs"))
+        entries = saved(entries, "entries")
+        each = entries.select("id", F.posexplode("bands").alias("band", "key")).where("id is not null")
+        shared = each.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+        buckets = saved(each.join(shared, "key").join(entries.select("id", "sketch", "n_runs"), "id").select("key", "band", "id", "n", "n_runs", "sketch"), "buckets")
+        ids = saved(buckets.select("id").distinct(), "ids")
+        runs = saved(_sequences(documents, ids), "runs")
+        tried = saved(_small_pairs(buckets.where(F.col("n") <= SMALL), similar), "pairs")
+        label = joined(ids.withColumn("label", F.col("id")), _verified(tried, runs, similar))
+        large = buckets.where(F.col("n") > SMALL)
+        if large.limit(1).count():
+            for turn in range(ROUNDS):
+                pairs = saved(_large_pairs(large.join(label, "id"), turn).join(tried.hint("merge"), ["a", "b"], "left_anti"), "pairs")
+                new = saved(_verified(pairs, runs, similar), "links")
+                if turn >= 2 and not new.limit(1).count():
+                    break
+                tried, label = tried.unionByName(pairs), joined(label, new)
+            label = joined(label, saved(_remaining(large, label, runs, similar), "links"))
+        named = keep(entries.select("w0", "w1", "id").join(label, "id", "left").select("w0", "w1", F.coalesce("label", "id").alias("class_id")), "classes")
     return all_rows.select("doc_id", "w0", "w1").join(named, ["w0", "w1"]).select("doc_id", "class_id")
 
 

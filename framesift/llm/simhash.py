@@ -10,7 +10,8 @@ permuted to begin with each block finds them all by equality on it. Equal finger
 
 Defined results: null and empty texts, and texts without words, have the fingerprint of all zeros; a text with fewer
 than five words is one run; a bit on which votes are even is 0; equal texts have equal fingerprints; rows with equal ids
-are kept apart and stand in the order of their texts; further columns are ignored.
+are kept apart and stand in the order of a hash of their texts, as do rows without an id after all others, which are no
+queries of the search; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -99,21 +100,24 @@ def within(queries: DataFrame, table: DataFrame, radius: int = RADIUS) -> DataFr
 
 
 def with_next(documents: DataFrame, pieces: int) -> DataFrame:
-    """bucket, row, ghost, doc_id, text, next_text: rows in descending doc_id (equal ids by text), each with the one after; the first follows the last.
+    """bucket, row, ghost, doc_id, text, next_text: rows in descending doc_id, each with the one after; the first follows the last.
 
-    Ids are cut at quantiles into about `pieces` buckets. In a bucket a window finds the next row; the first row of each
+    Rows with equal ids, and those without one at the end, are in the order of a hash of their text. Ids are cut at quantiles
+    into about `pieces` buckets, null ids by ranges of the hash. In a bucket a window finds the next row; the first row of each
     bucket is also put at the end of the bucket before it, marked as a ghost, so no window spans the table."""
-    docs = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
     found = docs.agg(F.percentile_approx(F.col("doc_id").cast("double"), [i / pieces for i in range(1, pieces)] or [0.5], 50 * pieces).alias("cuts")).first()
     cuts = sorted(set(found.cuts or [])) or [0.0]
     dealt = Bucketizer(splits=[-float("inf"), *cuts, float("inf")], inputCol="d", outputCol="bucket", handleInvalid="keep").transform(docs.withColumn("d", F.coalesce(F.col("doc_id").cast("double"), F.lit(-float("inf"))))).drop("d")
-    top = dealt.groupBy("bucket").agg(F.max("doc_id").alias("doc_id"))
+    dealt = dealt.withColumn("bucket", F.when(F.col("doc_id").isNull(), -1 - F.floor((F.col("h") / F.lit(2.0**64) + 0.5) * pieces)).otherwise(F.col("bucket")))
+    down = F.bitwise_not("doc_id")  # falls as the id rises
+    top = dealt.groupBy("bucket").agg(F.min(F.struct(down.alias("down"), "h")).alias("top"))
     ring = Window.orderBy(F.desc("bucket"))  # over one row for each bucket
-    ahead = top.select("doc_id", F.col("bucket").alias("of"), F.lag("bucket").over(ring).alias("before"), F.max("bucket").over(ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("highest"), F.min("bucket").over(ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("lowest"))
-    ahead = F.broadcast(ahead.select(F.col("doc_id").alias("head"), F.coalesce("before", "lowest").alias("to")))
-    ghosts = docs.join(ahead, F.col("doc_id").eqNullSafe(F.col("head"))).groupBy("head", "to").agg(F.min("text").alias("text"))
-    both = dealt.select("bucket", F.lit(0).alias("ghost"), "doc_id", "text").unionByName(ghosts.select(F.col("to").alias("bucket"), F.lit(1).alias("ghost"), F.col("head").alias("doc_id"), "text"))
-    order = Window.partitionBy("bucket").orderBy("ghost", F.desc_nulls_last("doc_id"), "text")
+    ahead = top.select("top.*", F.col("bucket").alias("of"), F.lag("bucket").over(ring).alias("before"), F.max("bucket").over(ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("highest"), F.min("bucket").over(ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("lowest"))
+    ahead = F.broadcast(ahead.select("down", F.col("h").alias("head"), F.coalesce("before", "lowest").alias("to")))
+    ghosts = docs.join(ahead, (down.eqNullSafe(F.col("down"))) & (F.col("h") == F.col("head"))).groupBy("doc_id", "h", "to").agg(F.min("text").alias("text"))
+    both = dealt.select("bucket", F.lit(0).alias("ghost"), "doc_id", "h", "text").unionByName(ghosts.select(F.col("to").alias("bucket"), F.lit(1).alias("ghost"), "doc_id", "h", "text"))
+    order = Window.partitionBy("bucket").orderBy("ghost", F.desc_nulls_last("doc_id"), "h", "text")
     return both.select("bucket", "ghost", "doc_id", "text", F.lead("text").over(order).alias("next_text"), F.row_number().over(order).alias("row"))
 
 

@@ -8,12 +8,15 @@ column by column, one symbol of each region a round from the last one back, each
 there. Suffixes that share `length` bytes are equal windows; all but the earliest are repeats.
 
 Between steps rows are in Parquet tables or shuffles in the cluster's shared folders; a task holds one collection
-of BATCH regions (more only if one key has more kinds, up to MOST; beyond that a key's windows are grouped by their own
-hashes instead, which splits any group). So memory is bounded whatever repeats how often.
+of BATCH regions (more only if one key has more kinds, up to MOST). The regions of a key with more kinds are dealt out again by
+a second key, and then a third: by the part of the window that the gram stands in and the bytes that all windows of that
+part have in common. The same is done with those: equal ones repeat each other, kinds are compared as a collection. The
+last parts are single windows, of which a key has one kind; so memory is bounded whatever repeats how often.
 
 Defined results: null and empty texts have no bytes; texts shorter than `length` lose nothing; bytes are those of
-UTF-8; rows with equal ids count as one document and lose the same places; an empty table gives an empty one; further
-columns are ignored.
+UTF-8; rows with equal ids count as one document and lose the same places; rows without an id stand nowhere in the order
+of documents, so they stay whole and remove nothing elsewhere; an empty table gives an empty one; further columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -29,12 +32,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
-from framesift.llm.storage import packed, saved, small_batches, unpacked
+from framesift.llm.storage import map_frames, packed, saved, unpacked
 from framesift.llm.words import mix
 
 LENGTH, GRAM = 100, 24
 #: Regions in one collection; kinds of regions of one key that are still compared as a collection.
 BATCH, MOST = 1500, 20_000
+#: Parts of the gram's places in a window, of the second key.
+PARTS = 4
 _P = 0x9E3779B97F4A7C15
 
 
@@ -80,23 +85,31 @@ def regions(raw: np.ndarray, bounds: np.ndarray, length: int = LENGTH, gram: int
     return h[at[begin]], whole[begin], whole[np.r_[begin[1:], len(at)] - 1] if len(at) else begin, at[begin]
 
 
-def related(keys: np.ndarray, strings: list[bytes], gram_at: np.ndarray, length: int, gram: int = GRAM, parts: int = 4) -> tuple[np.ndarray, np.ndarray]:
-    """For each region the first and last of its windows that can equal one of another region of its key; first > last if none can.
-
-    Windows whose gram stands in the same quarter of its possible places share a core around it. Equal windows have their
-    gram at equal places, so a region has no equal of its windows of a quarter unless their core occurs once more."""
-    low, high, room = np.full(len(strings), length * 9), np.full(len(strings), -1), length - gram + 1
-    last = np.array([len(b) for b in strings]) - length
+def cores(strings: list[bytes], gram_at: np.ndarray, length: int, parts: int, gram: int = GRAM) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each part of the gram's possible places in a window: the regions that have windows of it, the first and last of these
+    windows, and a hash of the bytes around the gram that any window of the part holds."""
+    last, room = np.array([len(b) for b in strings], np.int64) - length, length - gram + 1
     for k in range(parts):
-        a, b = room * k // parts, room * (k + 1) // parts - 1  # places of the gram in the window
+        a, b = room * k // parts, room * (k + 1) // parts - 1
         begin, end = np.maximum(gram_at - b, 0), np.minimum(gram_at - a, last)
         fits = np.flatnonzero(begin <= end)
-        left, right = gram_at[fits] - a, gram_at[fits] - b + length  # any window of the quarter holds all of it
+        left, right = gram_at[fits] - a, gram_at[fits] - b + length
         core = np.array([xxhash.xxh3_64_intdigest(strings[i][x:y], seed=k + 1) for i, x, y in zip(fits.tolist(), left.tolist(), right.tolist(), strict=True)], np.uint64)
+        yield fits, begin[fits], end[fits], core
+
+
+def related(keys: np.ndarray, strings: list[bytes], gram_at: np.ndarray, length: int, parts: int = PARTS) -> tuple[np.ndarray, np.ndarray]:
+    """For each region the first and last of its windows that can equal one of another region of its key; first > last if none can.
+
+    Equal windows have their gram at equal places, so a region has no equal of its windows of a part unless their core
+    occurs once more."""
+    low, high = np.full(len(strings), length * 9), np.full(len(strings), -1)
+    for fits, begin, end, core in cores(strings, gram_at, length, parts):
         both = mix(keys[fits].view(np.uint64) ^ mix(core, 4), 8)
         _, back, count = np.unique(both, return_inverse=True, return_counts=True)
-        hit = fits[count[back] > 1]
-        low[hit], high[hit] = np.minimum(low[hit], begin[hit]), np.maximum(high[hit], end[hit])
+        many = count[back] > 1
+        hit = fits[many]
+        low[hit], high[hit] = np.minimum(low[hit], begin[many]), np.maximum(high[hit], end[many])
     return low, high
 
 
@@ -312,13 +325,23 @@ def repeated_ranges(documents: DataFrame, length: int = LENGTH, most: int = MOST
         if size:
             yield emit(pd.concat(held, ignore_index=True))
 
-    def hashes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = [(*(int(x) for x in np.array(divmod(xxhash.xxh3_128_intdigest(b[k : k + length]), 1 << 64), np.uint64).view(np.int64)), i, f + k) for i, f, b in zip(frame["doc_id"], frame["first"], frame["bytes"], strict=True) for k in range(len(b) - length + 1)]
-            yield pd.DataFrame(rows, columns=["h0", "h1", "doc_id", "place"])
-
-    small_batches(documents.sparkSession)
-    found = documents.select("doc_id", "text").mapInPandas(find, "key long, kind long, doc_id long, first int, more int, gram_at short, again boolean")
+    def finer(parts: int):
+        def split(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                for at in range(0, len(frame), 100):
+                    part, rows = frame.iloc[at : at + 100], []
+                    strings = part["bytes"].tolist()
+                    for k, begin, end, core in cores(strings, part["gram_at"].to_numpy(np.int64), length, parts):
+                        key = mix(part["key"].to_numpy(np.int64)[k].view(np.uint64) ^ mix(core, 4), 8).view(np.int64)
+                        rows += [(*x, strings[i][a : b + length]) for *x, i, a, b in zip(key.tolist(), part["doc_id"].iloc[k].tolist(), (part["first"].to_numpy()[k] + begin).tolist(), (part["gram_at"].to_numpy()[k] - begin).tolist(), k.tolist(), begin.tolist(), end.tolist(), strict=True)]
+                    out = pd.DataFrame(rows, columns=["key", "doc_id", "first", "gram_at", "bytes"])
+                    out.insert(1, "kind", np.array([xxhash.xxh3_64_intdigest(b) for b in out["bytes"]], np.uint64).view(np.int64))
+                    yield out
+
+        return split
+
+    documents = documents.select("doc_id", "text").where("doc_id is not null")
+    found = map_frames(documents, find, "key long, kind long, doc_id long, first int, more int, gram_at short, again boolean")
     same = Window.partitionBy("key", "kind").orderBy("doc_id", "first")
     ranked = found.repartition("key").withColumn("nth", F.rank().over(same))
     ends = Window.partitionBy("key")
@@ -327,18 +350,23 @@ def repeated_ranges(documents: DataFrame, length: int = LENGTH, most: int = MOST
     first_ones = ranked.where("nth = 1 and several and not again").dropDuplicates(["key", "kind"])
     counted = first_ones.withColumn("kinds", F.count("*").over(Window.partitionBy("key")))
     wanted = counted.groupBy("doc_id").agg(F.collect_list(F.struct("key", "first", "more", "gram_at", "kinds")).alias("wanted"))
-    regions_of = packed(documents).join(wanted, "doc_id").select("doc_id", "packed", "wanted").mapInPandas(cut, "key long, doc_id long, first int, gram_at short, bytes binary, kinds long")
-    large = counted.where(F.col("kinds") > most).limit(1).count() > 0
-    if large:
-        regions_of = saved(regions_of, "cut")
-    some = regions_of.where(F.col("kinds") <= most).repartition("key").sortWithinPartitions("key")
-    out = whole.unionByName(some.mapInPandas(compare, "doc_id long, first long, last long"))
-    if large:
-        each = saved(regions_of.where(F.col("kinds") > most).mapInPandas(hashes, "h0 long, h1 long, doc_id long, place long"), "windows")
-        lead = each.groupBy("h0", "h1").agg(F.min(F.struct("doc_id", "place")).alias("lead"), F.count("*").alias("n")).where("n > 1")
-        later = each.join(lead, ["h0", "h1"]).where(F.struct("doc_id", "place") != F.col("lead"))
-        out = out.unionByName(later.select("doc_id", F.col("place").alias("first"), F.col("place").alias("last")))
-    return out
+    regions_of = map_frames(packed(documents).join(wanted, "doc_id").select("doc_id", "packed", "wanted"), cut, "key long, doc_id long, first int, gram_at short, bytes binary, kinds long")
+    heavy, out = counted, whole
+    for parts in (PARTS, length - GRAM + 1):
+        more = heavy.where(F.col("kinds") > most).limit(1).count() > 0
+        if more:
+            regions_of = saved(regions_of, "cut")
+        some = regions_of.where(F.col("kinds") <= most).repartition("key").sortWithinPartitions("key")
+        out = out.unionByName(some.mapInPandas(compare, "doc_id long, first long, last long"))
+        if not more:
+            return out
+        again = map_frames(regions_of.where(F.col("kinds") > most).drop("kinds"), finer(parts), "key long, kind long, doc_id long, first int, gram_at short, bytes binary")
+        again = saved(again.withColumn("nth", F.rank().over(same)), "finer")
+        out = out.unionByName(again.where("nth > 1").select("doc_id", F.col("first").cast("long").alias("first"), (F.col("first") + F.length("bytes") - length).cast("long").alias("last")))
+        one = again.where("nth = 1").dropDuplicates(["key", "kind"]).drop("nth", "kind")
+        several = one.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 1")
+        regions_of = heavy = saved(one.join(several, "key"), "cut")
+    return out  # single windows of one key are all equal: none is left to compare
 
 
 def _cut(raw: bytes, ranges: list[dict] | np.ndarray | None, length: int) -> tuple[int, int, bytes]:
@@ -363,12 +391,15 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     def drop(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
-            for i, b, ranges in zip(frame["doc_id"], frame["packed"], frame["ranges"], strict=True):
+            for b, ranges in zip(frame["packed"], frame["ranges"], strict=True):
                 raw = unpacked(b)
-                rows.append((i, len(raw), *_cut(raw, ranges, length)))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+                rows.append((len(raw), *_cut(raw, ranges, length)))
+            out = pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept"])
+            out.insert(0, "doc_id", frame["doc_id"].array)
+            yield out
 
-    return packed(documents).join(_ranges_by_id(documents, length), "doc_id", "left").select("doc_id", "packed", "ranges").mapInPandas(drop, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    every = packed(documents).join(_ranges_by_id(documents, length), "doc_id", "left").select("doc_id", "packed", "ranges")
+    return map_frames(every, drop, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def without_repeats(documents: DataFrame, length: int = LENGTH) -> DataFrame:

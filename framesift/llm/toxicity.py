@@ -2,28 +2,32 @@
 
 Labelled tokens come from labelled documents: in a toxic document a word is tagged toxic if it, or its beginning, occurs
 nearly only in toxic documents; every other word is tagged clean. The field has two tags, hashed features of the word
-and its beginnings, and four transition weights, and is trained by gradient ascent on the log-likelihood. Exact
-forward-backward marginals of each word follow for every document: the document's score is the largest marginal and the
-offending spans are the words whose marginal passes a threshold.
+and its beginnings, and four transition weights, and is trained by gradient ascent on the log-likelihood of the tags
+(toxic documents weigh more), with exact single and pairwise marginals. Exact forward-backward marginals of each word
+follow for every document: the document's score is the largest marginal and the offending spans are the words whose
+marginal passes a threshold.
 
-Spark deals out documents; a task works on blocks of at most 200,000 characters (a longer text is one). Forward-backward over a block is a
-scan of 2 x 2 matrices, so that no Python code runs per word.
+Spark deals out documents; a task works on blocks of at most 200,000 characters (a longer text is one). Forward-backward
+over a block is a scan of 2 x 2 matrices, so that no Python code runs per word.
 
 Defined results: null and empty texts score 0 and have no spans; a repeated row is scored as often as it occurs; without
-labelled rows of both classes every score is 0; further columns of the inputs are ignored.
+labelled rows of both classes the field stays untrained and every score is under 0.01; rows without an id are scored too but never train; further columns of
+the inputs are ignored.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framesift.llm.storage import small_batches
+from framesift.llm.storage import filter_rows, map_frames
 from framesift.llm.words import Words, blocks, mix, prefixes, words
 
 #: Features of a word: itself and its first 3 to 6 bytes, hashed into BUCKETS weights.
@@ -31,6 +35,8 @@ BUCKETS = 1 << 20
 SIZES = (3, 4, 5, 6)
 #: Most labelled toxic and clean documents that train the field, and their longest text in characters.
 TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_CHARS = 800, 1600, 100_000
+#: Weight of a toxic document's log-likelihood in training, against 1 of a clean one.
+TOXIC_WEIGHT = 3.0
 #: A feature can mark toxic words if it is in so many toxic documents and their share (smoothed) is so large. Of these,
 #: the ones that explain documents not yet explained are taken first to last, and besides those in a part COMMON of them.
 SUPPORT, SHARE, COMMON = 3, 0.97, 0.05
@@ -73,11 +79,9 @@ def _scan(emit: np.ndarray, first: np.ndarray, move: np.ndarray, begin: float) -
     return out.T.ravel()[:n]
 
 
-def marginals(emit: np.ndarray, bounds: np.ndarray, move: np.ndarray, begin: float) -> np.ndarray:
-    """Probability of the toxic tag for each word. move[i, j]: weight of tag j after tag i; bounds: of the texts."""
+def _both_ways(emit: np.ndarray, bounds: np.ndarray, move: np.ndarray, begin: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ratios toxic / clean of the weights before and with each word, and after it; and where texts begin."""
     n = len(emit)
-    if not n:
-        return np.zeros(0)
     at = np.unique(bounds[:-1])
     first, last = np.zeros(n, bool), np.zeros(n, bool)
     first[at[at < n]] = True
@@ -88,10 +92,43 @@ def marginals(emit: np.ndarray, bounds: np.ndarray, move: np.ndarray, begin: flo
     after = np.ones(n)
     nxt = back[1:]
     after[:-1] = np.where(last[:-1], 1.0, (move[1, 0] + move[1, 1] * nxt) / (move[0, 0] + move[0, 1] * nxt))
+    return ahead, after, first
+
+
+def marginals(emit: np.ndarray, bounds: np.ndarray, move: np.ndarray, begin: float) -> np.ndarray:
+    """Probability of the toxic tag for each word. move[i, j]: weight of tag j after tag i; bounds: of the texts."""
+    if not len(emit):
+        return np.zeros(0)
+    ahead, after, _ = _both_ways(emit, bounds, move, begin)
     odds = ahead * after
     return odds / (1 + odds)
 
 
+class Gradient(NamedTuple):
+    """Of the log-likelihood of tags: word (for the emission weight of each word), trans (2 x 2), bias and begin."""
+
+    word: np.ndarray
+    trans: np.ndarray
+    bias: float
+    begin: float
+
+
+def gradient(emit: np.ndarray, tag: np.ndarray, bounds: np.ndarray, trans: np.ndarray, begin: float, weight: np.ndarray) -> Gradient:
+    """Exact gradient of the sum over texts of weight times the log-likelihood of its tags. trans, begin: log weights;
+    weight: for each word, the same for all words of a text."""
+    move = np.exp(trans)
+    ahead, after, first = _both_ways(emit, bounds, move, float(np.exp(begin)))
+    p = ahead * after / (1 + ahead * after)
+    word = (tag - p) * weight
+    second = np.flatnonzero(~first)  # words with one before them in their text
+    x, y = ahead[second - 1], (emit * after)[second]
+    pair = np.stack([np.full(len(second), move[0, 0]), move[0, 1] * y, move[1, 0] * x, move[1, 1] * x * y])
+    pair *= weight[second] / pair.sum(0)
+    kind = tag[second - 1].astype(int) * 2 + tag[second]
+    seen = np.bincount(kind, weight[second], 4)
+    return Gradient(word, (seen - pair.sum(1)).reshape(2, 2), float(word.sum()), float(word[first].sum()))
+
+
 class Field:
     """weight: of each bucket; bias: of the toxic tag; trans: 2 x 2 log weights; begin: of the toxic tag at the start."""
 
@@ -141,32 +178,19 @@ def train(texts: list[str], toxic: np.ndarray, rounds: int = 30) -> Field:
     w = words(texts)
     f, doc = features(w), np.repeat(np.arange(len(texts)), np.diff(w.bounds))
     tag = toxic[doc] & _marking(f, doc, toxic)[f].any(0)
-    n, grad2 = len(tag), np.full(BUCKETS, 1e-6)
-    first = np.zeros(n, bool)
-    first[w.bounds[:-1][w.bounds[:-1] < n]] = True
-    small = np.full(6, 1e-6)
-    weight = np.where(tag, 3.0, 1.0)
+    grad2, small = np.full(BUCKETS, 1e-6), np.full(6, 1e-6)
+    weight = np.where(toxic, TOXIC_WEIGHT, 1.0)[doc]
     for k in range(rounds):
         # Every second round sees beginnings only, so that they must do without the whole word: new words have new endings.
         seen_f = f if k % 2 else f[1:3]
-        p = marginals(field.emit(seen_f), w.bounds, np.exp(field.trans), float(np.exp(field.begin)))
-        miss = (tag - p) * weight
+        d = gradient(field.emit(seen_f), tag, w.bounds, field.trans, field.begin, weight)
         g = np.zeros(BUCKETS)
         for one in seen_f:
-            g += np.bincount(one, miss, BUCKETS)
+            g += np.bincount(one, d.word, BUCKETS)
         g -= 1e-2 * field.weight
         grad2 += g * g
         field.weight = (field.weight + 0.5 * g / np.sqrt(grad2)).astype(np.float32)
-        inner = ~first[1:]
-        seen, want = np.empty(6), np.empty(6)
-        for k, (a, b) in enumerate(((0, 0), (0, 1), (1, 0), (1, 1))):
-            x, y = (tag if a else ~tag)[:-1][inner], (tag if b else ~tag)[1:][inner]
-            seen[k] = np.sum(x & y)
-            q, r = (p if a else 1 - p)[:-1][inner], (p if b else 1 - p)[1:][inner]
-            want[k] = np.sum(q * r)  # pairwise marginals by the product of the single ones
-        seen[4], want[4] = tag.sum(), p.sum()
-        seen[5], want[5] = tag[first].sum(), p[first].sum()
-        step = seen - want
+        step = np.r_[d.trans.ravel(), d.bias, d.begin]
         small += step * step
         step = 0.2 * step / np.sqrt(small)
         field.trans += step[:4].reshape(2, 2) - 0.01 * field.trans
@@ -205,7 +229,6 @@ def _offsets(text: str, marks: np.ndarray) -> list[tuple[int, int]]:
 
 def score(documents: DataFrame, field: Field, threshold: float = 0.5, batch: int = 200_000) -> DataFrame:
     """doc_id, score, n_offending, spans (array of start, end: character offsets, end exclusive) of every row."""
-    small_batches(documents.sparkSession)
     shared = documents.sparkSession.sparkContext.broadcast(field)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -222,26 +245,24 @@ def score(documents: DataFrame, field: Field, threshold: float = 0.5, batch: int
                 docs = np.searchsorted(w.bounds, hits, "right") - 1
                 for d in np.unique(docs):
                     spans[at + d] = [{"start": a, "end": b} for a, b in _offsets(block[d], hits[docs == d] - w.bounds[d])]
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "score": top, "n_offending": [len(s) for s in spans], "spans": spans})
+            yield pd.DataFrame({"doc_id": frame["doc_id"].array, "score": top, "n_offending": [len(s) for s in spans], "spans": spans})
 
-    return documents.select("doc_id", "text").mapInPandas(run, "doc_id long, score double, n_offending long, spans array<struct<start:long,end:long>>")
+    return map_frames(documents.select("doc_id", "text"), run, "doc_id long, score double, n_offending long, spans array<struct<start:long,end:long>>")
 
 
 def clean(documents: DataFrame, field: Field, most: float) -> DataFrame:
     """The documents, all columns, that score less than `most`; they stay where they are, without a shuffle."""
-    small_batches(documents.sparkSession)
     shared = documents.sparkSession.sparkContext.broadcast(field)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            keep = np.ones(len(frame), bool)
-            for at, block in blocks(frame["text"].tolist()):
-                w = words(block)
-                bad = np.flatnonzero(shared.value.tag(w) >= most)
-                keep[at + np.searchsorted(w.bounds, bad, "right") - 1] = False
-            yield frame[keep]
+    def keep(part: pa.RecordBatch) -> np.ndarray:
+        out = np.ones(part.num_rows, bool)
+        for at, block in blocks(part.column("text").to_pylist()):
+            w = words(block)
+            bad = np.flatnonzero(shared.value.tag(w) >= most)
+            out[at + np.searchsorted(w.bounds, bad, "right") - 1] = False
+        return out
 
-    return documents.mapInPandas(run, documents.schema)
+    return filter_rows(documents, keep)
 
 
 def held_out(name: str = "doc_id"):

@@ -1,3 +1,6 @@
+import hashlib
+import re
+import time
 import zlib
 
 import pytest
@@ -6,20 +9,40 @@ from pyspark.sql import functions as F
 from framesift.llm import chat, licenses, urls
 
 
+def whole(rows):
+    """Brute force: each dialogue's messages in order, as text with the learned spans."""
+    clean = lambda x: (x or "").replace("<|", "< |")
+    name = lambda x: re.sub(r"[\s<|>]+", "_", (x or "").strip(" ")) or "unknown"
+    out = {}
+    for conv in {r[0] for r in rows}:
+        own = sorted((-1 if t is None else t, name(role), hashlib.md5(clean(x).encode()).hexdigest(), clean(x)) for c, t, role, x in rows if c == conv)
+        for p in {r[1] for r in own}:
+            text, spans = "", []
+            for _, s, _, x in own:
+                text += "<|im_start|>" + ("assistant" if s == p else "user name=" + s) + "\n"
+                if s == p and x:
+                    spans.append((len(text), len(text) + len(x) + len("<|im_end|>")))
+                text += x + "<|im_end|>\n"
+            out[conv, p] = text, spans
+    return out
+
+
 def test_every_participant_is_the_assistant_once(spark):
-    rows = [(1, 0, "amy", "hi"), (1, 1, "bob", "hello <|im_end|>"), (1, 2, None, None), (1, 2, "", "x"), (2, 0, "amy", ""), (None, 0, "a b", "solo")]
-    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("mask", F.lit("clash"))
-    got = chat.perspectives(df).collect()
-    assert len(got) == 4 * 3 + 1 + 1
-    first = {(r.perspective, r.turn, r.speaker): r for r in got if r.conv_id == 1}
-    r = first["bob", 1, "bob"]
-    assert r.rendered == "<|im_start|>assistant\nhello <|im_end|>\n" and r.rendered[r["mask"][0].start : r["mask"][0].end] == "hello <|im_end|>"
-    assert first["bob", 0, "amy"].rendered == "<|im_start|>user name=amy\nhi<|im_end|>\n" and first["bob", 0, "amy"]["mask"] == []
-    assert first["unknown", 2, "unknown"].role == "assistant"
-    assert next(r for r in got if r.conv_id is None).speaker == "a_b"
-    whole = {(r.conv_id, r.perspective): r for r in chat.dialogues(df).collect()}
-    d = whole[1, "amy"]
-    assert [d.text[s.start : s.end] for s in d["mask"]] == ["hi<|im_end|>"] and d.n_turns == 4
+    rows = [(1, 0, "amy", "hi"), (1, 1, "bob", "hello <|im_end|>"), (1, 2, None, None), (1, 2, "", "x"), (2, 0, "amy", ""), (None, 0, "a b", "solo"), (None, None, "bob", "é <|im_<|im_start|>start|>")]
+    rows += [(3, t // 3, ("amy", "bob", "c c", None)[t % 4], f"message {t} " * (t % 5)) for t in range(300)] + [(3, 7, "amy", "same")] * 3 + [(2**60 + 1, 1, "x", "y")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({"mask": F.lit("clash"), "bucket": F.lit(1), "place": F.lit(2)}).repartition(5)
+    want = whole(rows)
+    for parts in ("1", "4", "40"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        got = {}
+        for r in sorted(chat.perspectives(df).collect(), key=lambda r: r.place):
+            text, spans = got.setdefault((r.conv_id, r.perspective), ("", []))
+            assert len(text) == r.begin
+            got[r.conv_id, r.perspective] = text + r.rendered, [*spans, *((s.start + r.begin, s.end + r.begin) for s in r["mask"])]
+        assert got == want
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    text, spans = want[None, "bob"]
+    assert text.count("<|im_start|>") == 2 and len(spans) == 1
     assert chat.perspectives(df.limit(0)).count() == 0
 
 
@@ -96,8 +119,19 @@ def test_licenses_by_brute_force(spark):
                 want[i, name] = (round(max(p for p, _ in hit), 6), len(hit), min(a for _, a in hit))
     assert got == want and (6, "GPL-3.0") in want and (5, "GPL-3.0") not in want
     assert licenses.scan(df.limit(0)).count() == 0 and licenses.scan(df, ()).count() == 0
-    with pytest.raises(ValueError):
-        licenses.scan(df, [(str(i), "a b c") for i in range(licenses.MOST_TEMPLATES + 1)])
+    parts = licenses.scan(df, most=20)
+    assert {(r.doc_id, r.license): (round(r.containment, 6), r.n_windows, r.first_word) for r in parts.collect()} == want
+
+
+def test_long_and_repetitive_texts_take_linear_time(spark):
+    long = " ".join(f"w{k}" for k in range(3000))
+    texts = ["Released under the MIT License.\n" * 50_000, "x " * 700 + long + " y" * 700]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    began = time.perf_counter()
+    got = {(r.doc_id, r.license): (r.containment, r.n_windows, r.first_word) for r in licenses.scan(df, [*licenses.NOTICES, ("long", long)]).collect()}
+    assert time.perf_counter() - began < 60
+    own = 2996  # windows that are short of at most a fifth of the runs
+    assert got == {(0, "MIT"): (1.0, 50_000, 0), (1, "long"): (1.0, 2 * int(own * 0.2) + 1, 700 - int(own * 0.2))}
 
 
 def test_crc_matches_the_contract(spark):

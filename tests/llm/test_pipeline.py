@@ -76,3 +76,49 @@ def test_suffix_dedup_keeps_rows_without_an_id_and_equal_ids_once(spark):
     want = [(None, "no id here", None, 2**60 + 1, 10), (None, "", "b", None, 0), (1, long, "c", 2**60 + 3, len(long)), (2, "x", "d", None, 1), *((3, "some clean words", x, m, 16) for x, m in (("e", 5), ("f", 6)))]
     assert [g for g in got if g[0] != 2] == sorted((w for w in want if w[0] != 2), key=str)
     assert [(g[0], g[1].strip(), g[2]) for g in got if g[0] == 2] == [(2, "x", "d")]
+
+
+BIG = [2**60 + 1, None, 2**60 + 3]
+
+
+def test_large_ids_survive_beside_null_ids(spark):
+    from framesift.llm import bpe, langid, leaks, licenses, neardup, simhash, suffixes, toxicity
+
+    texts = ["some clean words of a first text here", "other words", "Released under the MIT License."]
+    docs = spark.createDataFrame([(i, t, "en", 1, 2**60 + 5) for i, t in zip(BIG, texts)], "doc_id long, text string, lang string, n_chars long, score long").coalesce(1)
+    items = spark.createDataFrame([(2**60 + 7, texts[0]), (None, texts[2])], "item_id long, text string")
+    field, model = toxicity.train(["a b", "c d"] * 9, [0, 1] * 9), langid.train(["the cat"] * 5 + ["der hund"] * 5, ["en"] * 5 + ["de"] * 5)
+    path = bpe.vocabulary_path()
+    got = {
+        "score": toxicity.score(docs, field), "clean": toxicity.clean(docs, field, 2.0), "language": langid.predict(docs, model), "bpe": bpe.encode(docs, path),
+        "decode": bpe.decode(bpe.encode(docs, path), path), "suffix": suffixes.remove_repeats(docs), "text": suffixes.without_repeats(docs), "near": neardup.near_duplicates(docs), "one": neardup.keep_one(docs), "simhash": simhash.compare(docs, 3),
+    }
+    for name, df in got.items():
+        assert sorted((r.doc_id for r in df.collect()), key=str) == sorted(BIG, key=str), name
+    assert {r.score for r in got["clean"].collect()} == {2**60 + 5}
+    assert [r.doc_id for r in licenses.scan(docs).collect()] == [2**60 + 3]
+    assert {(r.doc_id, r.item_id) for r in leaks.contaminated(docs, items).collect()} == {(2**60 + 1, 2**60 + 7), (2**60 + 3, None)}
+    assert {r.doc_id for r in leaks.remove_contaminated(docs, items).collect()} == {None}
+
+
+def test_no_item_is_lost_between_parts(spark):
+    from framesift.llm import leaks
+
+    words = [" ".join(f"{a}{k}" for k in range(12)) for a in "abcdef"]
+    docs = spark.createDataFrame(list(enumerate(words)), "doc_id long, text string")
+    items = spark.createDataFrame([(7, words[0]), (7, words[1]), (None, words[2]), (None, words[3]), (8, words[4]), (8, words[4])], "item_id long, text string")
+    for most in (1, 2, 1500):
+        assert {(r.doc_id, r.item_id) for r in leaks.contaminated(docs, items, most).collect()} == {(0, 7), (1, 7), (2, None), (3, None), (4, 8)}
+
+
+def test_scratch_tables_go(spark):
+    from pathlib import Path
+
+    from framesift.llm import storage
+
+    df = spark.range(5)
+    root = Path(storage.folder(spark), "framesift")
+    with storage.scratch(spark) as keep:
+        storage.saved(df, "goes")
+        kept = keep(df, "stays")
+    assert kept.count() == 5 and not list(root.glob("goes-*")) and list(root.glob("stays-*"))

@@ -3,6 +3,8 @@ import random
 
 import numpy as np
 import pytest
+import regex
+import xxhash
 from pyspark.sql import functions as F
 
 from framesift.llm import bpe, leaks, simhash
@@ -11,24 +13,55 @@ from framesift.llm.words import words
 DATA = "/root/testdata/sf0.01"
 
 
+def signed(x):
+    return x - 2**64 if x >= 2**63 else x
+
+
+def xx(x, seed=42):
+    raw = x.encode() if isinstance(x, str) else (x & (2**64 - 1)).to_bytes(8, "little")
+    return xxhash.xxh64_intdigest(raw, seed)
+
+
+def plain_simhash(text):
+    """Brute force: weighted votes of every term on every bit."""
+    w = [x for x in regex.split(r"[^\p{L}\p{N}]+", (text or "").lower()) if x]
+    h, found = [xx(x) for x in w], []
+    for i in range(max(1, len(w) - 4) if w else 0):
+        seed = 42
+        for k in range(5):
+            seed = xx(h[i + k] if i + k < len(h) else 0, seed)
+        found.append(seed)
+    found += [xxhash.xxh64_intdigest((1).to_bytes(4, "little"), xx(x)) for x in w if len(x) >= 7]
+    halves = []
+    for votes in (found, [xx(x) for x in found]):
+        halves.append(signed(sum(1 << i for i in range(64) if 2 * sum(v >> i & 1 for v in votes) > len(votes))))
+    return tuple(halves)
+
+
+def test_fingerprints_by_brute_force(spark):
+    texts = [None, "", "one two", "the same five words here", "the same five words here again and again the same five words here", "Überraschung große Wörter, ein zweites Mal Überraschung " * 3]
+    texts += [r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").where("n_chars < 3000").limit(40).collect()]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.fp_a, r.fp_b) for r in simhash.fingerprints(df, ["doc_id"]).collect()}
+    assert got == {i: plain_simhash(t) for i, t in enumerate(texts)}
+
+
 def test_next_and_edited_texts(spark):
-    docs = [(5, "abcdef"), (9, "XY"), (1, ""), (7, None), (12, "12345"), (3, "é" * 9)]
-    df = spark.createDataFrame(docs, "doc_id long, text string").withColumns({"bucket": F.lit(1), "row": F.lit(2)})
-    order = sorted(docs, reverse=True)
-    want = {}
+    docs = [(5, "abcdef"), (9, "XY"), (1, ""), (7, None), (12, "12345"), (3, "é" * 9), (2**60 + 1, "big"), (2**60 + 3, "bigger")]
+    docs += [(None, f"without an id {k}") for k in range(9)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").withColumns({"bucket": F.lit(1), "row": F.lit(2), "h": F.lit(3)}).repartition(3)
+    order = sorted(docs, key=lambda d: (d[0] is None, -(d[0] or 0), signed(xx(d[1] or ""))))
+    want, prints = {}, {}
     for (i, t), (_, nxt) in zip(order, order[1:] + order[:1]):
         t, nxt = t or "", nxt or ""
         h = len(t) // 2
-        want[i] = (len(t), hashlib.sha256((t[: len(t) - h] + nxt[:h]).encode()).hexdigest())
+        want[i, t] = (len(t), hashlib.sha256((t[: len(t) - h] + nxt[:h]).encode()).hexdigest(), plain_simhash(t), plain_simhash(nxt))
+        prints[plain_simhash(t)] = i, t
     for pieces in (1, 2, 50):
-        got = {r.doc_id: r for r in simhash.compare(df, pieces).collect()}
-        assert {i: (r.n_chars, r.edited_sha256) for i, r in got.items()} == want
-        ids = [i for i, _ in order]
-        for i, j in zip(ids, ids[1:] + ids[:1]):
-            assert (got[i].next_a, got[i].next_b) == (got[j].fp_a, got[j].fp_b)
-    assert (got[1].fp_a, got[1].fp_b) == (0, 0) == (got[7].fp_a, got[7].fp_b)
+        got = [(r.doc_id, r.n_chars, r.edited_sha256, (r.fp_a, r.fp_b), (r.next_a, r.next_b)) for r in simhash.compare(df, pieces).collect()]
+        assert sorted(got, key=str) == sorted(((i, *v) for (i, _), v in want.items()), key=str)
     assert simhash.compare(df.limit(0), 4).count() == 0
-    assert simhash.compare(df.union(df), 4).count() == 12
+    assert simhash.compare(df.union(df), 4).count() == 2 * len(docs)
 
 
 def test_search_by_brute_force(spark):

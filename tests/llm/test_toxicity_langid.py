@@ -1,3 +1,5 @@
+import itertools
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -25,6 +27,33 @@ def test_marginals_against_plain_forward_backward():
     assert np.allclose(toxicity.marginals(emit, bounds, move, begin), want)
 
 
+def test_gradient_by_finite_differences():
+    rng = np.random.default_rng(3)
+    n, bounds = 9, np.array([0, 4, 4, 9])
+    tag, weight = rng.integers(0, 2, n).astype(bool), np.r_[np.full(4, 3.0), np.ones(5)]
+    at = {"word": rng.normal(size=n), "trans": rng.normal(size=(2, 2)), "bias": np.array(-0.4), "begin": np.array(0.7)}
+
+    def likelihood(x):
+        """By all taggings of each text."""
+        out = 0.0
+        for a, b in zip(bounds[:-1], bounds[1:]):
+            if a < b:
+                weighed = {}
+                for tags in itertools.product((0, 1), repeat=int(b - a)):
+                    s = x["begin"] * tags[0] + sum((x["word"][a + i] + x["bias"]) * t for i, t in enumerate(tags)) + sum(x["trans"][p, q] for p, q in zip(tags, tags[1:]))
+                    weighed[tags] = float(s)
+                out += weight[a] * (weighed[tuple(tag[a:b].astype(int))] - np.log(np.sum(np.exp(list(weighed.values())))))
+        return out
+
+    got = toxicity.gradient(np.exp(at["word"] + at["bias"]), tag, bounds, at["trans"], float(at["begin"]), weight)
+    for name, value in at.items():
+        for k in np.ndindex(value.shape):
+            step = np.zeros(value.shape)
+            step[k] = 1e-5
+            slope = (likelihood(at | {name: value + step}) - likelihood(at | {name: value - step})) / 2e-5
+            assert np.isclose(np.asarray(getattr(got, name))[k], slope, atol=1e-6), (name, k)
+
+
 def corpus(rng, n=300):
     plain = ["".join(rng.choice(list("abcdefgh"), rng.integers(3, 9))) for _ in range(400)]
     texts, toxic = [], []
