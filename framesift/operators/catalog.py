@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from framesift.operators.sampling import seeded
+
 
 def continuous_numbers(files: DataFrame) -> DataFrame:
     """files (grp, name, n_frames) with `offset`: frames of the group's files before this one, in the order of names."""
@@ -24,8 +26,36 @@ def strided(frames: DataFrame, stride: int, most: int) -> DataFrame:
 
 def fingerprint(frames: DataFrame, ends: int = 5) -> DataFrame:
     """video, hash of how many frames there are and of the first and last few: tells whether a cached result is stale."""
-    held = frames.groupBy("video").agg(F.array_sort(F.collect_list("sample_idx")).alias("f"))
-    return held.select("video", F.xxhash64(F.size("f"), F.slice("f", 1, ends), F.slice("f", F.greatest(F.size("f") - ends + 1, F.lit(1)), ends)).alias("hash"))
+    up, down = (F.row_number().over(Window.partitionBy("video").orderBy(o)) for o in (F.asc("sample_idx"), F.desc("sample_idx")))
+    held = frames.select("video", "sample_idx", up.alias("up"), down.alias("down"))
+    few = lambda c: F.array_join(F.array_sort(F.collect_list(F.when(F.col(c) <= ends, F.col("sample_idx")))).cast("array<string>"), ",")
+    return held.groupBy("video").agg(F.md5(F.concat_ws("|", F.count("*").cast("string"), few("up"), few("down"))).alias("hash"))
+
+
+def settings_key(settings: DataFrame, name: str = "run") -> DataFrame:
+    """run, key: SHA-1 of a run's settings (run, setting, value) as one JSON text, settings in the order of their names."""
+    pair = F.concat(F.to_json(F.struct(F.col("setting").alias("s"))), F.to_json(F.struct(F.col("value").alias("v"))))
+    return settings.groupBy(name).agg(F.sha1(F.array_join(F.array_sort(F.collect_list(pair)), ",")).alias("key"))
+
+
+def first_of_each(rows: DataFrame, key: str, at: str) -> DataFrame:
+    """The first row of each key in the order of `at`: duplicates go, order stays."""
+    return rows.withColumn("_first", F.row_number().over(Window.partitionBy(key).orderBy(at)) == 1).where("_first").drop("_first")
+
+
+def filter_report(rows: DataFrame, distance: str, threshold: float) -> DataFrame:
+    """rows with `status`: out under the threshold, else keep (also without a distance)."""
+    return rows.withColumn("status", F.when(F.col(distance) < threshold, "out").otherwise("keep"))
+
+
+def run_stamp(at: Column) -> Column:
+    return F.date_format(at, "yyyyMMdd_HHmmss")
+
+
+def duration_text(seconds: Column) -> Column:
+    """h, m and s of a duration, leading parts only where they count: 1h 02m 03s, 2m 03s, 3s."""
+    h, m, s = F.floor(seconds / 3600).cast("int"), F.floor(seconds % 3600 / 60).cast("int"), F.floor(seconds % 60).cast("int")
+    return F.when(h > 0, F.format_string("%dh %02dm %02ds", h, m, s)).when(m > 0, F.format_string("%dm %02ds", m, s)).otherwise(F.format_string("%ds", s))
 
 
 def ranked_weights(files: DataFrame) -> DataFrame:
@@ -40,7 +70,7 @@ def latest(rows: DataFrame, by: list[str], at: str, value: str) -> DataFrame:
 
 def labelled_sample(frames: DataFrame, label: str, key: str, most: int, hold: float, seed: int) -> DataFrame:
     """At most `most` rows of each label in the order of a seeded hash, the first part `hold` of each for validation (is_val)."""
-    order = Window.partitionBy(label).orderBy(F.xxhash64(F.col(key).cast("string"), F.lit(seed)), key)
+    order = Window.partitionBy(label).orderBy(seeded(key, seed), key)
     kept = frames.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
     n = kept.groupBy(label).agg(F.count("*").alias("n"))
     return kept.join(n, label).withColumn("is_val", F.col("place") <= F.floor(F.col("n") * hold)).drop("place", "n")

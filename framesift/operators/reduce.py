@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from framesift.functions import vectors
+from framesift.operators.sampling import uniform
 from framesift.operators.temporal import mean_vector
 
 
@@ -53,6 +54,64 @@ def pooled(cells: DataFrame, rows: int, cols: int, to_rows: int, to_cols: int) -
     return each.groupBy("key", "r", "c").agg(F.avg("value").alias("value"))
 
 
+def tube_slots(cells: DataFrame, frames: int, tube: int) -> DataFrame:
+    """cells (key, t, s, motion) as slots (key, slot, motion): the mean motion of each place s over each tube of frames; a rest of frames is in none."""
+    held = cells.where(F.col("t") < frames // tube * tube)
+    places = cells.agg((F.max("s") + 1).alias("places"))
+    each = held.join(F.broadcast(places)).withColumn("slot", F.floor(F.col("t") / tube) * F.col("places") + F.col("s"))
+    return each.groupBy("key", "slot").agg(F.greatest(F.avg("motion"), F.lit(1e-8)).alias("motion"))
+
+
+def masked_slots(weighted: DataFrame, ratio: float, seed: int) -> DataFrame:
+    """key, slot of int(slots x ratio) slots of each key, without replacement, with chances by weight."""
+    u = uniform(F.concat_ws("/", "key", "slot"), seed) + F.lit(2.0**-53)
+    place = F.row_number().over(Window.partitionBy("key").orderBy(-F.ln(u) / F.col("weight"), "slot"))
+    n = F.count("*").over(Window.partitionBy("key"))
+    return weighted.select("key", "slot", place.alias("place"), n.alias("n")).where(F.col("place") <= F.floor(F.col("n") * F.lit(ratio))).select("key", "slot")
+
+
+def token_split(masked: DataFrame, keys: DataFrame, frames: int, places: int, tube: int) -> DataFrame:
+    """key, index, is_masked of every token index t x places + s: masked in the frames of its key's masked slots."""
+    every = keys.select("key").distinct().withColumn("index", F.explode(F.sequence(F.lit(0), F.lit(frames * places - 1))))
+    t, s = F.floor(F.col("index") / places), F.col("index") % places
+    slotted = every.withColumn("slot", F.when(t < frames // tube * tube, F.floor(t / tube) * places + s))
+    return slotted.join(masked.withColumn("is_masked", F.lit(True)), ["key", "slot"], "left").select("key", "index", F.coalesce("is_masked", F.lit(False)).alias("is_masked"))
+
+
+def weighted_spread(cells: DataFrame, height: int, width: int, top: float = 0.2) -> DataFrame:
+    """key, spread: of the cells (key, y, x, value, edge) in the upper part `top` of values, the deviation in y and in x, as shares of the
+    height and width, weighted by edge over the largest edge plus 0.05; added up."""
+    ends = cells.groupBy("key").agg(F.percentile("value", F.lit(1 - top)).alias("least"), F.max("edge").alias("most"))
+    held = cells.join(ends, "key").where(F.col("value") >= F.col("least"))
+    held = held.select("key", (F.col("y") / height).alias("y"), (F.col("x") / width).alias("x"), (F.col("edge") / (F.col("most") + 1e-8) + 0.05).alias("w"))
+    mean = held.groupBy("key").agg(F.sum("w").alias("all"), *((F.sum(F.col(c) * F.col("w")) / F.sum("w")).alias(f"m{c}") for c in "yx"))
+    square = lambda c: F.sqrt(F.sum(F.col("w") * (F.col(c) - F.col(f"m{c}")) ** 2) / F.first("all"))
+    return held.join(mean, "key").groupBy("key").agg((square("y") + square("x")).alias("spread"))
+
+
+def block_sizes(signals: DataFrame) -> DataFrame:
+    """key, line, peak, size: the lag from 3 up to a third of the signal (79 at most) with the largest autocorrelation, the least among equals.
+
+    signals: key, line, values (array). Signals of under 16 values, without a lag to look at or without variance have size 0."""
+    n = F.size("values")
+    mean = F.aggregate("values", F.lit(0.0), lambda a, x: a + x) / n
+    centred = signals.select("key", "line", n.alias("n"), F.transform("values", lambda x: x - mean).alias("v"))
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, z: acc + z)
+    last = F.least(F.floor(F.col("n") / 3), F.lit(80)).cast("int") - 1
+    known = centred.withColumns({"norm": dot("v", "v"), "last": last})
+    at = lambda k: F.round(dot(F.slice("v", F.lit(1), F.col("n") - k), F.slice("v", k + 1, F.col("n") - k)) / F.col("norm"), 9)
+    lags = F.when((F.col("n") >= 16) & (F.col("last") >= 3) & (F.col("norm") >= 1e-10), F.transform(F.sequence(F.lit(3), F.greatest("last", F.lit(3))), at))
+    peak = F.array_max("lags")
+    return known.withColumn("lags", lags).select("key", "line", F.coalesce(peak, F.lit(0.0)).alias("peak"), F.coalesce(F.array_position("lags", peak).cast("int") + 2, F.lit(0)).alias("size"))
+
+
+def usual_block_size(sizes: DataFrame) -> DataFrame:
+    """key, size: the most frequent size over 0 of each key's lines, the least among equals; 0 if there is none."""
+    n = sizes.groupBy("key", "size").agg(F.count("*").alias("n"))
+    best = F.max(F.when(F.col("size") > 0, F.struct("n", (-F.col("size")).alias("m"))))["m"]
+    return n.groupBy("key").agg(F.coalesce(-best, F.lit(0)).alias("size"))
+
+
 def mask_weights(cells: DataFrame, sharpness: float, uniform: float = 0.3) -> DataFrame:
     """cells (key, slot, motion) with weight: 1 - uniform of the sharpened motion's share, and uniform of an equal share; equal where nothing moves."""
     total = cells.groupBy("key").agg(F.sum(F.pow("motion", F.lit(sharpness))).alias("t"), F.count("*").alias("n"))

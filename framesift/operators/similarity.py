@@ -1,7 +1,7 @@
 """Nearest neighbours across videos, reference sets, votes.
 
-Nearest neighbours are exact. Vectors are packed into blocks of a bounded size, each pair of blocks is one matrix product
-in some task, and the best of all blocks are merged by an aggregate; nothing of the size of the table is broadcast, and
+Nearest neighbours are exact. Vectors are packed into blocks of a bounded size, each pair of blocks meets once by an equal
+number and is one matrix product for both directions, and the best of all blocks are merged by an aggregate; nothing of the size of the table is broadcast, and
 no pair of rows is materialised.
 """
 
@@ -18,46 +18,65 @@ from framesift.functions import vectors
 
 #: Vectors of a block; decimals to which similarities are compared, so that equal vectors tie and the least id wins.
 BLOCK, DECIMALS = 2048, 9
+#: Largest reference set that is broadcast.
+MOST_BYTES = 64 << 20
+#: Added to ids of references (from 0 on) where they share a table with rows: they stay in order and are below all others.
+LOWEST = -(2**63)
 
 
-def _packed(frames: DataFrame, id_col: str, group_col: str) -> DataFrame:
-    """One row for each block: ids, groups and the unit vectors as one binary."""
+def _unit(x: np.ndarray) -> np.ndarray:
+    n = np.linalg.norm(x, axis=1, keepdims=True)
+    return x / np.where(n == 0, 1, n)
+
+
+def _packed(frames: DataFrame, id_col: str, group_col: str) -> tuple[DataFrame, int]:
+    """One row for each block: ids, groups and the unit vectors as one binary; and how many blocks there can be."""
     size = max(1, -(-frames.count() // BLOCK))
 
     def pack(frame: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(frame["v"].to_numpy()).astype(np.float64)
-        n = np.linalg.norm(x, axis=1, keepdims=True)
-        x /= np.where(n == 0, 1, n)
+        x = _unit(np.stack(frame["v"].to_numpy()).astype(np.float64))
         return pd.DataFrame({"block": frame["block"].iloc[:1], "ids": [frame["id"].to_numpy()], "groups": [frame["g"].to_numpy()], "matrix": [x.tobytes()]})
 
     rows = frames.where(F.col("embedding").isNotNull()).select(F.pmod(F.xxhash64(id_col), F.lit(size)).cast("int").alias("block"), F.col(id_col).alias("id"), F.col(group_col).cast("string").alias("g"), F.col("embedding").alias("v"))
-    return rows.groupBy("block").applyInPandas(pack, "block int, ids array<long>, groups array<string>, matrix binary")
+    return rows.groupBy("block").applyInPandas(pack, "block int, ids array<long>, groups array<string>, matrix binary"), size
 
 
-def nearest_other(frames: DataFrame, k: int = 1, id_col: str = "vec_id", group_col: str = "video") -> DataFrame:
-    """query, match, similarity, rank (from 1) of the k nearest vectors of other groups; equal similarities by id.
+def nearest_other(frames: DataFrame, k: int = 1, id_col: str = "vec_id", group_col: str = "video", queries: DataFrame | None = None) -> DataFrame:
+    """query, match, similarity, rank (from 1) of the k nearest vectors of other groups; equal similarities by id. queries: the ids that ask, if not all.
 
     Vectors must have one length; null vectors neither ask nor answer; one group alone gives no rows."""
-    blocks = _packed(frames, id_col, group_col)
-    left = blocks.select("ids", "groups", "matrix").withColumnsRenamed({"ids": "qi", "groups": "qg", "matrix": "qm"})
+    blocks, n = _packed(frames, id_col, group_col)
+    right = blocks.select(F.col("block").alias("other"), "ids", "groups", "matrix")
+    left = blocks if queries is None else _packed(frames.join(queries.select(id_col).distinct(), id_col, "left_semi"), id_col, group_col)[0]
+    # Of two blocks of the same set one product serves both directions, so each meets those of its own number and above.
+    others = F.explode(F.sequence(F.col("block") if queries is None else F.lit(0), F.lit(n - 1)))
+    left = left.select("block", others.alias("other"), F.col("ids").alias("qi"), F.col("groups").alias("qg"), F.col("matrix").alias("qm"))
+    both = queries is None
+
+    def top(sim: np.ndarray, asking: np.ndarray, ids: np.ndarray) -> Iterator[pd.DataFrame]:
+        """The best k of each row; columns are in the order of ids, so the first among equals has the least."""
+        every = np.arange(len(asking))
+        for _ in range(min(k, len(ids))):
+            at = sim.argmax(1)
+            got = sim[every, at]
+            real = got > -9
+            yield pd.DataFrame({"query": asking[real], "match": ids[at[real]], "similarity": got[real]})
+            sim[every, at] = -9
 
     def best(frames_: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames_:
             for r in frame.itertuples(index=False):
-                q = np.frombuffer(r.qm).reshape(len(r.qi), -1)
-                x = np.frombuffer(r.matrix).reshape(len(r.ids), -1)
-                ids, groups = np.asarray(r.ids), np.asarray(r.groups)
-                order = np.argsort(ids, kind="stable")
-                sim = np.round(q @ x[order].T, DECIMALS)
-                sim[np.asarray(r.qg)[:, None] == groups[order][None, :]] = -9
-                for _ in range(min(k, len(ids))):
-                    at = sim.argmax(1)
-                    got = sim[np.arange(len(q)), at]
-                    real = got > -9
-                    yield pd.DataFrame({"query": np.asarray(r.qi)[real], "match": ids[order][at[real]], "similarity": got[real]})
-                    sim[np.arange(len(q)), at] = -9
-
-    each = left.repartition("qi").crossJoin(blocks.select("ids", "groups", "matrix")).mapInPandas(best, "query long, match long, similarity double")
+                qi, ids = np.asarray(r.qi), np.asarray(r.ids)
+                a, b = np.argsort(qi, kind="stable"), np.argsort(ids, kind="stable")
+                q, x = np.frombuffer(r.qm).reshape(len(qi), -1)[a], np.frombuffer(r.matrix).reshape(len(ids), -1)[b]
+                group = np.unique(np.r_[np.asarray(r.qg)[a], np.asarray(r.groups)[b]], return_inverse=True)[1]
+                sim = np.round(q @ x.T, DECIMALS)
+                sim[group[: len(qi), None] == group[None, len(qi) :]] = -9
+                if both and r.block != r.other:
+                    yield from top(sim.T.copy(), ids[b], qi[a])
+                yield from top(sim, qi[a], ids[b])
+
+    each = left.join(right, "other").select("block", "other", "qi", "qg", "qm", "ids", "groups", "matrix").mapInPandas(best, "query long, match long, similarity double")
     if k == 1:
         top = each.groupBy("query").agg(F.max(F.struct("similarity", (-F.col("match")).alias("m"))).alias("b"))
         return top.select("query", (-F.col("b.m")).alias("match"), F.col("b.similarity").alias("similarity"), F.lit(1).alias("rank"))
@@ -107,14 +126,32 @@ def accuracy(rows: DataFrame) -> DataFrame:
     return sets.select(level.alias("level"), key.alias("key"), "n", rate("p").alias("phase_accuracy"), rate("s").alias("stype_accuracy"))
 
 
-def against_references(rows: DataFrame, references: DataFrame, most: int = 20_000) -> DataFrame:
-    """vec_id, ref_id, distance: the nearest reference (cosine distance, least id among equals). The reference set is broadcast; its size is checked."""
-    if references.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} references: use nearest_other on the union")
-    refs = F.broadcast(references.select(F.col("vec_id").alias("ref_id"), F.col("embedding").alias("r")))
-    d = F.round(vectors.distance(F.col("embedding"), F.col("r")), DECIMALS)
-    pairs = rows.select("vec_id", "embedding").join(refs).select("vec_id", F.struct(d.alias("distance"), "ref_id").alias("b"))
-    return pairs.groupBy("vec_id").agg(F.min("b").alias("b")).select("vec_id", "b.ref_id", "b.distance")
+def against_references(rows: DataFrame, references: DataFrame, most: int = MOST_BYTES) -> DataFrame:
+    """vec_id, ref_id, distance: the nearest reference (cosine distance, least id among equals); null vectors and an empty reference set give no rows.
+
+    References of up to `most` bytes are broadcast, and a batch of rows is one matrix product; larger sets are met block by
+    block, as in nearest_other."""
+    refs = references.where(F.col("embedding").isNotNull())
+    size = refs.agg(F.sum(F.size("embedding").cast("long") * 8).alias("b")).first().b or 0
+    if size > most:
+        every = rows.select(F.col("vec_id").alias("id"), F.lit("row").alias("side"), "embedding").unionByName(refs.select((F.col("vec_id") + LOWEST).alias("id"), F.lit("reference").alias("side"), "embedding"))
+        near = nearest_other(every, k=1, id_col="id", group_col="side", queries=rows.select(F.col("vec_id").alias("id")))
+        return near.select(F.col("query").alias("vec_id"), (F.col("match") - LOWEST).alias("ref_id"), F.round(1 - F.col("similarity"), DECIMALS).alias("distance"))
+    held = refs.select("vec_id", "embedding").orderBy("vec_id").collect() if size else []
+    if not held:
+        return rows.select("vec_id", F.lit(0).cast("long").alias("ref_id"), F.lit(0.0).alias("distance")).where("false")
+    shared = rows.sparkSession.sparkContext.broadcast((np.array([r.vec_id for r in held]), _unit(np.array([r.embedding for r in held], np.float64))))
+
+    def nearest(frames_: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, matrix = shared.value
+        for frame in frames_:
+            for at in range(0, len(frame), BLOCK):
+                part = frame.iloc[at : at + BLOCK]
+                d = np.round(1 - np.clip(_unit(np.stack(part["embedding"].to_numpy()).astype(np.float64)) @ matrix.T, -1, 1), DECIMALS)
+                best = d.argmin(1)
+                yield pd.DataFrame({"vec_id": part["vec_id"], "ref_id": ids[best], "distance": d[np.arange(len(part)), best]})
+
+    return rows.select("vec_id", "embedding").where("embedding is not null").mapInPandas(nearest, "vec_id long, ref_id long, distance double")
 
 
 def vote(frames: DataFrame, k: int, heat: float = 0.07) -> DataFrame:

@@ -6,9 +6,14 @@ places are windows over groups of videos; a table of videos has one row for each
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from framesift.functions import vectors
+from framesift.operators.sampling import seeded, uniform
+
 
 def targets(n: Column, ratios: tuple[float, float, float]) -> list[Column]:
     """train, val, test counts of a group of n: all to train under 3; else one each, the rest by ratio rounded half to even, residue to train."""
@@ -35,10 +40,6 @@ def summary(assigned: DataFrame) -> DataFrame:
     return rows.select(F.when(F.col("g") == 1, "all").otherwise(F.col("dataset").cast("string")).alias("dataset"), F.when(F.col("h") == 1, "all").otherwise(F.col("split")).alias("split"), "n_videos", "n_frames")
 
 
-def seeded(name: str, seed: int) -> Column:
-    return F.xxhash64(F.col(name).cast("string"), F.lit(seed))
-
-
 def random_choice(videos: DataFrame, share: float, seed: int) -> DataFrame:
     """videos with is_test: exactly round(n x share) of them, half to even."""
     n = videos.count()
@@ -98,21 +99,80 @@ def sampling_weights(frames: DataFrame, scores: DataFrame, alpha: float) -> Data
 
 def weighted_choice(rows: DataFrame, weight: str, key: str, n: int, seed: int) -> DataFrame:
     """n rows without replacement with chances by weight: the least of -ln(u) / weight for hashed uniform u."""
-    u = (F.pmod(seeded(key, seed), F.lit(2**52 - 1)) + 1) / F.lit(float(2**52))
-    return rows.where(F.col(weight) > 0).orderBy(-F.ln(u) / F.col(weight), key).limit(n)
+    return rows.where(F.col(weight) > 0).orderBy(-F.ln(uniform(key, seed) + F.lit(2.0**-53)) / F.col(weight), key).limit(n)
+
+
+def random_trials(videos: DataFrame, share: float, n: int) -> DataFrame:
+    """videos with trial (0 to n - 1) and is_test: exactly round(videos x share) of each trial, half to even."""
+    k = int(round(videos.count() * share))
+    each = videos.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    place = F.row_number().over(Window.partitionBy("trial").orderBy(seeded(F.concat_ws("/", "trial", "video"), 7), "video"))
+    return each.withColumn("is_test", place <= k)
+
+
+def stratified_trials(strata: DataFrame, share: float, n: int) -> DataFrame:
+    """strata (video, stratum, ...) with trial (0 to n - 1) and is_test: the quota of each stratum in each trial."""
+    each = strata.join(quotas(strata, share).select("stratum", "quota"), "stratum").withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    place = F.row_number().over(Window.partitionBy("trial", "stratum").orderBy(seeded(F.concat_ws("/", "trial", "video"), 7), "video"))
+    return each.withColumn("is_test", place <= F.col("quota")).drop("quota")
+
+
+def embedding_balances(chosen: DataFrame) -> DataFrame:
+    """trial, score: 0.9 x cosine distance of the parts' mean unit vectors + 0.1 x gap of their mean lengths in standard deviations.
+
+    chosen: trial, is_test, unit (array), length; a trial without either part has a null score."""
+    parts = chosen.groupBy("trial", "is_test").agg(Summarizer.mean(array_to_vector("unit")).alias("m"), F.avg("length").alias("length"))
+    spread = chosen.groupBy("trial").agg(F.greatest(F.stddev_pop("length"), F.lit(1e-6)).alias("std"))
+    side = lambda c, t: F.max(F.when(F.col("is_test") == t, F.col(c)))
+    wide = parts.withColumn("m", vector_to_array("m")).groupBy("trial").agg(*(side(c, t).alias(f"{c}_{int(t)}") for c in ("m", "length") for t in (False, True)))
+    gap = vectors.distance(F.col("m_0"), F.col("m_1"))
+    return wide.join(spread, "trial").select("trial", (0.9 * gap + 0.1 * F.abs(F.col("length_0") - F.col("length_1")) / F.col("std")).alias("score"))
+
+
+def cluster_counts(frames: DataFrame) -> DataFrame:
+    """video, cluster, n: frames of each cluster in each video."""
+    return frames.groupBy("video", "cluster").agg(F.count("*").alias("n"))
+
+
+def cluster_deviations(counts: DataFrame, chosen: DataFrame, target: float) -> DataFrame:
+    """trial, score: the largest distance of a cluster's share of frames in the test part from the target; empty clusters deviate by 0.
+
+    counts: video, cluster, n; chosen: trial, video, is_test."""
+    each = counts.join(chosen.select("trial", "video", "is_test"), "video").groupBy("trial", "cluster").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("is_test"), F.col("n")).otherwise(0)).alias("t"))
+    return each.groupBy("trial").agg(F.max(F.when(F.col("n") > 0, F.abs(F.col("t") / F.col("n") - F.lit(target))).otherwise(0.0)).alias("score"))
+
+
+def best_splits(scores: DataFrame, chosen: DataFrame, most: int) -> DataFrame:
+    """rank (from 1), trial, score, video, is_test of the `most` trials of the least score, earlier trials first among equals."""
+    top = scores.withColumn("score", F.round("score", 9)).orderBy("score", "trial").limit(most)
+    ranked = top.withColumn("rank", F.row_number().over(Window.partitionBy().orderBy("score", "trial")))
+    return chosen.select("trial", "video", "is_test").join(F.broadcast(ranked), "trial").select("rank", "trial", "score", "video", "is_test")
+
+
+def fast_split(frames: DataFrame, clusters: DataFrame, share: float, n: int, most: int) -> DataFrame:
+    """The best of n random splits by clusters, with the relative difference (percent) of the parts' mean lengths.
+
+    frames: video; clusters: video, cluster of each frame. rank, trial, score, video, is_test, length_difference."""
+    videos = frames.groupBy("video").agg(F.count("*").alias("length"))
+    chosen = random_trials(videos, share, n)
+    best = best_splits(cluster_deviations(cluster_counts(clusters), chosen, share), chosen, most)
+    side = lambda t: F.avg(F.when(F.col("is_test") == t, F.col("length")))
+    gaps = best.join(videos, "video").groupBy("rank").agg(relative_difference(side(True), side(False)).alias("length_difference"))
+    return best.join(F.broadcast(gaps), "rank")
+
+
+def label_sets(tools: DataFrame) -> DataFrame:
+    """video, missing, unexpected: labels by which a video's set differs from that of the first video; videos that agree are left out."""
+    sets = tools.groupBy("video").agg(F.array_sort(F.collect_set("label")).alias("own"))
+    first = sets.agg(F.min_by("own", "video").alias("want"))
+    both = sets.join(F.broadcast(first)).select("video", F.array_except("want", "own").alias("missing"), F.array_except("own", "want").alias("unexpected"))
+    return both.where((F.size("missing") > 0) | (F.size("unexpected") > 0))
 
 
 def trials(videos: DataFrame, columns: list[str], share: float, n: int) -> DataFrame:
-    """trial, score of random splits: the largest difference of a label's share in the test part from the whole. Trials are
-    rows that Spark deals out; every trial looks at all videos, which are broadcast after their count is checked."""
-    rows = videos.limit(100_001).count()
-    if rows > 100_000:
-        raise ValueError("more than 100,000 videos: sample trials over groups of them")
-    k = int(round(rows * share))
-    spark = videos.sparkSession
-    each = spark.range(n).withColumnRenamed("id", "trial").join(F.broadcast(videos.select("video", *columns)))
-    place = F.row_number().over(Window.partitionBy("trial").orderBy(F.xxhash64("trial", F.col("video").cast("string")), "video"))
-    chosen = each.withColumn("is_test", place <= k)
+    """trial, score of random splits: the largest difference of a label's share in the test part from the whole. Every
+    trial is a shuffled row set of its own; nothing is broadcast."""
+    chosen = random_trials(videos.select("video", *columns), share, n)
     sums = chosen.groupBy("trial").agg(*(F.sum(c).alias(f"{c}_all") for c in columns), *(F.sum(F.when(F.col("is_test"), F.col(c)).otherwise(0)).alias(f"{c}_test") for c in columns))
     gaps = [F.when(F.col(f"{c}_all") > 0, F.abs(F.col(f"{c}_test") / F.col(f"{c}_all") - F.lit(share))).otherwise(0.0) for c in columns]
     return sums.select("trial", F.greatest(*gaps).alias("score"))

@@ -44,12 +44,14 @@ def image_paths(spark, sf_dir):
     return ops.image_paths(spark.range(60).select(F.concat(F.lit("s"), F.col("id").cast("string")).alias("stem")), images)
 
 
-@query("labelled_sample")
+@query("labelled_sample", f"""with {FRAMES}, p as (select vec_id, phase, row_number() over (partition by phase order by md5(vec_id || ':7'), vec_id) as place from frames),
+k as (select *, count(*) over (partition by phase) as n from p where place <= 50) select vec_id, phase, place <= floor(n * 0.2) as is_val from k""")
 def labelled_sample(spark, sf_dir):
     return ops.labelled_sample(frames(spark, sf_dir), "phase", "vec_id", 50, 0.2, 7).select("vec_id", "phase", "is_val")
 
 
-@query("frame_fingerprints")
+@query("frame_fingerprints", f"""with {FRAMES}, r as (select video, sample_idx, row_number() over (partition by video order by sample_idx) as up, row_number() over (partition by video order by sample_idx desc) as down from frames)
+select video, md5(concat_ws('|', count(*), string_agg(sample_idx::varchar, ',' order by sample_idx) filter (where up <= 5), string_agg(sample_idx::varchar, ',' order by sample_idx) filter (where down <= 5))) as hash from r group by video""")
 def frame_fingerprints(spark, sf_dir):
     return ops.fingerprint(frames(spark, sf_dir))
 

@@ -106,23 +106,23 @@ def nearest_allowed(spark, sf_dir):
     return ops.nearest_allowed(f.where("frame % 4 <> 1"), f.where("frame % 4 = 1"))
 
 
-@query("interval_step", f"""with {BOXES}, f as (select distinct video, frame from boxes where frame % 3 = 0),
+@query("interval_step", f"""with {BOXES}, f as (select distinct video, frame from boxes),
 clips as (select video, i * 1000 as start, i * 1000 + 400 as "end" from (select video, unnest(range(0, max(frame) // 1000 + 1)) as i from f group by video)),
 a as (select f.video, f.frame, min(c.start) filter (where c.start > f.frame) as later, max(c."end") filter (where c."end" < f.frame) as earlier,
   bool_or(c.start <= f.frame + 1 and f.frame + 1 <= c."end") as up, bool_or(c.start <= f.frame - 1 and f.frame - 1 <= c."end") as down from f join clips c using (video) group by all)
 select video, frame, case when up then frame + 1 else later end as next_frame, case when down then frame - 1 else earlier end as prev_frame from a""")
 def interval_step(spark, sf_dir):
-    f = boxes(spark, sf_dir).where("frame % 3 = 0").select("video", "frame").distinct()
+    f = boxes(spark, sf_dir).select("video", "frame").distinct()
     clips = f.groupBy("video").agg(F.max("frame").alias("m")).select("video", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("m") / 1000))).alias("i"))
     return ops.step(f, clips.select("video", (F.col("i") * 1000).alias("start"), (F.col("i") * 1000 + 400).alias("end")))
 
 
 @query("frame_view", f"""with {_RANGES} select video, frame, oid, label, case when oof then null else x1 end as x1, x1 as raw_x1, oof, case when oof then start end as oof_start
-from (select b.*, start, coalesce(frame >= start and ("end" is null or frame <= "end"), false) as oof from boxes b left join ranges using (video, oid)) where video % 10 = 1""")
+from (select b.*, start, coalesce(frame >= start and ("end" is null or frame <= "end"), false) as oof from boxes b left join ranges using (video, oid))""")
 def frame_view(spark, sf_dir):
-    """The objects of each frame with box, raw box, and the start of the range in which one is out of frame; videos with a number ending in 1."""
+    """The objects of each frame with box, raw box, and the start of the range in which one is out of frame."""
     b = boxes(spark, sf_dir)
-    held = ops.hidden(b, _ranges(b)).where("video % 10 = 1").join(_ranges(b).select("video", "oid", "start"), ["video", "oid"], "left")
+    held = ops.hidden(b, _ranges(b)).join(_ranges(b).select("video", "oid", "start"), ["video", "oid"], "left")
     return held.select("video", "frame", "oid", "label", F.when(~F.col("oof"), F.col("x1")).alias("x1"), F.col("x1").alias("raw_x1"), "oof", F.when(F.col("oof"), F.col("start")).alias("oof_start"))
 
 
@@ -155,10 +155,10 @@ def box_iou(spark, sf_dir):
     return ops.overlaps(boxes(spark, sf_dir)).withColumn("max_iou", F.round("max_iou", 6))
 
 
-@query("annotation_size", f"""with {BOXES}, m as (select video, max(x2) as x, max(y2) as y from boxes where frame % 50 = 1 group by video)
+@query("annotation_size", f"""with {BOXES}, m as (select video, max(x2) as x, max(y2) as y from boxes group by video)
 select video, case {" ".join(f"when x <= {w} and y <= {h} then {w}" for w, h in _SIZES)} else x end as width, case {" ".join(f"when x <= {w} and y <= {h} then {h}" for w, h in _SIZES)} else y end as height from m""")
 def annotation_size(spark, sf_dir):
-    return ops.annotation_sizes(boxes(spark, sf_dir).where("frame % 50 = 1"), _SIZES)
+    return ops.annotation_sizes(boxes(spark, sf_dir), _SIZES)
 
 
 @query("crop_class_counts", f"with {BOXES} select label, count(*) as n from boxes where least(x2 - x1, y2 - y1) >= 24 and greatest(x2 - x1, y2 - y1) <= 512 group by label")
@@ -167,13 +167,13 @@ def crop_class_counts(spark, sf_dir):
     return boxes(spark, sf_dir).where((F.least(w, h) >= 24) & (F.greatest(w, h) <= 512)).groupBy("label").agg(F.count("*").alias("n"))
 
 
-_MERGE = """i as (select l_suppkey % 20 as video, l_orderkey as frame, count(*) as n_boxes, list_sort(list_distinct(list(l_returnflag))) as labels from lineitem where l_quantity > 40 group by all),
+_MERGE = """i as (select l_suppkey % 20 as video, l_orderkey as frame, count(*) as n_boxes, list_sort(list_distinct(list(l_returnflag))) as labels from lineitem group by all),
 p as (select o_custkey % 20 as video, o_orderkey as frame, min(o_orderkey % 3) as phase_id from orders where o_orderstatus <> 'P' group by all),
 m as (select video, frame, coalesce(array_to_string(labels, ','), '') as labels, coalesce(n_boxes, 0) as n_boxes, coalesce(phase_id, -1) as phase_id from i full join p using (video, frame))"""
 
 
 def _merged(spark, sf_dir):
-    line, orders = read(spark, sf_dir, "lineitem").where("l_quantity > 40"), read(spark, sf_dir, "orders").where("o_orderstatus <> 'P'")
+    line, orders = read(spark, sf_dir, "lineitem"), read(spark, sf_dir, "orders").where("o_orderstatus <> 'P'")
     a = line.select((F.col("l_suppkey") % 20).alias("video"), F.col("l_orderkey").alias("frame"), F.col("l_returnflag").alias("label"))
     b = orders.groupBy((F.col("o_custkey") % 20).alias("video"), F.col("o_orderkey").alias("frame")).agg(F.min(F.col("o_orderkey") % 3).alias("phase_id"))
     return ops.merged(a, b)

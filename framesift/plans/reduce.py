@@ -8,7 +8,7 @@ from framesift.functions import vectors
 from framesift.operators import reduce as ops
 from framesift.operators import temporal
 from framesift.plans.splits import videos
-from framesift.plans.tables import frames
+from framesift.plans.tables import FRAMES, frames
 from framesift.registry import query
 
 
@@ -60,6 +60,7 @@ def mask_weights(spark, sf_dir):
     return ops.mask_weights(cells, 2.0).select("key", "slot", F.round("weight", 7).alias("weight"))
 
 
-@query("centroid_norms")
+@query("centroid_norms", f"""with {FRAMES}, dims as (select video, d, avg(x) as m from (select video, unnest(range(len(embedding))) as d, unnest(embedding)::double as x from frames) group by all)
+select video, round(sqrt(sum(m * m)), 6) as norm from dims group by video""")
 def centroid_norms(spark, sf_dir):
     return temporal.mean_vector(frames(spark, sf_dir), ["video"]).select("video", F.round(vectors.norm(F.col("mean")), 6).alias("norm"))

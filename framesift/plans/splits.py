@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from framesift.functions import schedules
+from framesift.functions import schedules, vectors
+from framesift.operators import sampling
 from framesift.operators import splits as ops
 from framesift.operators import temporal
 from framesift.plans.tables import FRAMES, frames, read
-from framesift.plans.temporal import _SCORES, _scores
+from framesift.plans.temporal import _SCORES, _STATS6, _scores
 from framesift.registry import query
 
 _TYPES = ("click", "error", "purchase", "signup", "view")
@@ -21,6 +22,14 @@ assigned as (select video, dataset, n_frames, case when place <= tr then 'train'
 _TEST = f"{_VIDEOS}, split as (select *, video % 5 = 0 as is_test from videos)"
 
 
+def _md5(what: str, seed: str = "7") -> str:
+    return f"md5({what} || ':{seed}')"
+
+
+def _u(what: str, seed: str = "7") -> str:
+    return f"('0x' || substr({_md5(what, seed)}, 1, 13))::bigint / 4503599627370496.0"
+
+
 def videos(spark, sf_dir):
     e = read(spark, sf_dir, "events").withColumnRenamed("user_id", "video")
     return e.groupBy("video", (F.col("video") % 7).alias("dataset")).agg(F.count("*").alias("n_frames"), *(F.count_if(F.col("event_type") == t).alias(t) for t in _TYPES), F.sum("value").alias("length"))
@@ -95,8 +104,6 @@ select round(0.9 * (select 1 - sum(a * b) / (sqrt(sum(a * a)) * sqrt(sum(b * b))
 def embedding_balance(spark, sf_dir):
     """0.9 x cosine gap of the parts' mean unit centroids + 0.1 x gap of their lengths in standard deviations."""
     f = frames(spark, sf_dir)
-    from framesift.functions import vectors
-
     unit = temporal.mean_vector(f, ["video"]).select("video", vectors.scaled(F.col("mean")).alias("embedding"))
     part = F.col("video").startswith("cat0").alias("part")
     mean = temporal.mean_vector(unit.select("embedding", part), ["part"])
@@ -128,23 +135,34 @@ def stratified_quota(spark, sf_dir):
     return ops.quotas(_binned(spark, sf_dir).select("video", F.col("bin").alias("stratum")), 0.3)
 
 
-@query("stratified_split")
+_QUOTA = """n as (select bin as stratum, count(*) as n from binned group by bin),
+l as (select *, floor(n * 0.3)::bigint as low, round(n * 0.3 - floor(n * 0.3), 9) as rest from n),
+o as (select *, row_number() over (order by rest desc, stratum) as o, round_even(sum(n) over () * 0.3, 0) - sum(low) over () as missing from l),
+quota as (select stratum, low + case when o <= missing then 1 else 0 end as quota from o)"""
+
+
+@query("stratified_split", f"""with {_BINS}, {_QUOTA}, p as (select video, bin as stratum, row_number() over (partition by bin order by {_md5("video::varchar")}, video) as place from binned)
+select video, stratum, place <= quota as is_test from p join quota using (stratum)""")
 def stratified_split(spark, sf_dir):
     return ops.stratified(_binned(spark, sf_dir).select("video", F.col("bin").alias("stratum")), 0.3, 7)
 
 
-@query("random_split")
+@query("random_split", f"with {_VIDEOS} select video, row_number() over (order by {_md5('video::varchar')}, video) <= round_even(count(*) over () * 0.2, 0) as is_test from videos")
 def random_split(spark, sf_dir):
     return ops.random_choice(videos(spark, sf_dir).select("video"), 0.2, 7)
 
 
-@query("best_random_splits")
+_TRIALS = f"""{_VIDEOS}, chosen as (select v.*, trial, row_number() over (partition by trial order by {_md5("trial || '/' || video")}, video) <= (select round_even(count(*) * 0.2, 0) from videos) as is_test from videos v, range(0, 200) t(trial)),
+trials as (select trial, greatest({", ".join(f"case when sum({t}) > 0 then abs(sum({t}) filter (where is_test) / sum({t}) - 0.2) else 0 end" for t in _TYPES)}) as score from chosen group by trial)"""
+
+
+@query("best_random_splits", f"with {_TRIALS} select trial, round(score, 9) as score from trials order by 2, 1 limit 10")
 def best_random_splits(spark, sf_dir):
     """A report: the ten most even of 200 random splits."""
-    return ops.trials(videos(spark, sf_dir), list(_TYPES), 0.2, 200).orderBy("score", "trial").limit(10)
+    return ops.trials(videos(spark, sf_dir), list(_TYPES), 0.2, 200).withColumn("score", F.round("score", 9)).orderBy("score", "trial").limit(10)
 
 
-@query("random_split_baseline")
+@query("random_split_baseline", f"with {_TRIALS} select {_STATS6} from trials")
 def random_split_baseline(spark, sf_dir):
     t = ops.trials(videos(spark, sf_dir), list(_TYPES), 0.2, 200)
     return temporal.score_stats(t)
@@ -163,10 +181,85 @@ def sampling_weights(spark, sf_dir):
     return w.select("vec_id", F.round(F.col("weight") * 1000, 5).alias("weight"))
 
 
-@query("weighted_frames")
+_WEIGHTS = f"""{_SCORES}, top as (select video, max(score) as top from scores group by video), raw as (select vec_id, video, greatest(coalesce(top, 0), 1e-8) as raw from frames left join top using (video)),
+weights as (select vec_id, video, raw / sum(raw) over () as weight from raw)"""
+
+
+@query("weighted_frames", f"with {_WEIGHTS} select vec_id, video from weights order by -ln({_u('vec_id::varchar')} + 1.1102230246251565e-16) / weight, vec_id limit 100")
 def weighted_frames(spark, sf_dir):
+    """A sample of a hundred frames without replacement."""
     w = ops.sampling_weights(frames(spark, sf_dir), _scores(spark, sf_dir), 1.0)
-    return ops.weighted_choice(w.select("vec_id", "video", "weight"), "weight", "vec_id", 100, 7)
+    return ops.weighted_choice(w.select("vec_id", "video", "weight"), "weight", "vec_id", 100, 7).select("vec_id", "video")
+
+
+@query("weighted_draws", f"""with {_WEIGHTS}, r as (select vec_id, sum(weight) over (order by video, vec_id) as hi, sum(weight) over () as t from weights),
+p as (select vec_id, hi / t as hi, coalesce(lag(hi / t) over (order by hi), 0) as lo from r), d as (select i as draw, {_u("i::varchar")} as u from range(0, 500) t(i))
+select draw, vec_id from d join p on u >= lo and u < hi""")
+def weighted_draws(spark, sf_dir):
+    """Five hundred draws with replacement."""
+    w = ops.sampling_weights(frames(spark, sf_dir), _scores(spark, sf_dir), 1.0)
+    return sampling.weighted_draws(w, "weight", "vec_id", "video", 500, 7)
+
+
+_CHOSEN = f"""{FRAMES}, v as (select video, count(*) as length from frames group by video),
+dims as (select video, d, avg(x) as m from (select video, unnest(range(len(embedding))) as d, unnest(embedding)::double as x from frames) group by all),
+unit as (select video, d, m / sqrt(sum(m * m) over (partition by video)) as m from dims), s as (select video, length, substr(video, 1, 4) as stratum from v)"""
+_BALANCES = f"""{_CHOSEN}, n as (select stratum, count(*) as n from s group by stratum), l as (select *, floor(n * 0.3)::bigint as low, round(n * 0.3 - floor(n * 0.3), 9) as rest from n),
+o as (select *, row_number() over (order by rest desc, stratum) as o, round_even(sum(n) over () * 0.3, 0) - sum(low) over () as missing from l),
+quota as (select stratum, low + case when o <= missing then 1 else 0 end as quota from o),
+c as (select trial, video, length, row_number() over (partition by trial, stratum order by {_md5("trial || '/' || video")}, video) <= quota as is_test from s join quota using (stratum), range(0, 64) t(trial)),
+g as (select trial, d, avg(m) filter (where is_test) as a, avg(m) filter (where not is_test) as b from c join unit using (video) group by all),
+cosine as (select trial, 1 - sum(a * b) / (sqrt(sum(a * a)) * sqrt(sum(b * b))) as gap from g group by trial),
+balances as (select trial, round(0.9 * any_value(gap) + 0.1 * abs(avg(length) filter (where is_test) - avg(length) filter (where not is_test)) / greatest(stddev_pop(length), 1e-6), 6) as score from c join cosine using (trial) group by trial)"""
+
+
+@query("stratified_trials", f"with {_BALANCES} select trial, score from balances")
+def stratified_trials(spark, sf_dir):
+    """Stratified splits scored by the balance of embeddings and lengths."""
+    f = frames(spark, sf_dir)
+    unit = temporal.mean_vector(f, ["video"]).select("video", vectors.scaled(F.col("mean")).alias("unit"))
+    strata = f.groupBy("video").agg(F.count("*").alias("length")).withColumn("stratum", F.substring("video", 1, 4)).join(unit, "video")
+    scores = ops.embedding_balances(ops.stratified_trials(strata, 0.3, 64))
+    return scores.select("trial", F.round("score", 6).alias("score"))
+
+
+_CLUSTERED = f"""{FRAMES}, v as (select distinct video from frames), chosen as (select trial, video, row_number() over (partition by trial order by {_md5("trial || '/' || video")}, video) <= (select round_even(count(*) * 0.3, 0) from v) as is_test from v, range(0, 100) t(trial)),
+e as (select trial, vec_id * 7 % 11 % 6 as cluster, count(*) as n, count(*) filter (where is_test) as t from frames join chosen using (video) group by all),
+scores as (select trial, round(max(abs(t / n - 0.3)), 9) as score from e group by trial),
+best as (select *, row_number() over (order by score, trial) as rank from scores order by score, trial limit 5)"""
+
+
+def _best(spark, sf_dir):
+    f = frames(spark, sf_dir).withColumn("cluster", F.col("vec_id") * 7 % 11 % 6)
+    chosen = ops.random_trials(f.select("video").distinct(), 0.3, 100)
+    return ops.best_splits(ops.cluster_deviations(ops.cluster_counts(f), chosen, 0.3), chosen, 5)
+
+
+@query("best_cluster_splits", f"with {_CLUSTERED} select rank, trial, score, video, is_test from best join chosen using (trial)")
+def best_cluster_splits(spark, sf_dir):
+    """A report: the five random splits whose test parts are closest to a fixed share of every cluster."""
+    return _best(spark, sf_dir)
+
+
+@query("split_flags", f"with {_CLUSTERED} select video, {', '.join(f'max((rank = {r} and is_test)::int) as rank_{r}' for r in range(1, 6))} from best join chosen using (trial) group by video")
+def split_flags(spark, sf_dir):
+    from framesift.sinks import split_flags as flags
+
+    return flags(_best(spark, sf_dir))
+
+
+@query("cluster_video_counts", f"with {FRAMES} select video, vec_id * 7 % 11 % 6 as cluster, count(*) as n from frames group by all")
+def cluster_video_counts(spark, sf_dir):
+    return ops.cluster_counts(frames(spark, sf_dir).withColumn("cluster", F.col("vec_id") * 7 % 11 % 6))
+
+
+@query("fast_split")
+def fast_split(spark, sf_dir):
+    """The pipeline of a balanced split: clusters of the embeddings, random splits, the best three."""
+    from framesift.operators.reduce import spherical_clusters
+
+    f = frames(spark, sf_dir)
+    return ops.fast_split(f, spherical_clusters(f, 6).select("video", "cluster"), 0.3, 200, 3)
 
 
 @query("lr_schedule", """select s as step, round(case when s < 50 then 0.002 * s / 49 else 1e-6 + 0.5 * (0.002 - 1e-6) * (1 + cos(pi() * (s - 50) / 450)) end, 9) as rate,

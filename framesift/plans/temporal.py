@@ -34,6 +34,7 @@ def temporal_change(spark, sf_dir):
 
 
 _STATS = ", ".join(["count(score) as n", *(f"round({e}, 5) as {n}" for n, e in (("min", "min(score)"), ("max", "max(score)"), ("mean", "avg(score)"), ("std", "stddev_pop(score)"), *((k, f"quantile_cont(score, {p})") for k, p in (("p50", 0.5), ("p90", 0.9), ("p95", 0.95), ("p99", 0.99), ("p995", 0.995)))))])
+_STATS6 = ", ".join(["count(score) as n", *(f"round({e}, 6) as {n}" for n, e in (("min", "min(score)"), ("max", "max(score)"), ("mean", "avg(score)"), ("std", "stddev_pop(score)"), *((k, f"quantile_cont(score, {p})") for k, p in (("p50", 0.5), ("p90", 0.9), ("p95", 0.95), ("p99", 0.99), ("p995", 0.995)))))])
 
 
 @query("temporal_score_stats", f"with {_SCORES} select {_STATS} from scores")
@@ -70,7 +71,11 @@ def peaks_by_video(spark, sf_dir):
     return _scores(spark, sf_dir).where(F.round("score", 6) >= 0.7).groupBy("video").agg(F.count("*").alias("n"), F.round(F.max("score"), 6).alias("top")).orderBy(F.desc("top"), "video").limit(20)
 
 
-@query("temporal_peaks")
+@query("temporal_peaks", f"""with recursive {_SCORES}, r as (select video, position, score, row_number() over (partition by video order by score desc, position) as r from scores),
+k as (select distinct video, 0::bigint as r, []::bigint[] as kept from scores union all
+  select k.video, r.r, case when len(list_filter(k.kept, lambda p: abs(p - r.position) < {GAP})) = 0 then list_append(k.kept, r.position) else k.kept end from k join r on r.video = k.video and r.r = k.r + 1),
+last as (select video, arg_max(kept, r) as kept from k group by video)
+select video, position, round(score, 6) as score from (select video, unnest(kept) as position from last) join scores using (video, position)""")
 def temporal_peaks(spark, sf_dir):
     return ops.peaks(_scores(spark, sf_dir), GAP).select("video", "position", F.round("score", 6).alias("score"))
 

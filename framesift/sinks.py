@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -33,6 +35,47 @@ def scores(all_scores: DataFrame, peaks: DataFrame, path: str) -> None:
     score_stats(all_scores).write.mode("overwrite").json(f"{path}/stats")
 
 
+def filter_report(rows: DataFrame, path: str, distance: str = "distance") -> None:
+    """images/ by status with path and distance, and summary/ with the counts. rows: as catalog.filter_report gives them."""
+    rows.select("status", "path", distance).write.mode("overwrite").partitionBy("status").json(f"{path}/images")
+    rows.agg(F.count("*").alias("n_total"), F.count_if(F.col("status") == "out").alias("n_out"), F.count_if(F.col("status") == "keep").alias("n_keep")).write.mode("overwrite").json(f"{path}/summary")
+
+
+def path_list(listed: DataFrame, path: str) -> None:
+    """listed (nth, path) in order, each path once, where it stands first."""
+    from framesift.operators.catalog import first_of_each
+
+    first_of_each(listed, "path", "nth").select("nth", "path").write.mode("overwrite").json(path)
+
+
+def ranked_splits(best: DataFrame, path: str) -> None:
+    """videos/ in folders by rank and part, metrics/ with score and trial of each rank, flags/ with a row for each video and a column for each rank."""
+    part = F.when(F.col("is_test"), "test").otherwise("train")
+    best.select("rank", part.alias("part"), "video").write.mode("overwrite").partitionBy("rank", "part").csv(f"{path}/videos", header=True)
+    best.select("rank", "trial", "score").distinct().write.mode("overwrite").json(f"{path}/metrics")
+    split_flags(best).write.mode("overwrite").csv(f"{path}/flags", header=True)
+
+
+def split_flags(best: DataFrame) -> DataFrame:
+    """video and rank_1, ...: 1 where the video is in the test part of that rank."""
+    ranks = [r["rank"] for r in best.select("rank").distinct().orderBy("rank").collect()]  # as many as were asked for
+    return best.groupBy("video").agg(*(F.max(F.when((F.col("rank") == r) & F.col("is_test"), 1).otherwise(0)).alias(f"rank_{r}") for r in ranks))
+
+
+def evaluations(spark: SparkSession, evaluators: dict[str, Callable[[], DataFrame]], epoch: int, path: str) -> DataFrame:
+    """Run each evaluator (it gives metric, value) and append its rows with epoch and name; one that fails gives a row with its error."""
+    done = []
+    for name, run in evaluators.items():
+        try:
+            rows = [(epoch, name, r.metric, float(r.value), None) for r in run().select("metric", "value").collect()]
+        except Exception as e:  # whatever an evaluator raises is its result
+            rows = [(epoch, name, None, None, f"{type(e).__name__}: {e}"[:500])]
+        done += rows
+    out = spark.createDataFrame(done, "epoch int, evaluator string, metric string, value double, error string")
+    metrics(out, path)
+    return out
+
+
 def metrics(document: DataFrame, path: str) -> None:
     """Append a metric document; documents of one epoch stay side by side."""
     document.write.mode("append").json(path)

@@ -81,3 +81,13 @@ def sample_map(videos: DataFrame, sample_fps: float = 1.0) -> DataFrame:
     """video, sample_idx, source_frame: every max(1, round(fps / sample_fps))-th frame. videos: video, total, fps."""
     step = F.greatest(F.lit(1), F.bround(F.col("fps") / F.lit(sample_fps)).cast("int"))
     return videos.where("total > 0").select("video", F.posexplode(F.sequence(F.lit(0), F.col("total").cast("int") - 1, step)).alias("sample_idx", "source_frame"))
+
+
+def with_motion(frames: DataFrame, motion: DataFrame) -> DataFrame:
+    """frames (video, stem) with the `motion` of their map; null where there is none."""
+    return frames.join(motion.select("video", "stem", "motion"), ["video", "stem"], "left")
+
+
+def listed_vectors(listed: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Listed paths that exist and can be read, in their order, with their embedding. vectors: as read_embeddings gives them."""
+    return listed.join(vectors.where("embedding is not null and nth = 0").select("path", "embedding"), "path").select("nth", "path", "embedding")

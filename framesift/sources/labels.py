@@ -137,9 +137,13 @@ def tool_totals(tools: DataFrame, labels: list[str]) -> DataFrame:
 
 def detection_lines(spark: SparkSession, path: str) -> DataFrame:
     """file, class_id, cx, cy, w, h of lines with five numbers at least; others are skipped."""
-    p = F.split(F.trim("value"), r"\s+")
+    return detection_rows(spark.read.text(path).select(F.input_file_name().alias("file"), "value"))
+
+
+def detection_rows(lines: DataFrame) -> DataFrame:
+    """The same from lines (file, value)."""
     num = [F.get("p", i).try_cast("double") for i in range(1, 5)]
-    rows = spark.read.text(path).select(F.input_file_name().alias("file"), p.alias("p")).where(F.size("p") >= 5)
+    rows = lines.select("file", F.split(F.trim("value"), r"\s+").alias("p")).where(F.size("p") >= 5)
     out = rows.select("file", F.get("p", 0).try_cast("int").alias("class_id"), *(c.alias(n) for c, n in zip(num, ("cx", "cy", "w", "h"), strict=True)))
     return out.dropna(subset=["class_id", "cx", "cy", "w", "h"])
 
@@ -159,12 +163,45 @@ def exclusions(spark: SparkSession, path: str) -> DataFrame:
 
 def predictions(spark: SparkSession, path: str, phases: int) -> DataFrame:
     """frame, phase_1.. of a prediction file: a map from frame name to scores; frames without scores are left out."""
-    raw = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string,struct<phases_score_dist:array<double>>>").alias("m"))
+    return prediction_rows(spark.read.text(path, wholetext=True), phases)
+
+
+def prediction_rows(documents: DataFrame, phases: int) -> DataFrame:
+    """The same from documents (value)."""
+    raw = documents.select(F.from_json("value", "map<string,struct<phases_score_dist:array<double>>>").alias("m"))
     each = raw.select(F.explode("m").alias("frame", "v")).where("v.phases_score_dist is not null")
     return each.select("frame", *(F.get("v.phases_score_dist", i).alias(f"phase_{i + 1}") for i in range(phases)))
 
 
 def metric_series(spark: SparkSession, path: str, metric: str) -> DataFrame:
     """epoch, value of one metric by path (evaluator.name) in metric documents; null where it isn't there."""
-    raw = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("v"))
+    return metric_values(spark.read.text(path, wholetext=True), metric)
+
+
+def metric_values(documents: DataFrame, metric: str) -> DataFrame:
+    """The same from documents (value)."""
+    raw = documents.select(F.try_parse_json("value").alias("v"))
     return raw.select(F.try_variant_get("v", "$.epoch", "int").alias("epoch"), F.try_variant_get("v", f"$.metrics.{metric}", "double").alias("value"))
+
+
+def manifest(spark: SparkSession, path: str) -> DataFrame:
+    """video_id, embedding of a manifest file; a file without a column for either is an error."""
+    return manifest_rows(spark.read.csv(path, header=True))
+
+
+def manifest_rows(rows: DataFrame) -> DataFrame:
+    """video_id (videoNN) and embedding (its path) from the columns video_id or video_idx, and embedding or embedding_path."""
+    video = next((c for c in ("video_id", "video_idx") if c in rows.columns), None)
+    path = next((c for c in ("embedding", "embedding_path") if c in rows.columns), None)
+    if not video or not path:
+        raise ValueError("a manifest needs video_id or video_idx, and embedding or embedding_path")
+    text = F.col(video).cast("string")
+    digits = F.regexp_replace(text, r"\D", "")
+    named = F.when(digits == "", text).otherwise(names.numbered(digits.try_cast("long")))
+    return rows.select(F.when(F.lower(text).startswith("video"), named).otherwise(names.numbered(text.try_cast("double").cast("long"))).alias("video_id"), F.col(path).alias("embedding"))
+
+
+def path_list(spark: SparkSession, path: str) -> DataFrame:
+    """nth, path of a list of paths ({"paths": [...]}); an empty list, or none in the file, gives no rows."""
+    raw = spark.read.text(path, wholetext=True).select(F.from_json("value", "paths array<string>").alias("p"))
+    return raw.select(F.posexplode("p.paths").alias("nth", "path"))
