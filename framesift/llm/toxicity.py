@@ -175,15 +175,17 @@ def train(texts: list[str], toxic: np.ndarray, rounds: int = 30) -> Field:
     toxic = np.asarray(toxic, bool)
     if toxic.all() or not toxic.any():
         return field
-    w = words(texts)
-    f, doc = features(w), np.repeat(np.arange(len(texts)), np.diff(w.bounds))
+    held = [(features(w), np.diff(w.bounds)) for w in (words(block) for _, block in blocks(texts))]  # by blocks, as arrays of bytes are large
+    f, size = np.concatenate([x for x, _ in held], 1), np.concatenate([x for _, x in held])
+    del held
+    bounds, doc = np.r_[0, np.cumsum(size)], np.repeat(np.arange(len(texts)), size)
     tag = toxic[doc] & _marking(f, doc, toxic)[f].any(0)
     grad2, small = np.full(BUCKETS, 1e-6), np.full(6, 1e-6)
     weight = np.where(toxic, TOXIC_WEIGHT, 1.0)[doc]
     for k in range(rounds):
         # Every second round sees beginnings only, so that they must do without the whole word: new words have new endings.
         seen_f = f if k % 2 else f[1:3]
-        d = gradient(field.emit(seen_f), tag, w.bounds, field.trans, field.begin, weight)
+        d = gradient(field.emit(seen_f), tag, bounds, field.trans, field.begin, weight)
         g = np.zeros(BUCKETS)
         for one in seen_f:
             g += np.bincount(one, d.word, BUCKETS)
