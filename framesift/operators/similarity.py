@@ -78,8 +78,8 @@ def nearest_other(frames: DataFrame, k: int = 1, id_col: str = "vec_id", group_c
 
     each = left.join(right, "other").select("block", "other", "qi", "qg", "qm", "ids", "groups", "matrix").mapInPandas(best, "query long, match long, similarity double")
     if k == 1:
-        top = each.groupBy("query").agg(F.max(F.struct("similarity", (-F.col("match")).alias("m"))).alias("b"))
-        return top.select("query", (-F.col("b.m")).alias("match"), F.col("b.similarity").alias("similarity"), F.lit(1).alias("rank"))
+        top = each.groupBy("query").agg(F.max(F.struct("similarity", F.bitwise_not("match").alias("m"))).alias("b"))  # of equals the least id
+        return top.select("query", F.bitwise_not("b.m").alias("match"), F.col("b.similarity").alias("similarity"), F.lit(1).alias("rank"))
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), "match"))
     return each.withColumn("rank", rank).where(F.col("rank") <= k)
 
