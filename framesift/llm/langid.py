@@ -27,7 +27,8 @@ from framesift.llm.words import blocks, mix
 BUCKETS, DIM, SIZES = 1 << 13, 16, (2, 3, 4)
 #: Most training documents for each language and in all, and their longest text in characters.
 TRAIN_EACH, TRAIN_ALL, TRAIN_CHARS = 400, 2400, 60_000
-#: Parts of a language's documents that are ranked apart first, so that a frequent language isn't one task's work.
+#: Parts of a language's documents, by a hash, that are ranked apart first, each for four times its share of the sample, so that a
+#: frequent language isn't one task's work.
 SALTS = 32
 #: Among accepted texts of the calibration part, this share at least must be right.
 PRECISION = 0.995
@@ -149,8 +150,8 @@ def fit(documents: DataFrame, each: int = TRAIN_EACH, most: int = TRAIN_ALL) ->
     """A model from at most `each` documents of each language and `most` in all, chosen by a hash of the text."""
     known = documents.where(F.col("lang").isNotNull() & F.length("text").between(1, TRAIN_CHARS)).select("doc_id", "lang", F.xxhash64("text").alias("h"))
     salt = F.pmod("h", F.lit(SALTS)).alias("salt")
-    first = known.select("*", salt).withColumn("rank", F.row_number().over(Window.partitionBy("lang", "salt").orderBy("h", "doc_id"))).where(F.col("rank") <= each)
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))  # over SALTS * each rows of a language at most
+    first = known.select("*", salt).withColumn("rank", F.row_number().over(Window.partitionBy("lang", "salt").orderBy("h", "doc_id"))).where(F.col("rank") <= max(1, 4 * each // SALTS))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))  # over 4 * each rows of a language at most
     some = first.drop("rank", "salt").withColumn("rank", rank).where(F.col("rank") <= each).orderBy("rank", "lang").limit(most).select("doc_id", "h", F.col("lang").alias("as_lang"))
     got = documents.select("doc_id", "text").join(F.broadcast(some), "doc_id").where(F.xxhash64("text") == F.col("h")).select("text", "as_lang").distinct().orderBy("as_lang", "text").collect()
     got = [r for r in got if _LETTER.search(r.text)]
