@@ -36,12 +36,12 @@ def latest_config(spark, sf_dir):
     return ops.latest(read(spark, sf_dir, "events"), ["user_id"], "event_id", "props")
 
 
-@query("image_paths", """with i as (select p_partkey % 50 as s, case p_partkey % 3 when 0 then 'png' when 1 then 'JPG' else 'tif' end as x from part where p_partkey % 7 < 3)
-select 's' || s as stem, 's' || s || '.' || coalesce(min(case x when 'png' then 'png' end), min(case x when 'JPG' then 'JPG' end), 'jpg') as path from range(0, 60) t(s) left join i using (s) group by s""")
+@query("image_paths", """with i as (select p_partkey // 2 as s, case p_partkey % 3 when 0 then 'png' when 1 then 'JPG' else 'tif' end as x from part)
+select 's' || s as stem, 's' || s || '.' || coalesce(min(case x when 'png' then 'png' end), min(case x when 'JPG' then 'JPG' end), 'jpg') as path from i group by s""")
 def image_paths(spark, sf_dir):
     k = F.col("p_partkey")
-    images = read(spark, sf_dir, "part").where(k % 7 < 3).select(F.concat(F.lit("s"), (k % 50).cast("string")).alias("stem"), F.when(k % 3 == 0, "png").when(k % 3 == 1, "JPG").otherwise("tif").alias("suffix"))
-    return ops.image_paths(spark.range(60).select(F.concat(F.lit("s"), F.col("id").cast("string")).alias("stem")), images)
+    images = read(spark, sf_dir, "part").select(F.concat(F.lit("s"), F.floor(k / 2).cast("string")).alias("stem"), F.when(k % 3 == 0, "png").when(k % 3 == 1, "JPG").otherwise("tif").alias("suffix"))
+    return ops.image_paths(images.select("stem").distinct(), images)
 
 
 @query("labelled_sample", f"""with {FRAMES}, p as (select vec_id, phase, row_number() over (partition by phase order by md5(vec_id || ':7'), vec_id) as place from frames),
