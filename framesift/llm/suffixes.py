@@ -40,6 +40,8 @@ LENGTH, GRAM = 100, 24
 BATCH, MOST = 1500, 20_000
 #: Parts of the gram's places in a window, of the second key.
 PARTS = 4
+#: Share of the documents that is looked at for frequent keys, occurrences there that make a key frequent, the most such keys, and tasks over which one kind of such a key is spread. These decide where rows are sorted, never what is found.
+SAMPLE, OFTEN, FREQUENT, SALTS = 1 / 64, 8, 10_000, 32
 _P = 0x9E3779B97F4A7C15
 
 
@@ -341,14 +343,23 @@ def repeated_ranges(documents: DataFrame, length: int = LENGTH, most: int = MOST
         return split
 
     documents = documents.select("doc_id", "text").where("doc_id is not null")
-    found = map_frames(documents, find, "key long, kind long, doc_id long, first int, more int, gram_at short, again boolean")
-    same = Window.partitionBy("key", "kind").orderBy("doc_id", "first")
-    ranked = found.repartition("key").withColumn("nth", F.rank().over(same))
-    ends = Window.partitionBy("key")
-    ranked = saved(ranked.withColumns({"several": F.min("kind").over(ends) != F.max("kind").over(ends)}).where("several or nth > 1 or again"), "regions")
-    whole = ranked.where("nth > 1 or again").select("doc_id", F.col("first").cast("long").alias("first"), (F.col("first") + F.col("more")).cast("long").alias("last"))
-    first_ones = ranked.where("nth = 1 and several and not again").dropDuplicates(["key", "kind"])
-    counted = first_ones.withColumn("kinds", F.count("*").over(Window.partitionBy("key")))
+    columns = "key long, kind long, doc_id long, first int, more int, gram_at short, again boolean"
+    often = map_frames(documents.sample(SAMPLE, seed=7), find, columns).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN)
+    frequent = often.orderBy(F.desc("n"), "key").limit(FREQUENT).select("key", F.lit(True).alias("hot"))
+    # Rows of a frequent key are sorted by kind and salt in many tasks; so what is first there is the first of its salt only.
+    salted = F.when(F.col("hot"), F.xxhash64("kind", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))).otherwise(F.lit(0))
+    found = map_frames(documents, find, columns).join(F.broadcast(frequent), "key", "left").withColumns({"hot": F.coalesce("hot", F.lit(False)), "slot": salted})
+    same, ends = Window.partitionBy("key", "slot", "kind").orderBy("doc_id", "first"), Window.partitionBy("key", "slot")
+    ranked = found.repartition("key", "slot").withColumns({"nth": F.rank().over(same), "several": F.col("hot") | (F.min("kind").over(ends) != F.max("kind").over(ends))})
+    ranked = saved(ranked.where("several or nth > 1 or again").drop("slot"), "regions")
+    span = [F.col("first").cast("long").alias("first"), (F.col("first") + F.col("more")).cast("long").alias("last")]
+    candidates = ranked.where("nth = 1 and several and not again").select("hot", "key", "kind", "doc_id", "first", "more", "gram_at")
+    of_salts = candidates.where("hot").groupBy("key", "kind").agg(F.sort_array(F.collect_set(F.struct("doc_id", "first", "more", "gram_at"))).alias("held"))  # SALTS at most
+    first_ones = candidates.where("not hot").drop("hot").dropDuplicates(["key", "kind"]).unionByName(of_salts.select("key", "kind", F.col("held")[0].alias("h")).select("key", "kind", "h.*"))
+    later = of_salts.select(F.explode(F.slice("held", 2, SALTS)).alias("h")).select("h.*")
+    whole = ranked.where("nth > 1 or again").select("doc_id", *span).unionByName(later.select("doc_id", *span))
+    crowded = first_ones.groupBy("key").agg(F.count("*").alias("kinds")).where(F.col("kinds") > most)
+    counted = first_ones.join(crowded, "key", "left").withColumn("kinds", F.coalesce("kinds", F.lit(0)))
     wanted = counted.groupBy("doc_id").agg(F.collect_list(F.struct("key", "first", "more", "gram_at", "kinds")).alias("wanted"))
     regions_of = map_frames(packed(documents).join(wanted, "doc_id").select("doc_id", "packed", "wanted"), cut, "key long, doc_id long, first int, gram_at short, bytes binary, kinds long")
     heavy, out = counted, whole
@@ -361,7 +372,7 @@ def repeated_ranges(documents: DataFrame, length: int = LENGTH, most: int = MOST
         if not more:
             return out
         again = map_frames(regions_of.where(F.col("kinds") > most).drop("kinds"), finer(parts), "key long, kind long, doc_id long, first int, gram_at short, bytes binary")
-        again = saved(again.withColumn("nth", F.rank().over(same)), "finer")
+        again = saved(again.withColumn("nth", F.rank().over(Window.partitionBy("key", "kind").orderBy("doc_id", "first"))), "finer")
         out = out.unionByName(again.where("nth > 1").select("doc_id", F.col("first").cast("long").alias("first"), (F.col("first") + F.length("bytes") - length).cast("long").alias("last")))
         one = again.where("nth = 1").dropDuplicates(["key", "kind"]).drop("nth", "kind")
         several = one.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 1")

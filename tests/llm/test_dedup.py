@@ -63,6 +63,19 @@ def test_heavy_keys_are_split(spark, most):
     assert places(suffixes.repeated_ranges(df, most=most, batch=2)) == places(suffixes.repeated_ranges(df))
 
 
+@pytest.mark.parametrize("salts", [1, 3])
+def test_frequent_keys_are_spread(spark, monkeypatch, salts):
+    """Every key that occurs twice counts as frequent, so its rows are sorted by kind and salt, with the same result."""
+    monkeypatch.setattr(suffixes, "SAMPLE", 1.0)
+    monkeypatch.setattr(suffixes, "OFTEN", 2)
+    monkeypatch.setattr(suffixes, "SALTS", salts)
+    core = text(40)
+    docs = [*repeated_corpus(), *((100 + k, text(9) + core + text(9)) for k in range(8)), *((200 + k, core) for k in range(8))]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(7)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(bytes(r.kept)).hexdigest()) for r in suffixes.remove_repeats(df).collect()}
+    assert got == removed(docs, 100)
+
+
 def test_text_form_drops_cut_characters(spark):
     docs = [(1, "é" * 120, 120, "a"), (2, "a" + "é" * 120 + "b", 122, "a")]
     df = spark.createDataFrame(docs, "doc_id long, text string, n_chars long, lang string")
