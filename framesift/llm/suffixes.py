@@ -359,7 +359,8 @@ def repeated_ranges(documents: DataFrame, length: int = LENGTH, most: int = MOST
     later = of_salts.select(F.explode(F.slice("held", 2, SALTS)).alias("h")).select("h.*")
     whole = ranked.where("nth > 1 or again").select("doc_id", *span).unionByName(later.select("doc_id", *span))
     crowded = first_ones.groupBy("key").agg(F.count("*").alias("kinds")).where(F.col("kinds") > most)
-    counted = first_ones.join(crowded, "key", "left").withColumn("kinds", F.coalesce("kinds", F.lit(0)))
+    salt, salts = F.pmod(F.xxhash64("kind"), F.lit(SALTS)).alias("salt"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt")
+    counted = first_ones.select("*", salt).join(crowded.select("*", salts), ["key", "salt"], "left").withColumn("kinds", F.coalesce("kinds", F.lit(0)))
     wanted = counted.groupBy("doc_id").agg(F.collect_list(F.struct("key", "first", "more", "gram_at", "kinds")).alias("wanted"))
     regions_of = map_frames(packed(documents).join(wanted, "doc_id").select("doc_id", "packed", "wanted"), cut, "key long, doc_id long, first int, gram_at short, bytes binary, kinds long")
     heavy, out = counted, whole
