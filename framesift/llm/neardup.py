@@ -162,13 +162,20 @@ def _small_pairs(buckets: DataFrame, similar: float) -> DataFrame:
 
 
 def _large_pairs(buckets: DataFrame, turn: int) -> DataFrame:
-    """Candidates in large buckets between different labels. buckets: key, id, sketch, label."""
+    """Candidates in large buckets between different labels. buckets: key, n (texts of the bucket), id, sketch, label."""
     start = 1 + (turn * 11) % SKETCHES
     order = F.concat(F.slice("sketch", start, SKETCHES), F.slice("sketch", 1, start - 1) if start > 1 else F.array().cast("array<int>"))
-    by_order = Window.partitionBy("key").orderBy(order, "id")
     me = F.struct("id", "label", "sketch")
-    other = [F.lead(me, k).over(by_order) for k in range(1, NEAR + 1)] + [F.first(me).over(Window.partitionBy("key").orderBy(F.xxhash64("key", "id", F.lit(turn)), "id"))]
-    own = buckets.select("id", "label", "sketch", F.array(*other).alias("others"))
+    # A bucket of over BLOCK texts is sorted in parts: by the first sketch of the order, and those that agree in it by a hash.
+    lead = F.element_at("sketch", start).alias("lead")
+    sizes = buckets.where(F.col("n") > BLOCK).groupBy("key", lead).agg(F.count("*").alias("agree"))
+    held = buckets.select("key", "n", "id", "label", "sketch", lead).join(sizes, ["key", "lead"], "left")
+    some = F.xxhash64("lead", F.pmod(F.xxhash64("id", "key", F.lit(turn)), F.ceil(F.col("agree") / BLOCK)))
+    held = held.withColumn("part", F.when(F.col("n") > BLOCK, some).otherwise(F.lit(0)))
+    parts = Window.partitionBy("key", "part")
+    by_order, by_chance = parts.orderBy(order, "id"), parts.orderBy(F.xxhash64("key", "id", F.lit(turn)), "id")
+    other = [F.lead(me, k).over(by_order) for k in range(1, NEAR + 1)] + [F.first(me).over(by_chance)]
+    own = held.select("id", "label", "sketch", F.array(*other).alias("others"))
     good = F.filter("others", lambda o: o.isNotNull() & (o["label"] != F.col("label")) & (_agree(o["sketch"], F.col("sketch")) >= AGREE))
     # An id meets the same neighbours in many buckets: it has SKETCHES / ROWS of them, so its list is short.
     met = own.select("id", F.transform(good, lambda o: o["id"]).alias("met")).groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("met"))).alias("met"))
