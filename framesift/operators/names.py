@@ -1,8 +1,7 @@
 """Name resolution: which directory a name means, by rules in order of rank.
 
-Rules are equi joins on derived keys, one for each rule; containment alone compares names with directories. The list of
-directories is a dimension: its size is checked before it is broadcast, and beyond that containment is left out
-(an error says so) while the equi joins need no broadcast.
+Rules are equi joins on derived keys, one for each rule. Containment is one too: a name meets the directories that hold
+its rarest part of GRAM characters, and is then looked for in them. So no list is broadcast or compared with all names.
 """
 
 from __future__ import annotations
@@ -12,14 +11,40 @@ from pyspark.sql import functions as F
 
 from framesift.functions import names as fn
 
-#: Directories with which every name may be compared by containment.
-MOST = 50_000
+#: Characters of the parts of names by which directories that contain them are found; shorter names are a part themselves.
+GRAM = 3
+
+
+def _beginnings(text: Column) -> Column:
+    """A directory's name up to each of its dashes and underscores."""
+    ends = F.filter(F.sequence(F.lit(1), F.length(text)), lambda i: F.substring(text, i, F.lit(1)).isin("_", "-"))
+    return F.transform(ends, lambda i: F.substring(text, F.lit(1), i - 1))
 
 
 def _keys(text: Column) -> Column:
     """A directory's name up to each of its dashes and underscores, and the whole name."""
-    ends = F.filter(F.sequence(F.lit(1), F.length(text)), lambda i: F.substring(text, i, F.lit(1)).isin("_", "-"))
-    return F.concat(F.transform(ends, lambda i: F.substring(text, F.lit(1), i - 1)), F.array(text))
+    return F.concat(_beginnings(text), F.array(text))
+
+
+def _parts(text: Column, k: int) -> Column:
+    """All parts of k characters, each once; none of shorter texts."""
+    last = F.length(text) - k + 1
+    every = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substring(text, i, F.lit(k)))
+    return F.when(last >= 1, F.array_distinct(every)).otherwise(F.array().cast("array<string>"))
+
+
+def containing(names: DataFrame, low: DataFrame) -> DataFrame:
+    """name, dir, nth of every directory (dir, nth, low: where to look) that contains a name; an empty name has the first one only.
+    Case is ignored; null names and directories meet none."""
+    asked = names.select("name", F.lower("name").alias("n")).distinct().where("n is not null")
+    own = F.when(F.length("n") < GRAM, F.array("n")).otherwise(_parts(F.col("n"), GRAM))
+    held = low.select("dir", "nth", "low", F.explode(F.concat(*(_parts(F.col("low"), k) for k in range(1, GRAM + 1)))).alias("part"))
+    often = held.groupBy("part").agg(F.count("*").alias("often"))
+    each = asked.select("name", "n", F.explode(own).alias("part")).join(often, "part", "left")
+    rarest = each.groupBy("name", "n").agg(F.min(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "part"))["part"].alias("part"))
+    found = rarest.join(held, "part").where(F.contains("low", "n")).select("name", "dir", "nth")
+    first = low.where("low is not null").agg(F.min(F.struct("nth", "dir")).alias("d")).where("d is not null")
+    return found.unionByName(asked.where("n = ''").join(F.broadcast(first)).select("name", "d.dir", "d.nth"))
 
 
 def resolve(names: DataFrame, dirs: DataFrame, pair: tuple[str, str] = ("RS", "TL"), contains: bool = True) -> DataFrame:
@@ -35,9 +60,7 @@ def resolve(names: DataFrame, dirs: DataFrame, pair: tuple[str, str] = ("RS", "T
     by_id = asked.join(begun, "id").select("name", "dir", "nth", (F.col("v") * 2 + 1).alias("rank"), F.lit("id").alias("rule"))
     found = exact.unionByName(by_id)
     if contains:
-        if dirs.limit(MOST + 1).count() > MOST:
-            raise ValueError(f"more than {MOST} directories: resolve(..., contains=False)")
-        held = names.select("name").distinct().join(F.broadcast(low), F.contains(F.col("low"), F.lower("name")))
+        held = containing(names, low)
         found = found.unionByName(held.select("name", "dir", "nth", F.lit(100).alias("rank"), F.lit("contains").alias("rule")))
     best = found.groupBy("name").agg(F.min(F.struct("rank", "nth", "dir", "rule")).alias("b"))
     return names.select("name").distinct().join(best, "name", "left").select("name", F.col("b.dir").alias("dir"), F.col("b.rule").alias("rule"))
@@ -46,14 +69,13 @@ def resolve(names: DataFrame, dirs: DataFrame, pair: tuple[str, str] = ("RS", "T
 def resolve_by_prefix(names: DataFrame, dirs: DataFrame) -> DataFrame:
     """name, dir: the older rules. The equal of the last path part; else the first directory that begins with the name's prefix key
     and a dash or underscore, or contains the name."""
-    if dirs.limit(MOST + 1).count() > MOST:
-        raise ValueError(f"more than {MOST} directories")
-    part = F.lower(F.substring_index("dir", "/", -1))
-    low = F.broadcast(dirs.select("dir", "nth", part.alias("low")))
+    low = dirs.select("dir", "nth", F.lower(F.substring_index("dir", "/", -1)).alias("low"))
     asked = names.select("name", F.lower("name").alias("n"), F.lower(fn.prefix_key(F.col("name"))).alias("p")).distinct()
-    begins = F.col("low").startswith(F.concat("p", F.lit("_"))) | F.col("low").startswith(F.concat("p", F.lit("-"))) | F.contains("low", "n")
-    hit = asked.join(low, (F.col("low") == F.col("n")) | begins)
-    best = hit.groupBy("name").agg(F.min(F.struct(F.when(F.col("low") == F.col("n"), 0).otherwise(1).alias("rank"), "nth", "dir"))["dir"].alias("dir"))
+    begun = low.select("dir", "nth", F.explode(F.array_distinct(_beginnings(F.col("low")))).alias("p"))
+    hits = asked.join(low, F.col("n") == F.col("low")).select("name", F.lit(0).alias("rank"), "nth", "dir")
+    for more in (asked.join(begun, "p"), containing(names, low)):
+        hits = hits.unionByName(more.select("name", F.lit(1).alias("rank"), "nth", "dir"))
+    best = hits.groupBy("name").agg(F.min(F.struct("rank", "nth", "dir"))["dir"].alias("dir"))
     return names.select("name").distinct().join(best, "name", "left")
 
 

@@ -147,6 +147,16 @@ def test_resolution_needs_a_separator(spark):
     assert collisions(resolve(n, d)).count() == 0
 
 
+def test_containment_of_short_empty_and_null_names(spark):
+    from framesift.operators.names import containing
+
+    asked = ["", "a", "ab", "abc", "b_ab", "ABCA", "zz", "é", None, "abcabcabcabc", "ca"]
+    held = ["abcab", "xxab_abc", "b_abc", "", None, "caé", "abcab"]
+    n, low = spark.createDataFrame([(x,) for x in asked], "name string"), spark.createDataFrame([(f"d{k}", k, x) for k, x in enumerate(held)], "dir string, nth int, low string")
+    got = sorted((r.name, r.nth) for r in containing(n, low).collect())
+    assert got == sorted([("", 0), *((x, k) for x in asked if x for k, h in enumerate(held) if h and x.lower() in h)])
+
+
 def test_iou_and_empty_boxes(spark):
     b = [F.lit(float(x)) for x in (0, 0, 2, 2)]
     c = [F.lit(float(x)) for x in (1, 1, 3, 3)]
