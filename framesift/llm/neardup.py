@@ -39,6 +39,8 @@ from framesift.llm.words import blocks, mix, shingles, words
 SKETCHES, ROWS, RUN, SIMILAR = 32, 2, 5, 0.8
 #: Largest bucket of which all pairs are candidates at once; neighbours to each text of a larger one in the rounds before its rest is compared; how often; agreeing sketches that a pair needs in these rounds (a pair of similarity 0.8 has 20 of 32 on average).
 SMALL, NEAR, ROUNDS, AGREE = 24, 4, 4, 12
+#: Texts that are sorted together in a round, about.
+PART = 200
 #: Texts and runs of one block of a large bucket, about; occurrences up to which a run's pairs are listed and not multiplied.
 BLOCK, BLOCK_RUNS, RARE = 1000, 500_000, 8
 _FACTORS = mix(np.arange(1, SKETCHES + 1, dtype=np.uint64), 101) | np.uint64(1)
@@ -161,17 +163,27 @@ def _small_pairs(buckets: DataFrame, similar: float) -> DataFrame:
     return left.join(right, "key").where("a < b").where(F.least("na", "nb") >= F.greatest("na", "nb") * similar - 1e-9).select("a", "b").distinct()
 
 
-def _large_pairs(buckets: DataFrame, turn: int) -> DataFrame:
-    """Candidates in large buckets between different labels. buckets: key, n (texts of the bucket), id, sketch, label."""
-    start = 1 + (turn * 11) % SKETCHES
+def _start(turn: int) -> int:
+    """Place of the sketch that leads the order of a round, from 1."""
+    return 1 + (turn * 11) % SKETCHES
+
+
+def _leads(large: DataFrame) -> DataFrame:
+    """turn, key, lead, agree: how many texts of a bucket of over PART agree in the sketch that leads a round, where over PART do."""
+    crowded = large.select(F.explode(F.filter("places", lambda p: p["n"] > PART)["key"]).alias("key"), F.array(*(F.element_at("sketch", _start(t)) for t in range(ROUNDS))).alias("leads"))
+    return crowded.select("key", F.posexplode("leads").alias("turn", "lead")).groupBy("turn", "key", "lead").agg(F.count("*").alias("agree")).where(F.col("agree") > PART)
+
+
+def _large_pairs(large: DataFrame, leads: DataFrame, turn: int) -> DataFrame:
+    """Candidates in large buckets between different labels. large: id, sketch, label, places (key, band and n, the texts of the bucket)."""
+    start = _start(turn)
     order = F.concat(F.slice("sketch", start, SKETCHES), F.slice("sketch", 1, start - 1) if start > 1 else F.array().cast("array<int>"))
     me = F.struct("id", "label", "sketch")
-    # A bucket of over BLOCK texts is sorted in parts: by the first sketch of the order, and those that agree in it by a hash.
-    lead = F.element_at("sketch", start).alias("lead")
-    sizes = buckets.where(F.col("n") > BLOCK).groupBy("key", lead).agg(F.count("*").alias("agree"))
-    held = buckets.select("key", "n", "id", "label", "sketch", lead).join(sizes, ["key", "lead"], "left")
-    some = F.xxhash64("lead", F.pmod(F.xxhash64("id", "key", F.lit(turn)), F.ceil(F.col("agree") / BLOCK)))
-    held = held.withColumn("part", F.when(F.col("n") > BLOCK, some).otherwise(F.lit(0)))
+    # A bucket of over PART texts is sorted in parts: by the first sketch of the order, and those that agree in it by a hash.
+    each = large.select("id", "label", "sketch", F.element_at("sketch", start).alias("lead"), F.explode("places").alias("p")).select("*", "p.key", "p.n").drop("p")
+    held = each.join(leads.where(F.col("turn") == turn).drop("turn"), ["key", "lead"], "left")
+    some = F.xxhash64("lead", F.pmod(F.xxhash64("id", "key", F.lit(turn)), F.ceil(F.coalesce("agree", F.lit(1)) / PART)))
+    held = held.withColumn("part", F.when(F.col("n") > PART, some).otherwise(F.lit(0)))
     parts = Window.partitionBy("key", "part")
     by_order, by_chance = parts.orderBy(order, "id"), parts.orderBy(F.xxhash64("key", "id", F.lit(turn)), "id")
     other = [F.lead(me, k).over(by_order) for k in range(1, NEAR + 1)] + [F.first(me).over(by_chance)]
@@ -273,20 +285,21 @@ def links_within(ids: np.ndarray, labels: np.ndarray, side: np.ndarray, sketch:
 def _remaining(large: DataFrame, label: DataFrame, runs: DataFrame, similar: float) -> DataFrame:
     """Links (a, b) between different labels in large buckets, of all pairs that share one; those that follow from others are left out.
 
-    large: key, band, id, n_runs, sketch. A bucket is cut into blocks by a hash of the id, and each two blocks meet in a group of their own."""
+    large: id, n_runs, sketch, places (key, band). A bucket is cut into blocks by a hash of the id, and each two blocks meet in a group of their own."""
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
         texts = [np.frombuffer(x, np.uint32) for x in frame["runs"]]
         got = links_within(frame["id"].to_numpy(), frame["label"].to_numpy(), frame["mine"].to_numpy(), np.array(frame["sketch"].tolist()), texts, int(frame["band"].iloc[0]), similar)
         return pd.DataFrame(got, columns=["a", "b"], dtype="int64")
 
-    held = large.join(label, "id")
+    labelled = large.join(label, "id")
+    held = saved(labelled.select("id", "label", "n_runs", F.explode("places").alias("p")).select("id", "label", "n_runs", "p.key", "p.band"), "held")
     parts = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n_runs") / BLOCK_RUNS)).cast("int")
     mixed = held.groupBy("key").agg(parts.alias("parts"), F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("key", "parts")
     mine = F.pmod(F.xxhash64("id", "key"), F.col("parts")).cast("int").alias("mine")
-    asked = held.join(mixed, "key").select("id", "label", "sketch", F.struct("key", "band", "parts", mine).alias("place"))
-    each = asked.groupBy("id").agg(F.first("label").alias("label"), F.first("sketch").alias("sketch"), F.collect_list("place").alias("places"))
-    spread = each.join(runs, "id").select("id", "label", "sketch", "runs", F.explode("places").alias("p")).select("id", "label", "sketch", "runs", "p.*")
+    asked = held.join(mixed, "key").groupBy("id").agg(F.collect_list(F.struct("key", "band", "parts", mine)).alias("asked"))
+    each = labelled.select("id", "label", "sketch").dropDuplicates(["id"]).join(asked, "id")
+    spread = each.join(runs, "id").select("id", "label", "sketch", "runs", F.explode("asked").alias("p")).select("id", "label", "sketch", "runs", "p.*")
     spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     met = spread.select("key", "band", "mine", "id", "label", "sketch", "runs", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"))
     return met.groupBy("key", "lo", "hi").applyInPandas(compare, "a long, b long")
@@ -298,17 +311,21 @@ def near_duplicates(documents: DataFrame, similar: float = SIMILAR) -> DataFrame
         all_rows = keep(sketches(documents), "sketches")
         entries = all_rows.groupBy("w0", "w1").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("n_runs").alias("n_runs"))
         entries = saved(entries, "entries")
-        each = entries.select("id", F.posexplode("bands").alias("band", "key")).where("id is not null")
+        each = entries.where("id is not null").select("w0", "w1", F.posexplode("bands").alias("band", "key"))
         shared = each.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-        buckets = saved(each.join(shared, "key").join(entries.select("id", "sketch", "n_runs"), "id").select("key", "band", "id", "n", "n_runs", "sketch"), "buckets")
+        # What a text is compared by stays in one row for each text; its places in buckets are a list, one for each band at most.
+        places = each.join(shared, "key").groupBy("w0", "w1").agg(F.collect_list(F.struct("key", "band", "n")).alias("places"))
+        buckets = saved(entries.select("w0", "w1", "id", "sketch", "n_runs").join(places, ["w0", "w1"]).drop("w0", "w1"), "buckets")
         ids = saved(buckets.select("id").distinct(), "ids")
         runs = saved(_sequences(documents, ids), "runs")
-        tried = saved(_small_pairs(buckets.where(F.col("n") <= SMALL), similar), "pairs")
+        small = buckets.select("id", "n_runs", F.explode(F.filter("places", lambda p: p["n"] <= SMALL)["key"]).alias("key"))
+        tried = saved(_small_pairs(small, similar), "pairs")
         label = joined(ids.withColumn("label", F.col("id")), _verified(tried, runs, similar))
-        large = buckets.where(F.col("n") > SMALL)
+        large = saved(buckets.withColumn("places", F.filter("places", lambda p: p["n"] > SMALL)).where(F.size("places") > 0), "large")
         if large.limit(1).count():
+            leads = saved(_leads(large), "leads")
             for turn in range(ROUNDS):
-                pairs = saved(_large_pairs(large.join(label, "id"), turn).join(tried.hint("merge"), ["a", "b"], "left_anti"), "pairs")
+                pairs = saved(_large_pairs(large.join(label, "id"), leads, turn).join(tried.hint("merge"), ["a", "b"], "left_anti"), "pairs")
                 new = saved(_verified(pairs, runs, similar), "links")
                 if turn >= 2 and not new.limit(1).count():
                     break

@@ -163,6 +163,7 @@ def classes(docs):
 def test_near_duplicates_by_brute_force(spark, monkeypatch, small, block):
     monkeypatch.setattr(neardup, "SMALL", small)
     monkeypatch.setattr(neardup, "BLOCK", block)
+    monkeypatch.setattr(neardup, "PART", min(block, neardup.PART))
     base = [text(120) for _ in range(4)]
     docs = [(0, None), (1, ""), (2, "one two three"), (3, "One two, three!"), (4, text(4000))]
     docs += [(10 + 20 * b + k, edit(base[b], k % 3) if k else base[b]) for b in range(4) for k in range(15)]
