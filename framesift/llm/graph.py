@@ -40,8 +40,7 @@ def _components(links: DataFrame) -> DataFrame:
 
 
 def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """labels (id, label) after these links (a, b): only the graph of labels that the links join is looked at. Ids of links must have labels."""
-    a, b = (labels.select(F.col("id").alias(c), F.col("label").alias(f"label_{c}")) for c in ("a", "b"))
-    between = links.join(a, "a").join(b, "b").where("label_a <> label_b").select(F.least("label_a", "label_b").alias("a"), F.greatest("label_a", "label_b").alias("b")).distinct()
+    """labels (id, label) after links between labels (la, lb): only the graph of labels that the links join is looked at."""
+    between = links.where("la <> lb").select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct()
     new = components(between).select(F.col("id").alias("label"), F.col("label").alias("least"))
     return saved(labels.join(new, "label", "left").select("id", F.coalesce("least", "label").alias("label")), "labels")

@@ -175,7 +175,7 @@ def _leads(large: DataFrame) -> DataFrame:
 
 
 def _large_pairs(large: DataFrame, leads: DataFrame, turn: int) -> DataFrame:
-    """Candidates in large buckets between different labels. large: id, sketch, label, places (key, band and n, the texts of the bucket)."""
+    """a, b, la, lb: candidates in large buckets between different labels, and these. large: id, sketch, label, places (key, band and n, the texts of the bucket)."""
     start = _start(turn)
     order = F.concat(F.slice("sketch", start, SKETCHES), F.slice("sketch", 1, start - 1) if start > 1 else F.array().cast("array<int>"))
     me = F.struct("id", "label", "sketch")
@@ -190,9 +190,10 @@ def _large_pairs(large: DataFrame, leads: DataFrame, turn: int) -> DataFrame:
     own = held.select("id", "label", "sketch", F.array(*other).alias("others"))
     good = F.filter("others", lambda o: o.isNotNull() & (o["label"] != F.col("label")) & (_agree(o["sketch"], F.col("sketch")) >= AGREE))
     # An id meets the same neighbours in many buckets: it has SKETCHES / ROWS of them, so its list is short.
-    met = own.select("id", F.transform(good, lambda o: o["id"]).alias("met")).groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("met"))).alias("met"))
-    each = met.select("id", F.explode("met").alias("other"))
-    return each.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+    known = F.transform(good, lambda o: F.struct(o["id"].alias("id"), o["label"].alias("label")))
+    met = own.select("id", "label", known.alias("met")).groupBy("id", "label").agg(F.array_distinct(F.flatten(F.collect_list("met"))).alias("met"))
+    each = met.select(F.struct("id", "label").alias("one"), F.explode("met").alias("other")).select(F.least("one", "other").alias("x"), F.greatest("one", "other").alias("y"))
+    return each.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.label").alias("la"), F.col("y.label").alias("lb")).distinct()
 
 
 def _sequences(documents: DataFrame, ids: DataFrame) -> DataFrame:
@@ -212,15 +213,15 @@ def _sequences(documents: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, runs: DataFrame, similar: float) -> DataFrame:
-    """The pairs (a, b) whose sequences are similar, with the similarity."""
+    """The pairs (a, b, and their labels la, lb) whose sequences are similar, with the similarity."""
 
     def align(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             got = aligned([(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)) for x, y in zip(frame["ra"], frame["rb"], strict=True)], similar)
-            yield pd.DataFrame({"a": frame["a"], "b": frame["b"], "similarity": got})[got > 0]
+            yield frame[["a", "b", "la", "lb"]].assign(similarity=got)[got > 0]
 
     both = pairs.join(runs.select(F.col("id").alias("a"), F.col("runs").alias("ra")), "a").join(runs.select(F.col("id").alias("b"), F.col("runs").alias("rb")), "b")
-    return map_frames(both.select("a", "b", "ra", "rb"), align, "a long, b long, similarity double")
+    return map_frames(both.select("a", "b", "la", "lb", "ra", "rb"), align, "a long, b long, la long, lb long, similarity double")
 
 
 def in_common(texts: list[np.ndarray], some: np.ndarray) -> np.ndarray:
@@ -283,14 +284,15 @@ def links_within(ids: np.ndarray, labels: np.ndarray, side: np.ndarray, sketch:
 
 
 def _remaining(large: DataFrame, label: DataFrame, runs: DataFrame, similar: float) -> DataFrame:
-    """Links (a, b) between different labels in large buckets, of all pairs that share one; those that follow from others are left out.
+    """Links (la, lb) of different labels by texts in large buckets, of all pairs that share one; those that follow from others are left out.
 
     large: id, n_runs, sketch, places (key, band). A bucket is cut into blocks by a hash of the id, and each two blocks meet in a group of their own."""
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
         texts = [np.frombuffer(x, np.uint32) for x in frame["runs"]]
         got = links_within(frame["id"].to_numpy(), frame["label"].to_numpy(), frame["mine"].to_numpy(), np.array(frame["sketch"].tolist()), texts, int(frame["band"].iloc[0]), similar)
-        return pd.DataFrame(got, columns=["a", "b"], dtype="int64")
+        named = dict(zip(frame["id"].tolist(), frame["label"].tolist(), strict=True))
+        return pd.DataFrame([(named[a], named[b]) for a, b in got], columns=["la", "lb"], dtype="int64")
 
     labelled = large.join(label, "id")
     held = saved(labelled.select("id", "label", "n_runs", F.explode("places").alias("p")).select("id", "label", "n_runs", "p.key", "p.band"), "held")
@@ -302,7 +304,7 @@ def _remaining(large: DataFrame, label: DataFrame, runs: DataFrame, similar: flo
     spread = each.join(runs, "id").select("id", "label", "sketch", "runs", F.explode("asked").alias("p")).select("id", "label", "sketch", "runs", "p.*")
     spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     met = spread.select("key", "band", "mine", "id", "label", "sketch", "runs", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"))
-    return met.groupBy("key", "lo", "hi").applyInPandas(compare, "a long, b long")
+    return met.groupBy("key", "lo", "hi").applyInPandas(compare, "la long, lb long")
 
 
 def near_duplicates(documents: DataFrame, similar: float = SIMILAR) -> DataFrame:
@@ -320,7 +322,7 @@ def near_duplicates(documents: DataFrame, similar: float = SIMILAR) -> DataFrame
         runs = saved(_sequences(documents, ids), "runs")
         small = buckets.select("id", "n_runs", F.explode(F.filter("places", lambda p: p["n"] <= SMALL)["key"]).alias("key"))
         tried = saved(_small_pairs(small, similar), "pairs")
-        label = joined(ids.withColumn("label", F.col("id")), _verified(tried, runs, similar))
+        label = joined(ids.withColumn("label", F.col("id")), _verified(tried.withColumns({"la": F.col("a"), "lb": F.col("b")}), runs, similar))
         large = saved(buckets.withColumn("places", F.filter("places", lambda p: p["n"] > SMALL)).where(F.size("places") > 0), "large")
         if large.limit(1).count():
             leads = saved(_leads(large), "leads")
@@ -329,7 +331,7 @@ def near_duplicates(documents: DataFrame, similar: float = SIMILAR) -> DataFrame
                 new = saved(_verified(pairs, runs, similar), "links")
                 if turn >= 2 and not new.limit(1).count():
                     break
-                tried, label = tried.unionByName(pairs), joined(label, new)
+                tried, label = tried.unionByName(pairs.select("a", "b")), joined(label, new)
             label = joined(label, saved(_remaining(large, label, runs, similar), "links"))
         named = keep(entries.select("w0", "w1", "id").join(label, "id", "left").select("w0", "w1", F.coalesce("label", "id").alias("class_id")), "classes")
     return all_rows.select("doc_id", "w0", "w1").join(named, ["w0", "w1"]).select("doc_id", "class_id")
