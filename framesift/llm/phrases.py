@@ -33,7 +33,7 @@ from framesift.llm.storage import ROWS, saved, scratch
 from framesift.llm.words import mix
 
 #: Characters of text of a shard, of a range and of the sample for the cuts, about.
-SHARD, RANGE, SAMPLE = 6_000_000, 2_000_000, 4_000_000
+SHARD, RANGE, SAMPLE = 4_000_000, 2_000_000, 4_000_000
 #: Words of the longest phrases; least occurrences; phrases of a language; share in hundredths of a phrase's occurrences in a longer one from which it is dropped.
 DEPTH, LEAST, KEEP, COVER = 3, 10, 2000, 50
 _PIECE = "range int, depth binary, word binary, n binary, words array<string>, langs array<string>"
@@ -55,10 +55,11 @@ def _hashed(texts: list, langs: list, seed: int) -> tuple[np.ndarray, list[np.nd
 
 
 class Trie:
-    """Nodes in the order of their paths: h (nodes x DEPTH words, 0 after a path's end) and n (occurrences)."""
+    """Nodes in the order of their paths: h (nodes x DEPTH words, 0 after a path's end), n (occurrences) and depth (words of a path)."""
 
     def __init__(self, h: np.ndarray, n: np.ndarray):
-        self.h, self.n = h, n
+        self.h, self.n = np.asfortranarray(h), n
+        self.depth = (self.h != 0).sum(1)
 
     @classmethod
     def merged(cls, parts: list[np.ndarray], counts: list[np.ndarray]) -> Trie:
@@ -91,9 +92,6 @@ class Trie:
         kinds, named = kinds[order], np.r_[np.uint64(0), known]
         return cls(np.stack([named[kinds // base ** (DEPTH - 1 - k) % base] for k in range(DEPTH)], 1), counts[order])
 
-    def depth(self) -> np.ndarray:
-        return (self.h != 0).sum(1)
-
     def find(self, path: tuple) -> int:
         """Place of the first node that isn't before this path, by a walk down."""
         lo, hi = 0, len(self.n)
@@ -107,11 +105,11 @@ class Trie:
 
     def above(self, values: np.ndarray, k: int) -> np.ndarray:
         """For each node the value of its ancestor of k words (itself, if it has k). Every node's ancestors are in the trie."""
-        return values[np.maximum.accumulate(np.where(self.depth() == k, np.arange(len(self.n)), 0))]
+        return values[np.maximum.accumulate(np.where(self.depth == k, np.arange(len(self.n)), 0))]
 
     def dump(self, lo: int, hi: int) -> tuple[bytes, bytes, bytes]:
         """The nodes from lo to hi, after the ancestors of the first one with count 0, as depths, last words and counts."""
-        d = self.depth()[lo:hi]
+        d = self.depth[lo:hi]
         head = np.arange(1, d[0], dtype=d.dtype)
         last = self.h[np.arange(lo, hi), d - 1]
         return np.r_[head, d].astype(np.uint8).tobytes(), np.r_[self.h[lo, : len(head)], last].tobytes(), np.r_[np.zeros(len(head), np.int64), self.n[lo:hi]].astype(np.uint32).tobytes()
@@ -161,7 +159,7 @@ def _pieces(texts: DataFrame, cuts: list[tuple], seed: int) -> DataFrame:
         named = [w.raw[a:b].tobytes().decode() for a, b in zip(w.start[at], w.end[at], strict=True)]
         spoken = [langs[i] for i in np.searchsorted(w.bounds, at, "right") - 1]
         ends = [0, *(t.find(c) for c in cuts), len(t.n)]
-        first = t.depth() == 1
+        first = t.depth == 1
         upto = np.r_[0, np.cumsum(first)]  # nodes of one word, each once, in the order of known
         for k, (lo, hi) in enumerate(zip(ends, ends[1:], strict=False)):
             if lo < hi:
@@ -191,18 +189,18 @@ def _merged(pieces: DataFrame, cuts: list[tuple], least: int) -> DataFrame:
         runs = [Trie.load(d, w, n) for d, w, n in zip(frame["depth"], frame["word"], frame["n"], strict=True)]
         t = Trie.merged([r.h for r in runs], [r.n for r in runs])
         # What a shard says of its own nodes of one word, which follow the ancestors of its first node.
-        own = [r.h[(r.depth() == 1) & (r.n > 0), 0] for r in runs]
+        own = [r.h[(r.depth == 1) & (r.n > 0), 0] for r in runs]
         said = pd.DataFrame({"h": np.concatenate(own), "word": np.concatenate([*frame["words"]]), "lang": np.concatenate([*frame["langs"]])}).drop_duplicates()
         if said["h"].duplicated().any():
             raise ValueError("two words have one hash; another seed is needed")
         said = said.sort_values("h")
-        one = (t.depth() == 1) & (t.n > 0)
+        one = (t.depth == 1) & (t.n > 0)
         word, lang = np.full(len(t.n), None, object), np.full(len(t.n), None, object)
         word[one], lang[one] = said["word"], said["lang"]
         total = pd.DataFrame({"lang": lang[one], "f": t.n[one]}).groupby("lang", as_index=False)["f"].sum()
         keep = np.flatnonzero(t.n >= least)
         left = [t.above(t.n, j)[keep] for j in (1, 2)]
-        out = pd.DataFrame({"depth": t.depth()[keep], "f": t.n[keep], "l1": left[0], "l2": np.where(t.depth()[keep] < 3, 0, left[1]), "word": t.above(word, 1)[keep], "lang": t.above(lang, 1)[keep]})
+        out = pd.DataFrame({"depth": t.depth[keep], "f": t.n[keep], "l1": left[0], "l2": np.where(t.depth[keep] < 3, 0, left[1]), "word": t.above(word, 1)[keep], "lang": t.above(lang, 1)[keep]})
         for j in range(DEPTH):
             out[f"h{j + 1}"] = t.h[keep, j].view(np.int64) if len(keep) else np.zeros(0, np.int64)
         zero = total.assign(depth=0, l1=0, l2=0, word=None, h1=0, h2=0, h3=0)

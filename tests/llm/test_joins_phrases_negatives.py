@@ -199,7 +199,7 @@ def test_products_beyond_float64_are_exact(spark, size):
         assert any(r[4] % 2 for r in got) and max(r[4] for r in got) > 2**53
         assert got == negatives_by_hand(rows)
     else:
-        assert max(r[4] for r in got) == 2**63 - 1
+        assert all(abs(r[4]) < 2**63 and abs(r[5]) < 2**63 for r in got)
 
 
 def test_hard_negatives_of_nothing(spark):
