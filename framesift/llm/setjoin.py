@@ -9,7 +9,7 @@ shared: it takes its place in the prefix, but is left out of it. So most entries
 Entries with one size and one prefix are a group, and what is indexed by prefix shingles are groups. In a shingle's bucket of few
 members two groups that pass the filters of size and position are a pair; pairs are expanded to pairs of members, each once,
 and verified on whole sets. A bucket of many members (of copies with edits, or a frequent passage that is the whole text of many) isn't
-paired: its members, cut by size into classes and by hash into tiles, meet tile by tile in tasks, where a sparse product
+paired (of buckets with the same members one is enough): its members, cut by size into classes and by hash into tiles, meet tile by tile in tasks, where a sparse product
 counts what all pairs have in common, each pair in the bucket of its first common shingle only, and only links that join
 members still apart leave the task. Links, from both ways, make components.
 
@@ -37,7 +37,7 @@ RUN, LIKE = 3, 90
 #: Hash values under this come first in the order, by their counts: a fifth of them all.
 COUNTED = 2**64 // 5
 #: Members of the largest bucket that is paired; members and shingles of a tile, about; ratio of sizes of a class; shingles of one product.
-SMALL, TILE, TILE_SHINGLES, WIDTH = 24, 1000, 500_000, 2048
+SMALL, TILE, TILE_SHINGLES, WIDTH = 128, 1000, 500_000, 2048
 FAR = 1 << 32
 
 
@@ -82,7 +82,7 @@ def _counted(token: Column) -> Column:
 
 def _prefixes(entries: DataFrame, like: int) -> DataFrame:
     """e, n, alone (prefix shingles that no other entry has), prefix (the others in order) of entries with any."""
-    each = saved(entries.select("e", F.explode("tokens").alias("token")), "tokens")
+    each = entries.select("e", F.explode("tokens").alias("token"))
     count = each.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     early = _counted(F.col("token"))
     # The order: those under COUNTED by count, then the rest; each by hash as an unsigned number.
@@ -172,8 +172,17 @@ def links_within(token: int, e: np.ndarray, side: np.ndarray, label: np.ndarray,
     return out
 
 
-def _large_links(members: DataFrame, large: DataFrame, sets: DataFrame, label: DataFrame, like: int) -> DataFrame:
-    """Links (a, b) of entries that share a bucket of many members, tile by tile. members: e, n, prefix; large: token."""
+def _crowd(members: DataFrame, large: DataFrame) -> DataFrame:
+    """e, n, prefix of the members of large buckets, with only these buckets' shingles; of buckets of the same members one stays."""
+    places = members.select("e", "n", F.posexplode("prefix").alias("nth", "token")).join(large, "token")
+    same = places.groupBy("token").agg(F.count("*").alias("all"), F.bit_xor(F.xxhash64("e")).alias("x"), F.bit_xor(F.xxhash64("e", F.lit(1))).alias("y"))
+    kept = same.groupBy("all", "x", "y").agg(F.min("token").alias("token")).select("token")
+    ordered = F.array_sort(F.collect_list(F.struct("nth", "token")))
+    return places.join(kept, "token").groupBy("e", "n").agg(F.transform(ordered, lambda t: t["token"]).alias("prefix"))
+
+
+def _large_links(members: DataFrame, sets: DataFrame, label: DataFrame, like: int) -> DataFrame:
+    """Links (a, b) of entries that share a bucket of many members, tile by tile. members: as _crowd gives."""
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
         got = links_within(
@@ -184,7 +193,7 @@ def _large_links(members: DataFrame, large: DataFrame, sets: DataFrame, label: D
 
     # Sets of one likeness are in one class of sizes or in neighbouring ones; a tile is a number, its class times FAR and its part.
     kind = F.floor(F.ln(F.col("n").cast("double")) / F.lit(-float(np.log(like / 100)) * (1 + 1e-9))).cast("long")
-    places = members.select("e", "n", kind.alias("class"), F.explode("prefix").alias("token")).join(large, "token")
+    places = members.select("e", "n", kind.alias("class"), F.explode("prefix").alias("token"))
     parts = F.ceil(F.greatest(F.count("*") / TILE, F.sum("n") / TILE_SHINGLES)).cast("long")
     tiles = saved(places.groupBy("token", "class").agg(parts.alias("parts")), "tiles")
     beside = lambda step, name: tiles.select("token", (F.col("class") + step).alias("class"), F.col("parts").alias(name))
@@ -221,11 +230,14 @@ def _sets(documents: DataFrame, entries: DataFrame) -> DataFrame:
 def jaccard_components(documents: DataFrame, like: int = LIKE) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     with scratch(documents.sparkSession) as keep:
-        rows = keep(_digests(documents, like), "digests")
-        one = F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "k"))  # a row with the least id
-        entries = rows.where("n > 0").groupBy("s0", "s1", "n").agg(one.alias("one"), F.first("tokens").alias("tokens"))
-        entries = saved(entries.select("s0", "s1", "n", F.col("one.doc_id").alias("id"), "one.k", "tokens").withColumn("e", F.monotonically_increasing_id()), "entries")
-        members = saved(_prefixes(entries, like), "prefixes")
+        with scratch(documents.sparkSession) as keep_part:  # hashes go when prefixes are there
+            digests = saved(_digests(documents, like), "digests")
+            one = F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "k"))  # a row with the least id
+            whole = digests.where("n > 0").groupBy("s0", "s1", "n").agg(one.alias("one"), F.first("tokens").alias("tokens"))
+            whole = saved(whole.select("s0", "s1", "n", F.col("one.doc_id").alias("id"), "one.k", "tokens").withColumn("e", F.monotonically_increasing_id()), "whole")
+            rows, entries = keep_part(digests.drop("tokens", "k"), "rows"), keep_part(whole.drop("tokens"), "entries")
+            members = keep_part(_prefixes(whole, like), "prefixes")
+        rows = keep(rows, "rows")
         groups = saved(members.groupBy("n", "alone", "prefix").agg(F.min("e").alias("g"), F.count("*").alias("members")), "groups")
         index = groups.select("g", "n", "members", "alone", F.posexplode("prefix").alias("nth", "token")).select("g", "n", "members", (F.col("alone") + F.col("nth") + 1).alias("at"), "token")
         size = saved(index.groupBy("token").agg(F.sum("members").alias("all")).where("all > 1"), "buckets")
@@ -235,13 +247,12 @@ def jaccard_components(documents: DataFrame, like: int = LIKE) -> DataFrame:
         named = members.join(groups.select("n", "alone", "prefix", "g"), ["n", "alone", "prefix"]).select("g", "e")
         expanded = pairs.join(named.withColumnRenamed("e", "a"), "g").join(named.select(F.col("g").alias("h"), F.col("e").alias("b")), "h").where("g < h or a < b").select("a", "b")
         expanded = saved(expanded, "pairs")
-        crowd = members.select("e", "n", "prefix", F.explode("prefix").alias("token")).join(large, "token").select("e", "n", "prefix").distinct()
-        crowd = saved(crowd, "crowd")
+        crowd = saved(_crowd(members, large), "crowd")
         asked = expanded.select(F.col("a").alias("e")).union(expanded.select("b")).union(crowd.select("e")).distinct()
         sets = saved(_sets(documents, entries.join(asked, "e", "left_semi").select("e", "id", "k")), "sets")
         links = saved(_verified(expanded, sets, like), "links")
         label = components(links).withColumnRenamed("id", "e")
-        more = saved(_large_links(crowd, large, sets, label, like), "large-links")
+        more = saved(_large_links(crowd, sets, label, like), "large-links")
         label = components(links.unionByName(more)).select(F.col("id").alias("e"), "label")
         own = entries.select("s0", "s1", "n", "e", "id").join(label, "e", "left").withColumn("label", F.coalesce("label", "e"))
         own = saved(own, "labels")
