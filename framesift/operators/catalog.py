@@ -33,9 +33,17 @@ def fingerprint(frames: DataFrame, ends: int = 5) -> DataFrame:
 
 
 def settings_key(settings: DataFrame, name: str = "run") -> DataFrame:
-    """run, key: SHA-1 of a run's settings (run, setting, value) as one JSON text, settings in the order of their names."""
-    pair = F.concat(F.to_json(F.struct(F.col("setting").alias("s"))), F.to_json(F.struct(F.col("value").alias("v"))))
-    return settings.groupBy(name).agg(F.sha1(F.array_join(F.array_sort(F.collect_list(pair)), ",")).alias("key"))
+    """run, key: SHA-1 of a run's settings (run, setting, value) as the JSON text of one object, its names in order: {"a": 1, "b": "x"}.
+
+    Null values are JSON's null; of a setting that occurs again each value is in the text. Characters beyond ASCII aren't escaped."""
+
+    def literal(name: str) -> Column:
+        text = F.to_json(F.struct(F.col(name).alias("v")), {"ignoreNullFields": "false"})
+        return F.substr(text, F.lit(6), F.length(text) - 6)
+
+    entry = F.struct("setting", F.concat(literal("setting"), F.lit(": "), literal("value")).alias("text"))
+    texts = F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["text"])
+    return settings.groupBy(name).agg(F.sha1(F.concat(F.lit("{"), F.array_join(texts, ", "), F.lit("}"))).alias("key"))
 
 
 def first_of_each(rows: DataFrame, key: str, at: str) -> DataFrame:
@@ -53,9 +61,9 @@ def run_stamp(at: Column) -> Column:
 
 
 def duration_text(seconds: Column) -> Column:
-    """h, m and s of a duration, leading parts only where they count: 1h 02m 03s, 2m 03s, 3s."""
+    """h, m and s of a duration, leading parts only where they count: 1h 2m 3s, 2m 3s, 3s."""
     h, m, s = F.floor(seconds / 3600).cast("int"), F.floor(seconds % 3600 / 60).cast("int"), F.floor(seconds % 60).cast("int")
-    return F.when(h > 0, F.format_string("%dh %02dm %02ds", h, m, s)).when(m > 0, F.format_string("%dm %02ds", m, s)).otherwise(F.format_string("%ds", s))
+    return F.when(h > 0, F.format_string("%dh %dm %ds", h, m, s)).when(m > 0, F.format_string("%dm %ds", m, s)).otherwise(F.format_string("%ds", s))
 
 
 def ranked_weights(files: DataFrame) -> DataFrame:

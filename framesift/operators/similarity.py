@@ -1,8 +1,12 @@
 """Nearest neighbours across videos, reference sets, votes.
 
-Nearest neighbours are exact. Vectors are packed into blocks of a bounded size, each pair of blocks meets once by an equal
-number and is one matrix product for both directions, and the best of all blocks are merged by an aggregate; nothing of the size of the table is broadcast, and
-no pair of rows is materialised.
+Nearest neighbours are exact. Vectors are packed into blocks of bounded bytes, those near one pivot together. Blocks are
+dealt to the cells of a grid: with G bands of blocks a block goes to G cells, not to every other block, and a cell compares all blocks
+of its two bands. A task holds the blocks of one band, at most about HELD_BYTES of them, and takes those of the other one by one. Each two blocks
+are one product for both directions, in the vectors' own precision; what may be among the best is computed again in
+float64. Two blocks too far apart are left out: chords between unit vectors are a metric, so the distance of two pivots less the radii of
+their blocks bounds all similarities from above, and every vector knows from its own block what it has to beat.
+The best of all cells are merged by an aggregate; nothing of the size of the table is broadcast, and no pair of rows is materialised.
 """
 
 from __future__ import annotations
@@ -11,17 +15,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark.accumulators import Accumulator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from framesift.functions import vectors
 
-#: Vectors of a block; decimals to which similarities are compared, so that equal vectors tie and the least id wins.
+#: Vectors that are compared with references at once; decimals to which similarities are compared, so that equal vectors tie and the least id wins.
 BLOCK, DECIMALS = 2048, 9
+#: Bytes of a block's vectors; of those that a task holds; most pivots (they decide only which vectors share a block).
+BLOCK_BYTES, HELD_BYTES, PIVOTS = 4 << 20, 256 << 20, 256
+#: Vectors among which pivots are chosen.
+SAMPLED = 1024
 #: Largest reference set that is broadcast.
 MOST_BYTES = 64 << 20
 #: Added to ids of references (from 0 on) where they share a table with rows: they stay in order and are below all others.
 LOWEST = -(2**63)
+#: Below every similarity: no neighbour.
+NONE = -9.0
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -29,54 +42,233 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.where(n == 0, 1, n)
 
 
-def _packed(frames: DataFrame, id_col: str, group_col: str) -> tuple[DataFrame, int]:
-    """One row for each block: ids, groups and the unit vectors as one binary; and how many blocks there can be."""
-    size = max(1, -(-frames.count() // BLOCK))
+def _stacked(column: pa.Array) -> np.ndarray:
+    """A column of vectors of one length as a matrix."""
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
+
+
+class _Packed:
+    """A block: ids in order, groups, which ask, vectors, unit vectors in the same precision, and the least similarity that counts for each."""
+
+    def __init__(self, number: int, ids: np.ndarray, groups: np.ndarray, asks: np.ndarray, x: np.ndarray, floor: np.ndarray):
+        self.number, self.ids, self.groups, self.asks, self.x, self.floor = number, ids, groups, asks, x, floor
+        self.size = np.linalg.norm(x.astype(np.float64), axis=1)
+        self.size[self.size == 0] = 1
+        self.unit = (x / self.size[:, None]).astype(x.dtype)
+
+    def exact(self, at: np.ndarray | slice) -> np.ndarray:
+        return self.x[at].astype(np.float64) / self.size[at][:, None]
+
+
+def _ranked(row: np.ndarray, sim: np.ndarray, ids: np.ndarray, n: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best of each of n rows from a list of entries: by falling similarity, then by id."""
+    order = np.lexsort((ids, -sim, row))
+    row, sim, ids = row[order], sim[order], ids[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    out, top = (np.full((n, k), NONE), np.zeros((n, k), np.int64)), place < k
+    out[0][row[top], place[top]], out[1][row[top], place[top]] = sim[top], ids[top]
+    return out
+
+
+def best_of(a: _Packed, b: _Packed, sim: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best of b for each of a that asks, from products whose last digits don't count. Same groups have NONE there."""
+    n, m, error = len(a.ids), len(b.ids), (a.x.shape[1] + 8) * float(np.finfo(sim.dtype).eps)
+    kth = np.partition(sim, m - k, 1)[:, m - k] if m > k else np.full(n, NONE)
+    least = np.maximum(kth, a.floor) - 2 * error - 10.0**-DECIMALS
+    r, c = np.nonzero((sim >= least[:, None]) & (sim > NONE / 2) & a.asks[:, None])
+    if len(r) <= 8 * k * n + 64:
+        value = np.empty(len(r))
+        for at in range(0, len(r), 4096):
+            value[at : at + 4096] = np.einsum("ij,ij->i", a.exact(r[at : at + 4096]), b.exact(c[at : at + 4096]))
+        return _ranked(r, np.round(value, DECIMALS), b.ids[c], n, k)
+    out = np.full((n, k), NONE), np.zeros((n, k), np.int64)  # many equal ones
+    every = b.exact(slice(None))
+    for at in range(0, n, 512):
+        some = np.arange(at, min(n, at + 512))
+        whole = np.where((sim[some] > NONE / 2) & a.asks[some, None], np.round(a.exact(some) @ every.T, DECIMALS), NONE)
+        for j in range(min(k, m)):
+            c = whole.argmax(1)  # of equals the first, which has the least id
+            out[0][some, j], out[1][some, j] = whole[np.arange(len(some)), c], b.ids[c]
+            whole[np.arange(len(some)), c] = NONE
+    return out
+
+
+def _products(a: _Packed, b: _Packed) -> np.ndarray:
+    sim = a.unit @ b.unit.T
+    sim[a.groups[:, None] == b.groups[None, :]] = NONE
+    return sim
+
+
+class _Nearest:
+    """What a cell knows: its blocks and the best for each of their vectors."""
+
+    def __init__(self, k: int, pivots: np.ndarray):
+        self.k, self.pivots, self.kept, self.best, self.skipped, self.compared = k, pivots, {}, {}, 0, 0
+
+    def add(self, b: _Packed, radius: float, pivot: int) -> None:
+        self.kept[b.number] = (b, radius, pivot)
+        self.best[b.number] = np.full((len(b.ids), self.k), NONE), np.zeros((len(b.ids), self.k), np.int64)
+
+    def _learn(self, a: _Packed, b: _Packed, sim: np.ndarray) -> None:
+        got, had = best_of(a, b, sim, self.k), self.best[a.number]
+        s, i = np.concatenate([had[0], got[0]], 1), np.concatenate([had[1], got[1]], 1)
+        order = np.lexsort((i, -s), 1)[:, : self.k]
+        self.best[a.number] = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
+        a.floor = np.maximum(a.floor, self.best[a.number][0][:, -1])
+
+    def meet(self, one: int, other: int) -> None:
+        (a, ra, pa_), (b, rb, pb) = self.kept[one], self.kept[other]
+        if one != other:
+            apart = np.linalg.norm(self.pivots[pa_] - self.pivots[pb]) - ra - rb
+            most = 1 - max(apart - 1e-5, 0) ** 2 / 2 + 1e-5
+            # Zero vectors have similarity 0 with any.
+            if max(most, 0) < min(a.floor[a.asks].min(initial=9), b.floor[b.asks].min(initial=9)):
+                self.skipped += len(a.ids) * len(b.ids)
+                return
+        self.compared += len(a.ids) * len(b.ids)
+        sim = _products(a, b)
+        if a.asks.any():
+            self._learn(a, b, sim)
+        if one != other and b.asks.any():
+            self._learn(b, a, np.ascontiguousarray(sim.T))
+
+    def leave(self, number: int) -> Iterator[pa.RecordBatch]:
+        """Gives a block's results and forgets it."""
+        b = self.kept.pop(number)[0]
+        s, i = self.best.pop(number)
+        r, c = np.nonzero(s > NONE / 2)
+        for at in range(0, len(r), 50_000):
+            x, y = r[at : at + 50_000], c[at : at + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array(b.ids[x]), pa.array(i[x, y]), pa.array(s[x, y])], ["query", "match", "similarity"])
+
+
+def _blocks(rows: DataFrame, kind: type, pivots: np.ndarray, parts: np.ndarray, k: int) -> DataFrame:
+    """A row for each block: its number, pivot and radius, and id, g, asks, v and floor as bytes."""
+    base = np.r_[0, np.cumsum(parts)]
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = _assigned(_stacked(batch.column("v")), pivots)
+            block = base[near] + batch.column("h").to_numpy().astype(np.uint64) % parts[near].astype(np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(block.astype(np.int64)), pa.array(near.astype(np.int32)), *(batch.column(c) for c in ("id", "g", "asks", "v"))], ["block", "pivot", "id", "g", "asks", "v"])
 
     def pack(frame: pd.DataFrame) -> pd.DataFrame:
-        x = _unit(np.stack(frame["v"].to_numpy()).astype(np.float64))
-        return pd.DataFrame({"block": frame["block"].iloc[:1], "ids": [frame["id"].to_numpy()], "groups": [frame["g"].to_numpy()], "matrix": [x.tobytes()]})
-
-    rows = frames.where(F.col("embedding").isNotNull()).select(F.pmod(F.xxhash64(id_col), F.lit(size)).cast("int").alias("block"), F.col(id_col).alias("id"), F.col(group_col).cast("string").alias("g"), F.col("embedding").alias("v"))
-    return rows.groupBy("block").applyInPandas(pack, "block int, ids array<long>, groups array<string>, matrix binary"), size
-
-
-def nearest_other(frames: DataFrame, k: int = 1, id_col: str = "vec_id", group_col: str = "video", queries: DataFrame | None = None) -> DataFrame:
+        frame = frame.sort_values("id")
+        x = np.stack(frame["v"].to_numpy()).astype(kind)
+        b = _Packed(0, frame["id"].to_numpy(), frame["g"].to_numpy(), frame["asks"].to_numpy(), x, np.full(len(x), NONE))
+        pivot = int(frame["pivot"].iloc[0])
+        radius = float(np.linalg.norm(b.exact(slice(None)) - pivots[pivot], axis=1).max()) if len(pivots) > 1 else 2.0
+        floor = np.full(len(x), NONE)
+        for at in range(0, len(x), 512):
+            if len(x) > k:
+                own = b.unit[at : at + 512] @ b.unit.T
+                own[b.groups[at : at + 512, None] == b.groups[None, :]] = NONE
+                floor[at : at + 512] = np.partition(own, len(x) - k, 1)[:, len(x) - k] - 2 * (x.shape[1] + 8) * float(np.finfo(kind).eps)
+        data = [b.ids.astype(np.int64), b.groups.astype(np.int64), b.asks.astype(bool), x, np.where(floor < NONE / 2, NONE, floor)]
+        return pd.DataFrame([[int(frame["block"].iloc[0]), pivot, radius, *(d.tobytes() for d in data)]], columns=["block", "pivot", "radius", "id", "g", "asks", "v", "floor"])
+
+    vector = "array<float>" if kind is np.float32 else "array<double>"
+    placed = rows.mapInArrow(place, f"block long, pivot int, id long, g long, asks boolean, v {vector}")
+    return placed.groupBy("block").applyInPandas(pack, "block long, pivot int, radius double, id binary, g binary, asks binary, v binary, floor binary")
+
+
+def bands_of(size: int, blocks: int, held: int, tasks: int) -> int:
+    """Bands of a grid whose cells above the diagonal are enough for the tasks, with at most `held` bytes each; a block is dealt out so many times."""
+    return max(1, min(blocks, max(-(-size // held), int((2 * tasks) ** 0.5))))
+
+
+def _spread(x: np.ndarray, n: int) -> np.ndarray:
+    """n of these unit vectors, each the farthest from those before."""
+    chosen, near = [0], x @ x[0]
+    while len(chosen) < min(n, len(x)):
+        chosen.append(int(near.argmin()))
+        near = np.maximum(near, x @ x[chosen[-1]])
+    return x[chosen]
+
+
+def _assigned(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """The nearest pivot of each vector."""
+    return (_unit(x.astype(np.float64)) @ pivots.T).argmax(1) if len(pivots) > 1 else np.zeros(len(x), np.int64)
+
+
+def nearest_other(
+    frames: DataFrame, k: int = 1, id_col: str = "vec_id", group_col: str = "video", queries: DataFrame | None = None,
+    block_bytes: int = BLOCK_BYTES, held_bytes: int = HELD_BYTES, skipped: Accumulator | None = None, compared: Accumulator | None = None,
+) -> DataFrame:
     """query, match, similarity, rank (from 1) of the k nearest vectors of other groups; equal similarities by id. queries: the ids that ask, if not all.
 
-    Vectors must have one length; null vectors neither ask nor answer; one group alone gives no rows."""
-    blocks, n = _packed(frames, id_col, group_col)
-    right = blocks.select(F.col("block").alias("other"), "ids", "groups", "matrix")
-    left = blocks if queries is None else _packed(frames.join(queries.select(id_col).distinct(), id_col, "left_semi"), id_col, group_col)[0]
-    # Of two blocks of the same set one product serves both directions, so each meets those of its own number and above.
-    others = F.explode(F.sequence(F.col("block") if queries is None else F.lit(0), F.lit(n - 1)))
-    left = left.select("block", others.alias("other"), F.col("ids").alias("qi"), F.col("groups").alias("qg"), F.col("matrix").alias("qm"))
-    both = queries is None
-
-    def top(sim: np.ndarray, asking: np.ndarray, ids: np.ndarray) -> Iterator[pd.DataFrame]:
-        """The best k of each row; columns are in the order of ids, so the first among equals has the least."""
-        every = np.arange(len(asking))
-        for _ in range(min(k, len(ids))):
-            at = sim.argmax(1)
-            got = sim[every, at]
-            real = got > -9
-            yield pd.DataFrame({"query": asking[real], "match": ids[at[real]], "similarity": got[real]})
-            sim[every, at] = -9
-
-    def best(frames_: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames_:
-            for r in frame.itertuples(index=False):
-                qi, ids = np.asarray(r.qi), np.asarray(r.ids)
-                a, b = np.argsort(qi, kind="stable"), np.argsort(ids, kind="stable")
-                q, x = np.frombuffer(r.qm).reshape(len(qi), -1)[a], np.frombuffer(r.matrix).reshape(len(ids), -1)[b]
-                group = np.unique(np.r_[np.asarray(r.qg)[a], np.asarray(r.groups)[b]], return_inverse=True)[1]
-                sim = np.round(q @ x.T, DECIMALS)
-                sim[group[: len(qi), None] == group[None, len(qi) :]] = -9
-                if both and r.block != r.other:
-                    yield from top(sim.T.copy(), ids[b], qi[a])
-                yield from top(sim, qi[a], ids[b])
-
-    each = left.join(right, "other").select("block", "other", "qi", "qg", "qm", "ids", "groups", "matrix").mapInPandas(best, "query long, match long, similarity double")
+    Vectors must have one length; null vectors neither ask nor answer; rows without a group form one; one group alone gives no
+    rows. skipped, compared: get the pairs that were left out and computed. Groups are compared by 64-bit hashes."""
+    spark = frames.sparkSession
+    kind = np.float64 if isinstance(frames.schema["embedding"].dataType.elementType, DoubleType) else np.float32
+    rows = frames.where(F.col("embedding").isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(F.col(group_col).cast("string"), F.isnull(group_col)).alias("g"), F.xxhash64(id_col).alias("h"), F.col("embedding").alias("v"))
+    asking = F.lit(True)
+    if queries is not None:
+        rows = rows.join(queries.select(F.col(id_col).alias("id")).distinct().withColumn("asked", F.lit(True)), "id", "left")
+        asking = F.coalesce("asked", F.lit(False))
+    rows = rows.select("id", "g", "h", asking.alias("asks"), F.transform("v", lambda x: x.cast("float" if kind is np.float32 else "double")).alias("v"))
+    size = rows.agg(F.sum(F.size("v").cast("long") * kind().itemsize)).first()[0] or 0
+    pivots = np.zeros((1, 1))
+    if size > block_bytes:
+        width = rows.select(F.size("v")).first()[0]
+        sample = rows.select("h", "v").orderBy("h").limit(max(1, min(SAMPLED, MOST_BYTES // (32 * max(width, 1))))).collect()
+        pivots = _spread(_unit(np.array([r.v for r in sample], np.float64)), min(PIVOTS, -(-size // block_bytes)))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(pivots), np.int64)
+        for batch in batches:
+            x = _stacked(batch.column(0))
+            total += np.bincount(_assigned(x, pivots), minlength=len(pivots)) * (x.shape[1] * kind().itemsize)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(pivots), dtype=np.int32)), pa.array(total)], ["pivot", "bytes"])
+
+    if len(pivots) > 1:
+        each = rows.select("v").mapInArrow(count, "pivot int, bytes long").groupBy("pivot").agg(F.sum("bytes").alias("b")).collect()
+        parts = np.ones(len(pivots), np.int64)
+        for r in each:
+            parts[r.pivot] = max(1, -(-r.b // block_bytes))
+    else:
+        parts = np.array([max(1, -(-size // block_bytes))])
+    n = int(parts.sum())
+    bands = bands_of(size, n, held_bytes, spark.sparkContext.defaultParallelism)
+    band = F.floor(F.col("block") * bands / n)
+    blocks = _blocks(rows, kind, pivots, parts, k).withColumn("band", band)
+    met = blocks.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bands - 1).cast("long"))))
+    dealt = met.withColumns({"cell": F.least("band", "other") * bands + F.greatest("band", "other"), "side": (F.col("band") > F.col("other")).cast("int")})
+    dealt = dealt.repartition(max(1, bands * (bands + 1) // 2), "cell").sortWithinPartitions("cell", "side", "block")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, known = None, None
+
+        def close() -> Iterator[pa.RecordBatch]:
+            for number in list(known.kept) if known else []:
+                yield from known.leave(number)
+            if known and skipped is not None:
+                skipped.add(known.skipped)
+            if known and compared is not None:
+                compared.add(known.compared)
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                r = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
+                if r["cell"] != cell:
+                    yield from close()
+                    cell, known = r["cell"], _Nearest(k, pivots)
+                ids = np.frombuffer(r["id"], np.int64)
+                b = _Packed(r["block"], ids, np.frombuffer(r["g"], np.int64), np.frombuffer(r["asks"], bool), np.frombuffer(r["v"], kind).reshape(len(ids), -1), np.frombuffer(r["floor"]).copy())
+                before = list(known.kept)
+                known.add(b, r["radius"], r["pivot"])
+                inner = cell // bands == cell % bands
+                if not inner and r["side"] == 0:
+                    continue
+                near = sorted(before, key=lambda x: float(np.linalg.norm(pivots[known.kept[x][2]] - pivots[r["pivot"]])))
+                for other in [*([b.number] if inner else []), *near]:
+                    known.meet(b.number, other)
+                if not inner:
+                    yield from known.leave(b.number)
+        yield from close()
+
+    each = dealt.select("cell", "side", "block", "pivot", "radius", "id", "g", "asks", "v", "floor").mapInArrow(compare, "query long, match long, similarity double")
     if k == 1:
         top = each.groupBy("query").agg(F.max(F.struct("similarity", F.bitwise_not("match").alias("m"))).alias("b"))  # of equals the least id
         return top.select("query", F.bitwise_not("b.m").alias("match"), F.col("b.similarity").alias("similarity"), F.lit(1).alias("rank"))

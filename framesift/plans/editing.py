@@ -197,13 +197,13 @@ def ordered_distinct(spark, sf_dir):
     return catalog.first_of_each(rows, "path", "nth")
 
 
-@query("settings_keys", """select user_id as run, sha1(string_agg('{"s":"' || event_type || '"}{"v":' || n || '}', ',' order by event_type)) as key from (select user_id, event_type, count(*) as n from events group by all) group by user_id""")
+@query("settings_keys", """select user_id as run, sha1('{' || string_agg(to_json(event_type) || ': ' || to_json(n), ', ' order by event_type) || '}') as key from (select user_id, event_type, count(*) as n from events group by all) group by user_id""")
 def settings_keys(spark, sf_dir):
     s = read(spark, sf_dir, "events").groupBy(F.col("user_id").alias("run"), F.col("event_type").alias("setting")).agg(F.count("*").alias("value"))
     return catalog.settings_key(s)
 
 
-@query("run_stamps", """select event_id, strftime(ts, '%Y%m%d_%H%M%S') as stamp, case when s >= 3600 then printf('%dh %02dm %02ds', s // 3600, s % 3600 // 60, s % 60) when s >= 60 then printf('%dm %02ds', s // 60, s % 60) else printf('%ds', s) end as took
+@query("run_stamps", """select event_id, strftime(ts, '%Y%m%d_%H%M%S') as stamp, case when s >= 3600 then printf('%dh %dm %ds', s // 3600, s % 3600 // 60, s % 60) when s >= 60 then printf('%dm %ds', s // 60, s % 60) else printf('%ds', s) end as took
 from (select event_id, ts, event_id * 13 % 9000 as s from events)""")
 def run_stamps(spark, sf_dir):
     return read(spark, sf_dir, "events").select("event_id", catalog.run_stamp(F.col("ts")).alias("stamp"), catalog.duration_text(F.col("event_id") * 13 % 9000).alias("took"))

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from framesift.functions import boxes, names
-from framesift.operators import labels, phases, similarity, splits, temporal
+from framesift.operators import catalog, labels, phases, similarity, splits, temporal
 
 
 def one(df):
@@ -44,17 +44,65 @@ def test_nearest_is_never_of_the_same_video_and_ties_go_to_the_least_id(spark):
     assert got == {1: (3, 1.0), 2: (3, 1.0), 3: (1, 1.0), 4: (1, 1.0), 5: (1, 0.0)}
 
 
-def test_nearest_over_several_blocks(spark, monkeypatch):
-    monkeypatch.setattr(similarity, "BLOCK", 7)
+def _nearest_by_hand(x, groups, k, asks=None):
+    unit = x / np.where(np.linalg.norm(x, axis=1, keepdims=True) == 0, 1, np.linalg.norm(x, axis=1, keepdims=True))
+    sim, n = np.round(unit @ unit.T, 9), len(x)
+    out = set()
+    for i in range(n) if asks is None else asks:
+        other = [j for j in range(n) if groups[j] != groups[i]]
+        out |= {(i, j, r + 1) for r, j in enumerate(sorted(other, key=lambda j: (-sim[i, j], j))[:k])}
+    return out
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+@pytest.mark.parametrize(("block", "held"), [(4 << 20, 256 << 20), (300, 1000), (120, 1 << 20)])
+def test_nearest_over_several_blocks_and_bands(spark, kind, block, held):
     rng = np.random.default_rng(0)
-    x = rng.normal(size=(40, 5))
-    f = spark.createDataFrame([(i, f"v{i % 4}", i, [float(v) for v in x[i]]) for i in range(40)], "vec_id long, video string, sample_idx long, embedding array<double>")
-    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-    sim = np.round(unit @ unit.T, 9)
-    for i in range(40):
-        sim[i, [j for j in range(40) if j % 4 == i % 4]] = -9
-    want = {(i, int(j), k + 1) for i in range(40) for k, j in enumerate(np.lexsort((np.arange(40), -sim[i]))[:3])}
-    assert {(r.query, r.match, r.rank) for r in similarity.nearest_other(f, 3).collect()} == want
+    x = rng.normal(size=(90, 5))
+    x[40:60] = x[3]  # many equal vectors
+    x[70] = 0
+    x = x.astype(np.float32 if kind == "float" else np.float64)
+    groups = [None if i % 5 == 4 else f"v{i % 5}" for i in range(90)]
+    f = spark.createDataFrame([(i, groups[i], i, [float(v) for v in x[i]]) for i in range(90)], f"vec_id long, video string, sample_idx long, embedding array<{kind}>")
+    for k in (1, 3):
+        assert {(r.query, r.match, r.rank) for r in similarity.nearest_other(f, k, block_bytes=block, held_bytes=held).collect()} == _nearest_by_hand(x.astype(np.float64), groups, k)
+    asked = spark.createDataFrame([(i,) for i in (2, 41, 70, 70)], "vec_id long")
+    got = {(r.query, r.match, r.rank) for r in similarity.nearest_other(f, 2, queries=asked, block_bytes=block, held_bytes=held).collect()}
+    assert got == _nearest_by_hand(x.astype(np.float64), groups, 2, [2, 41, 70])
+
+
+def test_far_blocks_are_left_out(spark):
+    """Vectors around few directions: most pairs of blocks can't hold a nearest neighbour, and the result is the same."""
+    rng = np.random.default_rng(1)
+    centre = np.eye(12)[:8] * 10
+    x = (centre[np.arange(400) % 8] + rng.normal(size=(400, 12)) * 0.1).astype(np.float32)
+    groups = [f"v{i // 8 % 3}" for i in range(400)]
+    f = spark.createDataFrame([(i, groups[i], [float(v) for v in x[i]]) for i in range(400)], "vec_id long, video string, embedding array<float>")
+    skipped, compared = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+    got = {(r.query, r.match, r.rank) for r in similarity.nearest_other(f, block_bytes=1500, skipped=skipped, compared=compared).collect()}
+    assert got == _nearest_by_hand(x.astype(np.float64), groups, 1)
+    assert skipped.value + compared.value >= 400 * 400 / 2
+    assert skipped.value > 2 * compared.value
+
+
+def test_a_block_goes_to_one_cell_of_each_band(spark):
+    """116,479 vectors of 12,288 floats: 22 bands of 256 MB, so 22 times the vectors are dealt out, whatever the number of blocks."""
+    size = 116_479 * 12_288 * 4
+    assert similarity.bands_of(size, -(-size // similarity.BLOCK_BYTES), similarity.HELD_BYTES, 52) == 22
+    assert similarity.bands_of(1000, 1, 256, 8) == 1
+    f = spark.createDataFrame([(i, f"v{i % 7}", [float(i), 1.0]) for i in range(60)], "vec_id long, video string, embedding array<float>")
+    plan = similarity.nearest_other(f, block_bytes=80, held_bytes=160)._jdf.queryExecution().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_settings_are_one_json_object(spark):
+    import hashlib
+    import json
+
+    runs = {"a": {"b": "x \"y\"", "a": "1"}, "c": {"z": None}}
+    rows = [(r, k, v) for r, s in runs.items() for k, v in s.items()]
+    got = {r.run: r.key for r in catalog.settings_key(spark.createDataFrame(rows, "run string, setting string, value string")).collect()}
+    assert got == {r: hashlib.sha1(json.dumps(s, sort_keys=True).encode()).hexdigest() for r, s in runs.items()}
 
 
 def test_last_frame_never_matches(spark):
