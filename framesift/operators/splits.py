@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framesift.functions import vectors
+from framesift.operators.quantiles import quantiles
 from framesift.operators.sampling import seeded, uniform
 
 
@@ -66,11 +67,11 @@ def stratified(strata: DataFrame, share: float, seed: int) -> DataFrame:
 
 def quantile_bins(rows: DataFrame, value: str, bins: int) -> DataFrame:
     """rows with bin: how many inner quantile edges lie below the value (an edge belongs to the bin under it); one bin if at most two edges differ."""
-    marks = [i / bins for i in range(bins + 1)]
-    edges = rows.agg(F.array_sort(F.array_distinct(F.percentile(value, F.array(*map(F.lit, marks))))).alias("edges"))
+    marks = {f"q{i}": i / bins for i in range(bins + 1)}
+    edges = quantiles(rows, value, marks).select(F.array_sort(F.array_distinct(F.array(*marks))).alias("edges"))
     inner = F.slice("edges", 2, F.greatest(F.size("edges") - 2, F.lit(0)))
-    at = F.when(F.size("edges") <= 2, 0).otherwise(F.size(F.filter(inner, lambda e: F.col(value) > e)))
-    return rows.join(F.broadcast(edges)).withColumn("bin", at).drop("edges")
+    at = F.when(F.coalesce(F.size("edges") <= 2, F.lit(True)), 0).otherwise(F.size(F.filter(inner, lambda e: F.col(value) > e)))
+    return rows.join(F.broadcast(edges), F.lit(True), "left").withColumn("bin", at).drop("edges")
 
 
 def balance(videos: DataFrame, columns: list[str], total: str) -> DataFrame:

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from framesift.operators.quantiles import with_quantiles
+
 
 def change_scores(frames: DataFrame, window: int) -> DataFrame:
     """video, position, score: 1 - cosine of the mean unit vectors of `window` frames before and from a position on.
@@ -31,13 +35,11 @@ def change_scores(frames: DataFrame, window: int) -> DataFrame:
 
 
 def score_stats(scores: DataFrame, by: list[str] | None = None, digits: int = 6) -> DataFrame:
-    """n, min, max, mean, median, population std and percentiles of the scores."""
+    """n, min, max, mean, median, population std and percentiles (linear between ranks) of the scores."""
     marks = {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99, "p995": 0.995}
     r = lambda c: F.round(c, digits)
-    return scores.groupBy(*(by or [])).agg(
-        F.count("score").alias("n"), r(F.min("score")).alias("min"), r(F.max("score")).alias("max"), r(F.avg("score")).alias("mean"),
-        r(F.stddev_pop("score")).alias("std"), *(r(F.percentile("score", p)).alias(k) for k, p in marks.items()),
-    )
+    plain = scores.groupBy(*(by or [])).agg(F.count("score").alias("n"), r(F.min("score")).alias("min"), r(F.max("score")).alias("max"), r(F.avg("score")).alias("mean"), r(F.stddev_pop("score")).alias("std"))
+    return with_quantiles(plain, scores, "score", marks, by or []).withColumns({k: r(F.col(k)) for k in marks})
 
 
 def histogram(scores: DataFrame, bins: int) -> DataFrame:
@@ -65,10 +67,17 @@ def peaks(scores: DataFrame, gap: int) -> DataFrame:
 
 
 def mean_vector(rows: DataFrame, by: list[str], name: str = "mean") -> DataFrame:
-    """The mean of the embeddings of each group, summed dimension by dimension with partial aggregates."""
-    each = rows.select(*by, F.posexplode("embedding").alias("d", "x"))
-    means = each.groupBy(*by, "d").agg(F.avg(F.col("x").cast("double")).alias("m"))
-    return means.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "m"))), lambda s: s["m"]).alias(name))
+    """The mean of the embeddings of each group, as a partial aggregate of whole vectors. Null embeddings don't count; a group's vectors have one length."""
+    held = rows.where(F.col("embedding").isNotNull()).select(*by, array_to_vector(F.col("embedding").cast("array<double>")).alias("v"))
+    return held.groupBy(*by).agg(vector_to_array(Summarizer.mean(F.col("v"))).alias(name))
+
+
+def vector_stats(rows: DataFrame) -> DataFrame:
+    """One row: mean and population deviation of each dimension, as arrays."""
+    held = rows.where(F.col("embedding").isNotNull()).select(array_to_vector(F.col("embedding").cast("array<double>")).alias("v"))
+    both = held.agg(Summarizer.metrics("mean", "variance", "count").summary(F.col("v")).alias("s")).select(vector_to_array("s.mean").alias("mean"), vector_to_array("s.variance").alias("v"), F.col("s.count").alias("n"))
+    # Summarizer's variance is that of a sample.
+    return both.select("mean", F.transform("v", lambda x: F.sqrt(x * (F.col("n") - 1) / F.col("n"))).alias("std"))
 
 
 def clips(frames: DataFrame, length: int) -> DataFrame:

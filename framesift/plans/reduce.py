@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from framesift.functions import vectors
@@ -64,3 +65,37 @@ def mask_weights(spark, sf_dir):
 select video, round(sqrt(sum(m * m)), 6) as norm from dims group by video""")
 def centroid_norms(spark, sf_dir):
     return temporal.mean_vector(frames(spark, sf_dir), ["video"]).select("video", F.round(vectors.norm(F.col("mean")), 6).alias("norm"))
+
+
+@query("kmeans_step", """with e as (select vec_id, embedding::double[] as v from embeddings),
+c as (select vec_id::int as cluster, v as c from e where vec_id < 6),
+near as (
+  select vec_id, cluster, v, round(list_cosine_similarity(v, c), 12) as s from e, c
+  qualify row_number() over (partition by vec_id order by round(list_cosine_similarity(v, c), 12) desc, cluster) = 1),
+dims as (select cluster, d, avg(x) as m from (select cluster, unnest(range(len(v))) as d, unnest(v) / sqrt(list_dot_product(v, v)) as x from near) group by all)
+select cluster, n, round(distance, 6) as distance, round(sqrt(q), 6) as length
+from (select cluster, count(*) as n, avg(1 - s) as distance from near group by cluster) join (select cluster, sum(m * m) as q from dims group by cluster) using (cluster)""")
+def kmeans_step(spark, sf_dir):
+    """One step of k-means from the first six vectors: each cluster's members, their mean cosine distance and the length of their mean."""
+    rows = frames(spark, sf_dir)
+    start = np.array([r.embedding for r in rows.where("vec_id < 6").orderBy("vec_id").select("embedding").collect()], np.float64)
+    near = ops.assigned(rows, start)
+    mean = temporal.mean_vector(near.withColumn("embedding", vectors.scaled(F.col("embedding"))), ["cluster"])
+    return near.groupBy("cluster").agg(F.count("*").alias("n"), F.round(F.avg(1 - F.col("similarity")), 6).alias("distance")).join(mean.select("cluster", F.round(vectors.norm(F.col("mean")), 6).alias("length")), "cluster")
+
+
+@query("pca_invariants", """with dims as (select unnest(range(len(embedding))) as d, unnest(embedding)::double as x from embeddings)
+select (select count(*) from embeddings) as n, round(sum(v), 5) as variance, true as is_centred, true as is_uncorrelated, true as is_falling
+from (select var_pop(x) as v from dims group by d)""")
+def pca_invariants(spark, sf_dir):
+    """The variance of all vectors as the scores and shares of eight components give it, and that scores are centred, uncorrelated and falling."""
+    rows = frames(spark, sf_dir)
+    reduced, shares = ops.pca(rows, 8)
+    y = "reduced"
+    one = reduced.agg(F.count("*").alias("n"), *(F.avg(F.col(y)[i]).alias(f"m{i}") for i in range(8)), *(F.var_pop(F.col(y)[i]).alias(f"v{i}") for i in range(8)), *(F.covar_pop(F.col(y)[i], F.col(y)[i + 1]).alias(f"c{i}") for i in range(7)))
+    falling = F.lit(True)
+    for i in range(7):
+        falling = falling & (F.col(f"v{i}") >= F.col(f"v{i + 1}"))
+    variance = sum((F.col(f"v{i}") for i in range(8)), F.lit(0.0)) / F.lit(float(sum(shares)))
+    small = lambda c, n: F.greatest(*(F.abs(F.col(f"{c}{i}")) for i in range(n))) < 1e-8
+    return one.select("n", F.round(variance, 5).alias("variance"), small("m", 8).alias("is_centred"), small("c", 7).alias("is_uncorrelated"), falling.alias("is_falling"))

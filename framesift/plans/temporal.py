@@ -118,8 +118,8 @@ def video_centroids(spark, sf_dir):
 
 @query("embedding_stats", "select d::int as dim, round(avg(x), 6) as mean, round(stddev_pop(x), 6) as std from (select unnest(range(len(embedding))) as d, unnest(embedding)::double as x from embeddings) group by d")
 def embedding_stats(spark, sf_dir):
-    each = frames(spark, sf_dir).select(F.posexplode("embedding").alias("dim", "x"))
-    return each.groupBy("dim").agg(F.round(F.avg(F.col("x").cast("double")), 6).alias("mean"), F.round(F.stddev_pop(F.col("x").cast("double")), 6).alias("std"))
+    stats = ops.vector_stats(frames(spark, sf_dir))
+    return stats.select(F.posexplode(F.arrays_zip("mean", "std")).alias("dim", "s")).select("dim", F.round("s.mean", 6).alias("mean"), F.round("s.std", 6).alias("std"))
 
 
 @query("outlier_choice", f"""with {FRAMES}, dims as (select vec_id, video, sample_idx, unnest(range(len(embedding))) as d, unnest(embedding)::double as x from frames),
@@ -129,10 +129,10 @@ select video, sample_idx as position, case when round(lag(z) over w, 6) > round(
 from z window w as (partition by video order by sample_idx) qualify lag(z) over w is not null""")
 def outlier_choice(spark, sf_dir):
     """Of each frame and the one before it, the one that is farther from the mean in standard deviations; the later one if equal."""
-    each = frames(spark, sf_dir).select("vec_id", "video", "sample_idx", F.posexplode("embedding").alias("d", "x")).withColumn("x", F.col("x").cast("double"))
-    stats = each.groupBy("d").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s"))
-    scaled = (F.col("x") - F.col("m")) / F.when(F.col("s") > 0, F.col("s")).otherwise(1.0)
-    z = each.join(stats, "d").groupBy("vec_id", "video", "sample_idx").agg(F.round(F.sqrt(F.sum(scaled * scaled)), 6).alias("z"))
+    f = frames(spark, sf_dir)
+    stats = ops.vector_stats(f)  # one row, of the width of a vector
+    scaled = F.zip_with(F.zip_with("embedding", "mean", lambda x, m: x.cast("double") - m), "std", lambda x, s: x / F.when(s > 0, s).otherwise(1.0))
+    z = f.join(F.broadcast(stats)).select("video", "sample_idx", F.round(vectors.norm(scaled), 6).alias("z"))
     order = Window.partitionBy("video").orderBy("sample_idx")
     pairs = z.withColumn("was", F.lag("z").over(order)).where("was is not null")
     return pairs.select("video", F.col("sample_idx").alias("position"), ops.outlier_of_pair(pairs, F.col("was"), F.col("z")).alias("chosen"))
