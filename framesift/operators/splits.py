@@ -6,6 +6,10 @@ places are windows over groups of videos; a table of videos has one row for each
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
+import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
@@ -179,52 +183,93 @@ def trials(videos: DataFrame, columns: list[str], share: float, n: int) -> DataF
     return sums.select("trial", F.greatest(*gaps).alias("score"))
 
 
-def assign_by_labels(videos: DataFrame, labels: list[str], ratios: tuple[float, float, float]) -> DataFrame:
-    """video, dataset, split: as `assign`, but spreading labels (counts; present if over 0) over the parts.
-
-    Again and again the label that fewest videos left have is taken, and its videos go, the longest first, to the part that still
-    lacks it most (then to the emptiest, then train, val, test). Part sizes are exactly the targets. A dataset's videos
-    are one group, as each choice depends on those before."""
-
-    def parts(n: int) -> list[int]:
-        if n < 3:
-            return [n, 0, 0]
-        extra = [round((n - 3) * r) for r in ratios]
-        return [1 + n - 3 - extra[1] - extra[2], 1 + extra[1], 1 + extra[2]]
-
-    def choose(frame):
-        frame = frame.sort_values(["n_frames", "video"], ascending=[False, True]).reset_index(drop=True)
-        has = (frame[labels] > 0).to_numpy()
-        room = parts(len(frame))
-        lack = [[has[:, k].sum() * room[p] / len(frame) for k in range(len(labels))] for p in range(3)]
-        split = [-1] * len(frame)
-
-        def put(i: int, k: int | None) -> None:
-            p = max((p for p in range(3) if room[p] > 0), key=lambda p: (lack[p][k] if k is not None else 0, room[p], -p))
-            split[i] = p
-            room[p] -= 1
-            for j in range(len(labels)):
-                lack[p][j] -= bool(has[i, j])
-
-        while True:
-            left = [(sum(has[i, k] for i in range(len(frame)) if split[i] < 0), k) for k in range(len(labels))]
-            left = [x for x in left if x[0]]
-            if not left:
-                break
-            k = min(left)[1]
-            for i in range(len(frame)):
-                if split[i] < 0 and has[i, k]:
-                    put(i, k)
-        for i in range(len(frame)):
-            if split[i] < 0:
-                put(i, None)
-        out = frame[["video", "dataset"]].copy()
-        out["split"] = [("train", "val", "test")[p] for p in split]
-        return out
-
-    kinds = {f.name: f.dataType.simpleString() for f in videos.schema.fields}
-    rows = videos.select("video", "dataset", "n_frames", *labels)
-    return rows.groupBy("dataset").applyInPandas(choose, f"video {kinds['video']}, dataset {kinds['dataset']}, split string")
+def part_sizes(n: int, ratios: tuple[float, float, float]) -> list[int]:
+    """As `targets`, of one number."""
+    if n < 3:
+        return [n, 0, 0]
+    extra = [round((n - 3) * r) for r in ratios]
+    return [1 + n - 3 - extra[1] - extra[2], 1 + extra[1], 1 + extra[2]]
+
+
+def filled(n: int, lack: list[float], room: list[int]) -> list[int]:
+    """n units dealt out one by one to the part that lacks most (of equals the one with most room, then the first) and has room, at once.
+
+    Each part is filled from its lack down to a common level; the few that are left below a whole unit go one by one."""
+    lo, hi = min(lack) - n - 1, max(lack)
+    down = lambda level: [max(0, min(r, int(x - level))) for x, r in zip(lack, room, strict=True)]
+    for _ in range(80):
+        level = (lo + hi) / 2
+        lo, hi = (level, hi) if sum(down(level)) > n else (lo, level)
+    out = down(hi)
+    for _ in range(n - sum(out)):
+        p = max((p for p in range(len(room)) if out[p] < room[p]), key=lambda p: (lack[p] - out[p], room[p] - out[p], -p))
+        out[p] += 1
+    return out
+
+
+def label_set_parts(frame: pd.DataFrame, labels: list[str], ratios: tuple[float, float, float]) -> list[list[int]]:
+    """How many videos of each label set (a row: presence of each label, and n) go to train, val and test.
+
+    Again and again the label that fewest videos left have is taken, and its label sets, the largest first, are dealt out to the parts
+    that still lack it most. Part sizes are exactly the targets."""
+    has, n = frame[labels].to_numpy(bool), frame["n"].tolist()
+    room = part_sizes(sum(n), ratios)
+    share = [r / max(sum(n), 1) for r in room]
+    lack = [[float(sum(c for c, h in zip(n, has[:, k], strict=True) if h)) * f for k in range(len(labels))] for f in share]
+    out: list[list[int] | None] = [None] * len(n)
+
+    def put(i: int, wanted: list[float]) -> None:
+        out[i] = filled(n[i], wanted, room)
+        for p, c in enumerate(out[i]):
+            room[p] -= c
+            for k in np.flatnonzero(has[i]):
+                lack[p][k] -= c
+
+    while True:
+        left = [(sum(n[i] for i in range(len(n)) if out[i] is None and has[i, k]), k) for k in range(len(labels))]
+        left = [x for x in left if x[0]]
+        if not left:
+            break
+        k = min(left)[1]
+        for i in sorted((i for i in range(len(n)) if out[i] is None and has[i, k]), key=lambda i: (-n[i], i)):
+            put(i, [lack[p][k] for p in range(3)])
+    for i in range(len(n)):
+        if out[i] is None:
+            put(i, [float(r) for r in room])
+    return out
+
+
+def assign_by_labels(videos: DataFrame, labels: list[str], ratios: tuple[float, float, float], seed: int = 7) -> DataFrame:
+    """video, dataset, split: sizes as `assign` gives, but spreading labels (counts; present if over 0) over the parts.
+
+    Videos of a dataset with the same labels can stand for each other, so what is decided for a dataset as a whole is only how many of
+    each label set go where (`label_set_parts`): a group holds a row for each set of labels, not for each video. The videos of a set
+    then take these places in the order of a seeded hash: by its first digits, whose counts are added up, so no window holds more than the
+    videos of one set and one of 4,096 beginnings."""
+    present = [(F.coalesce(F.col(c), F.lit(0)) > 0).cast("int").alias(c) for c in labels]
+    each = videos.select("video", "dataset", F.concat_ws("", *(F.when(F.coalesce(F.col(c), F.lit(0)) > 0, "1").otherwise("0") for c in labels)).alias("labels_"), *present, seeded("video", seed).alias("hash_")).withColumn("first_", F.substring("hash_", 1, 3))
+    keys = ["dataset", "labels_"]
+    firsts = each.groupBy(*keys, "first_", *labels).agg(F.count("*").alias("n"))
+    sets = firsts.groupBy(*keys, *labels).agg(F.sum("n").alias("n"))
+    kind = videos.schema["dataset"].dataType.simpleString()
+
+    def decide(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("labels_").reset_index(drop=True)
+        parts = label_set_parts(frame, labels, ratios)
+        return frame[["dataset", "labels_"]].assign(train=[p[0] for p in parts], val=[p[1] for p in parts])
+
+    decided = sets.groupBy("dataset").applyInPandas(decide, f"dataset {kind}, labels_ string, train long, val long")
+    past = Window.partitionBy(*keys).orderBy("first_").rowsBetween(Window.unboundedPreceding, -1)
+    before = firsts.select(*keys, "first_", F.coalesce(F.sum("n").over(past), F.lit(0)).alias("before"))
+    same = lambda a, b, cols: reduce(lambda x, y: x & y, (a[c].eqNullSafe(b[f"{c}_of"]) for c in cols))
+    named = lambda df, cols: df.select(*(F.col(c).alias(f"{c}_of") for c in cols), *(c for c in df.columns if c not in cols))
+    before, decided = named(before, [*keys, "first_"]), named(decided, keys)
+    placed = each.join(before, same(each, before, [*keys, "first_"]))
+    place = F.col("before") + F.row_number().over(Window.partitionBy(*keys, "first_").orderBy("hash_", "video"))
+    placed = placed.select("video", *keys, place.alias("place"))
+    out = placed.join(decided, same(placed, decided, keys))
+    split = F.when(F.col("place") <= F.col("train"), "train").when(F.col("place") <= F.col("train") + F.col("val"), "val").otherwise("test")
+    return out.select("video", "dataset", split.alias("split"))
 
 
 def joined_records(frames: DataFrame, tools: DataFrame, phases: DataFrame) -> DataFrame:

@@ -50,20 +50,61 @@ def histogram(scores: DataFrame, bins: int) -> DataFrame:
     return scores.join(F.broadcast(ends)).groupBy(at.cast("long").alias("bin")).agg(F.count("*").alias("n"))
 
 
-def peaks(scores: DataFrame, gap: int) -> DataFrame:
-    """Greedy choice in each video: by falling score, a position stays if none kept is nearer than `gap`; ties by position.
-
-    A choice depends on all before it, so a video is one group."""
-
-    def keep(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["score", "position"], ascending=[False, True])
-        taken: list[int] = []
-        for p in frame["position"]:
-            if all(abs(p - q) >= gap for q in taken):
-                taken.append(p)
-        return frame[frame["position"].isin(taken)]
-
-    return scores.select("video", "position", "score").groupBy("video").applyInPandas(keep, "video string, position long, score double")
+#: Positions of a video that one task looks at when peaks are chosen.
+STRETCH = 1_000_000
+OPEN, KEPT, GONE = 0, 1, 2
+
+
+def settled(position: np.ndarray, score: np.ndarray, state: np.ndarray, gap: int, own: np.ndarray) -> np.ndarray:
+    """What is known of each position (sorted): kept, gone or open. Those that aren't `own` keep what they are.
+
+    By falling score, then by position: nearer than `gap` to a kept one a position is gone; nearer to an open one before it, it stays open."""
+    lo, hi = np.searchsorted(position, position - gap, "right"), np.searchsorted(position, position + gap, "left")
+    out, near_kept, near_open = state.copy(), np.zeros(len(state), bool), np.zeros(len(state), bool)
+    for i in np.flatnonzero(state == KEPT):
+        near_kept[lo[i] : hi[i]] = True
+    for i in np.lexsort((position, -score)).tolist():
+        if own[i] and out[i] == OPEN:
+            if near_kept[i]:
+                out[i] = GONE
+            elif not near_open[i]:
+                out[i] = KEPT
+                near_kept[lo[i] : hi[i]] = True
+        if out[i] == OPEN:
+            near_open[lo[i] : hi[i]] = True
+    return out
+
+
+def peaks(scores: DataFrame, gap: int, stretch: int | None = None) -> DataFrame:
+    """Greedy choice in each video: by falling score, a position stays if none kept is nearer than `gap`; ties by position. One score for each position.
+
+    A video is cut into stretches that tasks look at with `gap` positions on both sides. What can't be told without knowing what a
+    neighbour decides waits for the next round; a round settles whole stretches but for such chains, so there are as many rounds as
+    stretches that one chain of falling scores runs through, and one where videos are shorter than a stretch."""
+    size = max(STRETCH if stretch is None else stretch, 2 * gap)
+    kind = "video string, position long, score double, state int"
+    ends = scores.agg(F.min("position").alias("lo"), F.max("position").alias("hi")).first()
+    rows = scores.select(F.col("video").cast("string").alias("video"), F.col("position").cast("long").alias("position"), "score", F.lit(OPEN).alias("state"))
+    at = F.floor(F.col("position") / size)
+
+    def look(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("position")
+        own = (frame["stretch"] == frame["position"] // size).to_numpy()
+        state = settled(frame["position"].to_numpy(), frame["score"].to_numpy(), frame["state"].to_numpy(), gap, own)
+        return frame.assign(state=state)[own][["video", "position", "score", "state"]]
+
+    def round_(rows: DataFrame) -> DataFrame:
+        around = F.array_distinct(F.array(at, F.floor((F.col("position") - gap) / size), F.floor((F.col("position") + gap) / size)))
+        return rows.withColumn("stretch", F.explode(around)).groupBy("video", "stretch").applyInPandas(look, kind)
+
+    done = round_(rows)
+    if ends.lo is not None and ends.lo // size != ends.hi // size:
+        done, held = done.persist(), None
+        while done.where(F.col("state") == OPEN).limit(1).count():
+            held, done = done, round_(done).persist()
+            done.count()
+            held.unpersist()
+    return done.where(F.col("state") == KEPT).select("video", "position", "score")
 
 
 def mean_vector(rows: DataFrame, by: list[str], name: str = "mean") -> DataFrame:

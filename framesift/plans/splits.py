@@ -281,6 +281,19 @@ def label_aware_split_sizes(spark, sf_dir):
     return ops.assign_by_labels(videos(spark, sf_dir), list(_TYPES), _RATIOS).groupBy("dataset", "split").agg(F.count("*").alias("n"))
 
 
+@query("label_aware_split_evenness", f"""with {_VIDEOS}, each as (select dataset, unnest([{", ".join(f"'{t}'" for t in _TYPES)}]) as label, unnest([{", ".join(_TYPES)}]) as n from videos)
+select dataset, label, count(*) filter (where n > 0) as n_videos, true as is_even from each group by all""")
+def label_aware_split_evenness(spark, sf_dir):
+    """Whether every label's videos lie in the parts as the dataset's videos do, but for two and a half."""
+    v = videos(spark, sf_dir)
+    each = v.select("video", "dataset", F.explode(F.array(*(F.struct(F.lit(t).alias("label"), F.col(t).alias("n")) for t in _TYPES))).alias("l")).select("video", "dataset", "l.*")
+    parts = each.join(ops.assign_by_labels(v, list(_TYPES), _RATIOS).select("video", "split"), "video")
+    n = parts.groupBy("dataset", "label", "split").agg(F.count("*").alias("size"), F.count_if(F.col("n") > 0).alias("has"))
+    all_ = each.groupBy("dataset", "label").agg(F.count("*").alias("all_size"), F.count_if(F.col("n") > 0).alias("n_videos"))
+    gap = F.abs(F.col("has") - F.col("n_videos") * F.col("size") / F.col("all_size"))
+    return n.join(all_, ["dataset", "label"]).groupBy("dataset", "label", "n_videos").agg((F.max(gap) < 2.5).alias("is_even"))
+
+
 @query("positional_join", """with a as (select user_id as video, event_id % 40 as sample_idx from events), f as (select o_custkey % 100 as video, row_number() over (partition by o_custkey % 100 order by o_orderkey) - 1 as sample_idx from orders)
 select case when f.sample_idx is not null then 'ok' when a.video in (select video from f) then 'out_of_range' else 'no_video' end as status, count(*) as n from a left join f using (video, sample_idx) group by 1""")
 def positional_join(spark, sf_dir):

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from framesift.operators import quantiles, reduce
+from framesift.operators import quantiles, reduce, splits, temporal
 
 R = np.random.default_rng(3)
 
@@ -96,3 +96,76 @@ def test_percentiles_are_those_of_numpy(spark, monkeypatch, ranges, few):
     assert np.allclose([whole[k] for k in marks], [np.percentile(every, 100 * p) for p in marks.values()], atol=1e-12)
     one = quantiles.with_quantiles(df.where("g = 'd'").agg(F.count("score").alias("n")), df.where("g = 'd'"), "score", marks, []).collect()
     assert [tuple(r) for r in one] == [(0, None, None, None, None, None)]
+
+
+def greedy(rows, gap):
+    kept = set()
+    for video in {v for v, _, _ in rows}:
+        taken = []
+        for _, p in sorted((-s, p) for v, p, s in rows if v == video):
+            if all(abs(p - q) >= gap for q in taken):
+                taken.append(p)
+        kept |= {(video, p) for p in taken}
+    return kept
+
+
+@pytest.mark.parametrize("stretch", [None, 10, 37])
+def test_peaks_over_stretches(spark, stretch):
+    """Also where scores rise or fall all along, so that each stretch waits for the one beside it."""
+    rows = [("up", p, float(p)) for p in range(60)] + [("down", p, float(-p)) for p in range(60)] + [("flat", p, 1.0) for p in range(60)]
+    rows += [("any", int(p), float(round(s, 1))) for p, s in zip(R.choice(400, 150, replace=False), R.random(150), strict=True)]
+    df = spark.createDataFrame(rows, "video string, position long, score double").repartition(4)
+    got = {(r.video, r.position) for r in temporal.peaks(df, 5, stretch).collect()}
+    assert got == greedy(rows, 5)
+    assert temporal.peaks(df.limit(0), 5, stretch).count() == 0
+
+
+def test_a_long_stretch_is_settled_in_little_time():
+    n = 300_000
+    score = R.random(n)
+    state = temporal.settled(np.arange(n), score, np.zeros(n, int), 10, np.ones(n, bool))
+    kept = np.flatnonzero(state == temporal.KEPT)
+    assert (np.diff(kept) >= 10).all() and (np.diff(kept) < 20).all() and (state != temporal.OPEN).all()
+
+
+def test_units_are_dealt_out_to_what_lacks_most():
+    for _ in range(300):
+        lack, room, n = R.normal(size=3) * 5, R.integers(0, 9, 3).tolist(), 0
+        n = int(R.integers(0, sum(room) + 1))
+        want, lack = [0, 0, 0], [round(float(x), 2) for x in lack]
+        for _ in range(n):
+            p = max((p for p in range(3) if want[p] < room[p]), key=lambda p: (lack[p] - want[p], room[p] - want[p], -p))
+            want[p] += 1
+        got = splits.filled(n, lack, room)
+        assert sum(got) == n and all(g <= r for g, r in zip(got, room, strict=True))
+        # The same lack is left over, whoever of equals got a unit.
+        assert np.allclose(sorted(x - g for x, g, r in zip(lack, got, room, strict=True) if r), sorted(x - g for x, g, r in zip(lack, want, room, strict=True) if r))
+
+
+def test_label_aware_split_of_many_videos(spark):
+    """Exact sizes, and every label's share of each part is within a video or two of what it should be, with ids and datasets that are null too."""
+    labels = [f"l{k}" for k in range(5)]
+    chance = [0.5, 0.3, 0.1, 0.02, 0.004]
+    rows = [(f"v{i}", None if i % 5 == 0 else f"d{i % 2}", *(int(R.random() < c) * int(R.integers(1, 9)) for c in chance)) for i in range(4000)]
+    df = spark.createDataFrame(rows, ", ".join(["video string", "dataset string", *(f"{x} int" for x in labels)])).repartition(6)
+    got = splits.assign_by_labels(df, labels, (0.7, 0.15, 0.15)).toPandas()
+    assert len(got) == 4000 and got["video"].is_unique
+    full = got.merge(df.toPandas()[["video", *labels]], on="video")
+    full["dataset"] = full["dataset"].fillna("none")
+    for _, part in full.groupby("dataset"):
+        sizes = splits.part_sizes(len(part), (0.7, 0.15, 0.15))
+        assert [int((part["split"] == s).sum()) for s in ("train", "val", "test")] == sizes
+        for x in labels:
+            has = part[part[x] > 0]
+            for s, size in zip(("train", "val", "test"), sizes, strict=True):
+                assert abs((has["split"] == s).sum() - len(has) * size / len(part)) < 2.5
+
+
+def test_label_sets_are_what_a_group_holds():
+    """A million videos of four label sets are four rows."""
+    import pandas as pd
+
+    frame = pd.DataFrame({"a": [0, 0, 1, 1], "b": [0, 1, 0, 1], "n": [900_000, 90_000, 9_999, 1]})
+    parts = splits.label_set_parts(frame, ["a", "b"], (0.7, 0.2, 0.1))
+    assert [sum(p) for p in parts] == frame["n"].tolist()
+    assert [sum(p[j] for p in parts) for j in range(3)] == splits.part_sizes(1_000_000, (0.7, 0.2, 0.1))
