@@ -123,6 +123,26 @@ class Vocabulary:
         return out
 
 
+# What the library's tables know of Unicode 16 (and, for small letters, 17) beyond Python's Unicode 15.1.
+_LETTERS = "1C89-1C8A A7CB-A7CD A7DA-A7DC 105C0-105F3 10D4A-10D65 10D6F-10D85 10EC2-10EC4 11380-11389 1138B 1138E 11390-113B5 113B7 113D1 113D3 11BC0-11BE0 13460-143FA 16100-1611D 16D40-16D6C 18CFF 1E5D0-1E5ED 1E5F0"
+_NUMBERS = "10D40-10D49 116D0-116E3 11BF0-11BF9 16130-16139 16D70-16D79 1CCF0-1CCF9 1E5F1-1E5FA"
+_SMALL = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
+_SMALL |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
+
+
+def _class(kind: str, more: str) -> str:
+    """A set of all characters whose category begins so in Python's table, and of those ranges."""
+    edges, inside = [], False
+    for c in range(0x110001):
+        here = c < 0x110000 and unicodedata.category(chr(c))[0] == kind
+        if here != inside:
+            edges.append(c)
+            inside = here
+    ranges = [(a, b - 1) for a, b in zip(edges[::2], edges[1::2], strict=True)]
+    ranges += [(int(r.split("-")[0], 16), int(r.split("-")[-1], 16)) for r in more.split()]
+    return "[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges) + "]"
+
+
 class Encoder(dict):
     """chunk without white space -> (ids as little-endian 32-bit integers, token names joined by spaces)."""
 
@@ -130,6 +150,7 @@ class Encoder(dict):
         super().__init__()
         self.v = vocabulary
         self.word = regex.compile(vocabulary.pattern.replace(r"\s", r"\p{White_Space}"))
+        self.exact: regex.Pattern | None = None
         self.gap = regex.compile(r"\p{White_Space}+")
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(vocabulary.special, key=len, reverse=True))) + ")") if vocabulary.special else None
         self.alphabet = {b: c for b, c in enumerate(byte_alphabet())}
@@ -147,8 +168,17 @@ class Encoder(dict):
                 self.words[word] = got
         return got
 
+    def _split(self, chunk: str) -> list[str]:
+        """The chunk's words. Where it has characters that Python's table doesn't know, newer tables say otherwise than the library's, so all classes are ranges."""
+        if chunk.isascii() or all(unicodedata.category(c) != "Cn" for c in chunk):
+            return self.word.findall(chunk)
+        if self.exact is None:
+            pattern = self.v.pattern.replace(r"\s", r"\p{White_Space}").replace(r"\p{L}", _class("L", _LETTERS)).replace(r"\p{N}", _class("N", _NUMBERS))
+            self.exact = regex.compile(pattern, regex.V1)
+        return self.exact.findall(chunk.translate(_SMALL))
+
     def __missing__(self, chunk: str) -> tuple[bytes, str]:
-        found = self.word.findall(chunk)
+        found = self._split(chunk)
         if len(found) == 1:
             got = self._word(found[0])
         else:

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import unicodedata
 
 import numpy as np
 import pytest
@@ -204,3 +205,21 @@ def test_recall_at_1500_items(spark):
     found = len(got & want) / len(want)
     print("recall", found, len(want))
     assert len(want) > 1400 and found >= 0.99
+
+
+def test_every_code_point_is_encoded_as_the_library_does():
+    """Between letters, doubled after a digit, and in random strings. Of planes 4 to 13, where nothing is assigned, one in 97."""
+    tokenizers = pytest.importorskip("tokenizers")
+    library = tokenizers.Tokenizer.from_file(str(bpe.vocabulary_path()))
+    library.no_truncation()
+    library.no_padding()
+    with open(bpe.vocabulary_path(), encoding="utf-8") as f:
+        own = bpe.Encoder(bpe.Vocabulary(f.read()))
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF and (not 0x40000 <= c < 0xE0000 or c % 97 == 0)]
+    rng = random.Random(8)
+    texts = [*("a" + c + "b" for c in points), *("1" + c + c for c in points if c > "\x7f" and unicodedata.category(c)[0] in "NS"), *("".join(rng.choice(points) for _ in range(20)) for _ in range(500))]
+    wrong = []
+    for at in range(0, len(texts), 5000):
+        part = texts[at : at + 5000]
+        wrong += [t for t, e in zip(part, library.encode_batch(part, add_special_tokens=False), strict=True) if np.array(e.ids, "<u4").tobytes() != own.encode(t)[0]]
+    assert wrong == []
