@@ -19,8 +19,8 @@ moved once and kept as runs.
 A pair of similarity 0.8 shares a band with probability 0.9998.
 
 Defined results: null texts count as empty, texts without words form one class of their own; a text of fewer than five
-words is one run; rows with equal ids get the id's least class; rows without an id get the class of rows of equal words
-that have one, or none (null); further columns are ignored.
+words is one run; rows with equal ids are of one class, whatever their texts; rows without an id link like others, and get no class
+(null) where none of theirs has an id; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framesift.llm.graph import joined
-from framesift.llm.storage import map_frames, packed, saved, scratch, unpacked
+from framesift.llm.storage import map_frames, packed_by_text, saved, scratch, unpacked
 from framesift.llm.words import blocks, mix, shingles, words
 
 SKETCHES, ROWS, RUN, SIMILAR = 32, 2, 5, 0.8
@@ -83,7 +83,7 @@ def sketch(runs: np.ndarray) -> np.ndarray:
 
 
 def sketches(documents: DataFrame) -> DataFrame:
-    """doc_id, w0, w1 (128 bits of the word sequence), n_runs, bands (array<long>), sketch (array<int>) of every row."""
+    """doc_id, k (a hash of the text), w0, w1 (128 bits of the word sequence), n_runs, bands (array<long>), sketch (array<int>) of every row."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         step = np.arange(SKETCHES // ROWS, dtype=np.uint64)
@@ -100,10 +100,11 @@ def sketches(documents: DataFrame) -> DataFrame:
                     both = [int(np.add.reduce(mix(own ^ spot, seed))) for seed in (21, 22)]
                     rows.append((*np.array(both, np.uint64).view(np.int64).tolist(), len(runs), mix(keys, 6).view(np.int64), s.view(np.int32)))
                 out = pd.DataFrame(rows, columns=["w0", "w1", "n_runs", "bands", "sketch"])
+                out.insert(0, "k", frame["k"].array[at : at + len(block)])
                 out.insert(0, "doc_id", frame["doc_id"].array[at : at + len(block)])
                 yield out
 
-    return map_frames(documents.select("doc_id", "text"), run, "doc_id long, w0 long, w1 long, n_runs long, bands array<long>, sketch array<int>")
+    return map_frames(documents.select("doc_id", F.xxhash64("text").alias("k"), "text"), run, "doc_id long, k long, w0 long, w1 long, n_runs long, bands array<long>, sketch array<int>")
 
 
 def aligned(pairs: list[tuple[np.ndarray, np.ndarray]], similar: float = SIMILAR, cells: int = 400_000) -> np.ndarray:
@@ -197,7 +198,7 @@ def _large_pairs(large: DataFrame, leads: DataFrame, turn: int) -> DataFrame:
 
 
 def _sequences(documents: DataFrame, ids: DataFrame) -> DataFrame:
-    """id, runs (32-bit numbers as binary) of these documents. Texts move compressed, once; neither side is ever broadcast, as ids grow with the input."""
+    """id, runs (32-bit numbers as binary) of these texts (id, doc_id and k of a row). Texts move compressed, once; neither side is ever broadcast, as ids grow with the input."""
 
     def sequences(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -208,7 +209,9 @@ def _sequences(documents: DataFrame, ids: DataFrame) -> DataFrame:
                     runs = [(shingles(w.hash[w.bounds[d] : w.bounds[d + 1]], RUN) >> np.uint64(32)).astype(np.uint32).tobytes() for d in range(len(block))]
                     yield pd.DataFrame({"id": part["id"].iloc[at : at + len(block)].to_numpy(), "runs": runs})
 
-    texts = packed(documents).withColumnRenamed("doc_id", "id").join(ids.hint("merge"), "id").dropDuplicates(["id"])
+    own = ids.select("id", F.col("doc_id").alias("of"), F.col("k").alias("key"))
+    met = packed_by_text(documents).join(own.hint("merge"), (F.col("k") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("of")))
+    texts = met.select("id", "packed").dropDuplicates(["id"])
     return map_frames(texts.select("id", "packed"), sequences, "id long, runs binary")
 
 
@@ -311,15 +314,18 @@ def near_duplicates(documents: DataFrame, similar: float = SIMILAR) -> DataFrame
     """doc_id, class_id of every row: documents of one class are linked by chains of pairs of at least this similarity."""
     with scratch(documents.sparkSession) as keep:
         all_rows = keep(sketches(documents), "sketches")
-        entries = all_rows.groupBy("w0", "w1").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("n_runs").alias("n_runs"))
-        entries = saved(entries, "entries")
-        each = entries.where("id is not null").select("w0", "w1", F.posexplode("bands").alias("band", "key"))
+        one = F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "k"))  # a row with the least id
+        entries = all_rows.groupBy("w0", "w1").agg(one.alias("one"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("n_runs").alias("n_runs"))
+        # Texts are told apart by their words, not by ids, which several texts may have.
+        entries = saved(entries.select("w0", "w1", "one.doc_id", "one.k", "bands", "sketch", "n_runs").withColumn("id", F.monotonically_increasing_id()), "entries")
+        each = entries.select("w0", "w1", F.posexplode("bands").alias("band", "key"))
         shared = each.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
         # What a text is compared by stays in one row for each text; its places in buckets are a list, one for each band at most.
         places = each.join(shared, "key").groupBy("w0", "w1").agg(F.collect_list(F.struct("key", "band", "n")).alias("places"))
-        buckets = saved(entries.select("w0", "w1", "id", "sketch", "n_runs").join(places, ["w0", "w1"]).drop("w0", "w1"), "buckets")
-        ids = saved(buckets.select("id").distinct(), "ids")
-        runs = saved(_sequences(documents, ids), "runs")
+        held = saved(entries.select("w0", "w1", "id", "doc_id", "k", "sketch", "n_runs").join(places, ["w0", "w1"]).drop("w0", "w1"), "buckets")
+        buckets = held.drop("doc_id", "k")
+        ids = saved(buckets.select("id"), "ids")
+        runs = saved(_sequences(documents, held.select("id", "doc_id", "k")), "runs")
         small = buckets.select("id", "n_runs", F.explode(F.filter("places", lambda p: p["n"] <= SMALL)["key"]).alias("key"))
         tried = saved(_small_pairs(small, similar), "pairs")
         label = joined(ids.withColumn("label", F.col("id")), _verified(tried.withColumns({"la": F.col("a"), "lb": F.col("b")}), runs, similar))
@@ -333,10 +339,26 @@ def near_duplicates(documents: DataFrame, similar: float = SIMILAR) -> DataFrame
                     break
                 tried, label = tried.unionByName(pairs.select("a", "b")), joined(label, new)
             label = joined(label, saved(_remaining(large, label, runs, similar), "links"))
-        named = keep(entries.select("w0", "w1", "id").join(label, "id", "left").select("w0", "w1", F.coalesce("label", "id").alias("class_id")), "classes")
+        named = saved(entries.select("w0", "w1", "id", "doc_id").join(label, "id", "left").withColumn("label", F.coalesce("label", "id")), "labels")
+        named = _by_ids(named, all_rows)
+        least = named.groupBy("label").agg(F.min("doc_id").alias("class_id"))
+        named = keep(named.join(least, "label").select("w0", "w1", "class_id"), "classes")
     return all_rows.select("doc_id", "w0", "w1").join(named, ["w0", "w1"]).select("doc_id", "class_id")
 
 
+def _by_ids(named: DataFrame, rows: DataFrame) -> DataFrame:
+    """named (w0, w1, id, doc_id, label) after the labels of all texts that stand beside one doc_id have become one."""
+    words_ = F.struct("w0", "w1")
+    several = rows.where("doc_id is not null").groupBy("doc_id").agg(F.min(words_).alias("a"), F.max(words_).alias("b")).where("a <> b").select("doc_id")
+    several = saved(several, "several")
+    if not several.limit(1).count():
+        return named
+    owned = saved(rows.select("doc_id", "w0", "w1").join(several, "doc_id").join(named.select("w0", "w1", "label"), ["w0", "w1"]).select("doc_id", "label").distinct(), "owned")
+    links = owned.join(owned.groupBy("doc_id").agg(F.min("label").alias("la")), "doc_id").select("la", F.col("label").alias("lb"))
+    label = joined(named.select("id", "label"), links)
+    return named.drop("label").join(label, "id")
+
+
 def keep_one(documents: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """The rows of one document of each class, the one with the least id; of rows with that id, one text. Rows without an id all stay."""
     kept = near_duplicates(documents, similar).where("doc_id = class_id").select("doc_id").distinct()

@@ -11,6 +11,7 @@ import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
 #: Rows that become Python objects at once.
@@ -122,5 +123,16 @@ def packed(documents: DataFrame) -> DataFrame:
     return map_frames(documents.select("doc_id", "text"), run, "doc_id long, packed binary")
 
 
+def packed_by_text(documents: DataFrame) -> DataFrame:
+    """doc_id, k (a hash of the text, the same as xxhash64), packed: for tables in which an id may stand beside several texts."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        c = zstandard.ZstdCompressor(level=3)
+        for frame in frames:
+            yield pd.DataFrame({"doc_id": frame["doc_id"].array, "k": frame["k"], "packed": [c.compress((t or "").encode("utf-8", "replace")) for t in frame["text"]]})
+
+    return map_frames(documents.select("doc_id", F.xxhash64("text").alias("k"), "text"), run, "doc_id long, k long, packed binary")
+
+
 def unpacked(b: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(b)

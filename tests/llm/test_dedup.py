@@ -197,3 +197,15 @@ def test_no_link_of_a_large_bucket_is_lost(spark, monkeypatch):
     monkeypatch.setattr(neardup, "ROUNDS", 0)  # the rounds may find any part of the links, even none
     monkeypatch.setattr(neardup, "BLOCK", 100, raising=False)
     assert {r.doc_id: r.class_id for r in neardup.near_duplicates(df).collect()} == want
+
+
+def test_rows_of_one_id_keep_the_links_of_all_their_texts(spark):
+    """An id beside two texts: both texts' copies are of its class, however rows are dealt out; a chain of such ids is one class."""
+    a, b, c = text(300), text(300), text(300)
+    docs = [(1, a), (1, b), (2, edit(a, 2)), (3, edit(b, 2)), (5, edit(b, 3)), (5, c), (9, edit(c, 2)), (20, text(80)), (None, edit(c, 1)), (None, text(70))]
+    for parts in (1, 4, 7):
+        df = spark.createDataFrame(docs, "doc_id long, text string").repartition(parts)
+        got = sorted(((r.doc_id, r.class_id) for r in neardup.near_duplicates(df).collect()), key=str)
+        assert got == sorted([(1, 1), (1, 1), (2, 1), (3, 1), (5, 1), (5, 1), (9, 1), (20, 20), (None, 1), (None, None)], key=str)
+    kept = sorted((r.doc_id for r in neardup.keep_one(spark.createDataFrame(docs, "doc_id long, text string")).collect()), key=str)
+    assert kept == [1, 20, None, None]
