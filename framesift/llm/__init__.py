@@ -1 +1 @@
-"""Corpus preparation operators for training data: ten operators, their queries and their SQL."""
+"""Corpus preparation operators for training data: thirteen operators, their queries and their SQL."""
