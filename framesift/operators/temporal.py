@@ -12,6 +12,19 @@ from pyspark.sql import functions as F
 from framesift.operators.quantiles import with_quantiles
 
 
+def scores_along(x: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions with both windows, and the score of each, of vectors in their order."""
+    n = len(x)
+    if n < 2 * window:
+        return np.zeros(0, np.int64), np.zeros(0)
+    size = np.linalg.norm(x, axis=1, keepdims=True)
+    total = np.vstack([np.zeros(x.shape[1]), np.cumsum(x / np.where(size == 0, 1, size), axis=0)])
+    at = np.arange(window, n - window + 1)
+    before, after = (total[at] - total[at - window]) / window, (total[at + window] - total[at]) / window
+    before, after = (m / (np.linalg.norm(m, axis=1, keepdims=True) + 1e-8) for m in (before, after))
+    return at, 1 - (before * after).sum(1)
+
+
 def change_scores(frames: DataFrame, window: int) -> DataFrame:
     """video, position, score: 1 - cosine of the mean unit vectors of `window` frames before and from a position on.
 
@@ -20,16 +33,8 @@ def change_scores(frames: DataFrame, window: int) -> DataFrame:
 
     def score(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("sample_idx")
-        x = np.stack(frame["embedding"].to_numpy()).astype(np.float64)
-        n = len(x)
-        if n < 2 * window:
-            return pd.DataFrame({"video": [], "position": [], "score": []}).astype({"video": str, "position": np.int64, "score": float})
-        size = np.linalg.norm(x, axis=1, keepdims=True)
-        total = np.vstack([np.zeros(x.shape[1]), np.cumsum(x / np.where(size == 0, 1, size), axis=0)])
-        at = np.arange(window, n - window + 1)
-        before, after = (total[at] - total[at - window]) / window, (total[at + window] - total[at]) / window
-        before, after = (m / (np.linalg.norm(m, axis=1, keepdims=True) + 1e-8) for m in (before, after))
-        return pd.DataFrame({"video": frame["video"].iloc[0], "position": at, "score": 1 - (before * after).sum(1)})
+        at, found = scores_along(np.stack(frame["embedding"].to_numpy()).astype(np.float64), window)
+        return pd.DataFrame({"video": frame["video"].iloc[0], "position": at, "score": found})
 
     return frames.select("video", "sample_idx", "embedding").groupBy("video").applyInPandas(score, "video string, position long, score double")
 
