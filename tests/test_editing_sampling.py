@@ -1,6 +1,9 @@
 """Edits, samples, masks, reports and writers on small cases."""
 
+import bisect
+import itertools
 import json
+import random
 
 import pytest
 
@@ -37,6 +40,27 @@ def test_draws_follow_weights_and_never_take_last_frames(spark):
     assert sampling.sampled_queries(frames.limit(0), 5, 1).count() == 0
 
 
+@pytest.mark.parametrize("block", [1_000_000, 40, 7])
+def test_draws_are_those_of_running_sums(spark, block):
+    rng = random.Random(5)
+    plain = [(i, f"g{rng.randrange(4)}", 900.0 if i == 17 else rng.choice([0.5, 1.0, 2.25, 3.0])) for i in range(200)]
+    odd = [(900, "g1", None), (901, "g1", float("nan")), (902, "g1", -1.0), (903, "g1", 0.0), (904, "g1", float("inf"))]
+    rows = spark.createDataFrame(plain + odd, "id long, g string, w double").repartition(3)
+    order = sorted(plain, key=lambda r: (r[1], r[0]))
+    upto = list(itertools.accumulate(r[2] for r in order))
+    n = 2000
+    u = {r.draw: r.u for r in sampling.draws(spark, n).select("draw", sampling.uniform("draw", 3).alias("u")).collect()}
+    want = {d: order[bisect.bisect_right(upto, x * upto[-1])][0] for d, x in u.items()}
+    got = sampling.weighted_draws(rows, "w", "id", "g", n, 3, block).collect()
+    assert len(got) == n and {r.draw: r.id for r in got} == want
+
+
+def test_draws_without_rows_and_of_one_row(spark):
+    rows = spark.createDataFrame([(None, None, 2.0)], "id long, g string, w double")
+    assert [(r.draw, r.id) for r in sampling.weighted_draws(rows, "w", "id", "g", 3, 1, 1).orderBy("draw").collect()] == [(0, None), (1, None), (2, None)]
+    assert sampling.weighted_draws(rows.limit(0), "w", "id", "g", 3, 1).count() == 0
+
+
 def test_tokens_after_the_last_whole_tube_stay_visible(spark):
     cells = spark.createDataFrame([("k", t, s, 1.0 * s) for t in range(5) for s in range(4)], "key string, t int, s int, motion double")
     masked = reduce.masked_slots(reduce.mask_weights(reduce.tube_slots(cells, 5, 2), 2.0), 0.75, 3)
