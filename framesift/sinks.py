@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -94,6 +95,20 @@ def annotation_export(boxes: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
 
 
+def edit_log(events: DataFrame, path: str) -> None:
+    """Append events (operators.edits) in folders by video. A write that is repeated changes nothing, as the last writer counts by number."""
+    events.where("video is not null").write.mode("append").partitionBy("video").parquet(path)
+
+
+def tracker_states(states: DataFrame, path: str) -> None:
+    """One JSON document for each video, in a folder of its own; other videos' folders stay. states: as edits.states gives them."""
+    from framesift.operators.edits import STATE
+
+    fields = [f.split(" ", 1)[0] for f in re.split(r", (?=\w+ )", STATE)]
+    document = F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
+    states.select("video", document.alias("value")).repartition("video").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("video").text(path)
+
+
 def without(rows: DataFrame, listed: DataFrame, key: str = "path") -> tuple[DataFrame, DataFrame]:
     """The rows not listed, and the videos that lost some."""
     lost = rows.join(listed.select(key).distinct(), key, "left_semi").select("video").distinct()

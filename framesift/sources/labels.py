@@ -81,6 +81,21 @@ def tracker_states(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("video", F.from_json("value", _STATE).alias("s"), F.try_variant_get(F.try_parse_json("value"), "$.oof", "variant").alias("oof")).select("video", "s.*", "oof")
 
 
+def saved_states(spark: SparkSession, path: str) -> DataFrame:
+    """video and state (operators.edits) of what sinks.tracker_states wrote; a document that can't be read has nulls."""
+    from framesift.operators.edits import STATE
+
+    raw = spark.read.schema("value string, video string").text(path, wholetext=True)
+    return raw.select("video", F.from_json("value", STATE).alias("s")).select("video", "s.*")
+
+
+def edit_log(spark: SparkSession, path: str) -> DataFrame:
+    """The events that sinks.edit_log wrote."""
+    from framesift.operators.edits import EVENTS
+
+    return spark.read.schema(EVENTS).parquet(path)
+
+
 def out_of_frame(states: DataFrame, points: bool = False) -> DataFrame:
     """video, oid, start, end (null: open) from each of the three encodings: a list of [frame, object], a map from object to frame,
     a map from object to ranges. points: a list entry is that one frame; else it opens a range, and the last entry of an object counts."""
