@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from framesift.operators import edits
+from framesift.operators import blobs, edits
 from framesift.plans.tables import read
 from framesift.registry import query
 
@@ -55,3 +55,31 @@ def replayed_states(spark, sf_dir):
     of = lambda c: F.size(c).cast("long")
     n_ranges = of(F.flatten(F.map_values("oof")))
     return again.select("video", of("objects").alias("n_objects"), of("bboxes").alias("n_frames"), of(held).alias("n_boxes"), F.aggregate(held, F.lit(0).cast("long"), lambda t, b: t + b[0]).alias("x1"), n_ranges.alias("n_ranges"))
+
+
+# A user's events as the cells of a mask of 16 by 16.
+_BLOBS = """with recursive cells as (select distinct user_id as mask, event_id % 256 // 16 as y, event_id % 16 as x from events),
+reach as (select mask, y, x, y as ry, x as rx from cells
+  union select c.mask, c.y, c.x, r.ry, r.rx from reach r join cells c on c.mask = r.mask and abs(c.y - r.y) <= 1 and abs(c.x - r.x) <= 1),
+root as (select mask, y, x, min(ry * 16 + rx) as root from reach group by all),
+areas as (select mask, root, count(*) as area, min(x) as x1, min(y) as y1, max(x) + 1 as x2, max(y) + 1 as y2 from root group by all),
+placed as (select *, row_number() over (partition by mask order by area desc, root) as blob from areas)"""
+
+
+def _blobs(spark, sf_dir):
+    e = F.col("event_id")
+    cells = read(spark, sf_dir, "events").select(F.col("user_id").alias("mask"), F.floor(e % 256 / 16).alias("y"), (e % 16).alias("x"))
+    return blobs.blobs(blobs.runs(cells, ["mask"]), ["mask"])
+
+
+@query("mask_blobs", f"{_BLOBS} select mask, blob, area, x1, y1, x2, y2 from placed")
+def mask_blobs(spark, sf_dir):
+    """Every blob of every mask with its area and box."""
+    found = _blobs(spark, sf_dir)
+    return blobs.around(found, ["mask", "blob", "area"])
+
+
+@query("mask_boxes", f"{_BLOBS} select mask, min(x1) as x1, min(y1) as y1, max(x2) as x2, max(y2) as y2 from placed where blob <= 3 group by 1")
+def mask_boxes(spark, sf_dir):
+    """One box for each mask, around its three largest blobs."""
+    return blobs.around(blobs.largest(_blobs(spark, sf_dir), 3), ["mask"])
