@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from framesift.functions import names as fn
 from framesift.operators import names as ops
+from framesift.operators import selection
 from framesift.plans.tables import read
 from framesift.registry import query
 
@@ -102,3 +103,49 @@ def duplicate_names(spark, sf_dir):
 def annotated_union(spark, sf_dir):
     a = read(spark, sf_dir, "events").where("event_type = 'click'").select(F.col("user_id").alias("video"))
     return a.union(read(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select("o_custkey")).distinct()
+
+
+# A written test list: with blanks, as the beginning of a folder, or under another name of one group.
+_LISTED = """listed as (select 'D' || (p_partkey % 3) as dataset, case p_partkey % 4 when 0 then 'Case, ' || (p_partkey % 70) when 1 then ' vid' || (p_partkey % 90) when 2 then 'GP' || (p_partkey % 9) || 'x' else 'old/' || p_partkey end as name from part),
+folders as (select distinct case c_custkey % 3 when 0 then 'D0' when 1 then 'disk1' else 'disk2' end as place, case c_custkey % 5 when 0 then 'Case_' || (c_custkey % 77) when 1 then 'vid' || (c_custkey % 91) when 2 then 'vid' || (c_custkey % 60) || '_left_' || (c_custkey % 2) when 3 then 'Patient' || (c_custkey % 9) || '_a' else 'old' || c_custkey end as folder from customer),
+places as (select * from (values ('D1', 'disk1'), ('D1', 'disk2'), ('D2', 'disk2')) t(dataset, place)),
+same as (select g as "group", p || g as prefix from range(0, 9) r(g), (values ('GP'), ('Patient')) t(p)),
+asked as (select distinct dataset, trim(name) as name, coalesce(place, dataset) as place from listed left join places using (dataset)),
+found as (select distinct dataset, name, place, folder from asked join folders using (place) where name = folder or starts_with(folder, name || '_')
+  or replace(replace(replace(name, ', ', '_'), '/', ''), ' ', '_') = folder or exists (select 1 from same a, same b where a."group" = b."group" and starts_with(name, a.prefix) and starts_with(folder, b.prefix)))"""
+
+
+def _listed(spark, sf_dir):
+    """The test list, the folders, and what the list means."""
+    k, c = F.col("p_partkey"), F.col("c_custkey")
+    text = lambda *p: F.concat(*(F.lit(x) if isinstance(x, str) else x.cast("string") for x in p))
+    name = F.when(k % 4 == 0, text("Case, ", k % 70)).when(k % 4 == 1, text(" vid", k % 90)).when(k % 4 == 2, text("GP", k % 9, "x")).otherwise(text("old/", k))
+    listed = read(spark, sf_dir, "part").select(text("D", k % 3).alias("dataset"), name.alias("name"))
+    folder = F.when(c % 5 == 0, text("Case_", c % 77)).when(c % 5 == 1, text("vid", c % 91)).when(c % 5 == 2, text("vid", c % 60, "_left_", c % 2)).when(c % 5 == 3, text("Patient", c % 9, "_a")).otherwise(text("old", c))
+    folders = read(spark, sf_dir, "customer").select(F.when(c % 3 == 0, "D0").when(c % 3 == 1, "disk1").otherwise("disk2").alias("place"), folder.alias("folder"))
+    places = spark.createDataFrame([("D1", "disk1"), ("D1", "disk2"), ("D2", "disk2")], "dataset string, place string")
+    same = spark.createDataFrame([(g, f"{p}{g}") for g in range(9) for p in ("GP", "Patient")], "group int, prefix string")
+    return listed, folders, selection.listed_folders(listed, folders, places, same)
+
+
+@query("test_list_split", f"with {_LISTED} select f.place, f.folder, case when exists (select 1 from found x where x.place = f.place and x.folder = f.folder) then 'test' else 'train' end as split from folders f")
+def test_list_split(spark, sf_dir):
+    """Every folder in train or test by a written list."""
+    _, folders, found = _listed(spark, sf_dir)
+    return selection.split_by_list(folders, found)
+
+
+@query("test_list_unmatched", f"with {_LISTED} select distinct dataset, name from asked a where not exists (select 1 from found f where f.dataset = a.dataset and f.name = a.name)")
+def test_list_unmatched(spark, sf_dir):
+    """Listed names that mean no folder."""
+    listed, _, found = _listed(spark, sf_dir)
+    return selection.unmatched(listed, found)
+
+
+@query("chosen_videos", """select 'nation_' || c_nationkey as parent, c_name as video from customer where c_mktsegment <> 'BUILDING' and c_name <> 'Customer#000000007'
+  and (contains(lower(c_name), '12') or contains('nation_' || c_nationkey, '12'))""")
+def chosen_videos(spark, sf_dir):
+    """Customers as videos in folders of nations: of known segments, but one, with a text in either name."""
+    c = read(spark, sf_dir, "customer")
+    videos = c.select(F.concat(F.lit("nation_"), F.col("c_nationkey").cast("string")).alias("parent"), F.col("c_name").alias("video"))
+    return selection.chosen_videos(videos, c.where("c_mktsegment <> 'BUILDING'").select(F.col("c_name").alias("video")), ("Customer#000000007",), "12")

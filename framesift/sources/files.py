@@ -48,10 +48,11 @@ def video_keys(spark: SparkSession, root: str, exclude: tuple[str, ...] = ()) ->
     return discover_frames(spark, root, exclude).select("video").distinct()
 
 
-def read_embeddings(spark: SparkSession, root: str, exclude: tuple[str, ...] = ()) -> DataFrame:
+def read_embeddings(spark: SparkSession, root: str, exclude: tuple[str, ...] = (), categories: tuple[str, ...] | None = None, videos: tuple[str, ...] | None = None, drop: bool = False) -> DataFrame:
     """video (name of the parent folder), frame (trailing number of the file name), nth, embedding of every .npy file.
 
-    A file that can't be read, or isn't one vector, has a null embedding; a block of vectors gives a row each (nth)."""
+    A file that can't be read, or isn't one vector, has a null embedding, or with `drop` no row; a block of vectors gives a row each
+    (nth). categories, videos: only these (a category is the folder above a video); contents of other files aren't read."""
 
     def load(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -64,12 +65,20 @@ def read_embeddings(spark: SparkSession, root: str, exclude: tuple[str, ...] = (
                     rows.append((path, 0, None))
             yield pd.DataFrame(rows, columns=["path", "nth", "embedding"])
 
-    files = _files(spark, root).where(F.col("path").endswith(".npy")).select("path", "content")
+    files = _files(spark, root).where(F.col("path").endswith(".npy"))
+    folder = lambda i: F.element_at(F.split("path", "/"), i)
+    if exclude:
+        files = files.where(~folder(-2).isin(*exclude))
+    if categories is not None:
+        files = files.where(folder(-3).isin(*categories))
+    if videos is not None:
+        files = files.where(folder(-2).isin(*videos))
+    files = files.select("path", "content")
     got = files.mapInPandas(load, "path string, nth int, embedding array<float>")
     p = F.split("path", "/")
     stem = F.regexp_replace(F.element_at(p, -1), r"\.npy$", "")
     rows = got.select(F.element_at(p, -2).alias("video"), F.regexp_substr(stem, F.lit(r"\d+$")).cast("int").alias("frame"), "nth", "embedding", "path")
-    return rows.where(~F.col("video").isin(*exclude)) if exclude else rows
+    return rows.where("embedding is not null") if drop else rows
 
 
 def todo(frames: DataFrame, done: DataFrame) -> DataFrame:

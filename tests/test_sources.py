@@ -37,6 +37,9 @@ def test_read_embeddings(spark, tmp_path):
     touch(tmp_path / "catB/other/block.npy", npy([[1, 2], [3, 4]]))
     got = sorted(((r.video, r.frame, r.nth, r.embedding) for r in files.read_embeddings(spark, str(tmp_path)).collect()), key=str)
     assert got == sorted([("vid", 7, 0, [1.0, 2.0]), ("vid", 8, 0, None), ("other", None, 0, [1.0, 2.0]), ("other", None, 1, [3.0, 4.0])], key=str)
+    read = lambda **k: sorted((r.video, r.frame) for r in files.read_embeddings(spark, str(tmp_path), drop=True, **k).collect())
+    assert read(categories=("catA",)) == [("vid", 7)] and read(videos=("vid", "none")) == [("vid", 7)] and read(exclude=("other",)) == [("vid", 7)]
+    assert read(categories=()) == []
 
 
 def test_sample_map(spark):
