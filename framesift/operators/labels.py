@@ -20,9 +20,9 @@ def has_both(records: DataFrame) -> DataFrame:
 
 
 def per_label(boxes: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """label, n_boxes, n_frames, pct_frames of every label of the vocabulary; labels outside it count as Others, its last one."""
+    """label, n_boxes, n_frames, pct_frames of every label of the vocabulary; labels outside it count as Others, its last one. No vocabulary: no rows."""
     known = [r.label for r in vocabulary.orderBy("nth").collect()]
-    named = boxes.withColumn("label", F.when(F.col("label").isin(known), F.col("label")).otherwise(F.lit(known[-1])))
+    named = boxes.withColumn("label", F.when(F.col("label").isin(known), F.col("label")).otherwise(F.lit(known[-1] if known else None)))
     frames = boxes.select("video", "frame").distinct().agg(F.count("*").alias("all"))
     seen = named.groupBy("label").agg(F.count("*").alias("b"), F.count_distinct("video", "frame").alias("f"))
     rows = vocabulary.join(seen, "label", "left").join(F.broadcast(frames))

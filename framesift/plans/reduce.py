@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from framesift.functions import vectors
 from framesift.operators import reduce as ops
-from framesift.operators import temporal
+from framesift.operators import splits, temporal
 from framesift.plans.splits import videos
 from framesift.plans.tables import FRAMES, frames
 from framesift.registry import query
@@ -43,6 +43,13 @@ def video_strata(spark, sf_dir):
     return ops.strata(videos(spark, sf_dir), ["click", "error", "purchase", "signup", "view"]).select("video", "stratum")
 
 
+@query("strata_split")
+def strata_split(spark, sf_dir):
+    """A fifth of each stratum of videos as the test part."""
+    rows = ops.strata(videos(spark, sf_dir), ["click", "error", "purchase", "signup", "view"])
+    return splits.stratified(rows.select("video", "stratum"), 0.2, 7)
+
+
 @query("patch_pooling", """with c as (select event_id // 64 as key, ((event_id % 64) // 8)::int as y, (event_id % 8)::int as x, value from events),
 p as (select i, floor(i * 8 / 3) as a, ceil((i + 1) * 8 / 3) as b from range(0, 3) t(i))
 select key, r.i::int as r, q.i::int as c, round(avg(value), 7) as value from c join p r on c.y >= r.a and c.y < r.b join p q on c.x >= q.a and c.x < q.b group by all""")

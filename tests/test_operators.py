@@ -266,3 +266,19 @@ def test_positions_and_records(spark):
     t = spark.createDataFrame([("a", 5)], "video string, hooks int")
     p = spark.createDataFrame([], "video string, phases int")
     assert [(r.video, r.n_frames, r.hooks, r.missing) for r in splits.joined_records(f, t, p).collect()] == [("a", 2, 5, "phases")]
+
+
+def test_labels_without_a_vocabulary(spark):
+    boxes = spark.createDataFrame([("a", 1, "x")], "video string, frame int, label string")
+    vocabulary = spark.createDataFrame([], "nth int, label string")
+    assert labels.per_label(boxes, vocabulary).count() == 0
+
+
+def test_strata_go_into_the_split(spark):
+    from framesift.plans.reduce import strata_split
+
+    rows = strata_split(spark, "/root/testdata/sf0.001").collect()
+    assert len({r.video for r in rows}) == len(rows) > 0
+    for stratum in {r.stratum for r in rows}:
+        held = [r.is_test for r in rows if r.stratum == stratum]
+        assert abs(sum(held) - 0.2 * len(held)) <= 1
