@@ -73,6 +73,18 @@ def perspectives(turns: DataFrame) -> DataFrame:
     )
 
 
+def dialogues(turns: DataFrame, size: int = 1 << 20) -> DataFrame:
+    """conv_id, perspective, part, begin, text, mask: the rendered dialogue of each perspective in parts, in order from 0.
+
+    A part holds the messages that begin in one stretch of `size` characters, so it is never longer than that and one message; the texts
+    of all parts one after another are the dialogue. begin: place of the part's first character; mask: spans [start, end) in
+    the dialogue's own characters. A stretch in which no message begins makes no part, so numbers may have gaps."""
+    place = F.transform("mask", lambda m: F.struct((m["start"] + F.col("begin")).alias("start"), (m["end"] + F.col("begin")).alias("end")))
+    rows = perspectives(turns).select("conv_id", "perspective", F.floor(F.col("begin") / size).alias("part"), F.struct("place", "begin", "rendered", place.alias("mask")).alias("m"))
+    parts = rows.groupBy("conv_id", "perspective", "part").agg(F.array_sort(F.collect_list("m")).alias("m"))
+    return parts.select("conv_id", "perspective", "part", F.col("m")[0]["begin"].alias("begin"), F.array_join("m.rendered", "").alias("text"), F.flatten("m.mask").alias("mask"))
+
+
 def op2_chat_perspectives(spark, sf_dir: str) -> DataFrame:
     """One row for each participant and message of the conversations."""
     return perspectives(spark.read.parquet(f"{sf_dir}/conversations.parquet")).select(

@@ -139,3 +139,23 @@ def test_crc_matches_the_contract(spark):
 
     got = spark.range(50).withColumnRenamed("id", "doc_id").select("doc_id", toxicity.held_out().alias("t"), langid.held_out().alias("l")).collect()
     assert all(r.t == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and r.l == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got)
+
+
+def test_dialogues_are_their_messages_in_order(spark):
+    turns = [(c, t, r, x) for c in (1, 2, None) for t, r, x in [(1, "ann", "hello"), (2, "bob", None), (2, "bob", "x" * 300), (3, None, "né <|im_end|>"), (4, "ann", "bye " * 40), (5, "bob", "")]]
+    turns = spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").cache()
+    said = {}
+    for r in sorted(chat.perspectives(turns).collect(), key=lambda r: (str(r.conv_id), r.perspective, r.place)):
+        text, learned = said.setdefault((r.conv_id, r.perspective), ["", []])
+        learned += [r.rendered[m.start : m.end] for m in r.mask]
+        said[r.conv_id, r.perspective][0] = text + r.rendered
+    assert len(said) == 9
+    for size in (1, 100, 1 << 20):
+        got = {}
+        for r in sorted(chat.dialogues(turns, size).collect(), key=lambda r: (str(r.conv_id), r.perspective, r.part)):
+            text, mask = got.setdefault((r.conv_id, r.perspective), ["", []])
+            assert r.begin == len(text) and r.begin // size == r.part
+            mask += r.mask
+            got[r.conv_id, r.perspective][0] = text + r.text
+        assert {k: [t, [t[m.start : m.end] for m in mask]] for k, (t, mask) in got.items()} == said
+    assert chat.dialogues(turns.limit(0)).collect() == []
