@@ -90,6 +90,21 @@ def export_status(boxes: DataFrame, splits: DataFrame, sizes: DataFrame, n_class
     return held.withColumns({"status": status, "cx": cx, "cy": cy, "w": w, "h": h})
 
 
+def detection_frames(boxes: DataFrame, splits: DataFrame, sizes: DataFrame, on_disk: DataFrame) -> DataFrame:
+    """video, frame, split, status, stem, lines: a row for each frame with boxes.
+
+    status: no_split (the video is in none), no_frames (none on disk), out_of_range (a frame beyond those on disk), empty (no box has
+    area inside the image), else ok. lines: class_id, cx, cy, w, h of the boxes with area, in the order of oid. boxes: video, frame, oid,
+    class_id, x1 to y2; splits: video, split; sizes: video, width, height; on_disk: video, n. Videos are unique in the last three."""
+    cx, cy, w, h = box.normalised(*(F.col(c) for c in ("x1", "y1", "x2", "y2")), F.col("width"), F.col("height"))
+    kept = boxes.join(sizes, "video", "left").withColumns({"cx": cx, "cy": cy, "w": w, "h": h})
+    line = F.when((F.col("w") > 0) & (F.col("h") > 0), F.struct("oid", "class_id", "cx", "cy", "w", "h"))
+    rows = kept.groupBy("video", "frame").agg(F.array_sort(F.collect_list(line)).alias("lines")).join(splits.select("video", "split"), "video", "left").join(on_disk.select("video", "n"), "video", "left")
+    here = F.coalesce("n", F.lit(0))
+    status = F.when(F.col("split").isNull(), "no_split").when(here == 0, "no_frames").when(F.col("frame") >= here, "out_of_range").when(F.size("lines") == 0, "empty").otherwise("ok")
+    return rows.select("video", "frame", "split", status.alias("status"), F.format_string("%s__%06d", F.col("video").cast("string"), F.col("frame")).alias("stem"), F.transform("lines", lambda x: x.dropFields("oid")).alias("lines"))
+
+
 def annotation_sizes(boxes: DataFrame, standard: list[tuple[int, int]]) -> DataFrame:
     """video, width, height: the first standard size, in order, that holds all boxes; else what they need."""
     most = boxes.groupBy("video").agg(F.max("x2").alias("x"), F.max("y2").alias("y"))

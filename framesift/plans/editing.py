@@ -182,6 +182,19 @@ def listed_and_left(spark, sf_dir):
     return left.agg(F.lit(False).alias("listed"), F.count("*").alias("n"), F.count_distinct("video").alias("n_videos")).unionByName(lost.agg(F.lit(True).alias("listed"), F.lit(gone).cast("long").alias("n"), F.count("*").alias("n_videos")))
 
 
+@query("copied_names", """with r as (select p_brand || '/' || 'img_' || p_size || '.' || case when p_partkey % 2 = 0 then 'jpg' else 'png' end as file, p_partkey, p_retailprice as distance from part),
+n as (select *, replace(regexp_replace(file, '\\.[a-z]+$', ''), '/', '_') || '_dist' || printf('%.4f', distance::double) as stem, regexp_extract(file, '\\.[a-z]+$') as suffix, 'root/' || p_partkey || '/' || file as path from r),
+k as (select *, row_number() over (partition by stem, suffix order by path) - 1 as nth from n)
+select path, stem || case when nth > 0 then '_' || nth else '' end || suffix as name from k""")
+def copied_names(spark, sf_dir):
+    """Flat names of copies, each once."""
+    from framesift.sinks import unique_names
+
+    suffix = F.when(F.col("p_partkey") % 2 == 0, ".jpg").otherwise(".png")
+    path = F.concat(F.lit("root/"), F.col("p_partkey").cast("string"), F.lit("/"), F.col("p_brand"), F.lit("/img_"), F.col("p_size").cast("string"), suffix)
+    return unique_names(read(spark, sf_dir, "part").select(path.alias("path"), F.col("p_retailprice").alias("distance"))).select("path", "name")
+
+
 @query("filter_report", f"""with {FRAMES}, r as (select vec_id, embedding from frames where vec_id % 50 = 7),
 d as (select f.vec_id, round(min(round(1 - list_cosine_similarity(f.embedding::double[], r.embedding::double[]), 9)), 6) as distance from frames f, r where f.vec_id % 50 <> 7 group by all)
 select case when distance < 0.8 then 'out' else 'keep' end as status, count(*) as n, max(distance) as farthest from d group by 1""")

@@ -148,6 +148,24 @@ def export_status(spark, sf_dir):
     return ops.export_status(b, splits, sizes, F.lit(3)).groupBy("split", "status").agg(F.count("*").alias("n"))
 
 
+@query("detection_frames", f"""with {BOXES}, {_YOLO}, {_VOC},
+d as (select s_suppkey as video, trunc(abs(s_acctbal))::bigint * 3 as n from supplier where s_suppkey % 11 <> 0),
+f as (select video, frame, count(*) filter (where c - a > 0 and d - b > 0) as n_lines, coalesce(sum((c - a) * (d - b)) filter (where c - a > 0 and d - b > 0), 0)::bigint as area from cut join voc using (label) group by all)
+select video, frame, case when video % 7 = 0 then null when video % 7 < 5 then 'train' when video % 7 = 5 then 'val' else 'test' end as split,
+  case when video % 7 = 0 then 'no_split' when coalesce(n, 0) = 0 then 'no_frames' when frame >= n then 'out_of_range' when n_lines = 0 then 'empty' else 'ok' end as status,
+  video || '__' || case when length(frame::varchar) > 6 then frame::varchar else lpad(frame::varchar, 6, '0') end as stem, n_lines::int as n_lines, area from f left join d using (video)""")
+def detection_frames(spark, sf_dir):
+    """What becomes of each annotated frame of the suppliers."""
+    b = boxes(spark, sf_dir).join(F.broadcast(vocabulary(spark).withColumnRenamed("nth", "class_id")), "label")
+    s = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("video"), (F.floor(F.abs("s_acctbal")) * 3).cast("long").alias("n"))
+    m = F.col("video") % 7
+    splits = s.where(m != 0).select("video", F.when(m < 5, "train").when(m == 5, "val").otherwise("test").alias("split"))
+    sizes = s.select("video", F.lit(640).alias("width"), F.lit(480).alias("height"))
+    got = ops.detection_frames(b, splits, sizes, s.where("video % 11 <> 0"))
+    area = F.aggregate("lines", F.lit(0.0), lambda x, y: x + y["w"] * y["h"])
+    return got.select("video", "frame", "split", "status", "stem", F.size("lines").alias("n_lines"), F.round(area * 640 * 480).cast("long").alias("area"))
+
+
 @query("box_iou", f"""with {BOXES}, p as (select a.video, a.frame, a.oid, greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1)) as i,
   (a.x2 - a.x1) * (a.y2 - a.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) as s from boxes a join boxes b on a.video = b.video and a.frame = b.frame and a.oid <> b.oid)
 select video, frame, oid, round(coalesce(m, 0), 6) as max_iou from boxes left join (select video, frame, oid, max(case when s - i > 0 then i / (s - i) else 0 end) as m from p group by all) using (video, frame, oid)""")

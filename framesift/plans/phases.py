@@ -111,3 +111,24 @@ def pearson_stability(spark, sf_dir):
     k = F.try_variant_get(F.try_parse_json("props"), "$.k", "double")
     r = F.coalesce(F.nanvl(F.corr("value", k), F.lit(0.0)), F.lit(0.0))
     return read(spark, sf_dir, "events").groupBy(F.col("user_id").alias("video")).agg(F.round(r, 5).alias("r"))
+
+
+@query("markov_features", """with t as (select unnest(['click', 'error', 'purchase', 'signup', 'view']) as p, unnest([0, 1, 2, 3, 4]) as i),
+e as (select user_id as video, event_type as p, (value > 50)::int as a, (event_type in ('view', 'click'))::int as b, lead(event_type) over w as q, lead((value > 50)::int) over w as a2, lead((event_type in ('view', 'click'))::int) over w as b2
+  from events window w as (partition by user_id order by event_id)),
+v as (select distinct video from e),
+steps as (select video, p, q, count(*) as n from e where q is not null group by all),
+full_ as (select v.video, x.i as i, y.i as j, coalesce(n, 0) as n from v cross join t x cross join t y left join steps s on s.video = v.video and s.p = x.p and s.q = y.p),
+l as (select video, 0 as k, a as f, a2 as g from e union all select video, 1, b, b2 from e),
+c as (select unnest([0, 1, 2, 3]) as c),
+ls as (select v.video, k.k, c.c, count(l.f) as n from v cross join (select unnest([0, 1]) as k) k cross join c left join l on l.video = v.video and l.k = k.k and l.g is not null and l.f * 2 + l.g = c.c group by all)
+select video, 'phase_share' as kind, i as nth, round(count(*) filter (where e.p = t.p) / count(*), 6) as value from e cross join t group by video, i
+union all select video, 'phase_steps', i * 5 + j, round(coalesce(n / nullif(sum(n) over (partition by video, i), 0), 0), 6) from full_
+union all select video, 'label_share', k, round(avg(f), 6) from l group by video, k
+union all select video, 'label_steps', k * 4 + c, round(coalesce(n / nullif(sum(n) over (partition by video, k), 0), 0), 6) from ls""")
+def markov_features(spark, sf_dir):
+    """Features of each user's events, a row for each number."""
+    e = read(spark, sf_dir, "events").select(F.col("user_id").alias("video"), F.col("event_id").alias("frame"), F.col("event_type").alias("phase_id"), (F.col("value") > 50).cast("int").alias("high"), F.col("event_type").isin("view", "click").cast("int").alias("seen"))
+    got = ops.markov_features(e, e, ["click", "error", "purchase", "signup", "view"], ["high", "seen"])
+    kinds = [c for c in got.columns if c != "video"]
+    return got.select("video", F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(k).alias("x")) for k in kinds))).alias("f")).select("video", "f.kind", F.posexplode("f.x").alias("nth", "x")).select("video", "kind", "nth", F.round("x", 6).alias("value"))

@@ -45,10 +45,13 @@ def split_assignment(spark, sf_dir):
     return ops.assign(videos(spark, sf_dir).select("video", "dataset", "n_frames"), _RATIOS)
 
 
-@query("split_targets", "select n, case when n >= 3 then 1 + a + (n - 3 - a - 2 * b) else n end::bigint as train, case when n >= 3 then 1 + b else 0 end::bigint as val, case when n >= 3 then 1 + b else 0 end::bigint as test from (select n, round_even((n - 3) * 0.7, 0) as a, round_even((n - 3) * 0.15, 0) as b from range(0, 200) t(n))")
+@query("split_targets", """select o_custkey as dataset, n, case when n >= 3 then 1 + a + (n - 3 - a - 2 * b) else n end::bigint as train, case when n >= 3 then 1 + b else 0 end::bigint as val, case when n >= 3 then 1 + b else 0 end::bigint as test
+from (select o_custkey, count(*) as n, round_even((count(*) - 3) * 0.7, 0) as a, round_even((count(*) - 3) * 0.15, 0) as b from orders group by 1)""")
 def split_targets(spark, sf_dir):
+    """Sizes of the parts of each customer's orders."""
     train, val, test = ops.targets(F.col("n"), _RATIOS)
-    return spark.range(200).withColumnRenamed("id", "n").select("n", train.cast("long").alias("train"), val.cast("long").alias("val"), test.cast("long").alias("test"))
+    n = read(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("dataset")).agg(F.count("*").alias("n"))
+    return n.select("dataset", "n", train.cast("long").alias("train"), val.cast("long").alias("val"), test.cast("long").alias("test"))
 
 
 @query("split_summary_rollup", f"""with {_ASSIGN} select case when grouping(dataset) = 1 then 'all' else dataset::varchar end as dataset, case when grouping(split) = 1 then 'all' else split end as split,
@@ -262,12 +265,15 @@ def fast_split(spark, sf_dir):
     return ops.fast_split(f, spherical_clusters(f, 6).select("video", "cluster"), 0.3, 200, 3)
 
 
-@query("lr_schedule", """select s as step, round(case when s < 50 then 0.002 * s / 49 else 1e-6 + 0.5 * (0.002 - 1e-6) * (1 + cos(pi() * (s - 50) / 450)) end, 9) as rate,
-round(0.9995 + 0.5 * (0.996 - 0.9995) * (1 + cos(pi() * s / 500)), 9) as momentum, round(case when s < 30 then 0.04 + 0.03 * s / 29 else 0.07 end, 9) as heat from range(0, 500) t(s)""")
+@query("lr_schedule", """with t as (select event_id, event_id % 500 as s from events)
+select event_id, s as step, round(case when s < 50 then 0.002 * s / 49 else 1e-6 + 0.5 * (0.002 - 1e-6) * (1 + cos(pi() * (s - 50) / 450)) end, 9) as rate,
+round(0.9995 + 0.5 * (0.996 - 0.9995) * (1 + cos(pi() * s / 500)), 9) as momentum, round(case when s < 30 then 0.04 + 0.03 * s / 29 else 0.07 end, 9) as heat from t""")
 def lr_schedule(spark, sf_dir):
+    """Rates of the logged steps, each run of 500."""
     step = F.col("step")
     rate = schedules.warm_cosine(step, 50, 500, 0.001, 1e-6, 512)
-    return spark.range(500).withColumnRenamed("id", "step").select("step", F.round(rate, 9).alias("rate"), F.round(schedules.cosine(step, 500, 0.996, 0.9995), 9).alias("momentum"), F.round(schedules.warm_constant(step, 30, 0.04, 0.07), 9).alias("heat"))
+    logged = read(spark, sf_dir, "events").select("event_id", (F.col("event_id") % 500).alias("step"))
+    return logged.select("event_id", "step", F.round(rate, 9).alias("rate"), F.round(schedules.cosine(step, 500, 0.996, 0.9995), 9).alias("momentum"), F.round(schedules.warm_constant(step, 30, 0.04, 0.07), 9).alias("heat"))
 
 
 @query("label_aware_split")

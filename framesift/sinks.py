@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import json
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from framesift.sources.vector_files import opened
+
 
 def split_list(assigned: DataFrame, path: str) -> None:
     assigned.write.mode("overwrite").csv(path, header=True)
@@ -20,6 +24,31 @@ def detection_labels(exported: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").partitionBy("split", "video").text(path)
 
 
+def detection_dataset(frames: DataFrame, names: list[str], path: str) -> DataFrame:
+    """A label file for each frame of status ok under labels/<split>/, and data.yaml; gives split, status, n of the frames.
+
+    frames: as labels.detection_frames gives them. Tasks write the files themselves, each under a name of its own, so a task
+    that runs again writes the same ones."""
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, root = opened(path)
+        for batch in batches:
+            for split, stem, lines in zip(batch["split"], batch["stem"], batch["lines"], strict=True):
+                store.create_dir(f"{root}/labels/{split}", recursive=True)
+                text = "".join(f"{x['class_id']} {x['cx']:.6f} {x['cy']:.6f} {x['w']:.6f} {x['h']:.6f}\n" for x in lines)
+                with store.open_output_stream(f"{root}/labels/{split}/{stem}.txt") as f:
+                    f.write(text.encode())
+            yield pd.DataFrame({"n": [len(batch)]})
+
+    frames.where("status = 'ok'").select("split", "stem", "lines").mapInPandas(write, "n long").agg(F.sum("n")).collect()
+    store, root = opened(path)
+    store.create_dir(root, recursive=True)
+    head = [f"path: {json.dumps(path)}", *(f"{s}: images/{s}" for s in ("train", "val", "test")), "names:"]
+    with store.open_output_stream(f"{root}/data.yaml") as f:
+        f.write(("\n".join(head + [f"  {i}: {json.dumps(n)}" for i, n in enumerate(names)]) + "\n").encode())
+    return frames.groupBy("split", "status").agg(F.count("*").alias("n"))
+
+
 def pair_index(pairs: DataFrame, factor: float, path: str) -> None:
     """pairs/ with the matches and summary/ with factor, totals and match rate."""
     pairs.where("is_match").select("query", "match").write.mode("overwrite").parquet(f"{path}/pairs")
@@ -113,3 +142,36 @@ def without(rows: DataFrame, listed: DataFrame, key: str = "path") -> tuple[Data
     """The rows not listed, and the videos that lost some."""
     lost = rows.join(listed.select(key).distinct(), key, "left_semi").select("video").distinct()
     return rows.join(listed.select(key).distinct(), key, "left_anti"), lost
+
+
+def unique_names(rows: DataFrame) -> DataFrame:
+    """rows (path, distance) with the flat name of a copy: folder_stem_dist<distance>.suffix; equal names are numbered from the second on, by path."""
+    p = F.split("path", "/")
+    file, folder = F.element_at(p, -1), F.coalesce(F.try_element_at(p, F.lit(-2)), F.lit(""))
+    suffix = F.regexp_substr(file, F.lit(r"(?<=.)\.[^.]+$"))
+    stem = F.when(suffix.isNull(), file).otherwise(F.substring(file, F.lit(1), F.length(file) - F.length(suffix)))
+    name = rows.withColumns({"_name": F.concat(folder, F.lit("_"), stem, F.format_string("_dist%.4f", F.col("distance").cast("double"))), "_suffix": F.coalesce(suffix, F.lit(""))})
+    nth = F.row_number().over(Window.partitionBy("_name", "_suffix").orderBy("path")) - 1
+    return name.withColumn("name", F.concat("_name", F.when(nth > 0, F.concat(F.lit("_"), nth.cast("string"))).otherwise(""), "_suffix")).drop("_name", "_suffix")
+
+
+def copies(named: DataFrame, path: str) -> DataFrame:
+    """Copy each file of named (path, name) to path/name in tasks; gives path, name, copied: false where there is no such file."""
+
+    def copy(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out, root = opened(path)
+        out.create_dir(root, recursive=True)
+        for batch in batches:
+            done = []
+            for source, name in zip(batch["path"], batch["name"], strict=True):
+                try:
+                    store, at = opened(source)
+                    with store.open_input_stream(at) as a, out.open_output_stream(f"{root}/{name}") as b:
+                        while block := a.read(1 << 20):
+                            b.write(block)
+                    done.append(True)
+                except FileNotFoundError:
+                    done.append(False)
+            yield batch.assign(copied=done)
+
+    return named.select("path", "name").mapInPandas(copy, "path string, name string, copied boolean")
