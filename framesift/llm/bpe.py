@@ -156,6 +156,7 @@ class Encoder(dict):
         self.alphabet = {b: c for b, c in enumerate(byte_alphabet())}
         self.coded = {t: i.to_bytes(4, "little") for t, i in vocabulary.ids.items()}
         self.words: dict[str, tuple[bytes, str]] = {}
+        self.assigned: set[str] = set()
 
     def _word(self, word: str) -> tuple[bytes, str]:
         got = self.words.get(word)
@@ -170,7 +171,10 @@ class Encoder(dict):
 
     def _split(self, chunk: str) -> list[str]:
         """The chunk's words. Where it has characters that Python's table doesn't know, newer tables say otherwise than the library's, so all classes are ranges."""
-        if chunk.isascii() or all(unicodedata.category(c) != "Cn" for c in chunk):
+        if chunk.isascii() or self.assigned.issuperset(chunk):
+            return self.word.findall(chunk)
+        if all(unicodedata.category(c) != "Cn" for c in chunk):
+            self.assigned.update(chunk)
             return self.word.findall(chunk)
         if self.exact is None:
             pattern = self.v.pattern.replace(r"\s", r"\p{White_Space}").replace(r"\p{L}", _class("L", _LETTERS)).replace(r"\p{N}", _class("N", _NUMBERS))
