@@ -255,6 +255,20 @@ def weighted_spread(cells: DataFrame, height: int, width: int, top: float = 0.2)
     return held.join(mean, "key").groupBy("key").agg((square("y") + square("x")).alias("spread"))
 
 
+def line_signals(images: DataFrame, most: int = 50) -> DataFrame:
+    """key, line, values: how much neighbouring pixels differ along `most` rows, then `most` columns, evenly spread from the first to the last.
+
+    images: key, height, width, gray (array, row by row). Images of under 32 rows or columns, or without all their pixels, give none;
+    of fewer than `most` rows and columns all lines are taken. An image is one row and its lines are cut out in place."""
+    h, w, n = F.col("height"), F.col("width"), F.least(F.lit(most), F.col("height"), F.col("width"))
+    every = lambda size: F.transform(F.sequence(F.lit(0), n - 1), lambda j: F.when(j == n - 1, size - 1).otherwise(F.floor(j * ((size - 1) / (n - 1))).cast("int")))
+    pixel = lambda y, x: F.get("gray", y * w + x).cast("double")
+    along = F.transform(every(h), lambda y: F.transform(F.sequence(F.lit(1), w - 1), lambda x: F.abs(pixel(y, x) - pixel(y, x - 1))))
+    down = F.transform(every(w), lambda x: F.transform(F.sequence(F.lit(1), h - 1), lambda y: F.abs(pixel(y, x) - pixel(y - 1, x))))
+    whole = images.where((h >= 32) & (w >= 32) & (F.size("gray") == h * w))
+    return whole.select("key", F.concat(along, down).alias("lines")).select("key", F.posexplode("lines").alias("line", "values"))
+
+
 def block_sizes(signals: DataFrame) -> DataFrame:
     """key, line, peak, size: the lag from 3 up to a third of the signal (79 at most) with the largest autocorrelation, the least among equals.
 

@@ -166,6 +166,29 @@ def fast_split(frames: DataFrame, clusters: DataFrame, share: float, n: int, mos
     return best.join(F.broadcast(gaps), "rank")
 
 
+def compared_splits(representations: dict[str, DataFrame], stratum: Column, share: float, n: int) -> DataFrame:
+    """representation, trial, score, base_score, n_train, n_test, length_difference: the best of the same n stratified splits by each representation.
+
+    representations: frames (video, embedding) by name, of the same videos; lengths and strata (an expression on video) are the first one's,
+    and base_score is what the first one says of the chosen split. Videos without an embedding take part in no score. The score is that of
+    embedding_balances; the earlier trial wins among equals at nine decimals."""
+    from framesift.operators.temporal import mean_vector
+
+    first = next(iter(representations))
+    videos = representations[first].groupBy("video").agg(F.count("*").alias("length")).withColumn("stratum", stratum)
+    scores = None
+    for name, frames in representations.items():
+        unit = mean_vector(frames, ["video"]).select("video", vectors.scaled(F.col("mean")).alias("unit"))
+        got = embedding_balances(stratified_trials(videos.join(unit, "video"), share, n)).select(F.lit(name).alias("representation"), "trial", F.round("score", 9).alias("score"))
+        scores = got if scores is None else scores.union(got)
+    best = scores.where("score is not null").groupBy("representation").agg(F.min(F.struct("score", "trial")).alias("b")).select("representation", "b.trial", "b.score")
+    base = scores.where(F.col("representation") == first).select("trial", F.col("score").alias("base_score"))
+    side = lambda t: F.avg(F.when(F.col("is_test") == t, F.col("length")))
+    parts = stratified_trials(videos, share, n).join(F.broadcast(best), "trial").groupBy("representation", "trial", "score")
+    parts = parts.agg(F.count_if(~F.col("is_test")).alias("n_train"), F.count_if("is_test").alias("n_test"), relative_difference(side(True), side(False)).alias("length_difference"))
+    return parts.join(base, "trial").select("representation", "trial", "score", "base_score", "n_train", "n_test", "length_difference")
+
+
 def label_sets(tools: DataFrame) -> DataFrame:
     """video, missing, unexpected: labels by which a video's set differs from that of the first video; videos that agree are left out."""
     sets = tools.groupBy("video").agg(F.array_sort(F.collect_set("label")).alias("own"))

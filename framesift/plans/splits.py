@@ -226,6 +226,24 @@ def stratified_trials(spark, sf_dir):
     return scores.select("trial", F.round("score", 6).alias("score"))
 
 
+@query("native_split", f"""with {_BALANCES}, b as (select trial, score from balances order by score, trial limit 1)
+select 'native' as representation, trial, any_value(score) as score, any_value(score) as base_score, count(*) filter (where not is_test) as n_train, count(*) filter (where is_test) as n_test from b join c using (trial) group by trial""")
+def native_split(spark, sf_dir):
+    """The best of 64 stratified splits by the embeddings as they are."""
+    got = ops.compared_splits({"native": frames(spark, sf_dir)}, F.substring("video", 1, 4), 0.3, 64)
+    return got.select("representation", "trial", F.round("score", 6).alias("score"), F.round("base_score", 6).alias("base_score"), "n_train", "n_test")
+
+
+@query("compressed_splits")
+def compressed_splits(spark, sf_dir):
+    """The splits chosen before and after eight principal components, and what the whole embeddings say of both."""
+    from framesift.operators.reduce import pca
+
+    f = frames(spark, sf_dir)
+    reduced = pca(f, 8)[0].select("video", F.col("reduced").alias("embedding"))
+    return ops.compared_splits({"native": f, "pca": reduced}, F.substring("video", 1, 4), 0.3, 64)
+
+
 _CLUSTERED = f"""{FRAMES}, v as (select distinct video from frames), chosen as (select trial, video, row_number() over (partition by trial order by {_md5("trial || '/' || video")}, video) <= (select round_even(count(*) * 0.3, 0) from v) as is_test from v, range(0, 100) t(trial)),
 e as (select trial, vec_id * 7 % 11 % 6 as cluster, count(*) as n, count(*) filter (where is_test) as t from frames join chosen using (video) group by all),
 scores as (select trial, round(max(abs(t / n - 0.3)), 9) as score from e group by trial),
