@@ -2,6 +2,7 @@ import hashlib
 import re
 import time
 import zlib
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -159,3 +160,19 @@ def test_dialogues_are_their_messages_in_order(spark):
             got[r.conv_id, r.perspective][0] = text + r.text
         assert {k: [t, [t[m.start : m.end] for m in mask]] for k, (t, mask) in got.items()} == said
     assert chat.dialogues(turns.limit(0)).collect() == []
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.1").exists(), reason="needs the tables")
+def test_model_of_urls_on_held_out_rows(spark):
+    """The model learns from the first two thirds of the labelled urls, in the order of judge, and is held against the rules of the rest."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url")
+    host, path = urls.parts(F.col("url"))
+    known = pages.select(host.alias("host"), path.alias("path")).distinct()
+    known = known.select("host", "path", urls.rule_of(F.col("host"), F.col("path"))[1].alias("want")).where("want is not null").orderBy(F.xxhash64("host", "path"), "host", "path").collect()
+    n = len(known) * 2 // 3
+    held = {(r.host, r.path): r.want for r in known[n:]}
+    got = {(r.host, r.path): r.block_probability > 0.5 for r in urls.judge(pages, train_rows=n).collect()}
+    right = [got[k] == (want == "block") for k, want in held.items()]
+    most = max(sum(w == v for w in held.values()) for v in ("allow", "block"))
+    print("held-out urls", len(right), "right", sum(right), "by the commonest verdict", most)
+    assert sum(right) >= 0.9 * len(right) and sum(right) > most
