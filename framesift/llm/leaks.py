@@ -9,9 +9,8 @@ of its answer, the item's last words; so paraphrases that keep most words in ord
 phrase are not.
 
 Scale: the benchmark is taken in parts of about ITEMS items, so that what is broadcast and summed stays bounded. For each part
-texts are read once; what is kept of them is where benchmark words stand, in a table that the later steps read. Counts
-cover all passages, and every passage is searched; the directions are an index, fitted on the passages of at most FIT
-documents (by a hash of the id) and on all items. Only sums are shuffled.
+texts are read once; what is kept of them is where benchmark words stand, in a table that the later steps read. Counts and
+directions come from all passages and all items, and every passage is searched. Only sums are shuffled.
 
 Defined results: null and empty texts and items match nothing; items without a term that is rare enough are compared by
 all their terms; rows with equal ids (or without one) are searched one by one and give one result row for each item; items
@@ -32,7 +31,7 @@ from pyspark.sql import functions as F
 from framesift.llm.storage import map_frames, saved, scratch
 from framesift.llm.words import blocks, words
 
-HALF, RANK, OVER, ITEMS, FIT = 32, 224, 16, 1500, 20_000
+HALF, RANK, OVER, ITEMS = 32, 224, 16, 1500
 #: Cosine of a candidate; shares of the item and of its answer in the common subsequence; share of the item that makes up for the answer; words of an answer; share of passages above which a term is too common.
 COSINE, SHARE, ANSWER_SHARE, SURE, ANSWER, COMMON = 0.2, 0.75, 0.6, 0.9, 5, 0.01
 _CHUNK = 64
@@ -205,8 +204,7 @@ def _search(documents: DataFrame, items: list[np.ndarray], names: list[int], ans
     if bare.any():  # an item of common terms only
         weight = np.where((own[bare] > 0).any(0) & (weight == 0), 0.1, weight)
     own *= weight
-    some = F.broadcast(kept.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT).distinct())
-    base = _directions(kept.join(some, "doc_id", "left_semi"), weight, own)
+    base = _directions(kept.where("length(at) > 0"), weight, own)
     latent = own @ base
     # By the square of what the directions keep of an item over its length: a verbatim passage has cosine 1 however little that is.
     latent *= np.linalg.norm(own, axis=1, keepdims=True) / np.maximum((latent**2).sum(1, keepdims=True), 1e-12)

@@ -181,6 +181,16 @@ def test_nothing_is_lost_between_parts_of_the_benchmark(spark, seed):
     assert {(r.doc_id, r.item_id) for r in leaks.contaminated(df, b, most=2).collect()} == {(k, k) for k in range(5)}
 
 
+def test_directions_come_from_all_documents(spark, monkeypatch):
+    seen, real = [], leaks._directions
+    monkeypatch.setattr(leaks, "FIT", 3, raising=False)  # the bound that there was
+    monkeypatch.setattr(leaks, "_directions", lambda kept, *rest: seen.extend(r.doc_id for r in kept.select("doc_id").collect()) or real(kept, *rest))
+    items = [prose(20) for _ in range(4)]
+    df = spark.createDataFrame([(k, prose(40) + " " + items[k % 4]) for k in range(20)], "doc_id long, text string")
+    got = leaks.contaminated(df, spark.createDataFrame(list(enumerate(items)), "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in got.collect()} >= {(k, k % 4) for k in range(20)} and sorted(seen) == list(range(20))
+
+
 def test_recall_at_1500_items(spark):
     random = np.random.default_rng(5)
     pool = [f"w{k}" for k in range(6000)]
