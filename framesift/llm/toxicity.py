@@ -3,7 +3,8 @@
 Labelled tokens come from labelled documents: in a toxic document a word is tagged toxic if it, or its beginning, occurs
 nearly only in toxic documents; every other word is tagged clean. The field has two tags, hashed features of the word
 and its beginnings, and four transition weights, and is trained by gradient ascent on the log-likelihood of the tags
-(toxic documents weigh more), with exact single and pairwise marginals. Exact forward-backward marginals of each word
+(toxic documents weigh more), with exact single and pairwise marginals. All labelled texts train it: tasks sum counts and
+gradients, the driver holds the weights. Exact forward-backward marginals of each word
 follow for every document: the document's score is the largest marginal and the offending spans are the words whose
 marginal passes a threshold.
 
@@ -27,19 +28,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framesift.llm.storage import filter_rows, map_frames
+from framesift.llm.storage import filter_rows, map_frames, saved, scratch
 from framesift.llm.words import Words, blocks, mix, prefixes, words
 
 #: Features of a word: itself and its first 3 to 6 bytes, hashed into BUCKETS weights.
 BUCKETS = 1 << 20
 SIZES = (3, 4, 5, 6)
-#: Most labelled toxic and clean documents that train the field, and their longest text in characters.
-TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_CHARS = 800, 1600, 100_000
+#: Rounds of training; parts of the labelled texts that take turns, and texts of a part at least.
+ROUNDS, PARTS, LEAST = 30, 15, 2400
 #: Weight of a toxic document's log-likelihood in training, against 1 of a clean one.
 TOXIC_WEIGHT = 3.0
-#: A feature can mark toxic words if it is in so many toxic documents and their share (smoothed) is so large. Of these,
+#: A feature can mark toxic words if it is in so many toxic documents (of FEW; of more in proportion) and their share (smoothed) is so large. Of these,
 #: the ones that explain documents not yet explained are taken first to last, and besides those in a part COMMON of them.
-SUPPORT, SHARE, COMMON = 3, 0.97, 0.05
+SUPPORT, FEW, SHARE, COMMON = 3, 800, 0.97, 0.05
+#: Features that a pass of the cover looks at together.
+TOP = 16
 
 
 def features(w: Words) -> np.ndarray:
@@ -142,77 +145,202 @@ class Field:
         return marginals(self.emit(features(w)), w.bounds, np.exp(self.trans), float(np.exp(self.begin)))
 
 
-def _marking(f: np.ndarray, doc: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """Which features mark toxic words, learned from whole documents: a greedy cover of the toxic ones."""
-    good, held = np.zeros(BUCKETS), []
-    for one in f:  # in how many documents of either class each feature is
-        pair = np.unique(doc.astype(np.int64) * BUCKETS + one)
-        bad = toxic[pair // BUCKETS]
-        good = np.maximum(good, np.bincount(pair[~bad] % BUCKETS, minlength=BUCKETS))
-        held.append(pair[bad])
-    pair = np.unique(np.concatenate(held))
-    who, what = pair // BUCKETS, pair % BUCKETS
-    n = np.bincount(what, minlength=BUCKETS)
-    part = n / toxic.sum()
-    fit_for = (n >= SUPPORT) & (part / (part + (good + 0.2) / (~toxic).sum()) >= SHARE)
-    keep = fit_for[what]
-    who, what = who[keep], what[keep]
-    taken = fit_for & (part >= COMMON) & (good == 0)
-    while len(what):
-        left = np.bincount(what, minlength=BUCKETS) - 0.25 * good
-        best = int(left.argmax())
-        if left[best] < SUPPORT:
-            break
-        taken[best] = True
-        keep = ~np.isin(who, who[what == best])
-        who, what = who[keep], what[keep]
-    return taken
+def _coded(texts: list, toxic: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """features, bounds of the texts, text of each word and whether each text is toxic, by blocks of texts."""
+    for at, block in blocks(texts):
+        w = words(block)
+        yield features(w), w.bounds, np.repeat(np.arange(len(block)), np.diff(w.bounds)), toxic[at : at + len(block)]
+
+
+class Counts:
+    """In how many toxic documents each feature is, of whatever kind, and in how many clean ones as a feature of each kind."""
+
+    def __init__(self) -> None:
+        self.bad, self.good = np.zeros(BUCKETS, np.int64), np.zeros((1 + len(SIZES), BUCKETS), np.int64)
+
+    def add(self, texts: list, toxic: np.ndarray) -> None:
+        for f, _, doc, bad in _coded(texts, toxic):
+            base = doc.astype(np.int64) * BUCKETS
+            is_bad = bad[doc]
+            for k, one in enumerate(f):
+                np.add.at(self.good[k], np.unique((base + one)[~is_bad]) % BUCKETS, 1)
+            np.add.at(self.bad, np.unique((base + f)[:, is_bad]) % BUCKETS, 1)
+
 
+def _support(n_toxic: int) -> float:
+    return SUPPORT * max(1.0, n_toxic / FEW)
 
-def train(texts: list[str], toxic: np.ndarray, rounds: int = 30) -> Field:
-    """Tag the words of labelled documents, then fit a field to the tags. One class alone gives the untrained field."""
-    field = Field()
+
+def _fit_for(bad: np.ndarray, good: np.ndarray, n_toxic: int, n_clean: int) -> np.ndarray:
+    part = bad / n_toxic
+    return (bad >= _support(n_toxic)) & (part / (part + (good + 0.2) / n_clean) >= SHARE)
+
+
+def _step(f: np.ndarray, bounds: np.ndarray, doc: np.ndarray, toxic: np.ndarray, taken: np.ndarray, field: Field, whole: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient of a block: for each bucket, and of transitions, bias and begin."""
+    tag = toxic[doc] & taken[f].any(0)
+    seen = f if whole else f[1:3]
+    d = gradient(field.emit(seen), tag, bounds, field.trans, field.begin, np.where(toxic, TOXIC_WEIGHT, 1.0)[doc])
+    g = np.zeros(BUCKETS)
+    for one in seen:
+        g += np.bincount(one, d.word, BUCKETS)
+    return g, np.r_[d.trans.ravel(), d.bias, d.begin]
+
+
+class Ascent:
+    """A field and the squared gradients so far."""
+
+    def __init__(self) -> None:
+        self.field, self.grad2, self.small = Field(), np.full(BUCKETS, 1e-6), np.full(6, 1e-6)
+
+    def move(self, g: np.ndarray, step: np.ndarray) -> None:
+        field = self.field
+        g = g - 1e-2 * field.weight
+        self.grad2 += g * g
+        field.weight = (field.weight + 0.5 * g / np.sqrt(self.grad2)).astype(np.float32)
+        self.small += step * step
+        step = 0.2 * step / np.sqrt(self.small)
+        field.trans = field.trans + step[:4].reshape(2, 2) - 0.01 * field.trans
+        field.bias += step[4]
+        field.begin += step[5]
+
+
+def train(texts: list[str], toxic: np.ndarray, rounds: int = ROUNDS) -> Field:
+    """As fit() does, for a few texts in memory. One class alone gives the untrained field."""
     toxic = np.asarray(toxic, bool)
     if toxic.all() or not toxic.any():
-        return field
-    held = [(features(w), np.diff(w.bounds)) for w in (words(block) for _, block in blocks(texts))]  # by blocks, as arrays of bytes are large
-    f, size = np.concatenate([x for x, _ in held], 1), np.concatenate([x for _, x in held])
-    del held
-    bounds, doc = np.r_[0, np.cumsum(size)], np.repeat(np.arange(len(texts)), size)
-    tag = toxic[doc] & _marking(f, doc, toxic)[f].any(0)
-    grad2, small = np.full(BUCKETS, 1e-6), np.full(6, 1e-6)
-    weight = np.where(toxic, TOXIC_WEIGHT, 1.0)[doc]
+        return Field()
+    n = Counts()
+    n.add(texts, toxic)
+    good = n.good.max(0)
+    fit_for = _fit_for(n.bad, good, int(toxic.sum()), int((~toxic).sum()))
+    held = list(_coded(texts, toxic))
+    sets = [np.unique(f[:, doc == k]) for f, _, doc, bad in held for k in np.flatnonzero(bad)]
+    sets = [x[fit_for[x]] for x in sets]
+    taken = fit_for & (n.bad >= COMMON * toxic.sum()) & (good == 0)
+    left = sets
+    while left:
+        score = np.bincount(np.concatenate(left), minlength=BUCKETS) - 0.25 * good
+        best = int(np.where(fit_for, score, -np.inf).argmax())
+        if score[best] < _support(int(toxic.sum())):
+            break
+        taken[best] = True
+        left = [x for x in left if best not in x]
+    ascent = Ascent()
     for k in range(rounds):
-        # Every second round sees beginnings only, so that they must do without the whole word: new words have new endings.
-        seen_f = f if k % 2 else f[1:3]
-        d = gradient(field.emit(seen_f), tag, bounds, field.trans, field.begin, weight)
-        g = np.zeros(BUCKETS)
-        for one in seen_f:
-            g += np.bincount(one, d.word, BUCKETS)
-        g -= 1e-2 * field.weight
-        grad2 += g * g
-        field.weight = (field.weight + 0.5 * g / np.sqrt(grad2)).astype(np.float32)
-        step = np.r_[d.trans.ravel(), d.bias, d.begin]
-        small += step * step
-        step = 0.2 * step / np.sqrt(small)
-        field.trans += step[:4].reshape(2, 2) - 0.01 * field.trans
-        field.bias += step[4]
-        field.begin += step[5]
-    return field
+        got = [_step(*x, taken, ascent.field, bool(k % 2)) for x in held]
+        ascent.move(sum(g for g, _ in got), sum(s for _, s in got))
+    return ascent.field
+
 
+def _labelled(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, text, toxic of every labelled text, equal texts once."""
+    known = labels.where("toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic") == 1).alias("toxic"))
+    docs = documents.select("doc_id", F.xxhash64("text").alias("k"), "text").where(F.length("text") > 0)
+    once = docs.select("doc_id", "k").join(known, "doc_id").groupBy("k").agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic"))
+    return docs.join(once, ["doc_id", "k"]).dropDuplicates(["doc_id", "k"]).select("doc_id", "text", "toxic")
 
-def fit(documents: DataFrame, labels: DataFrame, toxic: int = TRAIN_TOXIC, clean: int = TRAIN_CLEAN) -> Field:
-    """A field from so many toxic and clean labelled documents at most, chosen by a hash of the id; equal texts count once.
 
-    A document with several labels counts as toxic if one says so; null labels, null texts and texts of over
-    TRAIN_CHARS characters don't train."""
-    known = labels.where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    order = (F.xxhash64("doc_id"), "doc_id")
-    docs = documents.select("doc_id", "text").where(F.length("text").between(1, TRAIN_CHARS))
-    ids = docs.select("doc_id").distinct().join(known, "doc_id")
-    some = ids.where("toxic = 1").orderBy(*order).limit(toxic).unionByName(ids.where("toxic <> 1").orderBy(*order).limit(clean))
-    got = docs.join(F.broadcast(some), "doc_id").groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic")).orderBy("doc_id").collect()
-    return train([r.text for r in got], np.array([r.toxic == 1 for r in got], bool)) if got else Field()
+def _marks(held: DataFrame, n_toxic: int, n_clean: int) -> np.ndarray:
+    """Which features mark toxic words, learned from all documents: a greedy cover of the toxic ones.
+
+    A pass of the cover looks at the TOP features that explain most. How often these stand together says what the greedy choice
+    takes among them, and it is the choice among all features as long as it explains more than the next one did before."""
+
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n = Counts()
+        for frame in frames:
+            n.add(frame["text"].tolist(), frame["toxic"].to_numpy(bool))
+        for kind, x in enumerate([n.bad, *n.good]):
+            at = np.flatnonzero(x)
+            yield pd.DataFrame({"kind": kind, "what": at, "n": x[at]})
+
+    by_kind = held.mapInPandas(count, "kind int, what int, n long").groupBy("what", "kind").agg(F.sum("n").alias("n"))
+    both = by_kind.groupBy("what").agg(F.max(F.when(F.col("kind") == 0, F.col("n"))).alias("bad"), F.max(F.when(F.col("kind") > 0, F.col("n"))).alias("good")).where(F.col("bad") >= SUPPORT)
+    found = both.toArrow()  # BUCKETS rows at most
+    what, bad, one = (found.column(c).to_numpy(zero_copy_only=False) for c in ("what", "bad", "good"))
+    n, good = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS)
+    n[what], good[what] = bad, np.nan_to_num(one.astype(float))
+    fit_for = _fit_for(n, good, n_toxic, n_clean)
+    shared = held.sparkSession.sparkContext.broadcast(fit_for)
+
+    def choose(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for f, bounds, _, bad in _coded(frame["text"].tolist(), np.ones(len(frame), bool)):
+                for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                    x = np.unique(f[:, a:b])
+                    rows.append(x[shared.value[x]].tolist())
+            yield pd.DataFrame({"has": rows})
+
+    sets = saved(held.where("toxic").mapInPandas(choose, "has array<int>").where(F.size("has") > 0), "toxic-features")
+    taken, chosen = fit_for & (n >= COMMON * n_toxic) & (good == 0), []
+    while True:
+        left = sets.where(~F.arrays_overlap("has", F.array(*map(F.lit, chosen)))) if chosen else sets
+        now = left.select(F.explode("has").alias("what")).groupBy("what").count().toArrow()
+        what, score = now.column("what").to_numpy(), now.column("count").to_numpy().astype(float)
+        score = score - 0.25 * good[what]
+        order = np.lexsort((what, -score))
+        top, rest = what[order[:TOP]], (score[order[TOP]], what[order[TOP]]) if len(order) > TOP else (-np.inf, 0)
+        if not len(order) or score[order[0]] < _support(n_toxic):
+            return taken
+        mask = sum((F.when(F.array_contains("has", int(x)), 1 << k).otherwise(0) for k, x in enumerate(top)), F.lit(0))
+        kinds = left.groupBy(mask.alias("mask")).count().where("mask > 0").toArrow()
+        has = (kinds.column("mask").to_numpy()[:, None] >> np.arange(len(top))) & 1
+        size = kinds.column("count").to_numpy().astype(float)
+        while True:
+            mine = size @ has - 0.25 * good[top]
+            best = int(np.lexsort((top, -mine))[0])
+            if mine[best] < _support(n_toxic) or (-mine[best], top[best]) > (-rest[0], rest[1]):
+                break
+            chosen.append(int(top[best]))
+            taken[top[best]] = True
+            size = np.where(has[:, best] > 0, 0, size)
+
+
+def _gradient(held: DataFrame, taken, field: Field, whole: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Summed over all rows; in steps of 2**-24, so that the order of tasks changes nothing."""
+    spark = held.sparkSession
+    shared = spark.sparkContext.broadcast(field)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        g, small = np.zeros(BUCKETS), np.zeros(6)
+        for frame in frames:
+            for block in _coded(frame["text"].tolist(), frame["toxic"].to_numpy(bool)):
+                one, step = _step(*block, taken.value, shared.value, whole)
+                g += one
+                small += step
+        all_of = np.rint(np.r_[g, small] * 2.0**24).astype(np.int64)
+        at = np.flatnonzero(all_of)
+        yield pd.DataFrame({"what": at, "g": all_of[at]})
+
+    got = held.select("text", "toxic").mapInPandas(run, "what int, g long").groupBy("what").agg(F.sum("g").alias("g")).toArrow()  # BUCKETS + 6 rows at most
+    out = np.zeros(BUCKETS + 6)
+    out[got.column("what").to_numpy()] = got.column("g").to_numpy() * 2.0**-24
+    shared.destroy()
+    return out[:BUCKETS], out[BUCKETS:]
+
+
+def fit(documents: DataFrame, labels: DataFrame, rounds: int = ROUNDS, least: int = LEAST) -> Field:
+    """A field from all labelled documents; equal texts count once.
+
+    A document with several labels counts as toxic if one says so; null labels and null texts don't train. Texts are dealt out to
+    PARTS parts (an odd number, fewer if a part had under `least` texts) by a hash of the id, and a round takes the next one. So
+    every text is seen in whole-word and in other rounds."""
+    with scratch(documents.sparkSession):
+        part = F.pmod(F.xxhash64("doc_id"), F.lit(PARTS))
+        held = saved(_labelled(documents, labels).withColumn("part", part.cast("int")).sortWithinPartitions("part"), "labelled")
+        n = {r.toxic: r["count"] for r in held.groupBy("toxic").count().collect()}
+        if len(n) < 2:
+            return Field()
+        taken = documents.sparkSession.sparkContext.broadcast(_marks(held, n[True], n[False]))
+        parts = next(k for k in (15, 5, 3, 1) if k == 1 or sum(n.values()) >= k * least)
+        ascent, size = Ascent(), max(1.0, sum(n.values()) / parts / least)
+        for k in range(rounds):
+            # A round counts as much as one of `least` texts would, so that the weights are held back alike.
+            g, small = _gradient(held.where(F.col("part") % parts == k % parts) if parts > 1 else held, taken, ascent.field, bool(k % 2))
+            ascent.move(g / size, small / size)
+        return ascent.field
 
 
 def _offsets(text: str, marks: np.ndarray) -> list[tuple[int, int]]:

@@ -86,6 +86,30 @@ def test_no_labels_or_one_class(spark):
     assert toxicity.score(docs, toxicity.fit(docs, spark.createDataFrame([(1, 1), (1, None)], "doc_id long, toxic int"))).first().score < 0.5
 
 
+def test_all_labelled_texts_train(spark, monkeypatch):
+    texts, toxic = corpus(np.random.default_rng(2))
+    whole = toxicity.train(texts, np.array(toxic))
+    monkeypatch.setattr(toxicity, "TOP", 2)  # more passes of the cover, the same choice
+    docs = spark.createDataFrame([*enumerate(texts), (900, texts[0])], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([*enumerate(toxic), (900, toxic[0])], "doc_id long, toxic int")
+    field = toxicity.fit(docs, labels)
+    assert np.allclose(field.weight, whole.weight, atol=1e-3) and np.allclose(field.trans, whole.trans, atol=1e-3)
+    # Parts that take turns.
+    turns = toxicity.fit(docs, labels, least=15)
+    bad = toxicity.score(docs, turns).join(labels, "doc_id")
+    assert bad.where("(score >= 0.7) <> (toxic = 1)").count() <= 0.03 * len(texts)
+
+
+def test_words_of_a_few_of_many_toxic_texts_are_learned(spark):
+    plain = [f"{a}{b}{c}" for a in "bcdf" for b in "aeio" for c in "lmnr"]
+    ids = [r.id for r in spark.range(1900).orderBy(F.xxhash64("id"), "id").collect()]
+    rows = [(i, " ".join([plain[(k * j) % 64] for j in range(1, 9)] + (["zork"] if k < 800 else ["quuxword"] if k < 900 else []))) for k, i in enumerate(ids)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    field = toxicity.fit(docs, spark.createDataFrame([(i, int(k < 900)) for k, i in enumerate(ids)], "doc_id long, toxic int"))
+    new = spark.createDataFrame([(1, "bal bem zork bil"), (2, "bal bem quuxword bil"), (3, "bal bem bil")], "doc_id long, text string")
+    assert [r.score >= 0.7 for r in toxicity.score(new, field).orderBy("doc_id").collect()] == [True, True, False]
+
+
 def test_held_out_toxicity(spark):
     rows = toxicity.op1_toxicity_crf(spark, DATA).join(spark.read.parquet(f"{DATA}/labels.parquet"), "doc_id").where("held_out").collect()
     hit = [r.predicted == r.toxic for r in rows]
