@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
-#: Rows that become Python objects at once.
-ROWS = 1000
+#: Rows that become Python objects at once, and bytes of a batch on its way to a Python worker.
+ROWS, BATCH_BYTES = 1000, 4 << 20
 _ARROW = {"bigint": pa.int64(), "int": pa.int32(), "smallint": pa.int16(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary()}
 _open: list[list[str]] = []
 
@@ -77,6 +77,17 @@ def _arrow(kind) -> pa.DataType:
     return _ARROW[kind.simpleString()]
 
 
+def by_bytes(rows: DataFrame) -> DataFrame:
+    """The same rows; from now on the session sends batches of BATCH_BYTES at most (or less, if so set) to Python workers.
+
+    Spark's own bound is 10,000 rows or 64 MB, which JVM and worker of each core hold outside the heap at the same time."""
+    conf, name = rows.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int(conf.get(name).rstrip("b"))
+    if not 0 < now <= BATCH_BYTES:
+        conf.set(name, str(BATCH_BYTES))
+    return rows
+
+
 def map_frames(rows: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
     """As mapInPandas, but doc_id stays a 64-bit number beside nulls (a pandas column of floats would change large ids),
     and at most ROWS rows come at once."""
@@ -97,7 +108,7 @@ def map_frames(rows: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator
             arrays = [pa.array(out[f.name].array if f.name == "doc_id" else out[f.name].tolist() if pa.types.is_nested(f.type) else out[f.name], f.type, from_pandas=True) for f in kind]
             yield pa.RecordBatch.from_arrays([a.combine_chunks() if isinstance(a, pa.ChunkedArray) else a for a in arrays], schema=kind)
 
-    return rows.mapInArrow(work, schema)
+    return by_bytes(rows).mapInArrow(work, schema)
 
 
 def filter_rows(rows: DataFrame, keep: Callable[[pa.RecordBatch], list]) -> DataFrame:
@@ -109,7 +120,7 @@ def filter_rows(rows: DataFrame, keep: Callable[[pa.RecordBatch], list]) -> Data
                 part = batch.slice(at, ROWS)
                 yield part.filter(pa.array(keep(part), pa.bool_()))
 
-    return rows.mapInArrow(work, rows.schema)
+    return by_bytes(rows).mapInArrow(work, rows.schema)
 
 
 def packed(documents: DataFrame) -> DataFrame:

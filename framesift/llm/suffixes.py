@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
-from framesift.llm.storage import map_frames, packed, saved, unpacked
+from framesift.llm.storage import by_bytes, map_frames, packed, saved, unpacked
 from framesift.llm.words import mix
 
 LENGTH, GRAM = 100, 24
@@ -369,7 +369,7 @@ def repeated_ranges(documents: DataFrame, length: int = LENGTH, most: int = MOST
         if more:
             regions_of = saved(regions_of, "cut")
         some = regions_of.where(F.col("kinds") <= most).repartition("key").sortWithinPartitions("key")
-        out = out.unionByName(some.mapInPandas(compare, "doc_id long, first long, last long"))
+        out = out.unionByName(by_bytes(some).mapInPandas(compare, "doc_id long, first long, last long"))
         if not more:
             return out
         again = map_frames(regions_of.where(F.col("kinds") > most).drop("kinds"), finer(parts), "key long, kind long, doc_id long, first int, gram_at short, bytes binary")
@@ -434,7 +434,7 @@ def without_repeats(documents: DataFrame, length: int = LENGTH) -> DataFrame:
             texts = [_cut(unpacked(b), ranges, length)[2].decode("utf-8", "ignore") for b, ranges in zip(batch.column("packed").to_pylist(), batch.column("ranges").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("rest"), pa.array(texts, pa.string())], ["rest", "text"])
 
-    moved = slim.mapInArrow(pack, StructType([row, StructField("packed", BinaryType())])).withColumn("doc_id", F.col("rest.doc_id"))
+    moved = by_bytes(slim).mapInArrow(pack, StructType([row, StructField("packed", BinaryType())])).withColumn("doc_id", F.col("rest.doc_id"))
     kept = moved.join(_ranges_by_id(named, length), "doc_id", "left").select("rest", "packed", "ranges").mapInArrow(drop, StructType([row, text]))
     every = kept.unionByName(documents.where("doc_id is null").select(rest, F.coalesce("text", F.lit("")).alias("text")))
     new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framesift.llm.storage import filter_rows, map_frames, saved, scratch
+from framesift.llm.storage import by_bytes, filter_rows, map_frames, saved, scratch
 from framesift.llm.words import Words, blocks, mix, prefixes, words
 
 #: Features of a word: itself and its first 3 to 6 bytes, hashed into BUCKETS weights.
@@ -329,7 +329,7 @@ def fit(documents: DataFrame, labels: DataFrame, rounds: int = ROUNDS, least: in
     every text is seen in whole-word and in other rounds."""
     with scratch(documents.sparkSession):
         part = F.pmod(F.xxhash64("doc_id"), F.lit(PARTS))
-        held = saved(_labelled(documents, labels).withColumn("part", part.cast("int")).sortWithinPartitions("part"), "labelled")
+        held = saved(_labelled(by_bytes(documents), labels).withColumn("part", part.cast("int")).sortWithinPartitions("part"), "labelled")
         n = {r.toxic: r["count"] for r in held.groupBy("toxic").count().collect()}
         if len(n) < 2:
             return Field()

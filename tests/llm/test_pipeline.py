@@ -111,6 +111,18 @@ def test_no_item_is_lost_between_parts(spark):
         assert {(r.doc_id, r.item_id) for r in leaks.contaminated(docs, items, most).collect()} == {(0, 7), (1, 7), (2, None), (3, None), (4, 8)}
 
 
+def test_workers_get_batches_of_bounded_bytes(spark):
+    import pandas as pd
+
+    from framesift.llm import storage
+
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    docs = spark.range(1500).coalesce(1).select(F.col("id").alias("doc_id"), F.rpad(F.lit("a"), 20_000, "b").alias("text"))
+    size = lambda frames: (pd.DataFrame({"n": [len(f)], "bytes": [int(f["text"].str.len().sum())]}) for f in frames)
+    got = storage.map_frames(docs, size, "n long, bytes long").collect()
+    assert sum(r.n for r in got) == 1500 and max(r.bytes for r in got) <= 1.1 * (4 << 20)
+
+
 def test_scratch_tables_go(spark):
     from pathlib import Path
 
