@@ -1,8 +1,9 @@
 """BPE encoding and decoding with forced boundaries.
 
 A pair of neighbouring bytes that occurs inside no vocabulary token marks a certain cut: no merge can ever cross it.
-Each word is cut there, the fragments are encoded independently by the merges, and their ids are concatenated. Equal
-chunks of text between white space are encoded once in a task, within a bounded table.
+Each word is cut there, the fragments are encoded independently by the merges, and their ids are concatenated. The new
+fragments of a block of texts are merged together, as arrays. Equal chunks of text between white space are encoded once
+in a task, within bounded tables.
 
 The vocabulary is a public tokenizer file whose path is a parameter; it is read on the driver and broadcast (its size is
 that of a vocabulary, a few MB). Nothing but the file's own normaliser, pattern and merges is used.
@@ -18,16 +19,21 @@ import json
 import unicodedata
 from collections.abc import Iterator
 from functools import cached_property
+from itertools import chain
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framesift.llm.storage import map_frames
+from framesift.llm.words import blocks
 
-#: Chunks, and words, that a Python worker remembers; up to so many pieces the least pair is looked for in a list.
-REMEMBERED, FEW = 150_000, 40
+#: Chunks, and words, of a generation that a Python worker remembers (it has two); up to so many pieces fragments are merged as arrays; fewer words than that are encoded one by one; characters of a block.
+REMEMBERED, FEW, ALONE, BLOCK = 150_000, 40, 50, 1_000_000
 #: Bytes in the order in which the byte alphabet takes the next free character from 256 on: those that are not printable.
 _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 
@@ -122,6 +128,105 @@ class Vocabulary:
             out += self.merge(parts)
         return out
 
+    @cached_property
+    def arrays(self) -> Arrays:
+        return Arrays(self)
+
+
+class Arrays:
+    """The same vocabulary as arrays, to encode many words at once."""
+
+    def __init__(self, v: Vocabulary) -> None:
+        self.v, alphabet = v, byte_alphabet()
+        self.alphabet = dict(enumerate(alphabet))
+        #: Ids of the bytes inside a word and at its end; whether a token holds the two bytes 256 * a + b.
+        self.inner, self.last = (np.array([v.ids.get(c + end, -1) for c in alphabet]) for end in ("", v.suffix))
+        self.held = np.array([a + b in v.joined for a in alphabet for b in alphabet])
+        self.none, self.wide = len(v.ranks), max(v.ids.values()) + 1
+        #: Pairs of ids in order, with their ranks; the id that a merge makes, by rank.
+        pair = np.array([v.ids[a] * self.wide + v.ids[b] for a, b in v.ranks], np.int64)
+        rank = np.array(list(v.ranks.values()), np.int64)
+        order = np.argsort(pair)
+        self.pair, self.rank = np.r_[pair[order], np.int64(-1)], np.r_[rank[order], self.none]
+        self.made = np.zeros(int(rank.max(initial=0)) + 1, np.int64)
+        self.made[rank] = [v.ids[a + b] for a, b in v.ranks]
+        self.none = max(self.none, len(self.made))
+
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = left * self.wide + right
+        at = np.searchsorted(self.pair[:-1], key)
+        return np.where(self.pair[at] == key, self.rank[at], self.none)
+
+    def _merge(self, ids: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all fragments in order and their numbers, after all merges; ids holds the fragments' first ones, size their numbers.
+
+        In each round every fragment that can merge does so at its pair of lowest rank, the leftmost among equals."""
+        own, rank = np.arange(len(size)), np.full(len(ids), self.none)
+        inside = np.ones(len(ids), bool)
+        inside[np.cumsum(size) - 1] = False  # a fragment's last id begins no pair
+        begin = np.flatnonzero(inside)
+        rank[begin] = self._ranks(ids[begin], ids[begin + 1])
+        done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        while len(own):
+            first = np.cumsum(size) - size
+            least = np.minimum.reduceat(rank, first)
+            live = least < self.none
+            if not live.all():
+                each = np.repeat(live, size)
+                done.append((own[~live], size[~live], ids[~each]))
+                own, size, least, ids, rank = own[live], size[live], least[live], ids[each], rank[each]
+                if not len(own):
+                    break
+            place = np.repeat(np.arange(len(own)), size)
+            hit = np.flatnonzero(rank == least[place])
+            hit = hit[np.r_[True, np.diff(place[hit]) != 0]]
+            ids[hit] = self.made[least]
+            stay = np.ones(len(ids), bool)
+            stay[hit + 1] = False
+            rank[hit] = rank[hit + 1]  # whether a pair follows
+            ids, rank, size = ids[stay], rank[stay], size - 1
+            at, first = hit - np.arange(len(hit)), np.cumsum(size) - size
+            for i in (at[at > first] - 1, at[at < first + size - 1]):
+                rank[i] = self._ranks(ids[i], ids[i + 1])
+        owner, count = (np.concatenate([d[k] for d in done]) for k in (0, 1))
+        flat, start = np.concatenate([d[2] for d in done]), np.cumsum(count) - count
+        order = np.argsort(owner)
+        count = count[order]
+        return flat[np.repeat(start[order] - (np.cumsum(count) - count), count) + np.arange(len(flat))], count
+
+    def encode(self, words: list[str]) -> list[bytes]:
+        """ids of each word as little-endian 32-bit integers; words aren't empty."""
+        coded = [w.encode("utf-8", "replace") for w in words]
+        if len(words) < ALONE:
+            return [b"".join([self.v.ids[t].to_bytes(4, "little") for t in self.v.encode_word(c.decode("latin-1").translate(self.alphabet))]) for c in coded]
+        raw, length = np.frombuffer(b"".join(coded), np.uint8).astype(np.int64), np.array([len(c) for c in coded])
+        end = np.cumsum(length)
+        cut = np.r_[True, ~self.held[raw[:-1] * 256 + raw[1:]]]
+        cut[end[:-1]] = True
+        begin = np.flatnonzero(cut)
+        size = np.diff(np.r_[begin, len(raw)])
+        ids = self.inner[raw]
+        ids[end - 1] = self.last[raw[end - 1]]
+        long = np.flatnonzero(size > FEW)
+        if len(long):  # as fragments of their merged pieces, which the rounds below leave as they are
+            last, parts, at = set((end - 1).tolist()), [], 0
+            for k in long.tolist():
+                lo, hi = int(begin[k]), int(begin[k] + size[k])
+                names = list(raw[lo:hi].astype(np.uint8).tobytes().decode("latin-1").translate(self.alphabet))
+                if hi - 1 in last:
+                    names[-1] += self.v.suffix
+                merged = [self.v.ids[t] for t in self.v.merge(names)]
+                parts += [ids[at:lo], np.array(merged)]
+                at, size[k] = hi, len(merged)
+            ids = np.concatenate([*parts, ids[at:]])
+        if (ids < 0).any():
+            raise KeyError("the vocabulary lacks a byte")
+        ids, count = self._merge(ids, size)
+        total = np.r_[0, np.cumsum(count)]
+        bound = (total[np.r_[np.searchsorted(begin, end - length), len(begin)]] * 4).tolist()
+        flat = ids.astype("<u4").tobytes()
+        return [flat[a:b] for a, b in zip(bound, bound[1:])]
+
 
 # What the library's tables know of Unicode 16 (and, for small letters, 17) beyond Python's Unicode 15.1.
 _LETTERS = "1C89-1C8A A7CB-A7CD A7DA-A7DC 105C0-105F3 10D4A-10D65 10D6F-10D85 10EC2-10EC4 11380-11389 1138B 1138E 11390-113B5 113B7 113D1 113D3 11BC0-11BE0 13460-143FA 16100-1611D 16D40-16D6C 18CFF 1E5D0-1E5ED 1E5F0"
@@ -143,35 +248,53 @@ def _class(kind: str, more: str) -> str:
     return "[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges) + "]"
 
 
-class Encoder(dict):
-    """chunk without white space -> (ids as little-endian 32-bit integers, token names joined by spaces)."""
+class Remembered(dict):
+    """What was asked for lately, in two generations: the older one goes when the newer one is full."""
 
-    def __init__(self, vocabulary: Vocabulary) -> None:
+    def __init__(self) -> None:
         super().__init__()
+        self.older: dict = {}
+
+    def lacks(self, keys: set) -> list:
+        """The keys that aren't known; the others are in the newer generation now."""
+        older, out = self.older, []
+        for k in keys:
+            if k not in self:
+                if (got := older.get(k)) is None:
+                    out.append(k)
+                else:
+                    self[k] = got
+        return out
+
+    def age(self, new: list) -> None:
+        """new: the keys since the last call. Long ones aren't kept."""
+        for k in new:
+            if len(k) >= 100:
+                del self[k]
+        if len(self) >= REMEMBERED:
+            self.older = self.copy() if len(self) < 3 * REMEMBERED else {}
+            self.clear()
+
+
+class Encoder:
+    """Texts -> ids as little-endian 32-bit integers."""
+
+    def __init__(self, vocabulary: Vocabulary) -> None:
         self.v = vocabulary
         self.word = regex.compile(vocabulary.pattern.replace(r"\s", r"\p{White_Space}"))
         self.exact: regex.Pattern | None = None
         self.gap = regex.compile(r"\p{White_Space}+")
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(vocabulary.special, key=len, reverse=True))) + ")") if vocabulary.special else None
-        self.alphabet = {b: c for b, c in enumerate(byte_alphabet())}
-        self.coded = {t: i.to_bytes(4, "little") for t, i in vocabulary.ids.items()}
-        self.words: dict[str, tuple[bytes, str]] = {}
+        self.known, self.words = Remembered(), Remembered()
         self.assigned: set[str] = set()
-
-    def _word(self, word: str) -> tuple[bytes, str]:
-        got = self.words.get(word)
-        if got is None:
-            names = self.v.encode_word(word.encode("utf-8", "replace").decode("latin-1").translate(self.alphabet))
-            got = b"".join([self.coded[t] for t in names]), " ".join(names)
-            if len(self.words) >= REMEMBERED:
-                self.words.clear()
-            if len(word) < 100:
-                self.words[word] = got
-        return got
+        names = vocabulary.names
+        self.names = pa.array([names.get(i) for i in range(max(names) + 1)], pa.large_string())
 
     def _split(self, chunk: str) -> list[str]:
         """The chunk's words. Where it has characters that Python's table doesn't know, newer tables say otherwise than the library's, so all classes are ranges."""
-        if chunk.isascii() or self.assigned.issuperset(chunk):
+        if chunk.isascii():
+            return [chunk] if chunk.isalpha() else self.word.findall(chunk)
+        if self.assigned.issuperset(chunk):
             return self.word.findall(chunk)
         if all(unicodedata.category(c) != "Cn" for c in chunk):
             self.assigned.update(chunk)
@@ -181,19 +304,6 @@ class Encoder(dict):
             self.exact = regex.compile(pattern, regex.V1)
         return self.exact.findall(chunk.translate(_SMALL))
 
-    def __missing__(self, chunk: str) -> tuple[bytes, str]:
-        found = self._split(chunk)
-        if len(found) == 1:
-            got = self._word(found[0])
-        else:
-            each = [self._word(w) for w in found]
-            got = b"".join([g[0] for g in each]), " ".join([g[1] for g in each])
-        if len(self) >= REMEMBERED:
-            self.clear()
-        if len(chunk) < 100:
-            self[chunk] = got
-        return got
-
     def chunks(self, text: str) -> list[str]:
         text = unicodedata.normalize("NFC", text)
         # Letters are lower-cased one by one: a capital sigma never becomes a final one.
@@ -202,16 +312,42 @@ class Encoder(dict):
             return [c for c in self.gap.split(low) if c]
         return low.split()
 
+    def _pieces(self, text: str) -> list[str | bytes]:
+        """The text's chunks; a special token is its id."""
+        if not self.cut or not any(s in text for s in self.v.special):
+            return self.chunks(text)
+        out: list[str | bytes] = []
+        for piece in self.cut.split(text):
+            out += [self.v.special[piece].to_bytes(4, "little")] if piece in self.v.special else self.chunks(piece)
+        return out
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """ids of each whole text."""
+        pieces = [self._pieces(t) for t in texts]
+        known, words = self.known, self.words
+        new = known.lacks(set(chain.from_iterable(pieces)))
+        found = {c: self._split(c) for c in new if isinstance(c, str)}
+        fresh = words.lacks(set(chain.from_iterable(found.values())))
+        words.update(zip(fresh, self.v.arrays.encode(fresh), strict=True))
+        for chunk, own in found.items():
+            known[chunk] = words[own[0]] if len(own) == 1 else b"".join([words[w] for w in own])
+        known.update((c, c) for c in new if isinstance(c, bytes))
+        get = known.__getitem__
+        out = [b"".join(map(get, p)) for p in pieces]
+        known.age(new)
+        words.age(fresh)
+        return out
+
+    def decode_all(self, coded: list[bytes]) -> list[str]:
+        """Token names of each joined by spaces, as the file names no decoder."""
+        at = np.cumsum([0, *(len(b) // 4 for b in coded)])
+        names = self.names.take(pa.array(np.frombuffer(b"".join(coded), "<u4")))
+        return pc.binary_join(pa.LargeListArray.from_arrays(pa.array(at, pa.int64()), names), pa.scalar(" ", pa.large_string())).to_pylist()
+
     def encode(self, text: str) -> tuple[bytes, str]:
         """ids and decoded text of a whole text."""
-        got: list[tuple[bytes, str]] = []
-        pieces = self.cut.split(text) if self.cut and any(s in text for s in self.v.special) else [text]
-        for piece in pieces:
-            if piece in self.v.special:
-                got.append((self.v.special[piece].to_bytes(4, "little"), piece))
-            else:
-                got += map(self.__getitem__, self.chunks(piece))
-        return b"".join([g[0] for g in got]), " ".join([g[1] for g in got if g[0]])
+        ids = self.encode_all([text])[0]
+        return ids, " ".join([self.v.names[i] for i in np.frombuffer(ids, "<u4").tolist()])
 
 
 _HELD: dict[int, Encoder] = {}
@@ -226,25 +362,29 @@ def _encoder(text: str) -> Encoder:
     return _HELD[key]
 
 
-def encode(documents: DataFrame, path: str) -> DataFrame:
-    """doc_id, ids (binary: little-endian unsigned 32-bit integers), n_tokens of every row's whole text."""
-    return round_trip(documents, path).select("doc_id", "ids", "n_tokens")
-
-
-def round_trip(documents: DataFrame, path: str) -> DataFrame:
-    """As encode, and decoded: the text of the ids."""
+def _encoded(documents: DataFrame, path: str, decoded: bool) -> DataFrame:
     with open(path, encoding="utf-8") as f:
         shared = documents.sparkSession.sparkContext.broadcast(f.read())
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = _encoder(shared.value)
         for frame in frames:
-            for at in range(0, len(frame), 500):
-                part = frame.iloc[at : at + 500]
-                got = [encoder.encode(t or "") for t in part["text"]]
-                yield pd.DataFrame({"doc_id": part["doc_id"].array, "ids": [g[0] for g in got], "n_tokens": [len(g[0]) // 4 for g in got], "decoded": [g[1] for g in got]})
+            for at, texts in blocks(frame["text"].tolist(), BLOCK):
+                ids = encoder.encode_all(texts)
+                out = {"doc_id": frame["doc_id"].array[at : at + len(texts)], "ids": ids, "n_tokens": [len(b) // 4 for b in ids]}
+                yield pd.DataFrame(out | ({"decoded": encoder.decode_all(ids)} if decoded else {}))
 
-    return map_frames(documents.select("doc_id", "text"), run, "doc_id long, ids binary, n_tokens long, decoded string")
+    return map_frames(documents.select("doc_id", "text"), run, "doc_id long, ids binary, n_tokens long" + ", decoded string" * decoded)
+
+
+def encode(documents: DataFrame, path: str) -> DataFrame:
+    """doc_id, ids (binary: little-endian unsigned 32-bit integers), n_tokens of every row's whole text."""
+    return _encoded(documents, path, False)
+
+
+def round_trip(documents: DataFrame, path: str) -> DataFrame:
+    """As encode, and decoded: the text of the ids."""
+    return _encoded(documents, path, True)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:

@@ -118,6 +118,29 @@ def test_cuts_are_forced():
     assert v._merge_many(parts[:]) == v._merge_few(parts[:])
 
 
+def test_new_words_are_merged_together(monkeypatch):
+    """Few are merged one by one. Each has the ids of the plain merges, also when it was forgotten meanwhile."""
+    with open(bpe.vocabulary_path(), encoding="utf-8") as f:
+        v = bpe.Vocabulary(f.read())
+    rng, alphabet = random.Random(3), bpe.byte_alphabet()
+    tokens = [t.removesuffix(v.suffix) for t in list(v.ids)[512:] if t.isascii()]
+    texts = [" ".join("".join(rng.choices(tokens, k=rng.randint(1, 4))) if k % 3 else "".join(rng.choices("aaabnté日ßeo'1.", k=rng.randint(1, 90))) for k in range(600)) for _ in range(10)]
+    calls, real, own = [], bpe.Vocabulary.merge, bpe.Encoder(v)
+    monkeypatch.setattr(bpe.Vocabulary, "merge", lambda self, parts: calls.append(len(parts)) or real(self, parts))
+    monkeypatch.setattr(bpe, "REMEMBERED", 900)
+    got = [own.encode(t)[0] for t in [*texts, *texts]]
+    assert len(calls) < 2500
+    for text, ids in zip([*texts, *texts], got, strict=True):
+        want = []
+        for word in own.word.findall(text.lower()):
+            for k, fragment in enumerate(cut := v.fragments("".join(alphabet[b] for b in word.encode()))):
+                parts = list(fragment)
+                if k == len(cut) - 1:
+                    parts[-1] += v.suffix
+                want += [v.ids[t] for t in v._merge_many(parts)]
+        assert np.frombuffer(ids, "<u4").tolist() == want
+
+
 R = np.random.default_rng(9)
 VOCAB = ["the", "of", "and"] + ["".join(R.choice(list("abcdefghij"), R.integers(3, 9))) for _ in range(900)]
 
