@@ -115,10 +115,20 @@ def _parts(frames: Iterator[pd.DataFrame], rows: int = 400) -> Iterator[tuple[li
             yield part["doc_id"].tolist(), Held(at, term, np.r_[0, np.cumsum(size)], np.r_[0, np.cumsum(-(-part["n_words"].to_numpy() // HALF))])
 
 
-def _sums(x: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys of a sorted array and the sums of the rows of x over them."""
-    begin = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, int)
-    return key[begin], np.add.reduceat(x, begin, axis=0) if len(key) else x
+def _begins(key: np.ndarray) -> np.ndarray:
+    """Where each distinct key of a sorted array begins."""
+    return np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, int)
+
+
+def _products(rows: np.ndarray, row: np.ndarray, value: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys of a sorted array and, over each, the sum of value times that row. Keys of as many values are multiplied together."""
+    begin = _begins(key)
+    size, out = np.diff(np.r_[begin, len(key)]), np.empty((len(begin), rows.shape[1]), rows.dtype)
+    for n in np.unique(size).tolist():
+        which = np.flatnonzero(size == n)
+        at = begin[which][:, None] + np.arange(n)
+        out[which] = np.matmul(value[at][:, None], rows[row[at]])[:, 0]
+    return key[begin], out
 
 
 def _weights(kept: DataFrame, n_terms: int) -> np.ndarray:
@@ -152,13 +162,13 @@ def _directions(kept: DataFrame, weight: np.ndarray, own: np.ndarray, rank: int
         for _, held in _parts(frames):
             half, term, count = held.cells(len(weight))
             use = weight[term] > 0
-            half, term, value = half[use], term[use], (count[use] * weight[term[use]]).astype(np.float32)[:, None]
+            half, term, value = half[use], term[use], (count[use] * weight[term[use]]).astype(np.float32)
             if not len(half):
                 continue
-            _, y = _sums(test[term] * value, half)
+            _, y = _products(test, term, value, half)
             row = np.cumsum(np.r_[0, np.diff(half) != 0])
             order = np.argsort(term, kind="stable")
-            which, z = _sums(y[row[order]] * value[order], term[order])
+            which, z = _products(y, row[order], value[order], term[order])
             out[which] += z
         for k in range(0, len(out), _CHUNK):
             part = out[k : k + _CHUNK]
@@ -222,14 +232,14 @@ def _search(documents: DataFrame, items: list[np.ndarray], names: list[int], ans
             half, term, count = half[use], term[use], count[use]
             if not len(half):
                 continue
-            filled, y = _sums(base[term] * count.astype(np.float32)[:, None], half)
+            filled, y = _products(base, term, count.astype(np.float32), half)
             # Passage p is the half passages p and p + 1 of one text; one that begins before a filled half is that half alone.
             text = np.searchsorted(held.halves, filled, "right") - 1
             follow = np.flatnonzero((filled[1:] == filled[:-1] + 1) & (text[1:] == text[:-1]))
-            _, size = _sums(((count * weight[term]) ** 2)[:, None], half)
+            size = np.add.reduceat((count * weight[term]) ** 2, _begins(half))
             y[follow] += y[follow + 1]
             size[follow] += size[follow + 1]
-            y /= np.sqrt(np.maximum(size, 1e-12))  # by the whole row's length, so what the directions miss counts against it
+            y /= np.sqrt(np.maximum(size, 1e-12))[:, None]  # by the whole row's length, so what the directions miss counts against it
             p, k = np.nonzero(y @ latent >= COSINE)
             done: dict[tuple[int, int], tuple[float, float, float]] = {}
             for a, b in zip(p.tolist(), k.tolist(), strict=True):

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 import unicodedata
 
 import numpy as np
@@ -214,6 +215,25 @@ def test_directions_come_from_all_documents(spark, monkeypatch):
     assert {(r.doc_id, r.item_id) for r in got.collect()} >= {(k, k % 4) for k in range(20)} and sorted(seen) == list(range(20))
 
 
+def test_products_of_sparse_rows_take_less_time():
+    """Rows of four terms on average: right sums, in at most 0.7 of the time of whole products that are then summed (measured: 0.1 to 0.3)."""
+    random = np.random.default_rng(4)
+    key, rows = np.sort(random.choice(20_000, 60_000)), random.normal(size=(4000, 240)).astype(np.float32)
+    row, value = random.integers(0, 4000, len(key)), random.normal(size=len(key)).astype(np.float32)
+    begin = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    took: dict[str, list[float]] = {"plain": [], "own": []}
+    for _ in range(3):
+        t = time.perf_counter()
+        want = np.add.reduceat(rows[row] * value[:, None], begin, axis=0)
+        took["plain"].append(time.perf_counter() - t)
+        t = time.perf_counter()
+        found, got = leaks._products(rows, row, value, key)
+        took["own"].append(time.perf_counter() - t)
+    assert (found == key[begin]).all() and np.allclose(got, want, atol=1e-4)
+    assert min(took["own"]) < 0.7 * min(took["plain"])
+    assert leaks._products(rows, row[:0], value[:0], key[:0])[1].shape == (0, 240)
+
+
 def test_recall_at_1500_items(spark):
     random = np.random.default_rng(5)
     pool = [f"w{k}" for k in range(6000)]
