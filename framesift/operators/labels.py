@@ -62,14 +62,36 @@ def nearest_allowed(asked: DataFrame, allowed: DataFrame) -> DataFrame:
 
 def step(asked: DataFrame, clips: DataFrame) -> DataFrame:
     """next_frame, prev_frame: one on or back inside a clip, else the start of the next clip and the end of the previous one; null beyond.
-
-    clips: video, start, end, not overlapping, a short list for each video."""
-    own = clips.groupBy("video").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("c"))
-    inside = lambda f: F.exists("c", lambda x: (x["start"] <= f) & (f <= x["end"]))
-    later = F.array_min(F.transform(F.filter("c", lambda x: x["start"] > F.col("frame")), lambda x: x["start"]))
-    earlier = F.array_max(F.transform(F.filter("c", lambda x: x["end"] < F.col("frame")), lambda x: x["end"]))
+    Videos without clips give no rows.
+
+    clips: video, start, end; a video can have any number, as no list of them is held: frames, starts and ends are sorted together."""
+    marks = ("frame", "start", "end", "until")
+    mark = lambda rows, at, **has: rows.select("video", F.col(at).cast("long").alias("at"), *(F.col(has[m]).cast("long").alias(m) if m in has else F.lit(None).cast("long").alias(m) for m in marks))
+    every = mark(asked, "frame", frame="frame").unionByName(mark(clips.where("start is not null"), "start", start="start", until="end")).unionByName(mark(clips.where("end is not null"), "end", end="end"))
+    own = Window.partitionBy("video")
+    upto = lambda n: own.orderBy("at").rangeBetween(Window.unboundedPreceding, n)
+    # What lies ahead is what lies behind in the other order: a frame of Spark's that reaches to the end is computed anew for each row.
+    ahead = own.orderBy(F.desc("at")).rangeBetween(Window.unboundedPreceding, -1)
+    seen = every.where("video is not null").withColumns({
+        "up": F.max("until").over(upto(1)), "down": F.max("until").over(upto(-1)), "earlier": F.max("end").over(upto(-1)),
+        "later": F.min("start").over(ahead), "any": F.max(F.coalesce("start", "end")).over(own),
+    }).where("frame is not null and any is not null")
     up, down = F.col("frame") + 1, F.col("frame") - 1
-    return asked.join(own, "video").select("video", "frame", F.when(inside(up), up).otherwise(later).alias("next_frame"), F.when(inside(down), down).otherwise(earlier).alias("prev_frame"))
+    return seen.select("video", "frame", F.when(F.col("up") >= up, up).otherwise(F.col("later")).alias("next_frame"), F.when(F.col("down") >= down, down).otherwise(F.col("earlier")).alias("prev_frame"))
+
+
+def regular_step(asked: DataFrame, every: int, length: int) -> DataFrame:
+    """As step, for clips that begin at 0 and every so many frames up to the video's last asked one and end `length` after their start.
+
+    Where a clip lies is arithmetic, so none is made: their number grows with the videos' lengths and not with the rows. Needs 0 <= length < every."""
+    x = F.col("frame")
+    last = F.floor(F.max("frame").over(Window.partitionBy("video")) / every)
+    inside = lambda f: (f >= 0) & (F.floor(f / every) <= F.col("last")) & (f % every <= length)
+    after = F.greatest(F.floor(x / every) + 1, F.lit(0))
+    before = F.least(F.ceil((x - length) / every) - 1, F.col("last"))
+    later, earlier = F.when(after <= F.col("last"), after * every), F.when(before >= 0, before * every + length)
+    seen = asked.where("video is not null and frame is not null").withColumn("last", last).where("last >= 0")
+    return seen.select("video", "frame", F.when(inside(x + 1), x + 1).otherwise(later).alias("next_frame"), F.when(inside(x - 1), x - 1).otherwise(earlier).alias("prev_frame"))
 
 
 def overlaps(boxes: DataFrame) -> DataFrame:

@@ -282,3 +282,37 @@ def test_strata_go_into_the_split(spark):
     for stratum in {r.stratum for r in rows}:
         held = [r.is_test for r in rows if r.stratum == stratum]
         assert abs(sum(held) - 0.2 * len(held)) <= 1
+
+
+def _step_by_hand(frames, clips):
+    out = set()
+    for v, x in frames:
+        own = [(a, b) for w, a, b in clips if w == v]
+        on = lambda f: any(a <= f <= b for a, b in own)  # noqa: B023, E731
+        later, earlier = min((a for a, _ in own if a > x), default=None), max((b for _, b in own if b < x), default=None)
+        if own:
+            out.add((v, x, x + 1 if on(x + 1) else later, x - 1 if on(x - 1) else earlier))
+    return out
+
+
+def test_steps_over_many_clips_hold_no_list_of_them(spark):
+    rng = np.random.default_rng(3)
+    clips = [(v, int(a), int(a + rng.integers(0, 9))) for v in "ab" for a in np.cumsum(rng.integers(1, 14, 60)) - 20] + [("a", 300, 320), ("a", 305, 310)]
+    frames = [(v, x) for v in "abc" for x in range(-25, 420, 2)]
+    asked, held = spark.createDataFrame(frames, "video string, frame long"), spark.createDataFrame(clips, "video string, start long, end long")
+    got = labels.step(asked, held)
+    assert set(one(got)) == _step_by_hand(frames, clips)
+    assert "collect_list" not in got._jdf.queryExecution().toString()
+
+
+def test_regular_steps_are_those_over_their_clips(spark):
+    from framesift import registry
+
+    frames = [(v, x) for v, most in (("a", 47), ("b", 12), ("c", -3)) for x in range(-15, most + 1)] + [("d", 3)]
+    asked = spark.createDataFrame(frames, "video string, frame long")
+    last = {v: max(x for w, x in frames if w == v) for v in "abcd"}
+    for every, length in ((10, 4), (5, 0), (7, 6)):
+        clips = [(v, i * every, i * every + length) for v in last for i in range(last[v] // every + 1)]
+        assert set(one(labels.regular_step(asked, every, length))) == _step_by_hand(frames, clips)
+    plan = registry.functions()["interval_step"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "collect_list" not in plan and "explode" not in plan  # the number of clips is not that of rows
