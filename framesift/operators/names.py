@@ -117,8 +117,10 @@ def match_stems(stems: DataFrame, candidates: DataFrame, pair: tuple[str, str] =
 
 
 def with_record_number(names: DataFrame, dirs: DataFrame, resolved: DataFrame) -> DataFrame:
-    """name, dir: as resolved; names without a directory take the first one with the same record number."""
+    """name, dir: as resolved; names without a directory take the first one with the same record number. Directories are reduced to the
+    first of each number before names meet them, so a name meets one."""
     mine = names.select("name", fn.record_number(F.col("name")).alias("record")).where("record is not null").distinct()
     theirs = dirs.select("dir", "nth", fn.record_number(F.concat("dir", F.lit("/"))).alias("record")).where("record is not null")
-    by_record = mine.join(theirs, "record").groupBy("name").agg(F.min(F.struct("nth", "dir"))["dir"].alias("d"))
+    first = theirs.groupBy("record").agg(F.min(F.struct("nth", "dir"))["dir"].alias("d"))
+    by_record = mine.join(first, "record").select("name", "d")
     return resolved.join(by_record, "name", "left").select("name", F.coalesce("dir", "d").alias("dir"))

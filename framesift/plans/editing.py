@@ -326,6 +326,6 @@ def record_numbers(spark, sf_dir):
     from framesift.operators.names import with_record_number
 
     c, s = read(spark, sf_dir, "customer"), read(spark, sf_dir, "supplier")
-    n = c.select(F.concat_ws("_", "c_name", (1000000 + F.col("c_custkey") % 40).cast("string"), F.lit("x")).alias("name"))
+    n = c.select(F.concat_ws("_", "c_name", (1000000 + F.col("c_custkey") % 40).cast("string"), F.lit("x")).alias("name")).distinct()
     d = s.select(F.col("s_suppkey").alias("nth"), F.concat(F.lit("d"), F.col("s_suppkey").cast("string"), F.lit("_"), (1000000 + F.col("s_suppkey") % 60).cast("string")).alias("dir"))
     return with_record_number(n, d, n.select("name", F.lit(None).cast("string").alias("dir")))

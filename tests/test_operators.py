@@ -237,6 +237,21 @@ def test_stems_by_rule(spark):
     assert {r.name: r.dir for r in with_record_number(names_, dirs, resolved).collect()} == {"case_1234567_a": "v_1234567", "other": "o"}
 
 
+def test_names_meet_one_directory_of_their_record_number(spark, tmp_path):
+    from framesift import registry
+    from framesift.operators.names import with_record_number
+
+    names_ = spark.range(300).select(F.concat(F.lit("n"), F.col("id").cast("string"), F.lit("_1000001_x")).alias("name"))
+    dirs = spark.range(400).select(F.concat(F.lit("d"), F.col("id").cast("string"), F.lit("_1000001")).alias("dir"), (-F.col("id")).alias("nth"))
+    got = with_record_number(names_, dirs, names_.select("name", F.lit(None).cast("string").alias("dir")))
+    assert {r.dir for r in got.collect()} == {"d399_1000001"} and got.count() == 300
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join Inner") < plan.index("min(struct(nth")  # the least is taken below the join, not above
+    spark.createDataFrame([(0, "a"), (40, "a"), (50, "b")], "c_custkey long, c_name string").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(10,), (70,)], "s_suppkey long").write.parquet(f"{tmp_path}/supplier.parquet")
+    assert sorted(one(registry.functions()["record_numbers"](spark, str(tmp_path)))) == [("a_1000000_x", None), ("b_1000010_x", "d10_1000010")]
+
+
 def test_pca_is_centred_and_keeps_wide_requests(spark):
     from framesift.operators.reduce import pca, spherical_clusters
 
