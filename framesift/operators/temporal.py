@@ -182,11 +182,13 @@ def clip_frames(starts: DataFrame, frames: DataFrame, length: int, stride: int)
 
 
 def nearest_fill(rows: DataFrame, value: str, by: str = "video", at: str = "sample_idx") -> DataFrame:
-    """Null values take that of the nearest row with one; the earlier among two as near; all stay null if there is none."""
+    """Null values take that of the nearest row with one; the earlier among two as near; all stay null if there is none.
+
+    The next value is the last one in the other order: a frame of Spark's that reaches to the end is computed anew for each row."""
     back = Window.partitionBy(by).orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(by).orderBy(at).rowsBetween(0, Window.unboundedFollowing)
+    ahead = Window.partitionBy(by).orderBy(F.desc(at)).rowsBetween(Window.unboundedPreceding, 0)
     held = F.when(F.col(value).isNotNull(), F.struct(F.col(at).alias("at"), F.col(value).alias("v")))
-    a, b = F.last(held, ignorenulls=True).over(back), F.first(held, ignorenulls=True).over(ahead)
+    a, b = F.last(held, ignorenulls=True).over(back), F.last(held, ignorenulls=True).over(ahead)
     near = F.when(a.isNull(), b).when(b.isNull(), a).when(F.col(at) - a["at"] <= b["at"] - F.col(at), a).otherwise(b)
     return rows.withColumn(value, near["v"])
 

@@ -146,6 +146,17 @@ def test_nearest_fill_prefers_the_earlier_and_nearest_allowed_the_later(spark):
     assert {(t.video, t.frame): t.nearest for t in labels.nearest_allowed(asked, allowed).collect()} == {("v", 5): 6, ("v", 1): 4, ("w", 3): None}
 
 
+def test_nearest_fill_costs_a_long_video_no_square(spark):
+    """A window frame that reaches to the end of its partition is computed anew for each row."""
+    n = 20_000
+    r = spark.range(n).select(F.lit("v").alias("video"), F.col("id").alias("sample_idx"), F.when(F.col("id") % 1000 == 500, F.col("id")).alias("x"))
+    filled = temporal.nearest_fill(r, "x")
+    want = {i: min((abs(i - k), k) for k in range(500, n, 1000))[1] for i in range(n)}
+    assert {t.sample_idx: t.x for t in filled.collect()} == want
+    assert "currentrow$(), unboundedfollowing$()" not in filled._jdf.queryExecution().optimizedPlan().toString()
+
+
+
 def test_toggles_leave_the_last_range_open(spark):
     e = spark.createDataFrame([("v", 3), ("v", 9), ("v", 12)], "video string, frame long")
     assert sorted((r.start, r.end) for r in temporal.toggles_to_ranges(e, ["video"], "frame").collect()) == [(3, 9), (12, None)]
