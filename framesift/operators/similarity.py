@@ -3,14 +3,15 @@
 Nearest neighbours are exact. Vectors are packed into blocks of bounded bytes, those near one pivot together. Blocks are
 dealt to the cells of a grid: with G bands of blocks a block goes to G cells, not to every other block, and a cell compares all blocks
 of its two bands. A task holds the blocks of one band, at most about HELD_BYTES of them, and takes those of the other one by one. Each two blocks
-are one product for both directions, in the vectors' own precision; what may be among the best is computed again in
+are products of tiles for both directions, in the vectors' own precision; a tile is reduced to what may be among the best, which is computed again in
 float64. Two blocks too far apart are left out: chords between unit vectors are a metric, so the distance of two pivots less the radii of
-their blocks bounds all similarities from above, and every vector knows from its own block what it has to beat.
+their blocks bounds all similarities from above, and every vector knows from its own block what it has to beat. A few vectors that ask are sent to all rows instead.
 The best of all cells are merged by an aggregate; nothing of the size of the table is broadcast, and no pair of rows is materialised.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +28,10 @@ from framesift.functions import vectors
 BLOCK, DECIMALS = 2048, 9
 #: Bytes of a block's vectors; of those that a task holds; most pivots (they decide only which vectors share a block).
 BLOCK_BYTES, HELD_BYTES, PIVOTS = 4 << 20, 256 << 20, 256
+#: Rows and columns of a product that is looked at while it is in the caches; what each of them needs besides a vector, in bytes: to itself and for each of its best.
+TILE, APIECE, A_BEST = (512, 2048), 40, 16
+#: Part of a block's bytes up to which asking vectors are broadcast.
+FEW = 4
 #: Vectors among which pivots are chosen.
 SAMPLED = 1024
 #: Largest reference set that is broadcast.
@@ -49,7 +54,7 @@ def _stacked(column: pa.Array) -> np.ndarray:
 
 
 class _Packed:
-    """A block: ids in order, groups, which ask, vectors, unit vectors in the same precision, and the least similarity that counts for each."""
+    """A block: ids and groups (in the order of groups), which ask, vectors, unit vectors in the same precision, and what the k-th best of each has at least."""
 
     def __init__(self, number: int, ids: np.ndarray, groups: np.ndarray, asks: np.ndarray, x: np.ndarray, floor: np.ndarray):
         self.number, self.ids, self.groups, self.asks, self.x, self.floor = number, ids, groups, asks, x, floor
@@ -61,6 +66,23 @@ class _Packed:
         return self.x[at].astype(np.float64) / self.size[at][:, None]
 
 
+def _error(x: np.ndarray) -> float:
+    """Bound of the error of products of unit vectors in the precision of x."""
+    return (x.shape[1] + 8) * float(np.finfo(x.dtype).eps)
+
+
+def _product(a: _Packed, rows: slice, b: _Packed, columns: slice) -> np.ndarray:
+    """Similarities, NONE within a group: as both are in the order of groups, these are rectangles."""
+    sim = a.unit[rows] @ b.unit[columns].T
+    g, h = a.groups[rows], b.groups[columns]
+    starts = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
+    ends = np.r_[starts[1:], len(g)]
+    left, right = np.searchsorted(h, g[starts], "left"), np.searchsorted(h, g[starts], "right")
+    for n in np.flatnonzero(left < right).tolist():
+        sim[starts[n] : ends[n], left[n] : right[n]] = NONE
+    return sim
+
+
 def _ranked(row: np.ndarray, sim: np.ndarray, ids: np.ndarray, n: int, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The k best of each of n rows from a list of entries: by falling similarity, then by id."""
     order = np.lexsort((ids, -sim, row))
@@ -71,33 +93,61 @@ def _ranked(row: np.ndarray, sim: np.ndarray, ids: np.ndarray, n: int, k: int) -
     return out
 
 
-def best_of(a: _Packed, b: _Packed, sim: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k best of b for each of a that asks, from products whose last digits don't count. Same groups have NONE there."""
-    n, m, error = len(a.ids), len(b.ids), (a.x.shape[1] + 8) * float(np.finfo(sim.dtype).eps)
-    kth = np.partition(sim, m - k, 1)[:, m - k] if m > k else np.full(n, NONE)
-    least = np.maximum(kth, a.floor) - 2 * error - 10.0**-DECIMALS
-    r, c = np.nonzero((sim >= least[:, None]) & (sim > NONE / 2) & a.asks[:, None])
-    if len(r) <= 8 * k * n + 64:
-        value = np.empty(len(r))
-        for at in range(0, len(r), 4096):
-            value[at : at + 4096] = np.einsum("ij,ij->i", a.exact(r[at : at + 4096]), b.exact(c[at : at + 4096]))
-        return _ranked(r, np.round(value, DECIMALS), b.ids[c], n, k)
-    out = np.full((n, k), NONE), np.zeros((n, k), np.int64)  # many equal ones
-    every = b.exact(slice(None))
-    for at in range(0, n, 512):
-        some = np.arange(at, min(n, at + 512))
-        whole = np.where((sim[some] > NONE / 2) & a.asks[some, None], np.round(a.exact(some) @ every.T, DECIMALS), NONE)
-        for j in range(min(k, m)):
-            c = whole.argmax(1)  # of equals the first, which has the least id
-            out[0][some, j], out[1][some, j] = whole[np.arange(len(some)), c], b.ids[c]
-            whole[np.arange(len(some)), c] = NONE
-    return out
-
-
-def _products(a: _Packed, b: _Packed) -> np.ndarray:
-    sim = a.unit @ b.unit.T
-    sim[a.groups[:, None] == b.groups[None, :]] = NONE
-    return sim
+class _Best:
+    """The k best of a block's vectors so far: exact ones, and those found since, until there are as many again."""
+
+    def __init__(self, a: _Packed, k: int):
+        self.a, self.k, self.new, self.count, self.error = a, k, [], 0, _error(a.x)
+        self.sim, self.ids = np.full((len(a.ids), k), NONE), np.zeros((len(a.ids), k), np.int64)
+
+    def look(self, first: int, b: _Packed, start: int, sim: np.ndarray) -> None:
+        """sim: products of vectors from `first` on with those of b from `start` on, whose last digits don't count. What may be among the best is computed again."""
+        a, k, slack = self.a, self.k, 2 * self.error + 2 * 10.0**-DECIMALS
+        top, low = sim.max(1), a.floor[first : first + len(sim)]
+        rows = np.flatnonzero((top >= low - slack) & (top > NONE / 2) & a.asks[first : first + len(sim)])
+        if not len(rows):
+            return
+        if k == 1:
+            low[rows] = np.maximum(low[rows], top[rows] - self.error)
+        some = sim[rows]
+        r, c = np.nonzero(some >= np.maximum(low[rows] - slack, NONE / 2).astype(sim.dtype)[:, None])
+        if len(r) <= 8 * k * len(rows) + 64:
+            at, other, value, step = rows[r] + first, c + start, np.empty(len(r)), max(1, (1 << 18) // a.x.shape[1])
+            for n in range(0, len(r), step):
+                value[n : n + step] = np.einsum("ij,ij->i", a.exact(at[n : n + step]), b.exact(other[n : n + step]))
+            self._add(at, b.ids[other], np.round(value, DECIMALS))
+        else:  # many equal ones
+            order = start + np.argsort(b.ids[start : start + sim.shape[1]])
+            every = b.exact(order)
+            for n in range(0, len(rows), 256):
+                at = rows[n : n + 256] + first
+                whole = np.where(some[n : n + 256, order - start] > NONE / 2, np.round(a.exact(at) @ every.T, DECIMALS), NONE)
+                for _ in range(min(k, len(order))):
+                    c = whole.argmax(1)  # of equals the first, which has the least id
+                    value = whole[np.arange(len(at)), c]
+                    self._add(at[value > NONE / 2], b.ids[order[c]][value > NONE / 2], value[value > NONE / 2])
+                    whole[np.arange(len(at)), c] = NONE
+        if self.count > self.sim.size:
+            self.settle()
+
+    def _add(self, *found: np.ndarray) -> None:
+        self.new.append(found)
+        self.count += len(found[0])
+
+    def settle(self) -> None:
+        if self.new:
+            known = np.nonzero(self.sim > NONE / 2)
+            row, ids, sim = (np.concatenate(x) for x in zip((known[0], self.ids[known], self.sim[known]), *self.new, strict=True))
+            self.sim, self.ids = _ranked(row, sim, ids, len(self.a.ids), self.k)
+            self.new, self.count = [], 0
+            np.maximum(self.a.floor, self.sim[:, -1], out=self.a.floor)
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        self.settle()
+        r, c = np.nonzero(self.sim > NONE / 2)
+        for at in range(0, len(r), 50_000):
+            x, y = r[at : at + 50_000], c[at : at + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array(self.a.ids[x]), pa.array(self.ids[x, y]), pa.array(self.sim[x, y])], ["query", "match", "similarity"])
 
 
 class _Nearest:
@@ -107,15 +157,7 @@ class _Nearest:
         self.k, self.pivots, self.kept, self.best, self.skipped, self.compared = k, pivots, {}, {}, 0, 0
 
     def add(self, b: _Packed, radius: float, pivot: int) -> None:
-        self.kept[b.number] = (b, radius, pivot)
-        self.best[b.number] = np.full((len(b.ids), self.k), NONE), np.zeros((len(b.ids), self.k), np.int64)
-
-    def _learn(self, a: _Packed, b: _Packed, sim: np.ndarray) -> None:
-        got, had = best_of(a, b, sim, self.k), self.best[a.number]
-        s, i = np.concatenate([had[0], got[0]], 1), np.concatenate([had[1], got[1]], 1)
-        order = np.lexsort((i, -s), 1)[:, : self.k]
-        self.best[a.number] = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
-        a.floor = np.maximum(a.floor, self.best[a.number][0][:, -1])
+        self.kept[b.number], self.best[b.number] = (b, radius, pivot), _Best(b, self.k)
 
     def meet(self, one: int, other: int) -> None:
         (a, ra, pa_), (b, rb, pb) = self.kept[one], self.kept[other]
@@ -127,20 +169,19 @@ class _Nearest:
                 self.skipped += len(a.ids) * len(b.ids)
                 return
         self.compared += len(a.ids) * len(b.ids)
-        sim = _products(a, b)
-        if a.asks.any():
-            self._learn(a, b, sim)
-        if one != other and b.asks.any():
-            self._learn(b, a, np.ascontiguousarray(sim.T))
+        to, back = bool(a.asks.any()), one != other and bool(b.asks.any())
+        for i in range(0, len(a.ids), TILE[0]):
+            for j in range(0, len(b.ids), TILE[1]):
+                sim = _product(a, slice(i, i + TILE[0]), b, slice(j, j + TILE[1]))
+                if to:
+                    self.best[one].look(i, b, j, sim)
+                if back:
+                    self.best[other].look(j, a, i, sim.T)
 
     def leave(self, number: int) -> Iterator[pa.RecordBatch]:
         """Gives a block's results and forgets it."""
-        b = self.kept.pop(number)[0]
-        s, i = self.best.pop(number)
-        r, c = np.nonzero(s > NONE / 2)
-        for at in range(0, len(r), 50_000):
-            x, y = r[at : at + 50_000], c[at : at + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(b.ids[x]), pa.array(i[x, y]), pa.array(s[x, y])], ["query", "match", "similarity"])
+        del self.kept[number]
+        yield from self.best.pop(number).rows()
 
 
 def _blocks(rows: DataFrame, kind: type, pivots: np.ndarray, parts: np.ndarray, k: int) -> DataFrame:
@@ -154,17 +195,16 @@ def _blocks(rows: DataFrame, kind: type, pivots: np.ndarray, parts: np.ndarray,
             yield pa.RecordBatch.from_arrays([pa.array(block.astype(np.int64)), pa.array(near.astype(np.int32)), *(batch.column(c) for c in ("id", "g", "asks", "v"))], ["block", "pivot", "id", "g", "asks", "v"])
 
     def pack(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("id")
+        frame = frame.sort_values(["g", "id"])
         x = np.stack(frame["v"].to_numpy()).astype(kind)
         b = _Packed(0, frame["id"].to_numpy(), frame["g"].to_numpy(), frame["asks"].to_numpy(), x, np.full(len(x), NONE))
         pivot = int(frame["pivot"].iloc[0])
         radius = float(np.linalg.norm(b.exact(slice(None)) - pivots[pivot], axis=1).max()) if len(pivots) > 1 else 2.0
-        floor = np.full(len(x), NONE)
-        for at in range(0, len(x), 512):
-            if len(x) > k:
-                own = b.unit[at : at + 512] @ b.unit.T
-                own[b.groups[at : at + 512, None] == b.groups[None, :]] = NONE
-                floor[at : at + 512] = np.partition(own, len(x) - k, 1)[:, len(x) - k] - 2 * (x.shape[1] + 8) * float(np.finfo(kind).eps)
+        floor, parts = np.full(len(x), NONE), min(len(x), 4 * k)
+        for at in range(0, len(x) if len(x) > k else 0, TILE[0]):
+            own = _product(b, slice(at, at + TILE[0]), b, slice(0, len(x) // parts * parts))
+            best = own.reshape(len(own), parts, -1).max(2)  # the k-th of the parts' best is at most the k-th of all
+            floor[at : at + TILE[0]] = np.partition(best, parts - k, 1)[:, parts - k] - 2 * _error(x)
         data = [b.ids.astype(np.int64), b.groups.astype(np.int64), b.asks.astype(bool), x, np.where(floor < NONE / 2, NONE, floor)]
         return pd.DataFrame([[int(frame["block"].iloc[0]), pivot, radius, *(d.tobytes() for d in data)]], columns=["block", "pivot", "radius", "id", "g", "asks", "v", "floor"])
 
@@ -175,7 +215,7 @@ def _blocks(rows: DataFrame, kind: type, pivots: np.ndarray, parts: np.ndarray,
 
 def bands_of(size: int, blocks: int, held: int, tasks: int) -> int:
     """Bands of a grid whose cells above the diagonal are enough for the tasks, with at most `held` bytes each; a block is dealt out so many times."""
-    return max(1, min(blocks, max(-(-size // held), int((2 * tasks) ** 0.5))))
+    return max(1, min(blocks, max(-(-size // held), math.ceil((2 * tasks) ** 0.5))))
 
 
 def _spread(x: np.ndarray, n: int) -> np.ndarray:
@@ -203,12 +243,20 @@ def nearest_other(
     spark = frames.sparkSession
     kind = np.float64 if isinstance(frames.schema["embedding"].dataType.elementType, DoubleType) else np.float32
     rows = frames.where(F.col("embedding").isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(F.col(group_col).cast("string"), F.isnull(group_col)).alias("g"), F.xxhash64(id_col).alias("h"), F.col("embedding").alias("v"))
+    rows = rows.select("id", "g", "h", F.transform("v", lambda x: x.cast("float" if kind is np.float32 else "double")).alias("v"))
     asking = F.lit(True)
     if queries is not None:
-        rows = rows.join(queries.select(F.col(id_col).alias("id")).distinct().withColumn("asked", F.lit(True)), "id", "left")
+        asked = queries.select(F.col(id_col).alias("id")).distinct()
+        first = rows.select(F.size("v")).first()
+        most = block_bytes // FEW // (max(first[0], 1) * kind().itemsize) if first else 0
+        few = rows.join(asked, "id").select("id", "g", "v").limit(most + 1).collect() if most else []
+        if 0 < len(few) <= most:
+            return _merged(_among_all(rows, few, kind, k), k)
+        rows = rows.join(asked.withColumn("asked", F.lit(True)), "id", "left")
         asking = F.coalesce("asked", F.lit(False))
-    rows = rows.select("id", "g", "h", asking.alias("asks"), F.transform("v", lambda x: x.cast("float" if kind is np.float32 else "double")).alias("v"))
-    size = rows.agg(F.sum(F.size("v").cast("long") * kind().itemsize)).first()[0] or 0
+    rows = rows.select("id", "g", "h", asking.alias("asks"), "v")
+    total = rows.agg(F.sum(F.size("v").cast("long") * kind().itemsize), F.count("*")).first()
+    size = total[0] or 0
     pivots = np.zeros((1, 1))
     if size > block_bytes:
         width = rows.select(F.size("v")).first()[0]
@@ -230,12 +278,15 @@ def nearest_other(
     else:
         parts = np.array([max(1, -(-size // block_bytes))])
     n = int(parts.sum())
-    bands = bands_of(size, n, held_bytes, spark.sparkContext.defaultParallelism)
+    bands = bands_of(size + total[1] * (APIECE + A_BEST * k), n, held_bytes, spark.sparkContext.defaultParallelism)
     band = F.floor(F.col("block") * bands / n)
     blocks = _blocks(rows, kind, pivots, parts, k).withColumn("band", band)
     met = blocks.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bands - 1).cast("long"))))
-    dealt = met.withColumns({"cell": F.least("band", "other") * bands + F.greatest("band", "other"), "side": (F.col("band") > F.col("other")).cast("int")})
-    dealt = dealt.repartition(max(1, bands * (bands + 1) // 2), "cell").sortWithinPartitions("cell", "side", "block")
+    low, high = F.least("band", "other"), F.greatest("band", "other")
+    # A cell is a partition; those of two bands come first, as they have twice the work of those of one.
+    cell = F.when(low == high, bands * (bands - 1) // 2 + low).otherwise(F.floor(low * (2 * bands - low - 1) / 2) + high - low - 1)
+    dealt = met.withColumns({"cell": cell.cast("int"), "inner": low == high, "side": (F.col("band") > F.col("other")).cast("int")})
+    dealt = dealt.repartitionById(bands * (bands + 1) // 2, F.col("cell")).sortWithinPartitions("cell", "side", "block")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, known = None, None
@@ -258,7 +309,7 @@ def nearest_other(
                 b = _Packed(r["block"], ids, np.frombuffer(r["g"], np.int64), np.frombuffer(r["asks"], bool), np.frombuffer(r["v"], kind).reshape(len(ids), -1), np.frombuffer(r["floor"]).copy())
                 before = list(known.kept)
                 known.add(b, r["radius"], r["pivot"])
-                inner = cell // bands == cell % bands
+                inner = r["inner"]
                 if not inner and r["side"] == 0:
                     continue
                 near = sorted(before, key=lambda x: float(np.linalg.norm(pivots[known.kept[x][2]] - pivots[r["pivot"]])))
@@ -268,7 +319,11 @@ def nearest_other(
                     yield from known.leave(b.number)
         yield from close()
 
-    each = dealt.select("cell", "side", "block", "pivot", "radius", "id", "g", "asks", "v", "floor").mapInArrow(compare, "query long, match long, similarity double")
+    each = dealt.select("cell", "inner", "side", "block", "pivot", "radius", "id", "g", "asks", "v", "floor").mapInArrow(compare, "query long, match long, similarity double")
+    return _merged(each, k)
+
+
+def _merged(each: DataFrame, k: int) -> DataFrame:
     if k == 1:
         top = each.groupBy("query").agg(F.max(F.struct("similarity", F.bitwise_not("match").alias("m"))).alias("b"))  # of equals the least id
         return top.select("query", F.bitwise_not("b.m").alias("match"), F.col("b.similarity").alias("similarity"), F.lit(1).alias("rank"))
@@ -276,6 +331,28 @@ def nearest_other(
     return each.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def _among_all(rows: DataFrame, few: list, kind: type, k: int) -> DataFrame:
+    """query, match, similarity: the k best for each of a few vectors within what a task has of the rows. Only the few are sent around."""
+    few = sorted(few, key=lambda r: (r.g, r.id))
+    held = [np.array([r.id for r in few], np.int64), np.array([r.g for r in few], np.int64), np.array([r.v for r in few], kind)]
+    shared = rows.sparkSession.sparkContext.broadcast(held)
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, groups, x = shared.value
+        a = _Packed(0, ids, groups, np.ones(len(ids), bool), x, np.full(len(ids), NONE))
+        best = _Best(a, k)
+        for batch in batches:
+            i, g = (batch.column(c).to_numpy() for c in ("id", "g"))
+            order = np.argsort(g, kind="stable")
+            b = _Packed(1, i[order], g[order], np.zeros(len(i), bool), _stacked(batch.column("v"))[order], np.zeros(0))
+            for s in range(0, len(ids), TILE[0]):
+                for t in range(0, len(i), TILE[1]):
+                    best.look(s, b, t, _product(a, slice(s, s + TILE[0]), b, slice(t, t + TILE[1])))
+        yield from best.rows()
+
+    return rows.select("id", "g", "v").mapInArrow(look, "query long, match long, similarity double")
+
+
 def next_similarity(frames: DataFrame) -> DataFrame:
     """frames with next_similarity: cosine with the video's next frame, null at its end."""
     order = Window.partitionBy("video").orderBy("sample_idx")

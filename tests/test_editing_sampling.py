@@ -84,6 +84,17 @@ def test_large_reference_sets_give_the_same_as_small_ones(spark):
     assert similarity.against_references(rows, refs.limit(0)).count() == 0
 
 
+def test_a_few_that_ask_are_sent_to_the_rows_and_not_the_rows_around(spark):
+    rows = [(i, f"v{i % 3}", [float(i * 7 % 11) - 5, float(i % 5), 1.0]) for i in range(80)] + [(80, "v0", None)]
+    f = spark.createDataFrame(rows, "vec_id long, video string, embedding array<float>").repartition(3)
+    asked = spark.createDataFrame([(4,), (4,), (17,), (80,), (999,)], "vec_id long")
+    near = similarity.nearest_other(f, 3, queries=asked)
+    every = {(r["query"], r.match, r.similarity, r["rank"]) for r in similarity.nearest_other(f, 3).collect() if r["query"] in (4, 17)}
+    assert {(r["query"], r.match, r.similarity, r["rank"]) for r in near.collect()} == every and len(every) == 6
+    assert "FlatMapGroupsInPandas" not in near._jdf.queryExecution().toString()  # no blocks are made
+    assert similarity.nearest_other(f, queries=asked.where("vec_id > 90")).count() == 0
+
+
 def test_best_splits_and_their_outputs(spark, tmp_path):
     frames = spark.createDataFrame([(f"v{i}", c) for i in range(8) for c in (0, 1, i % 2)], "video string, cluster int")
     best = splits.fast_split(frames, frames, 0.25, 40, 2)

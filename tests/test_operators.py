@@ -71,6 +71,55 @@ def test_nearest_over_several_blocks_and_bands(spark, kind, block, held):
     assert got == _nearest_by_hand(x.astype(np.float64), groups, 2, [2, 41, 70])
 
 
+def _blocks_by_hand(x, groups, cuts, asks=None):
+    for n, at in enumerate(np.split(np.arange(len(x)), cuts)):
+        at = at[np.lexsort((at, groups[at]))]
+        yield similarity._Packed(n, at, groups[at], np.ones(len(at), bool) if asks is None else asks[at], x[at], np.full(len(at), similarity.NONE))
+
+
+def _met(blocks, k):
+    known = similarity._Nearest(k, np.zeros((1, 1)))
+    for b in blocks:
+        before = list(known.kept)
+        known.add(b, 2.0, 0)
+        for other in [b.number, *before]:
+            known.meet(b.number, other)
+    found = [r for n in list(known.kept) for batch in known.leave(n) for r in batch.to_pylist()]
+    out = set()
+    for q in {r["query"] for r in found}:
+        best = sorted((-r["similarity"], r["match"]) for r in found if r["query"] == q)
+        out |= {(q, m, n + 1) for n, (_, m) in enumerate(best)}
+    return out
+
+
+@pytest.mark.parametrize("kind", [np.float32, np.float64])
+@pytest.mark.parametrize("k", [1, 4, 20])
+def test_tiles_of_blocks_give_the_nearest(monkeypatch, kind, k):
+    """Few and many groups, equal vectors within and over tiles, zero vectors, blocks shorter than k."""
+    rng = np.random.default_rng(k)
+    for tile, n_groups in (((7, 11), 3), ((64, 5), 150), ((512, 2048), 1), ((3, 200), 40)):
+        monkeypatch.setattr(similarity, "TILE", tile, raising=False)
+        x = rng.normal(size=(220, 4)).astype(kind)
+        x[rng.integers(0, 220, 60)] = x[5]
+        x[[9, 100]] = 0
+        groups = rng.integers(0, n_groups, 220) * 7 - 50
+        assert _met(_blocks_by_hand(x, groups, [3, 90, 91, 180]), k) == _nearest_by_hand(x.astype(np.float64), groups, k)
+
+
+def test_two_blocks_hold_no_product_of_all_their_vectors():
+    """Blocks of 4 MB are 16,384 vectors of 64 floats; a product of two of them would be 1 GB."""
+    import tracemalloc
+
+    n = 5000
+    x = np.random.default_rng(0).normal(size=(2 * n, 8)).astype(np.float32)
+    blocks = list(_blocks_by_hand(x, np.arange(2 * n) % 10, [n]))
+    tracemalloc.start()
+    _met(blocks, 1)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < n * n * 4 / 2
+
+
 def test_far_blocks_are_left_out(spark):
     """Vectors around few directions: most pairs of blocks can't hold a nearest neighbour, and the result is the same."""
     rng = np.random.default_rng(1)
