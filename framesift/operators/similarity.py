@@ -250,8 +250,8 @@ def nearest_other(
         first = rows.select(F.size("v")).first()
         most = block_bytes // FEW // (max(first[0], 1) * kind().itemsize) if first else 0
         few = rows.join(asked, "id").select("id", "g", "v").limit(most + 1).collect() if most else []
-        if 0 < len(few) <= most:
-            return _merged(_among_all(rows, few, kind, k), k)
+        if first and most and len(few) <= most:
+            return _merged(_among_all(rows if few else rows.where("false"), few, kind, k), k)
         rows = rows.join(asked.withColumn("asked", F.lit(True)), "id", "left")
         asking = F.coalesce("asked", F.lit(False))
     rows = rows.select("id", "g", "h", asking.alias("asks"), "v")
@@ -339,6 +339,8 @@ def _among_all(rows: DataFrame, few: list, kind: type, k: int) -> DataFrame:
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, groups, x = shared.value
+        if not len(ids):
+            return
         a = _Packed(0, ids, groups, np.ones(len(ids), bool), x, np.full(len(ids), NONE))
         best = _Best(a, k)
         for batch in batches:
